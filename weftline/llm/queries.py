@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import substring
+from . import bpecount, jaccard, packing, substring, tokenfile
 from .storage import table
 
 
@@ -13,8 +13,28 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpecount.token_counts(table(spark, sf_dir, "documents"))
+
+
+def op7_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenfile.token_digests(table(spark, sf_dir, "documents"))
+
+
+def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op2_substring_dedup": op2_substring_dedup,
+    "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
+    "op5_token_counts": op5_token_counts,
+    "op7_token_file": op7_token_file,
+    "op9_best_fit_packing": op9_best_fit_packing,
 }
 
 #: The word pattern of the contracts.
