@@ -123,16 +123,18 @@ def _probe_rows(buckets: int, block: int, window: int):
 
 def _met_again(table: pa.Table) -> pa.Table:
     """Reducer of a bucket: the blocks whose hash is met at another place too."""
-    blobs = [bs.unpack_sorted(x) for x in table.column("probes").to_pylist()]
-    values, counts = np.unique(np.concatenate(blobs), return_counts=True)
-    flagged = np.concatenate([bs.unpack_sorted(x) for x in table.column("twice").to_pylist()])
-    repeated = np.union1d(values[counts > 1], flagged)
-    keys, blocks = [], []
-    for r, k, b in zip(table.column("rests").to_pylist(), table.column("keys").to_pylist(), table.column("blocks").to_pylist(), strict=True):
-        hit = np.isin(np.frombuffer(r, np.uint32), repeated)
-        keys.append(np.frombuffer(k, np.int64)[hit])
-        blocks.append(np.frombuffer(b, "<i4")[hit])
-    key, block = np.concatenate(keys), np.concatenate(blocks)
+    values = np.concatenate([bs.unpack_sorted(x) for x in table.column("probes").to_pylist()])
+    values.sort()
+    several = values[1:][values[1:] == values[:-1]]
+    flagged = np.concatenate([several, *(bs.unpack_sorted(x) for x in table.column("twice").to_pylist())])
+    flagged.sort()
+    join = lambda c, kind: np.frombuffer(b"".join(table.column(c).to_pylist()), kind)
+    rests = join("rests", np.uint32)
+    place = np.searchsorted(flagged, rests)
+    hit = np.zeros(len(rests), bool)
+    inside = place < len(flagged)
+    hit[inside] = flagged[place[inside]] == rests[inside]
+    key, block = join("keys", np.int64)[hit], join("blocks", "<i4")[hit]
     order = np.lexsort((block, key))
     key, block = key[order], block[order]
     new = np.ones(len(key), bool)
@@ -200,7 +202,7 @@ def _window_rows(buckets: int, block: int, window: int):
     return run
 
 
-def _repeated(table: pa.Table) -> pa.Table:
+def _repeated(table: pa.Table, buckets: int) -> pa.Table:
     """Reducer of a bucket: the places of windows that start at two places at least."""
     join = lambda c, kind: np.frombuffer(b"".join(table.column(c).to_pylist()), kind)
     hashes, checks, keys, starts, twice = join("hashes", "<u8"), join("checks", "<u2"), join("keys", "<i8"), join("starts", "<i4"), join("twice", "u1")
@@ -212,15 +214,48 @@ def _repeated(table: pa.Table) -> pa.Table:
     again = (np.bincount(group, minlength=1) + np.bincount(group, twice[order], minlength=1)) > 1
     out = order[again[group]]
     key, start = keys[out], starts[out]
+    # dealt on by the row's hash: one packed row for each pair of buckets
+    group = (bs.mix(key.view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+    order = np.lexsort((start, key, group))
+    key, start, group = key[order], start[order], group[order]
+    number, first = np.unique(group, return_index=True)
+    borders = np.append(first, len(group))
+    packed = [_pack_places(key[a:z], start[a:z]) for a, z in zip(borders[:-1], borders[1:], strict=True)]
+    return pa.table({"part": pa.array(number, pa.int32()), "places": pa.array(packed, pa.binary())})
+
+
+def _pack_places(key: np.ndarray, start: np.ndarray) -> bytes:
+    """Entries sorted by key and start: distinct keys, their sizes, and differences of starts."""
+    import zstandard
+
+    edge = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+    size = np.diff(np.append(edge, len(key))).astype("<i4")
+    gaps = np.diff(start, prepend=np.int32(0)).astype("<i4")
+    planes = np.ascontiguousarray(np.concatenate((size, gaps)).view(np.uint8).reshape(-1, 4).T).tobytes()
+    return len(edge).to_bytes(4, "little") + zstandard.ZstdCompressor(level=1).compress(key[edge].astype("<i8").tobytes() + planes)
+
+
+def _unpack_places(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+    import zstandard
+
+    n = int.from_bytes(blob[:4], "little")
+    data = zstandard.ZstdDecompressor().decompress(blob[4:])
+    numbers = np.ascontiguousarray(np.frombuffer(data, np.uint8, offset=8 * n).reshape(4, -1).T).view("<i4").ravel()
+    return np.repeat(np.frombuffer(data, "<i8", n), numbers[:n]), np.cumsum(numbers[n:], dtype=np.int32)
+
+
+def _gather(table: pa.Table) -> pa.Table:
+    """All places of some texts: a row for each text, its starts packed."""
+    some = [_unpack_places(x) for x in table.column("places").to_pylist()]
+    key, start = np.concatenate([x[0] for x in some]), np.concatenate([x[1] for x in some])
     order = np.lexsort((start, key))
     key, start = key[order], start[order]
-    edge = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
-    ends = np.append(edge, len(key))[1:]
-    return pa.table({"k": pa.array(key[edge], pa.int64()), "starts": pa.array([np.unique(start[a:z]).astype("<i4").tobytes() for a, z in zip(edge, ends, strict=True)], pa.binary())})
+    edge = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+    return pa.table({"k": pa.array(key[edge], pa.int64()), "starts": pa.array([start[a:z].astype("<i4").tobytes() for a, z in zip(edge, np.append(edge, len(key))[1:], strict=True)], pa.binary())})
 
 
 def repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """Addresses of repeated windows: k (hash of the text), starts (list of packed int32)."""
+    """Addresses of repeated windows: k (hash of the text), starts (packed int32, may repeat)."""
     block = (window + 1) // 2
     buckets = shuffle_parts(docs.sparkSession)
     keyed = _keyed(docs).select("k", "text")
@@ -228,15 +263,15 @@ def repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     anchors = probes.groupBy("bucket").applyInArrow(_met_again, "k long, block int")
     hits = anchors.groupBy("k").agg(F.collect_list("block").alias("blocks"))
     windows = keyed.join(hits, "k").select("k", "text", "blocks").mapInArrow(_window_rows(buckets, block, window), "bucket int, hashes binary, checks binary, keys binary, starts binary, twice binary")
-    places = windows.groupBy("bucket").applyInArrow(_repeated, "k long, starts binary")
-    return places.groupBy("k").agg(F.collect_list("starts").alias("starts"))
+    places = windows.groupBy("bucket").applyInArrow(lambda rows: _repeated(rows, buckets), "part int, places binary")
+    return places.groupBy("part").applyInArrow(_gather, "k long, starts binary")
 
 
-def _cover(starts: list[bytes] | None, n: int, window: int) -> tuple[np.ndarray, np.ndarray]:
+def _cover(starts: bytes | None, n: int, window: int) -> tuple[np.ndarray, np.ndarray]:
     """(covered words, maximal repeated spans as begin, end pairs)."""
     if not starts:
         return np.zeros(n, bool), np.zeros((0, 2), np.int32)
-    at = np.unique(np.frombuffer(b"".join(starts), "<i4"))
+    at = np.unique(np.frombuffer(starts, "<i4"))
     step = np.zeros(n + 1, np.int32)
     np.add.at(step, at, 1)
     np.add.at(step, at + window, -1)
