@@ -119,13 +119,21 @@ class Words:
         return np.repeat(np.arange(len(self.rows) - 1), np.diff(self.rows))
 
 
-def find_words(part: Slice, lower: bool = False) -> Words:
-    """Words [^\\x20\\x09-\\x0D]+ of each row; lower: A-Z become a-z first."""
+#: Bytes that belong to words: all but ASCII white space; letters, digits and multi-byte characters.
+VISIBLE = np.array([not (b == 32 or 9 <= b <= 13) for b in range(256)])
+LETTERS = np.array([b >= 128 or chr(b).isalnum() for b in range(256)])
+
+
+def find_words(part: Slice, lower: bool = False, kind: np.ndarray = VISIBLE) -> Words:
+    """Maximal runs of bytes of a kind in each row; lower: A-Z become a-z first.
+
+    VISIBLE gives the words [^\\x20\\x09-\\x0D]+.
+    """
     data = part.data
     if lower:
         data = np.where((data >= 65) & (data <= 90), data | 32, data).astype(np.uint8)
     inside = np.zeros(len(data) + 1, bool)
-    inside[:-1] = ~((data == 32) | ((data >= 9) & (data <= 13)))
+    inside[:-1] = kind[data]
     begins = inside[:-1].copy()
     begins[1:] &= ~inside[:-2]
     border = part.offsets[1:-1]
