@@ -113,8 +113,11 @@ def _screen_rows(buckets: int, k: int):
     return run
 
 
-def _shared(table: pa.Table) -> pa.Table:
-    """Reducer of a bucket: for each text, how many of its prefix elements another text has."""
+def _shared(table: pa.Table, parts: int) -> pa.Table:
+    """Reducer of a bucket: for each text, how many of its prefix elements another text has.
+
+    Packed and dealt on by text: one row for each pair of buckets.
+    """
     rests, texts = [], []
     for r, w, k in zip(*(table.column(c).to_pylist() for c in ("rests", "rows", "keys")), strict=True):
         rests.append(bs.unpack_sorted(r))
@@ -131,7 +134,20 @@ def _shared(table: pa.Table) -> pa.Table:
     again[:-1] |= same
     count = np.bincount((pair[again] & np.uint64(0xFFFFFFFF)).astype(np.int64), minlength=len(names))
     hit = count > 0
-    return pa.table({"k": pa.array(names[hit], pa.int64()), "shared": pa.array(count[hit], pa.int64())})
+    names, count = names[hit], count[hit]
+    part = (bs.mix(names.view(np.uint64)) % np.uint64(parts)).astype(np.int64)
+    order = np.argsort(part, kind="stable")
+    number, first = np.unique(part[order], return_index=True)
+    borders = np.append(first, len(part))
+    cut = lambda a, kind: pa.array([a[order[x:z]].astype(kind).tobytes() for x, z in zip(borders[:-1], borders[1:], strict=True)], pa.binary())
+    return pa.table({"part": pa.array(number, pa.int32()), "keys": cut(names, "<i8"), "counts": cut(count, "<u4")})
+
+
+def _total(table: pa.Table) -> pa.Table:
+    """Sum of the counts of each text of a part."""
+    join = lambda c, kind: np.frombuffer(b"".join(table.column(c).to_pylist()), kind)
+    names, place = np.unique(join("keys", "<i8"), return_inverse=True)
+    return pa.table({"k": pa.array(names, pa.int64()), "shared": pa.array(np.bincount(place, join("counts", "<u4"), minlength=len(names)).astype(np.int64))})
 
 
 def _set_rows(k: int):
@@ -162,7 +178,10 @@ def _set_rows(k: int):
 
 
 def _candidate_prefixes(classes: DataFrame) -> DataFrame:
-    """cls, n, m, element: the adaptive prefix of each class, rarest elements first."""
+    """cls, n, r, m, element: the adaptive prefix of each class, rarest elements first.
+
+    r is how many of the n elements any other class has; an overlap can't be larger.
+    """
     posts = classes.select("cls", "n", F.explode("elements").alias("element")).repartition("element")
     frequency = posts.groupBy("element").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     ranked = posts.join(frequency, "element").groupBy("cls", "n").agg(F.array_sort(F.collect_list(F.struct("df", "element"))).alias("ranked"))
@@ -175,8 +194,8 @@ def _candidate_prefixes(classes: DataFrame) -> DataFrame:
         total = F.aggregate(part, F.lit(0.0), lambda a, x: a + x["df"])
         prices.append(F.struct((total + total / m * F.col("n") * VERIFY).alias("price"), F.lit(m).alias("m")))
     allowed = F.filter(F.array(*prices), lambda x: (x["m"] == 1) | (x["m"] * 2 <= F.expr(f"div(n * {PERCENT} + 99, 100)")))
-    chosen = ranked.withColumn("m", F.array_min(allowed)["m"])
-    return chosen.select("cls", "n", "m", F.explode(F.slice("ranked", F.lit(1), (F.col("spare") + F.col("m")).cast("int"))).alias("x")).select("cls", "n", "m", F.col("x.element").alias("element"))
+    chosen = ranked.withColumn("m", F.array_min(allowed)["m"]).withColumn("r", F.size("ranked"))
+    return chosen.select("cls", "n", "r", "m", F.explode(F.slice("ranked", F.lit(1), (F.col("spare") + F.col("m")).cast("int"))).alias("x")).select("cls", "n", "r", "m", F.col("x.element").alias("element"))
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -212,7 +231,7 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
     """
     buckets = shuffle_parts(docs.sparkSession)
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("k", F.xxhash64("text"))
-    shared = base.where("doc_id is not null").select("k", "text").mapInArrow(_screen_rows(buckets, k), "bucket int, rests binary, rows binary, keys binary").groupBy("bucket").applyInArrow(_shared, "k long, shared long").groupBy("k").agg(F.sum("shared").alias("shared"))
+    shared = base.where("doc_id is not null").select("k", "text").mapInArrow(_screen_rows(buckets, k), "bucket int, rests binary, rows binary, keys binary").groupBy("bucket").applyInArrow(lambda rows: _shared(rows, buckets), "part int, keys binary, counts binary").groupBy("part").applyInArrow(_total, "k long, shared long")
     sets = stored(base.join(shared, "k", "left").select("doc_id", "text", "shared").mapInArrow(_set_rows(k), "doc_id long, n_shingles long, set_a long, set_b long, stays boolean, elements array<long>"), "sets")
     full = sets.where("n_shingles > 0 and doc_id is not null")
     named = full.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("cls"), F.max("stays").alias("stays"))
@@ -227,19 +246,19 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
 def _components(classes: DataFrame) -> DataFrame:
     """cls, component of every class that is linked with another."""
     prefixes = stored(_candidate_prefixes(classes), "prefixes")
+    enough = f"least(ra, rb) * {100 + PERCENT} >= {PERCENT} * (na + nb)"  # else the overlap is too small
     # round one: each posting's members against its smallest one
-    star = prefixes.groupBy("element").agg(F.min("cls").alias("a"))
-    pairs = prefixes.join(star, "element").where("a < cls").select("a", F.col("cls").alias("b")).distinct()
+    star = prefixes.groupBy("element").agg(F.min(F.struct("cls", "n", "r")).alias("p")).select("element", F.col("p.cls").alias("a"), F.col("p.n").alias("na"), F.col("p.r").alias("ra"))
+    pairs = prefixes.withColumnsRenamed({"n": "nb", "r": "rb"}).join(star, "element").where(f"a < cls and {enough}").select("a", F.col("cls").alias("b")).distinct()
     links = stored(_verified(pairs, classes), "links")
     joined = stored(connected(links), "joined")
     # round two: pairs with enough common prefix elements, across components
     own = prefixes.join(joined, "cls", "left").withColumn("component", F.coalesce("component", "cls"))
     several = own.groupBy("element").agg((F.min("component") < F.max("component")).alias("several")).where("several").select("element")
-    open_posts = own.join(several, "element").select("element", "cls", "n", "m", "component")
-    left = open_posts.select("element", F.col("cls").alias("a"), F.col("n").alias("na"), F.col("m").alias("ma"), F.col("component").alias("ca"))
-    right = open_posts.select("element", F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("m").alias("mb"), F.col("component").alias("cb"))
-    close = (F.col("na") * PERCENT <= F.col("nb") * 100) & (F.col("nb") * PERCENT <= F.col("na") * 100)
-    more = left.join(right, "element").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & close).groupBy("a", "b").agg(F.count(F.lit(1)).alias("common"), F.first("ma").alias("ma"), F.first("mb").alias("mb")).where("common >= least(ma, mb)").select("a", "b")
+    open_posts = own.join(several, "element").select("element", "cls", "n", "r", "m", "component")
+    side = lambda x: open_posts.select("element", F.col("cls").alias(x), *(F.col(c).alias(c[0] + x) for c in ("n", "r", "m", "component")))
+    candidates = side("a").join(side("b"), "element").where(f"a < b and ca != cb and {enough}")
+    more = candidates.groupBy("a", "b").agg(F.count(F.lit(1)).alias("common"), F.first("ma").alias("ma"), F.first("mb").alias("mb")).where("common >= least(ma, mb)").select("a", "b")
     rest = _verified(more, classes)
     whole = links.unionByName(rest)
     return connected(stored(whole, "all-links"))

@@ -23,10 +23,10 @@ from pyspark.sql import functions as F
 from . import bytescan as bs
 
 #: Documents of each language that the fit may use, by hash of their id.
-SAMPLE = 1_000
+SAMPLE = 400
 WIDTH = 4096
 PENALTY = 1e-4
-STEPS = 200
+STEPS = 100
 UNKNOWN = "und"
 
 # Families of languages by ISO 639-1 code; another code is a family of its own.
