@@ -35,7 +35,9 @@ LEVEL = 3
 
 def train_dictionary(docs: DataFrame, path: str) -> bytes:
     """A dictionary from a bounded sample; empty if there is too little to learn from."""
-    sample = docs.where("length(text) > 0").select(F.xxhash64("doc_id").alias("h"), F.substring("text", 1, SAMPLE_CHARS).alias("text")).orderBy("h", "text").limit(SAMPLE).collect()
+    chosen = docs.where("length(text) > 0").select(F.xxhash64("doc_id").alias("h"), "doc_id").orderBy("h", "doc_id").limit(SAMPLE).select("doc_id").distinct()
+    rows = docs.join(F.broadcast(chosen), "doc_id").select("doc_id", F.substring("text", 1, SAMPLE_CHARS).alias("text")).collect()
+    sample = sorted(rows, key=lambda r: (r.doc_id, r.text))[:SAMPLE]
     encode = chunk_encoder(path, spaced=True)
     ids = [narrow(encode(r.text)) for r in sample]
     try:
