@@ -91,6 +91,13 @@ def column_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets
 
 
+def lowered(column: pa.Array) -> pa.Array:
+    """A string column in lower case, letters of all alphabets."""
+    import pyarrow.compute as pc
+
+    return pc.utf8_lower(column)
+
+
 def slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[Slice]:
     data, offsets = column_bytes(column)
     n, at = len(offsets) - 1, 0

@@ -63,8 +63,8 @@ def _spans(hashes: np.ndarray, rows: np.ndarray, mask: str, salt: int) -> tuple[
 
 
 def build_index(items: list[tuple[object, str]]) -> Index:
-    part = next(bs.slices(pa.array([text for _, text in items], pa.large_string()), 1 << 62))
-    words = bs.find_words(part, lower=True, kind=bs.LETTERS)
+    part = next(bs.slices(bs.lowered(pa.array([text for _, text in items], pa.large_string())), 1 << 62))
+    words = bs.find_words(part, kind=bs.LETTERS)
     hashes = words.hashes()
     found = [_spans(hashes, words.rows, mask, i) for i, mask in enumerate(MASKS)]
     places, keys = np.concatenate([x[0] for x in found]), np.concatenate([x[1] for x in found])
@@ -83,7 +83,7 @@ def _best(equal: np.ndarray) -> tuple[int, int]:
 
 def search(part: bs.Slice, index: Index) -> list[tuple[int, int, int, int, int, int]]:
     """(row, item, first document word, first item word, length, equal words) of each overlap."""
-    words = bs.find_words(part, lower=True, kind=bs.LETTERS)
+    words = bs.find_words(part, kind=bs.LETTERS)
     hashes = words.hashes()
     hits = []
     for i, mask in enumerate(MASKS):
@@ -135,7 +135,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, block_words: int = BLOCK
     def finder(index: Index):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for part in bs.slices(batch.column("text")):
+                for part in bs.slices(bs.lowered(batch.column("text"))):
                     found = search(part, index)
                     column = lambda i, t: pa.array([x[i] for x in found], t)  # noqa: E731, B023
                     yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id").take(pa.array([part.first + x[0] for x in found], pa.int64())), "item_id": pa.array([index.ids[x[1]] for x in found], pa.int64()), "doc_word": column(2, pa.int32()), "item_word": column(3, pa.int32()), "n_words": column(4, pa.int32()), "n_equal": column(5, pa.int32())})

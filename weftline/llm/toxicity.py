@@ -55,7 +55,7 @@ class Model:
 
 def _row_words(part: bs.Slice, only: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, feature hash, count) of the distinct words and stems of each row."""
-    words = bs.find_words(part, lower=True, kind=bs.LETTERS)
+    words = bs.find_words(part, kind=bs.LETTERS)
     values, length, rows = words.data.astype(np.uint64) + np.uint64(1), words.ends - words.starts, words.row_of()
     found = [(rows, words.hashes())]
     for stem in STEMS:
@@ -79,7 +79,7 @@ def _row_words(part: bs.Slice, only: np.ndarray | None = None) -> tuple[np.ndarr
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for part in bs.slices(batch.column("text")):
+        for part in bs.slices(bs.lowered(batch.column("text"))):
             row, hashes, counts = _row_words(part)
             borders = np.searchsorted(row, np.arange(part.rows + 1))
             # near copies mostly share their smallest run of five words
@@ -169,7 +169,7 @@ def grade(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in bs.slices(batch.column("text")):
+            for part in bs.slices(bs.lowered(batch.column("text"))):
                 row, hashes, counts = _row_words(part, model.words)
                 score = np.zeros(part.rows)
                 if len(row):
