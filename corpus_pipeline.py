@@ -1,19 +1,80 @@
-"""The corpus pipeline: stages over documents, each written and read again."""
+"""The corpus pipeline: stages over documents, each written and read again.
+
+A stage gets (spark, docs, sf_dir), works on all rows that its predecessor kept, and returns
+documents' columns; the last returns packed pieces. ``run`` writes each stage's rows as Parquet
+to the shared folder and reads them back, so a lost executor costs a re-read only.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from weftline.llm import substring
+from weftline.llm import decontam, jaccard, packing, substring, toxicity
+from weftline.llm.storage import stored, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-STAGES: list = []
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the grading rejects go; the model learns from the labelled ones of docs."""
+    graded = toxicity.toxicity(docs, table(spark, sf_dir, "labels"))
+    rejected = graded.where("rejected").select("doc_id").distinct()
+    return docs.join(rejected, "doc_id", "left_anti").select(COLUMNS)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component stays: that with the smallest doc_id.
+
+    Documents without words are linked with nothing and stay; of rows that repeat a doc_id of
+    a component's smallest, one stays.
+    """
+    found = stored(jaccard.near_duplicates(docs).select("doc_id", "component_id"), "components")
+    copies = found.where("doc_id <> component_id").select("doc_id").distinct()
+    kept = docs.join(copies, "doc_id", "left_anti").select(COLUMNS)
+    several = found.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("doc_id")
+    once = kept.join(several, "doc_id", "left_anti")
+    return once.unionByName(kept.join(several, "doc_id", "left_semi").dropDuplicates(["doc_id"])).select(COLUMNS)
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeated passages are cut out of the texts; a text of which nothing is left goes.
+
+    A document from which nothing is cut keeps its text as it is; n_chars follows the text.
+    """
+    found = substring.remove_repeats(docs).where("n_removed > 0").select("doc_id", "kept_text").dropDuplicates(["doc_id"])
+    joined = docs.join(found, "doc_id", "left")
+    text = F.when(F.col("kept_text").isNotNull(), F.col("kept_text")).otherwise(F.col("text"))
+    fresh = joined.withColumn("n_chars", F.when(F.col("kept_text").isNotNull(), F.length("kept_text").cast("long")).otherwise(F.col("n_chars"))).withColumn("text", text)
+    return fresh.where("kept_text is null or kept_text <> ''").select(COLUMNS)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that overlap with a benchmark item go."""
+    found = decontam.contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
+    return docs.join(found, "doc_id", "left_anti").select(COLUMNS)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces in sequences of at most 2048 tokens."""
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("near_duplicates", drop_near_duplicates),
+    ("substring_dedup", cut_repeats),
+    ("decontamination", drop_contaminated),
+    ("packing", pack),
+]
+
+#: Tokenising and the fitted grading can't be said in SQL; the stages are tested one by one.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages in turn, over the documents of sf_dir."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = stored(stage(spark, docs, sf_dir), name)
     return docs
