@@ -1,4 +1,7 @@
 """All registered queries of the library's own operators, with their SQL."""
 
-QUERIES = {}
-ORACLES = {}
+from .plans import curation
+
+AREAS = (curation,)
+QUERIES = {name: query for area in AREAS for name, query in area.QUERIES.items()}
+ORACLES = {name: sql for area in AREAS for name, sql in area.ORACLES.items()}
