@@ -79,4 +79,17 @@ ORACLES = {
         SELECT w.doc_id, len(ws)::BIGINT AS n_words, (len(ws) - coalesce(n, 0))::BIGINT AS n_removed,
                sha256(coalesce(t, '')) AS kept_sha256
         FROM w LEFT JOIN kept ON w.doc_id = kept.doc_id""",
+    "op4_ngram_jaccard_join": rf"""
+        WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{WORD}') AS ws FROM documents),
+        sets AS (SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+                   ELSE list_distinct(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' '))) END AS s FROM w),
+        el AS (SELECT doc_id, len(s) AS n, unnest(s) AS e FROM sets),
+        pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS c
+                 FROM el a JOIN el b ON a.e = b.e AND a.doc_id < b.doc_id GROUP BY ALL),
+        link AS (SELECT a, b FROM pairs WHERE 100 * c >= 75 * (na + nb - c)),
+        edge AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
+        reach AS (SELECT doc_id AS x, doc_id AS y FROM sets UNION SELECT reach.x, edge.b FROM reach JOIN edge ON reach.y = edge.a)
+        SELECT doc_id, len(s)::BIGINT AS n_shingles, comp.c AS component_id, same.c AS class_id FROM sets
+        JOIN (SELECT x, min(y) AS c FROM reach GROUP BY x) comp ON comp.x = doc_id
+        JOIN (SELECT doc_id AS d, CASE WHEN len(s) = 0 THEN doc_id ELSE min(doc_id) OVER (PARTITION BY list_sort(s)) END AS c FROM sets) same ON same.d = doc_id""",
 }
