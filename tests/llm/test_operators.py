@@ -165,6 +165,26 @@ def test_bit_probabilities_sum_to_one():
     assert first == pytest.approx(1, abs=1e-4) and total == pytest.approx(only, rel=1e-4)
 
 
+def test_mixer_learns_from_every_training_document(spark, monkeypatch):
+    learned = []
+    move = mixlm._Learner.move
+    monkeypatch.setattr(mixlm._Learner, "move", lambda self, pull, curve, hits: (learned.append(hits.sum()), move(self, pull, curve, hits)))
+    rows = [(i, f"text {i}" + " of words" * (i % 3)) for i in range(1_200)]
+    got = mixlm.scores(spark.createDataFrame(rows, "doc_id long, text string")).where("not held_out").collect()
+    assert len(got) > 1_000 and sum(learned) == 8 * sum(r.n_bytes for r in got)
+
+
+def test_mixer_codes_the_running_text(spark):
+    phrase = words(40, 5)
+    shuffled = list(np.random.default_rng(5).permutation(phrase))
+    held = [i for i in range(400) if zlib.crc32(str(i).encode()) % 7 == 2]
+    rows = [(i, " ".join(words(20, i) + phrase)) for i in range(400) if i not in held] + [(held[0], " ".join(phrase)), (held[1], " ".join(shuffled))]
+    got = {r.doc_id: r for r in mixlm.scores(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    known, mixed = got[held[0]], got[held[1]]
+    assert known.n_bytes == mixed.n_bytes and known.base_score == pytest.approx(mixed.base_score)
+    assert known.bits_per_byte < 0.7 * mixed.bits_per_byte
+
+
 def test_language(spark, empty):
     texts = {"en": "the house and the garden of that man with this", "de": "das haus und der garten von dem mann mit dieser", "fr": "la maison et le jardin de cet homme avec cette", "es": "la casa y el jardin de ese hombre con esta"}
     rng = np.random.default_rng(1)

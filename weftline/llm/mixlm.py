@@ -1,57 +1,60 @@
 """Language-model scores by logistic mixing of hashed-context bit predictors.
 
-A text is coded byte by byte, each byte bit by bit: its lower-cased words, each with a space
-after it, and one end mark. Predictors of several contexts (place in the word, last 1 to 4
-bytes, all of the word so far) look up how often the next bit was 0 or 1 in the training
-words, in hashed tables of a fixed size. Their stretched probabilities are added with weights
-that a gate chooses (place in the word, place in the byte, how often the word so far was seen),
-squashed, and refined by an adaptive map of (gate, probability) to what really followed. The total code length is the
-score.
-
-Contexts end at word borders, so every distinct word of a slice of the corpus is coded once
-and counted as often as it occurs. Word counts and the predictors' counts cover all training
-documents; weights and the adaptive map are learned online, word batch by word batch, from at
-most ``MIX_DOCS`` of them, with each word's own occurrence taken out of the counts. All that
-executors receive has a fixed size: the tables, and the ``DICTIONARY`` commonest words for the
-unigram base, whose other words are counted by a join.
+The running text is coded byte by byte, each byte bit by bit: its lower-cased words, each with a
+space after it, and one end mark. Predictors of several contexts (place in the word, last 1 to 4
+bytes whatever words they belong to, all of the word so far, that and the previous word) look up
+how often the next bit was 0 or 1 in the training texts, in hashed tables of a fixed size. Their
+stretched probabilities are added with weights that a gate chooses (place in the word, place in
+the byte, how often the word so far was seen), squashed, and refined by an adaptive map of
+(gate, probability) to what really followed. The total code length is the score.
+
+Word counts, the predictors' counts, the weights and the adaptive map cover all training
+documents. The weights are learned in ``STEPS``: each step sums gradient, curvature and hits over
+its share of the documents, task by task, with each bit's own occurrence taken out of the counts;
+every document has its turn once. All that executors receive has a fixed size: the tables, and
+the ``DICTIONARY`` commonest words for the unigram base, whose other words are counted by a join.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
-from functools import partial
 
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytescan as bs
 from .storage import stored
 
-#: log2 of the slots of each context's table: place, last 1, 2, 3, 4 bytes, word so far.
-TABLES = (12, 16, 20, 20, 21, 23)
-#: Commonest words that enter the table of the word so far, so that its load is bounded.
-WHOLE_WORDS = 1 << 17
-#: Training documents, by hash of their id, from which weights and the adaptive map are learned.
-MIX_DOCS = 1_000
+#: log2 of the slots of each context's table: place, last 1, 2, 3, 4 bytes, previous word and word
+#: so far, word so far.
+TABLES = (12, 16, 20, 21, 22, 22, 22)
 #: Commonest words held in memory for the base; the others are joined.
 DICTIONARY = 1 << 20
-#: Steps of the online learning in a pass (groups of documents), what older steps' curvature
-#: still counts, and passes.
-BATCHES, MEMORY, TURNS = 64, 0.97, 2
+#: Shares of the training documents (parts of 16, by hash of the text) of the learning steps, and
+#: what older steps' curvature still counts.
+STEPS, MEMORY = ((0, 1), (1, 2), (2, 4), (4, 8), (8, 16)), 0.5
+#: Bytes of text whose contexts are held at once, and bytes coded in one go.
+TEXT_BYTES, BLOCK = 256 << 10, 1 << 15
 FLUSH = 4_000_000
 CHUNK = 1 << 16
 END = b"\n"
 GATES, LEVELS = 512, 33
+WIDTH = len(TABLES) + 1
 #: Sightings of the word so far at which the next gate begins.
 SURE = (1, 3, 8, 32, 128, 512, 4096)
+_SURE = np.searchsorted(SURE, np.arange(SURE[-1] + 1), side="right")
 #: Share of the adaptive map in the final probability.
 REFINED = 0.15
 _U = np.uint64
 _ODD = _U(0x9E3779B97F4A7C15)
+_OFFSETS = np.append(0, np.cumsum([1 << size for size in TABLES]))
+#: log(count + 0.4), for stretched probabilities.
+_LOG = np.log(np.arange(1 << 16) + 0.4).astype(np.float32)
 
 
 def flat_words(words: tuple[np.ndarray, np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -65,18 +68,32 @@ def flat_words(words: tuple[np.ndarray, np.ndarray, np.ndarray]) -> tuple[np.nda
     return out, borders
 
 
+def running_text(words: bs.Words) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes of the rows' words, a space after each, an end mark after each row; row borders)."""
+    data, borders = flat_words((words.data, words.starts, words.ends))
+    rows = borders[words.rows]
+    return np.insert(data, rows[1:], END[0]), rows + np.arange(len(rows))
+
+
 def contexts(data: np.ndarray, borders: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
-    """(mixed context hash of each table for each byte, place in the word)."""
-    place = np.arange(len(data)) - np.repeat(borders[:-1], np.diff(borders))
+    """(mixed context hash of each table for each byte, place in the word); borders are texts'."""
+    at = np.arange(len(data))
+    text = np.repeat(borders[:-1], np.diff(borders))
+    first = at == text
+    first[1:] |= data[:-1] == 32
+    starts = np.maximum.accumulate(np.where(first, at, 0))
+    earlier = np.maximum(starts[np.maximum(starts - 1, 0)], text)
+    place, inside = at - starts, at - text
     last, history = [], np.zeros(len(data), _U)
     for back in range(1, 5):
         byte = np.zeros(len(data), _U)
         byte[back:] = data[:-back]
-        history = history | np.where(place >= back, byte + _U(1), _U(0)) << _U(9 * (back - 1))
+        history = history | np.where(inside >= back, byte + _U(1), _U(0)) << _U(9 * (back - 1))
         last.append(history)
-    starts = np.repeat(borders[:-1], np.diff(borders))
-    whole = bs.spans_hash(data.astype(_U) + _U(1), starts, np.arange(len(data)))
-    return [bs.mix(x, 10 + i) for i, x in enumerate((np.minimum(place, 15).astype(_U), *last, whole))], place
+    values = data.astype(_U) + _U(1)
+    whole = bs.spans_hash(values, starts, at)
+    pair = bs.mix(bs.spans_hash(values, earlier, starts), 9) ^ whole
+    return [bs.mix(x, 10 + i) for i, x in enumerate((np.minimum(place, 15).astype(_U), *last, pair, whole))], place
 
 
 def slots(hashes: list[np.ndarray], data: np.ndarray, bit: int) -> list[np.ndarray]:
@@ -86,8 +103,17 @@ def slots(hashes: list[np.ndarray], data: np.ndarray, bit: int) -> list[np.ndarr
         return [(((h ^ node) * _U(0xD6E8FEB86659FD93)) >> _U(64 - size)).astype(np.int64) for h, size in zip(hashes, TABLES, strict=True)]
 
 
-def _stretch(zero: np.ndarray, one: np.ndarray) -> np.ndarray:
-    return np.log((one + 0.4) / (zero + 0.4))
+def _blocks(data: np.ndarray, borders: np.ndarray) -> Iterator[tuple[int, list[np.ndarray], np.ndarray, np.ndarray]]:
+    """(first byte, context hashes, place in the word, bytes) of blocks of some texts."""
+    hashes, place = contexts(data, borders)
+    for at in range(0, len(data), BLOCK):
+        yield at, [h[at : at + BLOCK] for h in hashes], place[at : at + BLOCK], data[at : at + BLOCK]
+
+
+def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    for batch in batches:
+        for part in bs.slices(batch.column("text"), TEXT_BYTES):
+            yield running_text(bs.find_words(part, lower=True))
 
 
 @dataclass
@@ -100,18 +126,19 @@ class Mixer:
     refined: np.ndarray
 
     def cost(self, data: np.ndarray, borders: np.ndarray) -> np.ndarray:
-        """Bits of each word."""
-        hashes, place = contexts(data, borders)
+        """Bits of each text."""
         total = np.zeros(len(data), np.float32)
-        for bit in range(8):
-            found = slots(hashes, data, bit)
-            gate = (np.minimum(place, 7) * 8 + bit) * 8 + self.sure[found[-1]]
-            mixed = self.weights[gate, -1].copy()
-            for k, slot in enumerate(found):
-                mixed += self.weights[gate, k] * self.tables[k][slot].astype(np.float32)
-            p = final(mixed, gate, self.refined)
-            total -= np.log2(np.where((data >> (7 - bit)) & 1, p, 1 - p))
-        return np.add.reduceat(total, borders[:-1]).astype(np.float64) if len(borders) > 1 else np.zeros(0)
+        for at, hashes, place, own in _blocks(data, borders):
+            for bit in range(8):
+                found = slots(hashes, own, bit)
+                gate = (np.minimum(place, 7) * 8 + bit) * 8 + self.sure[found[-1]]
+                weights = self.weights[gate]
+                mixed = weights[:, -1].copy()
+                for k, slot in enumerate(found):
+                    mixed += weights[:, k] * self.tables[k][slot]
+                p = final(mixed, gate, self.refined)
+                total[at : at + len(own)] -= np.log2(np.where((own >> (7 - bit)) & 1, p, 1 - p))
+        return np.add.reduceat(total.astype(np.float64), borders[:-1]) if len(borders) > 1 else np.zeros(0)
 
 
 def _level(mixed: np.ndarray) -> np.ndarray:
@@ -155,115 +182,103 @@ def end_hash() -> np.uint64:
     return bs.mix(np.array([0], _U), 99)[0]
 
 
-def _words_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    data, offsets = bs.column_bytes(column)
-    base = offsets[0]
-    return flat_words((data[base:], offsets[:-1] - base, offsets[1:] - base))
-
+def _slot_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Bit counts of the texts of a task: a row for each chunk of slots, packed."""
+    total = np.zeros(2 * -(-int(_OFFSETS[-1]) // CHUNK) * CHUNK, np.uint32)
+    for data, borders in _texts(batches):
+        for _, hashes, _, own in _blocks(data, borders):
+            for bit in range(8):
+                one = ((own >> (7 - bit)) & 1).astype(np.int64)
+                for k, slot in enumerate(slots(hashes, own, bit)):
+                    np.add.at(total, ((slot + _OFFSETS[k]) << 1) | one, np.uint32(1))
+    pack = zstandard.ZstdCompressor(level=1).compress
+    for number, own in enumerate(total.reshape(-1, 2 * CHUNK)):
+        met = np.flatnonzero(own)
+        if len(met):
+            yield pa.RecordBatch.from_pydict({"chunk": pa.array([number], pa.int32()), "places": pa.array([bs.pack_sorted(met.astype(np.uint32))], pa.binary()), "counts": pa.array([pack(own[met].astype("<u4").tobytes())], pa.binary())})
 
-def _slot_rows(batches: Iterator[pa.RecordBatch], whole: int) -> Iterator[pa.RecordBatch]:
-    """Bit counts of the words of a task: a row for each chunk of slots, packed.
 
-    Words met less than ``whole`` times don't enter the last table.
-    """
-    offset = np.append(0, np.cumsum([1 << size for size in TABLES]))
+def _narrow(pairs: np.ndarray) -> np.ndarray:
+    """Counts of 0 and 1 in 16 bits; larger ones are scaled down together."""
+    over = np.maximum(1, pairs.max(axis=1, keepdims=True) / 65535)
+    return np.rint(pairs / over).astype("<u2")
 
-    def merge(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        order = np.argsort(keys, kind="stable")
-        keys, counts = keys[order], counts[order]
-        first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
-        return keys[first], np.add.reduceat(counts, first)
 
-    waiting: list = []
+def _chunk_sum(table: pa.Table) -> pa.Table:
+    total = np.zeros(2 * CHUNK, np.int64)
+    unpack = zstandard.ZstdDecompressor().decompress
+    for places, counts in zip(table.column("places").to_pylist(), table.column("counts").to_pylist(), strict=True):
+        total[bs.unpack_sorted(places)] += np.frombuffer(unpack(counts), "<u4")
+    packed = zstandard.ZstdCompressor(level=1).compress(_narrow(total.reshape(-1, 2)).tobytes())
+    return pa.table({"chunk": table.column("chunk").slice(0, 1), "counts": pa.array([packed], pa.binary())})
 
-    def settle() -> None:
-        if waiting:
-            some = merge(np.concatenate([x[0] for x in waiting]), np.concatenate([x[1] for x in waiting]))
-            waiting[:] = [some]
 
-    for batch in batches:
-        for at in range(0, batch.num_rows, 10_000):
-            piece = batch.slice(at, 10_000)
-            data, borders = _words_of(piece.column("word"))
-            n = np.repeat(np.asarray(piece.column("n")), np.diff(borders))
-            hashes, _ = contexts(data, borders)
-            often = n >= whole
+def _sums(pairs: np.ndarray, weights: np.ndarray, texts: Iterable[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(gradient, curvature, hits) of some texts, by gate."""
+    pull, curve = np.zeros((GATES, WIDTH)), np.zeros((GATES, WIDTH, WIDTH))
+    hits = np.zeros(GATES * LEVELS * 2)
+    both, low, high = np.ascontiguousarray(pairs).view("<u4").ravel(), np.uint32(0xFFFF), np.uint32(16)
+    for data, borders in texts:
+        for _, hashes, place, own in _blocks(data, borders):
             for bit in range(8):
-                one = ((data >> (7 - bit)) & 1).astype(np.int64)
-                for k, slot in enumerate(slots(hashes, data, bit)):
-                    key = ((slot + offset[k]) << 1) | one
-                    use = often if k == len(TABLES) - 1 else slice(None)
-                    if len(key[use]):
-                        waiting.append(merge(key[use], n[use]))
-            settle()
-    if waiting:
-        keys, counts = waiting[0]
-        chunk = (keys >> 1) // CHUNK
-        number, first = np.unique(chunk, return_index=True)
-        borders = np.append(first, len(keys))
-        cut = lambda a, kind: pa.array([a[x:y].astype(kind).tobytes() for x, y in zip(borders[:-1], borders[1:], strict=True)], pa.binary())
-        yield pa.RecordBatch.from_pydict({"chunk": pa.array(number, pa.int32()), "places": cut(keys - np.repeat(number, np.diff(borders)) * 2 * CHUNK, "<u4"), "counts": cut(counts, "<i8")})
-
-
-def _chunk_sum(table: pa.Table) -> pa.Table:
-    join = lambda c, kind: np.frombuffer(b"".join(table.column(c).to_pylist()), kind)
-    total = np.bincount(join("places", "<u4"), join("counts", "<i8"), minlength=2 * CHUNK)
-    packed = zstandard.ZstdCompressor(level=1).compress(np.minimum(total, 4e9).astype("<u4").tobytes())
-    return pa.table({"chunk": table.column("chunk").slice(0, 1), "counts": pa.array([packed], pa.binary())})
+                one = (own >> (7 - bit)) & 1
+                x = np.ones((len(own), WIDTH), np.float32)
+                for k, slot in enumerate(slots(hashes, own, bit)):
+                    pair = both[slot + _OFFSETS[k]]
+                    zeros, ones = pair & low, pair >> high
+                    zeros -= (one == 0) & (zeros > 0)
+                    ones -= (one == 1) & (ones > 0)
+                    x[:, k] = _LOG[ones] - _LOG[zeros]
+                gate = (np.minimum(place, 7) * 8 + bit) * 8 + _SURE[np.minimum(zeros + ones, SURE[-1])]
+                mixed = np.clip(np.einsum("ij,ij->i", weights[gate], x), -16, 16)
+                p = 1 / (1 + np.exp(-mixed))
+                hits += np.bincount((gate * LEVELS + _level(mixed)) * 2 + one, minlength=len(hits))
+                order = np.argsort(gate.astype(np.uint16), kind="stable")
+                x, error, steep = x[order], (one - p)[order], (p * (1 - p))[order]
+                met, first = np.unique(gate[order], return_index=True)
+                for g, a, z in zip(met.tolist(), first.tolist(), [*first[1:].tolist(), len(order)], strict=True):
+                    pull[g] += error[a:z] @ x[a:z]
+                    curve[g] += (x[a:z] * steep[a:z, None]).T @ x[a:z]
+    return pull, curve, hits.reshape(GATES, LEVELS, 2)
+
+
+class _Learner:
+    """Weights and adaptive map, moved by the sums of one step after the other."""
+
+    def __init__(self) -> None:
+        self.weights = np.full((GATES, WIDTH), 0.15, np.float32)
+        self.weights[:, -2:] = 0.4, 0
+        self.curve, self.hits = np.zeros((GATES, WIDTH, WIDTH)), np.zeros((GATES, LEVELS, 2))
+
+    def move(self, pull: np.ndarray, curve: np.ndarray, hits: np.ndarray) -> None:
+        self.curve = MEMORY * self.curve + curve
+        self.hits = MEMORY * self.hits + hits
+        move = np.linalg.solve(self.curve + 3 * np.eye(WIDTH), pull[:, :, None])[:, :, 0]
+        self.weights += np.clip(move, -0.3, 0.3).astype(np.float32)
+
+    def mixer(self, pairs: np.ndarray) -> Mixer:
+        # in steps, so that the driver holds little besides the counts and the tables
+        tables, sure = [np.empty(1 << size, np.int16) for size in TABLES], np.empty(1 << TABLES[-1], np.uint8)
+        for table, start in zip(tables, _OFFSETS.tolist(), strict=False):
+            for at in range(0, len(table), CHUNK):
+                pair = pairs[start + at : start + min(at + CHUNK, len(table))]
+                table[at : at + CHUNK] = (_LOG[pair[:, 1]] - _LOG[pair[:, 0]]) * 256
+                if table is tables[-1]:
+                    sure[at : at + CHUNK] = np.searchsorted(SURE, pair.sum(axis=1, dtype=np.int32), side="right")
+        scale = np.full(WIDTH, 1 / 256, np.float32)
+        scale[-1] = 1
+        prior = 1 / (1 + np.exp(-(np.arange(LEVELS) - LEVELS // 2) / 2))
+        refined = (self.hits[:, :, 1] + 8 * prior) / (self.hits.sum(axis=2) + 8)
+        return Mixer(tables, sure, self.weights * scale, refined.astype(np.float32))
 
 
 def _learn(counts: np.ndarray, batches: list[list[tuple[bytes, int]]]) -> Mixer:
-    """Tables, and weights and adaptive map learned online from batches of words and counts."""
-    offset = np.append(0, np.cumsum([1 << size for size in TABLES]))
-    both = counts.reshape(-1, 2)
-    # in steps, so that the driver holds little besides the counts and the tables
-    tables, sure = [np.empty(1 << size, np.int16) for size in TABLES], np.empty(1 << TABLES[-1], np.uint8)
-    for table, start in zip(tables, offset.tolist(), strict=False):
-        for at in range(0, len(table), CHUNK):
-            pair = both[start + at : start + min(at + CHUNK, len(table))].astype(np.float32)
-            table[at : at + CHUNK] = np.clip(_stretch(pair[:, 0], pair[:, 1]) * 256, -32000, 32000)
-            if table is tables[-1]:
-                sure[at : at + CHUNK] = np.searchsorted(SURE, pair.sum(axis=1), side="right")
-    weights = np.full((GATES, len(TABLES) + 1), 0.15, np.float32)
-    weights[:, -2:] = 0.4, 0
-    width = len(TABLES) + 1
-    curve = np.zeros((GATES, width, width))
-    ridge = np.eye(width)
-    hits = np.zeros((GATES, LEVELS, 2))
-    for turn in range(TURNS):
-        for some in batches:
-            data, borders = _words_of(pa.array([w for w, _ in some], pa.binary()))
-            weight = np.repeat(np.array([n for _, n in some], np.float64), np.diff(borders))
-            hashes, place = contexts(data, borders)
-            for bit in range(8):
-                one = ((data >> (7 - bit)) & 1).astype(np.int64)
-                inputs = []
-                found = slots(hashes, data, bit)
-                for k, slot in enumerate(found):
-                    pair = both[slot + offset[k]].astype(np.float64)
-                    pair[np.arange(len(data)), one] = np.maximum(0, pair[np.arange(len(data)), one] - 1)
-                    inputs.append(_stretch(pair[:, 0], pair[:, 1]))
-                gate = (np.minimum(place, 7) * 8 + bit) * 8 + np.searchsorted(SURE, pair.sum(axis=1), side="right")
-                x = np.stack([*inputs, np.ones(len(data))], axis=1)
-                mixed = (weights[gate] * x).sum(axis=1)
-                error = (one - 1 / (1 + np.exp(-np.clip(mixed, -16, 16)))) * weight
-                if turn == TURNS - 1:
-                    np.add.at(hits, (gate, _level(mixed), one), weight)
-                pull = np.stack([np.bincount(gate, error * x[:, k], minlength=GATES) for k in range(width)], axis=1)
-                steep = weight * 0.25 / np.cosh(np.clip(mixed, -16, 16) / 2) ** 2
-                fresh = np.zeros_like(curve)
-                for k in range(width):
-                    for m in range(k + 1):
-                        fresh[:, k, m] = fresh[:, m, k] = np.bincount(gate, steep * x[:, k] * x[:, m], minlength=GATES)
-                met = np.flatnonzero(np.bincount(gate, minlength=GATES))
-                curve[met] = MEMORY * curve[met] + fresh[met]
-                move = np.linalg.solve(curve[met] + 3 * ridge, pull[met][:, :, None])[:, :, 0]
-                weights[met] += np.clip(move, -0.3, 0.3).astype(np.float32)
-    scale = np.full(len(TABLES) + 1, 1 / 256, np.float32)
-    scale[-1] = 1
-    prior = 1 / (1 + np.exp(-(np.arange(LEVELS) - LEVELS // 2) / 2))
-    refined = (hits[:, :, 1] + 8 * prior) / (hits.sum(axis=2) + 8)
-    return Mixer(tables, sure, weights * scale, refined.astype(np.float32))
+    """The mixer of given counts, learned from batches of (text, times) in one process."""
+    pairs, learner = _narrow(counts.reshape(-1, 2)), _Learner()
+    for some in batches:
+        texts = [w for w, n in some for _ in range(n)]
+        learner.move(*_sums(pairs, learner.weights, [(np.frombuffer(b"".join(texts), np.uint8), np.append(0, np.cumsum([len(w) for w in texts])))]))
+    return learner.mixer(pairs)
 
 
 def _held_out(docs: DataFrame) -> DataFrame:
@@ -277,25 +292,40 @@ def vocabulary(training: DataFrame) -> DataFrame:
     return stored(counted.groupBy("h").agg(F.first("word").alias("word"), F.sum("n").alias("n")), "vocabulary")
 
 
-def train(training: DataFrame, words: DataFrame) -> Mixer:
-    """Predictors from all training words, weights from a bounded sample of documents."""
-    whole = _least_count(words, WHOLE_WORDS)
-    found = words.select("word", "n").mapInArrow(partial(_slot_rows, whole=whole), "chunk int, places binary, counts binary").groupBy("chunk").applyInArrow(_chunk_sum, "chunk int, counts binary")
-    counts = np.zeros(2 * sum(1 << size for size in TABLES) + 2 * CHUNK, np.uint32)
+def train(training: DataFrame) -> Mixer:
+    """Predictors, weights and adaptive map from all training documents."""
+    found = training.select("text").mapInArrow(_slot_rows, "chunk int, places binary, counts binary").groupBy("chunk").applyInArrow(_chunk_sum, "chunk int, counts binary")
+    pairs = np.zeros((-(-int(_OFFSETS[-1]) // CHUNK) * CHUNK, 2), np.uint16)
     for r in found.toLocalIterator():  # a part at a time
-        counts[r.chunk * 2 * CHUNK : (r.chunk + 1) * 2 * CHUNK] = np.frombuffer(zstandard.ZstdDecompressor().decompress(bytes(r.counts)), "<u4")
-    ids = training.select(F.xxhash64("doc_id").alias("h"), "doc_id").orderBy("h", "doc_id").limit(MIX_DOCS).select("doc_id").distinct()
-    some = training.join(F.broadcast(ids), "doc_id").select(F.pmod(F.xxhash64(F.lit(1), "doc_id"), F.lit(BATCHES)).cast("int").alias("step"), "text")
+        pairs[r.chunk * CHUNK : (r.chunk + 1) * CHUNK] = np.frombuffer(zstandard.ZstdDecompressor().decompress(bytes(r.counts)), "<u2").reshape(-1, 2)
+    shared = training.sparkSession.sparkContext.broadcast(pairs)  # a fixed size
+    dealt = training.select("text", F.pmod(F.xxhash64("text"), F.lit(16)).alias("share"))
+    learner = _Learner()
+    for low, high in STEPS:
+        learner.move(*_summed(dealt.where(F.col("share").between(low, high - 1)).select("text"), shared, learner.weights))
+    mixer = learner.mixer(pairs)
+    shared.destroy()
+    return mixer
+
+
+def _summed(texts: DataFrame, shared: Broadcast, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The sums of a step over all its texts: a row for each gate that a task met, then for each gate."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pull, curve, hits = _sums(shared.value, weights, _texts(batches))
+        rows = np.concatenate([x.reshape(GATES, -1) for x in (pull, curve, hits)], axis=1)
+        met = np.flatnonzero(hits.any(axis=(1, 2)))
+        yield pa.RecordBatch.from_pydict({"gate": pa.array(met, pa.int32()), "sums": pa.array([rows[g].tobytes() for g in met], pa.binary())})
 
-    def words_of(rows: pa.Table) -> pa.Table:
-        found = pa.Table.from_batches(_tokens(iter(rows.select(["text"]).combine_chunks().to_batches())))
-        return found.append_column("step", pa.array(np.full(found.num_rows, rows.column("step")[0].as_py(), np.int32)))
+    def add(table: pa.Table) -> pa.Table:
+        rows = np.frombuffer(b"".join(table.column("sums").to_pylist())).reshape(len(table), -1)
+        return pa.table({"gate": table.column("gate").slice(0, 1), "sums": pa.array([rows.sum(axis=0).tobytes()], pa.binary())})
 
-    steps: dict[int, dict[bytes, int]] = {}
-    for r in some.groupBy("step").applyInArrow(words_of, "h long, word binary, n long, step int").select("step", "word", "n").collect():
-        own = steps.setdefault(r.step, {})
-        own[bytes(r.word)] = own.get(bytes(r.word), 0) + r.n
-    return _learn(counts, [sorted(steps[k].items()) for k in sorted(steps)])
+    total = np.zeros((GATES, WIDTH + WIDTH * WIDTH + LEVELS * 2))
+    for r in texts.mapInArrow(run, "gate int, sums binary").groupBy("gate").applyInArrow(add, "gate int, sums binary").collect():  # a row for each gate
+        total[r.gate] = np.frombuffer(bytes(r.sums))
+    pull, curve, hits = np.split(total, [WIDTH, WIDTH + WIDTH * WIDTH], axis=1)
+    return pull, curve.reshape(GATES, WIDTH, WIDTH), hits.reshape(GATES, LEVELS, 2)
 
 
 def _least_count(words: DataFrame, limit: int) -> int:
@@ -336,7 +366,7 @@ def scores(docs: DataFrame) -> DataFrame:
     words = vocabulary(training)
     totals = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
     n_train, n_words = int(totals.n), int(totals.v)
-    mixer = train(training, words)
+    mixer = train(training)
     names, counts, least = _common(words, DICTIONARY)
     gains = np.log10(counts + 1.0)
     end_at = np.searchsorted(names, end_hash())
@@ -345,26 +375,13 @@ def scores(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mixer, names, gains = model.value
-        end_bits = float(mixer.cost(*flat_words((np.frombuffer(END, np.uint8), np.array([0]), np.array([1]))))[0])
-        known: tuple[np.ndarray, np.ndarray] = (np.zeros(0, _U), np.zeros(0))
         for batch in batches:
-            for part in bs.slices(batch.column("text")):
+            for part in bs.slices(batch.column("text"), TEXT_BYTES):
                 found = bs.find_words(part, lower=True)
+                data, ends = running_text(found)
+                bits = mixer.cost(data, ends)
                 hashes, row = found.hashes(), found.row_of()
-                unique, first, place = np.unique(hashes, return_index=True, return_inverse=True)
-                bits = np.zeros(len(unique))
-                at = np.minimum(np.searchsorted(known[0], unique), max(0, len(known[0]) - 1))
-                old = known[0][at] == unique if len(known[0]) else np.zeros(len(unique), bool)
-                bits[old] = known[1][at[old]]
-                fresh = np.flatnonzero(~old)
-                for some in np.array_split(fresh, max(1, len(fresh) // 50_000)):
-                    if len(some):
-                        bits[some] = mixer.cost(*flat_words((found.data, found.starts[first[some]], found.ends[first[some]])))
-                if len(known[0]) > 600_000:
-                    known = (unique, bits)
-                else:
-                    merged, where = np.unique(np.concatenate((known[0], unique[fresh])), return_index=True)
-                    known = (merged, np.concatenate((known[1], bits[fresh]))[where])
+                unique, place = np.unique(hashes, return_inverse=True)
                 at = np.minimum(np.searchsorted(names, unique), max(0, len(names) - 1))
                 listed = names[at] == unique if len(names) else np.zeros(len(unique), bool)
                 gain = np.where(listed, gains[at] if len(names) else 0.0, 0.0)
@@ -373,7 +390,6 @@ def scores(docs: DataFrame) -> DataFrame:
                 order = np.lexsort((hashes[rest], row[rest]))
                 lone, lone_row = hashes[rest][order], row[rest][order]
                 borders = np.searchsorted(lone_row, np.arange(part.rows + 1)).astype(np.int32)
-                size = np.bincount(row, (found.ends - found.starts + 1), minlength=part.rows) + 1
                 yield pa.RecordBatch.from_pydict({
                     "doc_id": batch.column("doc_id").slice(part.first, part.rows),
                     "k": batch.column("k").slice(part.first, part.rows),
@@ -381,8 +397,8 @@ def scores(docs: DataFrame) -> DataFrame:
                     "n_tokens": pa.array(tokens, pa.int64()),
                     "known": pa.array(np.bincount(row, listed[place], minlength=part.rows).astype(np.int64) + (end_count > 0)),
                     "gain": pa.array(np.bincount(row, gain[place], minlength=part.rows) + np.log10(end_count + 1.0)),
-                    "bits": pa.array(np.bincount(row, bits[place], minlength=part.rows) + end_bits),
-                    "n_bytes": pa.array(size.astype(np.int64)),
+                    "bits": pa.array(bits),
+                    "n_bytes": pa.array(np.diff(ends), pa.int64()),
                     "rest": pa.ListArray.from_arrays(pa.array(borders), pa.array(lone.view(np.int64))),
                 })
 
