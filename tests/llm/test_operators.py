@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from weftline.llm import annsearch, bpecount, decontam, jaccard, langid, mixlm, packing, substring, tokenfile, toxicity
@@ -208,6 +209,27 @@ def test_decontamination(spark, docs, empty):
     assert decontam.contaminated(empty, bench).count() == 0 and decontam.contaminated(docs, bench.limit(0)).count() == 0
 
 
+def test_decontamination_bounds_hold_for_the_whole_overlap(spark):
+    other = lambda w, gone: [x if i not in gone else f"other{i}" for i, x in enumerate(w)]
+    short, long = words(15, 41), words(48, 42)
+    rows = [(1, " ".join(words(30, 43) + other(short, {2, 8, 14}))), (2, " ".join(other(long, set(range(3, 48, 4))) + words(9, 44))), (3, " ".join(words(9, 45) + other(short, {2, 6, 10, 14}))), (4, " ".join(other(long, set(range(2, 48, 3)))))]
+    bench = spark.createDataFrame([(1, " ".join(short)), (2, " ".join(long))], "item_id long, text string")
+    got = {(r.doc_id, r.item_id, r.doc_word, r.n_words, r.n_equal) for r in decontam.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()}
+    assert got == {(1, 1, 30, 14, 12), (2, 2, 0, 47, 36)}
+
+
+def test_decontamination_finds_random_substitutions():
+    rng, missed, met = np.random.default_rng(7), 0, 0
+    part = lambda w: next(decontam.bs.slices(decontam.bs.lowered(pa.array([" ".join(w)], pa.large_string())), 1 << 62))
+    for trial in range(300):
+        item = [f"w{x}" for x in rng.integers(0, 10**9, (15, 20)[trial % 2])]
+        laid = [w if rng.random() > 0.1 else "other" for w in item]
+        if sum(a == b for a, b in zip(item, laid, strict=True)) >= 12:
+            met += 1
+            missed += not decontam.search(part(words(30, trial) + laid), decontam.build_index([(1, " ".join(item))]))
+    assert met > 280 and missed <= 0.02 * met
+
+
 def test_toxicity(spark, empty):
     rng = np.random.default_rng(2)
     rows, labels = [], []

@@ -22,10 +22,10 @@ from . import bytescan as bs
 
 # 1 looks at the word, 0 ignores it.
 MASKS = ("11010011", "1110101", "1011000101")
-#: An overlap counts with so many equal words, or with this share of a shorter item's words.
+#: A stretch counts with so many equal words, a whole overlap with this share of an item's words.
 LEAST_WORDS = 12
 LEAST_SHARE = 0.8
-#: What a replaced word costs when the overlap is extended over it (an equal one gives 1).
+#: What a replaced word costs in a stretch's score (an equal one gives 1): one in four is allowed.
 REPLACED = 3
 #: Words of benchmark items held at once.
 BLOCK_WORDS = 1_000_000
@@ -75,10 +75,19 @@ def build_index(items: list[tuple[object, str]]) -> Index:
 
 
 def _best(equal: np.ndarray) -> tuple[int, int]:
-    """[begin, end) of the stretch with the largest score."""
+    """[begin, end) of the stretch with most equal words among those of score 0 or more."""
     score = np.append(0, np.cumsum(np.where(equal, 1, -REPLACED)))
-    end = int((score[1:] - np.minimum.accumulate(score[:-1])).argmax()) + 1
-    return end - 1 - int(score[:end][::-1].argmin()), end
+    same = np.append(0, np.cumsum(equal))
+    # for each end the earliest begin from which the score doesn't fall
+    begin = np.searchsorted(-np.minimum.accumulate(score), -score)
+    end = int((same - same[begin]).argmax())
+    return _trimmed(equal, int(begin[end]), end)
+
+
+def _trimmed(equal: np.ndarray, begin: int, end: int) -> tuple[int, int]:
+    """The stretch from its first equal word to its last one."""
+    at = np.flatnonzero(equal[begin:end])
+    return (begin + int(at[0]), begin + int(at[-1]) + 1) if len(at) else (begin, begin)
 
 
 def search(part: bs.Slice, index: Index) -> list[tuple[int, int, int, int, int, int]]:
@@ -100,9 +109,10 @@ def search(part: bs.Slice, index: Index) -> list[tuple[int, int, int, int, int,
         a, z = int(index.rows[item]), int(index.rows[item + 1])
         low, high = max(a, int(words.rows[row]) - shift), min(z, int(words.rows[row + 1]) - shift)
         equal = index.words[low:high] == hashes[low + shift : high + shift]
-        begin, end = _best(equal)
+        whole = equal.sum() >= LEAST_SHARE * (z - a)
+        begin, end = _trimmed(equal, 0, len(equal)) if whole else _best(equal)
         same = int(equal[begin:end].sum())
-        if same >= LEAST_WORDS or same >= LEAST_SHARE * (z - a):
+        if whole or same >= LEAST_WORDS:
             out.append((row, item, low + begin + shift - int(words.rows[row]), low + begin - a, end - begin, same))
     return out
 
@@ -123,8 +133,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, block_words: int = BLOCK
 
     ``docs`` needs doc_id and text, ``benchmark`` item_id and text; other columns are ignored.
     Words are runs of letters and digits, lower case. An overlap lays a document and an item
-    over each other without gaps; its stretch of ``n_words`` words from word ``doc_word`` and
-    ``item_word`` holds at least ``LEAST_WORDS`` equal words, or ``LEAST_SHARE`` of the item's.
+    over each other without gaps. It counts if ``LEAST_SHARE`` of the item's words are equal in
+    all of it, or at least ``LEAST_WORDS`` in a stretch with at most one replaced word in four.
+    ``n_words`` words from word ``doc_word`` and ``item_word`` on are its stretch, from the first
+    to the last equal word. An overlap that no mask hits isn't found.
     Null and empty texts overlap with nothing, nor do items shorter than every mask; repeated
     rows of docs give repeated overlaps, repeated items count once; an empty table gives none.
     """
