@@ -60,6 +60,29 @@ def test_split_dedup_cases(spark):
     assert got[3] == ("train_leakage", "exact_before_after", 2) and got[4][0] is None and got[5] == ("exact_duplicate", "exact_transition", 4)
 
 
+def test_split_dedup_near_leakage(spark):
+    key = -0x123456789ABCDEF
+    rows = [(0, "train", "p0", key), (1, "train", "p1", key ^ 1), (2, "val", "p2", key ^ 7), (3, "test", "p3", key ^ 15), (4, "val", "p1", key), (5, "train", "p5", key), (6, "test", "p6", (key ^ 6) ^ (1 << 40)), (7, "test", "p6", ~key), (8, "val", "p6", ~key)]
+    df = spark.createDataFrame(rows, "id int, split string, p string, state long").withColumn("t", F.col("p"))
+    got = {r.id: (r.drop_reason, r.match_type, r.matched_id) for r in curation.split_dedup(df, "t", "p", "id", "state").collect()}
+    near = lambda i: ("train_leakage", "near_state", i)
+    none = (None, None, None)
+    assert got == {0: none, 1: none, 2: near(0), 3: near(1), 4: ("train_leakage", "exact_before_after", 1), 5: none, 6: near(0), 7: none, 8: ("exact_duplicate", "exact_transition", 7)}
+
+
+def test_split_dedup_near_query_equals_brute_force(spark):
+    from weftline.functions import pyast
+
+    got = {r.doc_id: r for r in catalogue.QUERIES["split_dedup_near"](spark, FOLDER).collect()}
+    exact = {r.doc_id: r for r in catalogue.QUERIES["split_dedup"](spark, FOLDER).collect()}
+    state = {r.doc_id: r.s & (2**64 - 1) for r in spark.read.parquet(f"{FOLDER}/documents.parquet").select("doc_id", pyast.simhash("text").alias("s")).collect()}
+    for i, r in exact.items():
+        if r.split != "train" and r.drop_reason != "train_leakage":
+            near = [j for j in sorted(exact) if exact[j].split == "train" and (state[i] ^ state[j]).bit_count() <= 3]
+            assert (got[i].match_type, got[i].matched_id) == ("near_state", near[0]) if near else got[i].match_type != "near_state"
+    assert any(r.match_type == "near_state" for r in got.values())
+
+
 def test_near_pairs_equal_brute_force(spark):
     import random
 

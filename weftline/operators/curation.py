@@ -67,21 +67,45 @@ def exact_leakage(df: DataFrame, key: str, ordinal: str) -> DataFrame:
     return df.where("split <> 'train'").join(train, key)
 
 
-def split_dedup(df: DataFrame, transition: str, pair: str, ordinal: str) -> DataFrame:
+def _banded(df: DataFrame, key: str, threshold: int) -> DataFrame:
+    """A row for each of threshold + 1 bands of a 64-bit key: two keys so close agree in one."""
+    width = 64 // (threshold + 1)
+    band = [F.struct(F.lit(i).alias("b"), F.shiftrightunsigned(F.col(key), i * width).bitwiseAND((1 << width) - 1).alias("v")) for i in range(threshold + 1)]
+    return df.withColumn("band", F.explode(F.array(*band))).select("*", "band.b", "band.v").drop("band")
+
+
+def near_leakage(df: DataFrame, state: str, ordinal: str, threshold: int = 3) -> DataFrame:
+    """Simhash keys of rows outside train within a Hamming distance of any train row's.
+
+    near_id is the first such train row. Equal keys are joined once.
+    """
+    train = df.where("split = 'train'").groupBy(F.col(state).alias("train_state")).agg(F.min(ordinal).alias("near_id"))
+    other = df.where("split <> 'train'").select(state).distinct()
+    close = T.hamming(F.col(state), F.col("train_state")) <= threshold
+    return _banded(other, state, threshold).join(_banded(train, "train_state", threshold), ["b", "v"]).where(close).groupBy(state).agg(F.min("near_id").alias("near_id"))
+
+
+def split_dedup(df: DataFrame, transition: str, pair: str, ordinal: str, state: str | None = None, threshold: int = 3) -> DataFrame:
     """Adds drop_reason (train_leakage, exact_duplicate or null) and matched_id.
 
-    Leaked rows go first. Of the rest the first of each pair key stays; equal transition keys
-    imply equal pair keys, so one group decides both.
+    Leaked rows go first: those whose pair key any train row has and, if ``state`` names a
+    simhash column, those whose simhash lies near a train row's. Of the rest the first of each
+    pair key stays; equal transition keys imply equal pair keys, so one group decides both.
     """
     train = df.where("split = 'train'").groupBy(pair).agg(F.max(ordinal).alias("leak_id"))
-    marked = df.join(train, pair, "left").withColumn("leaks", (F.col("split") != "train") & F.col("leak_id").isNotNull())
+    marked = df.join(train, pair, "left").withColumn("exact", (F.col("split") != "train") & F.col("leak_id").isNotNull())
+    if state is None:
+        marked = marked.withColumn("near_id", F.lit(None).cast(dict(df.dtypes)[ordinal]))
+    else:
+        marked = marked.join(near_leakage(df, state, ordinal, threshold), state, "left")
+    marked = marked.withColumn("leaks", F.col("exact") | ((F.col("split") != "train") & F.col("near_id").isNotNull()))
     firsts = marked.where("not leaks").groupBy(pair).agg(F.min(F.struct(ordinal, transition)).alias("first"))
     joined = marked.join(firsts, pair, "left")
     later = ~F.col("leaks") & (F.col("first")[ordinal] < F.col(ordinal))
     reason = F.when(F.col("leaks"), "train_leakage").when(later, "exact_duplicate")
-    kind = F.when(F.col("leaks"), "exact_before_after").when(later & (F.col("first")[transition] == F.col(transition)), "exact_transition").when(later, "exact_before_after")
-    matched = F.when(F.col("leaks"), F.col("leak_id")).when(later, F.col("first")[ordinal])
-    return joined.withColumn("drop_reason", reason).withColumn("match_type", kind).withColumn("matched_id", matched).drop("leak_id", "leaks", "first")
+    kind = F.when(F.col("exact"), "exact_before_after").when(F.col("leaks"), "near_state").when(later & (F.col("first")[transition] == F.col(transition)), "exact_transition").when(later, "exact_before_after")
+    matched = F.when(F.col("exact"), F.col("leak_id")).when(F.col("leaks"), F.col("near_id")).when(later, F.col("first")[ordinal])
+    return joined.withColumn("drop_reason", reason).withColumn("match_type", kind).withColumn("matched_id", matched).drop("leak_id", "near_id", "exact", "leaks", "first")
 
 
 def zero_filled(counts: DataFrame, column: str, values: tuple[str, ...], count: str = "n") -> DataFrame:

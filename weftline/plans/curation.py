@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import pyast
 from ..functions import text as T
 from ..operators import curation as C
 from .common import LICENSED_SQL, read, records, split_sql
@@ -51,6 +52,12 @@ def split_dedup_report(s, d):
     return split_dedup(s, d).groupBy("split", F.coalesce("drop_reason", F.lit("kept")).alias("outcome")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def split_dedup_near(s, d):
+    """split_dedup with the near step: a simhash within 3 bits of a train row's leaks too."""
+    r = records(s, d).withColumn("state", pyast.simhash("text"))
+    return C.split_dedup(r, "transition", "pair", "doc_id", "state").select("doc_id", "split", "drop_reason", "match_type", "matched_id")
+
+
 def transitions(s, d):
     """Consecutive turns: before is a turn's text, after the next one's."""
     c = read(s, d, "conversations").select("conv_id", "turn", "role", "text")
@@ -146,7 +153,7 @@ def near_dup_pairs_md5(s, d):
     return C.near_pairs(weights.select("doc_id", key.alias("key")), "doc_id", "key", 3).select("left_id", "right_id", F.col("distance").cast("int").alias("distance"))
 
 
-QUERIES = {f.__name__: f for f in (license_gate_report, source_license_counts, split_assignment, split_counts, exact_dedup_keep_first, train_leakage_exact, split_dedup, split_dedup_report, filter_cascade, filter_cascade_report, drop_reason_by_source, row_accounting, secret_scan_findings, redact_text, path_redaction, problem_split, split_leakage_report, group_pair_counts, top_counts, bucket_distributions, token_counts, token_count_buckets, padded_tokens, near_dup_pairs_md5)}
+QUERIES = {f.__name__: f for f in (license_gate_report, source_license_counts, split_assignment, split_counts, exact_dedup_keep_first, train_leakage_exact, split_dedup, split_dedup_report, split_dedup_near, filter_cascade, filter_cascade_report, drop_reason_by_source, row_accounting, secret_scan_findings, redact_text, path_redaction, problem_split, split_leakage_report, group_pair_counts, top_counts, bucket_distributions, token_counts, token_count_buckets, padded_tokens, near_dup_pairs_md5)}
 
 CODE, NAME = r"[A-Za-z_][A-Za-z0-9_]*|[0-9]+|[^\s\x0b]", r"[A-Za-z_][A-Za-z0-9_]*|[0-9]+"
 SECRET = r"(?i)(gh[pousr]_[A-Za-z0-9_]{12,}|xox[baprs]-[A-Za-z0-9-]{12,}|AKIA[0-9A-Z]{12,}|\bsk-[A-Za-z0-9_-]{20,})"
