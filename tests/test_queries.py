@@ -98,6 +98,18 @@ def test_near_pairs_equal_brute_force(spark):
     assert got == {(a, b, (keys[a] ^ keys[b]).bit_count()) for a in ids for b in ids if a < b and (keys[a] ^ keys[b]).bit_count() <= 3}
 
 
+def test_members_of_equal_keys(spark):
+    df = spark.createDataFrame([(3, 7), (1, 7), (5, 7), (2, 9), (4, None), (6, None)], "id long, k long")
+    assert {(r.id, r.representative) for r in curation.key_members(df, "id", "k").collect()} == {(3, 1), (1, 1), (5, 1), (2, 2), (4, 4), (6, 6)}
+
+
+def test_every_document_has_a_representative(spark):
+    ids = {r.doc_id for r in spark.read.parquet(f"{FOLDER}/documents.parquet").select("doc_id").collect()}
+    members = {r.doc_id: r.representative for r in catalogue.QUERIES["near_dup_members_md5"](spark, FOLDER).collect()}
+    pairs = {i for r in catalogue.QUERIES["near_dup_pairs_md5"](spark, FOLDER).collect() for i in (r.left_id, r.right_id)}
+    assert set(members) == ids and all(members[i] == i for i in pairs) and any(i != r for i, r in members.items())
+
+
 def test_padding_never_cuts(spark):
     df = spark.createDataFrame([([1, 2, 3],)], "ids array<long>")
     assert df.select(T.checked_width(F.col("ids"), 5)).first()[0] == [1, 2, 3, 0, 0]

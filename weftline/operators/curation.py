@@ -129,7 +129,7 @@ def near_pairs(df: DataFrame, ident: str, key: str, threshold: int = 3) -> DataF
     """(left_id, right_id, distance) of distinct keys within a Hamming distance.
 
     Keys are cut into threshold + 1 bands: two keys so close agree in one band at least. Rows
-    of equal keys are one row here (the smallest id stands for them). A band value shared by
+    of equal keys are one row here (the smallest id stands for them; key_members says for which). A band value shared by
     many keys is dealt on by a second band, where one of the others must nearly agree too.
     """
     one = df.groupBy(key).agg(F.min(ident).alias(ident))
@@ -148,6 +148,15 @@ def near_pairs(df: DataFrame, ident: str, key: str, threshold: int = 3) -> DataF
     return joined.select("left_id", "right_id", close.alias("distance"))
 
 
+def key_members(df: DataFrame, ident: str, key: str) -> DataFrame:
+    """Adds representative: the smallest id with the row's key, that near_pairs names for it.
+
+    A row without a key stands for itself.
+    """
+    first = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.min(ident).alias("representative"))
+    return df.join(first, key, "left").withColumn("representative", F.coalesce("representative", ident))
+
+
 def license_report(df: DataFrame, decision: str = "decision", source: str = "source") -> DataFrame:
     """Counts of every licence, source and reason, included and excluded apart."""
     d = F.col(decision)

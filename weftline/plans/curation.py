@@ -142,18 +142,32 @@ def padded_tokens(s, d):
     return p.select("conv_id", "turn", F.array_join(F.transform("ids", lambda x: x.cast("string")), " ").alias("ids"), (F.col("full") > 64).alias("truncated"))
 
 
-def near_dup_pairs_md5(s, d):
-    """Near pairs of a simhash over md5 halves of the distinct words: a variant that SQL can follow."""
+def _md5_keys(s, d):
+    """doc_id, key: simhash over md5 halves of the distinct words."""
     docs = read(s, d, "documents")
     h = lambda w: F.conv(F.substring(F.md5(w), 1, 13), 16, 10).cast("long")
     words = docs.select("doc_id", F.explode(F.split("text", " ")).alias("w")).withColumn("h", h(F.col("w")))
     bits = [F.sum(F.when(F.shiftright("h", i).bitwiseAND(1) == 1, 1).otherwise(-1)).alias(f"b{i}") for i in range(48)]
     weights = words.groupBy("doc_id").agg(*bits)
     key = sum((F.when(F.col(f"b{i}") >= 0, F.lit(1 << i)).otherwise(0) for i in range(48)), F.lit(0)).cast("long")
-    return C.near_pairs(weights.select("doc_id", key.alias("key")), "doc_id", "key", 3).select("left_id", "right_id", F.col("distance").cast("int").alias("distance"))
+    return weights.select("doc_id", key.alias("key"))
+
+
+def near_dup_pairs_md5(s, d):
+    """Near pairs of a simhash over md5 halves of the distinct words: a variant that SQL can follow.
+
+    One document stands for all of an equal key; near_dup_members_md5 names the others.
+    """
+    return C.near_pairs(_md5_keys(s, d), "doc_id", "key", 3).select("left_id", "right_id", F.col("distance").cast("int").alias("distance"))
+
+
+def near_dup_members_md5(s, d):
+    """Of every document the one that stands for it in near_dup_pairs_md5; one without text is its own."""
+    every = read(s, d, "documents").select("doc_id").distinct().join(_md5_keys(s, d), "doc_id", "left")
+    return C.key_members(every, "doc_id", "key").select("doc_id", "representative")
 
 
-QUERIES = {f.__name__: f for f in (license_gate_report, source_license_counts, split_assignment, split_counts, exact_dedup_keep_first, train_leakage_exact, split_dedup, split_dedup_report, split_dedup_near, filter_cascade, filter_cascade_report, drop_reason_by_source, row_accounting, secret_scan_findings, redact_text, path_redaction, problem_split, split_leakage_report, group_pair_counts, top_counts, bucket_distributions, token_counts, token_count_buckets, padded_tokens, near_dup_pairs_md5)}
+QUERIES = {f.__name__: f for f in (license_gate_report, source_license_counts, split_assignment, split_counts, exact_dedup_keep_first, train_leakage_exact, split_dedup, split_dedup_report, split_dedup_near, filter_cascade, filter_cascade_report, drop_reason_by_source, row_accounting, secret_scan_findings, redact_text, path_redaction, problem_split, split_leakage_report, group_pair_counts, top_counts, bucket_distributions, token_counts, token_count_buckets, padded_tokens, near_dup_pairs_md5, near_dup_members_md5)}
 
 CODE, NAME = r"[A-Za-z_][A-Za-z0-9_]*|[0-9]+|[^\s\x0b]", r"[A-Za-z_][A-Za-z0-9_]*|[0-9]+"
 SECRET = r"(?i)(gh[pousr]_[A-Za-z0-9_]{12,}|xox[baprs]-[A-Za-z0-9-]{12,}|AKIA[0-9A-Z]{12,}|\bsk-[A-Za-z0-9_-]{20,})"
@@ -185,4 +199,5 @@ ORACLES = {
     "token_count_buckets": rf"SELECT CASE WHEN n = 0 THEN 'empty' WHEN n <= 4 THEN 'xs:1-4' WHEN n <= 16 THEN 's:5-16' WHEN n <= 64 THEN 'm:17-64' WHEN n <= 256 THEN 'l:65-256' ELSE 'xl:257+' END AS bucket, count(*) AS rows FROM (SELECT len(regexp_extract_all(text, '{CODE}')) AS n FROM conversations) GROUP BY 1",
     "padded_tokens": rf"WITH t AS (SELECT conv_id, turn, list_transform(regexp_extract_all(text, '{NAME}'), lambda x: length(x)) AS ids FROM conversations) SELECT conv_id, turn, array_to_string(list_concat(ids[1:64], list_transform(range(0, greatest(0, 64 - len(ids))), lambda x: 0)), ' ') AS ids, len(ids) > 64 AS truncated FROM t",
     "near_dup_pairs_md5": "WITH w AS (SELECT doc_id, ('0x' || substr(md5(unnest(string_split(text, ' '))), 1, 13))::BIGINT AS h FROM documents), b AS (SELECT doc_id, i, sum(CASE WHEN (h >> i) & 1 = 1 THEN 1 ELSE -1 END) AS s FROM w, range(0, 48) r(i) GROUP BY ALL), k AS (SELECT doc_id, sum(CASE WHEN s >= 0 THEN 1::BIGINT << i ELSE 0 END)::BIGINT AS key FROM b GROUP BY doc_id), o AS (SELECT key, min(doc_id) AS doc_id FROM k GROUP BY key) SELECT l.doc_id AS left_id, r.doc_id AS right_id, bit_count(xor(l.key, r.key))::INT AS distance FROM o l JOIN o r ON l.doc_id < r.doc_id AND bit_count(xor(l.key, r.key)) <= 3",
+    "near_dup_members_md5": "WITH w AS (SELECT doc_id, ('0x' || substr(md5(unnest(string_split(text, ' '))), 1, 13))::BIGINT AS h FROM documents), b AS (SELECT doc_id, i, sum(CASE WHEN (h >> i) & 1 = 1 THEN 1 ELSE -1 END) AS s FROM w, range(0, 48) r(i) GROUP BY ALL), k AS (SELECT doc_id, sum(CASE WHEN s >= 0 THEN 1::BIGINT << i ELSE 0 END)::BIGINT AS key FROM b GROUP BY doc_id) SELECT d.doc_id, coalesce(min(k.doc_id) OVER (PARTITION BY k.key), d.doc_id) AS representative FROM (SELECT DISTINCT doc_id FROM documents) d LEFT JOIN k USING (doc_id)",
 }
