@@ -10,10 +10,11 @@ reads more postings but asks for m common prefix elements before a pair is verif
 3. Classes, rarest elements first: each picks m in ``CHOICES`` by the estimated cost of its
    postings and of the candidates that they give, and then its prefix.
 4. Links are found in two rounds. Round one verifies each posting's members against its
-   smallest member, which already joins most large groups of near copies. Round two verifies
-   the pairs that share enough prefix elements and are not yet in one component; pairs
-   within a component can't change it. So a group never turns into all its pairs, and no link
-   between different components is lost.
+   smallest member, which already joins most large groups of near copies. Round two counts,
+   for pairs that are not yet in one component, the prefix elements that they share, in packed
+   form, and verifies those that share enough for their sizes; pairs within a component can't
+   change it. So a group never turns into rows of all its pairs, and no link between different
+   components is lost.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 
 from . import bytescan as bs
 from .components import connected
-from .storage import shuffle_parts, stored
+from .storage import bucket_count, stored
 
 SHINGLE = 5
 #: Two sets link when 100 * intersection >= PERCENT * union.
@@ -39,6 +40,11 @@ CHOICES = (1, 2, 4, 8, 16)
 #: Postings read per element compared when a candidate is verified.
 VERIFY = 0.05
 FLUSH = 2_000_000
+#: Members of a posting that are compared with each other in one step; larger ones are cut in
+#: parts, and every two parts are compared.
+POSTING = 512
+#: Pairs expanded at once.
+PAIRS = 1_000_000
 
 
 def needed(n: np.ndarray) -> np.ndarray:
@@ -159,7 +165,7 @@ def _set_rows(k: int):
             for part in bs.slices(batch.column("text")):
                 row, hashes = shingle_sets(bs.find_words(part, lower=True), k)
                 size = np.bincount(row, minlength=part.rows)
-                columns = {"doc_id": batch.column("doc_id").slice(part.first, part.rows), "n_shingles": pa.array(size, pa.int64())}
+                columns = {c: batch.column(c).slice(part.first, part.rows) for c in ("doc_id", "k", "k2")} | {"n_shingles": pa.array(size, pa.int64())}
                 # what the smallest possible partner asks for, less room for equal short hashes
                 least = np.ceil(SCREEN * needed(size)) - 1 - size // 5000
                 stays = (size > 0) & (shared[part.first : part.first + part.rows] >= least)
@@ -178,11 +184,12 @@ def _set_rows(k: int):
 
 
 def _candidate_prefixes(classes: DataFrame) -> DataFrame:
-    """cls, n, r, m, element: the adaptive prefix of each class, rarest elements first.
+    """cls, n, r, rest, place, element: the adaptive prefix of each class, rarest elements first.
 
-    r is how many of the n elements any other class has; an overlap can't be larger.
+    r is how many of the n elements any other class has; an overlap can't be larger. place is
+    the element's place among those r, rest how many of them lie behind the prefix.
     """
-    posts = classes.select("cls", "n", F.explode("elements").alias("element")).repartition("element")
+    posts = classes.select("cls", "n", F.explode("elements").alias("element"))
     frequency = posts.groupBy("element").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     ranked = posts.join(frequency, "element").groupBy("cls", "n").agg(F.array_sort(F.collect_list(F.struct("df", "element"))).alias("ranked"))
     # elements of one class only come first in the order, and need no posting
@@ -195,7 +202,9 @@ def _candidate_prefixes(classes: DataFrame) -> DataFrame:
         prices.append(F.struct((total + total / m * F.col("n") * VERIFY).alias("price"), F.lit(m).alias("m")))
     allowed = F.filter(F.array(*prices), lambda x: (x["m"] == 1) | (x["m"] * 2 <= F.expr(f"div(n * {PERCENT} + 99, 100)")))
     chosen = ranked.withColumn("m", F.array_min(allowed)["m"]).withColumn("r", F.size("ranked"))
-    return chosen.select("cls", "n", "r", "m", F.explode(F.slice("ranked", F.lit(1), (F.col("spare") + F.col("m")).cast("int"))).alias("x")).select("cls", "n", "r", "m", F.col("x.element").alias("element"))
+    length = F.least(F.col("r"), (F.col("spare") + F.col("m")).cast("int"))
+    chosen = chosen.withColumn("rest", F.col("r") - length).withColumn("prefix", F.slice("ranked", F.lit(1), length))
+    return chosen.select("cls", "n", "r", "rest", F.posexplode("prefix").alias("place", "x")).select("cls", "n", "r", "rest", "place", F.col("x.element").alias("element"))
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -218,47 +227,165 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(link, "a long, b long")
 
 
+def _expanded(left: np.ndarray, right: np.ndarray, own: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(left member, right member) of all pairs of some postings, ``PAIRS`` at a time.
+
+    left, right: borders of the members of each posting's two parts; own: whether they are the
+    same part, of which each pair comes once.
+    """
+    many = np.diff(left) * np.diff(right)
+    at = 0
+    while at < len(many):
+        to = max(at + 1, int(np.searchsorted(np.cumsum(many[at:]), PAIRS, side="right")) + at)
+        a = np.arange(left[at], left[to])
+        posting = np.repeat(np.arange(at, to), np.diff(left[at : to + 1]))
+        width = np.diff(right)[posting]
+        place = np.arange(width.sum()) - np.repeat(np.cumsum(width) - width, width)
+        x, y = np.repeat(a, width), np.repeat(right[posting], width) + place
+        once = ~np.repeat(own[posting], width) | (x < y)
+        yield x[once], y[once]
+        at = to
+
+
+def _pair_counts(buckets: int):
+    """Mapper of round two: for pairs of open classes, how many of these postings they share.
+
+    Pairs within a component and those whose sizes or places leave too small an overlap are
+    left out. Counts are added up within the task and dealt by the pair's smaller class, packed.
+    """
+    import zstandard
+
+    names = ("a", "b", "least", "common")
+
+    def flush(held: list) -> pa.RecordBatch:
+        a, b, least = (np.concatenate([x[i] for x in held]) for i in range(3))
+        order = np.lexsort((b, a))
+        a, b, least = a[order], b[order], least[order]
+        first = np.flatnonzero(np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])))
+        common = np.diff(np.append(first, len(a)))
+        a, b, least = a[first], b[first], least[first]
+        bucket = (bs.mix(a.view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        number, edge = np.unique(bucket[order], return_index=True)
+        press = zstandard.ZstdCompressor(level=1).compress
+        spans = list(zip(edge.tolist(), [*edge[1:].tolist(), len(bucket)], strict=True))
+        cut = lambda v, kind: pa.array([press(v[order[i:j]].astype(kind).tobytes()) for i, j in spans], pa.binary())
+        columns = zip(names, (a, b, least, common), ("<i8", "<i8", "<i4", "<i4"), strict=True)
+        return pa.RecordBatch.from_pydict({"bucket": pa.array(number, pa.int32())} | {c: cut(v, kind) for c, v, kind in columns})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, count = [], 0
+        for batch in batches:
+            sides = []
+            for side in ("x", "y"):
+                column = batch.column(side)
+                members = column.values
+                fields = {c: np.asarray(members.field(c)) for c in ("cls", "n", "r", "rest", "place", "component")}
+                sides.append((np.asarray(column.offsets).astype(np.int64), fields))
+            (left, x), (right, y) = sides
+            for i, j in _expanded(left, right, np.asarray(batch.column("own").cast(pa.int8())).astype(bool)):
+                far = x["component"][i] != y["component"][j]
+                i, j = i[far], j[far]
+                least = -(-(x["n"][i] + y["n"][j]) * PERCENT // (100 + PERCENT))  # the overlap of a link
+                p, q = x["place"][i], y["place"][j]
+                most = np.minimum(p, q) + 1 + np.minimum(x["r"][i] - 1 - p, y["r"][j] - 1 - q)
+                able = most >= least
+                i, j, least = i[able], j[able], least[able]
+                if not len(i):
+                    continue
+                one, two = x["cls"][i], y["cls"][j]
+                # what lies behind the prefix that ends first can't be shared more than once
+                least = np.maximum(1, least - np.maximum(x["rest"][i], y["rest"][j]))
+                held.append((np.minimum(one, two), np.maximum(one, two), least))
+                count += len(i)
+                if count >= FLUSH:
+                    yield flush(held)
+                    held, count = [], 0
+        if count:
+            yield flush(held)
+
+    return run
+
+
+def _enough(table: pa.Table) -> pa.Table:
+    """Reducer of a bucket: the pairs that share enough elements of their prefixes."""
+    import zstandard
+
+    unpack = zstandard.ZstdDecompressor().decompress
+    join = lambda c, kind: np.frombuffer(b"".join(unpack(x) for x in table.column(c).to_pylist()), kind)
+    a, b, least, common = join("a", "<i8"), join("b", "<i8"), join("least", "<i4"), join("common", "<i4")
+    order = np.lexsort((b, a))
+    a, b, least, common = a[order], b[order], least[order], common[order]
+    first = np.flatnonzero(np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])))
+    keep = first[np.add.reduceat(common, first) >= least[first]]
+    return pa.table({"a": pa.array(a[keep], pa.int64()), "b": pa.array(b[keep], pa.int64())})
+
+
 def near_duplicates(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
-    """One row per row of docs: doc_id, n_shingles, class_id, component_id.
+    """One row per row of docs: doc_id, n_shingles, class_id, component_id, k, k2, first.
 
     ``docs`` needs doc_id (integer) and text; other columns are ignored. A-Z are lower-cased;
     a set holds the distinct k-word shingles, or the whole sequence if it has fewer words. A
     null or empty text, or one of white space, has the empty set: n_shingles 0, linked with
     nothing, component_id its own doc_id. Documents of the same set share class_id (the
     smallest doc_id of them); component_id is the smallest doc_id reachable by links. Rows
-    with a null doc_id get null ids and link nothing; repeated rows come out repeatedly. Sets
-    are compared by 64-bit hashes of their shingles.
+    with a null doc_id get null ids and link nothing; repeated rows come out repeatedly, and
+    rows of one doc_id with other texts are rows of their own. k and k2 are 128 bits of the
+    text's hash; ``first`` is true for one row of each component (of those with its
+    component_id) and for every row that links nothing. Sets are compared by 64-bit hashes of
+    their shingles and named by 128 bits; a text's shared elements are counted under k, where
+    texts of equal hash would only keep each other in the search.
     """
-    buckets = shuffle_parts(docs.sparkSession)
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("k", F.xxhash64("text"))
-    shared = base.where("doc_id is not null").select("k", "text").mapInArrow(_screen_rows(buckets, k), "bucket int, rests binary, rows binary, keys binary").groupBy("bucket").applyInArrow(lambda rows: _shared(rows, buckets), "part int, keys binary, counts binary").groupBy("part").applyInArrow(_total, "k long, shared long")
-    sets = stored(base.join(shared, "k", "left").select("doc_id", "text", "shared").mapInArrow(_set_rows(k), "doc_id long, n_shingles long, set_a long, set_b long, stays boolean, elements array<long>"), "sets")
+    buckets = bucket_count(docs)
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
+    base = base.withColumn("k", F.xxhash64("text")).withColumn("k2", F.xxhash64(F.lit(1), "text"))
+    screened = base.where("doc_id is not null").select("k", "text").mapInArrow(_screen_rows(buckets, k), "bucket int, rests binary, rows binary, keys binary")
+    shared = screened.groupBy("bucket").applyInArrow(lambda rows: _shared(rows, buckets), "part int, keys binary, counts binary")
+    shared = shared.groupBy("part").applyInArrow(_total, "k long, shared long")
+    found = base.join(shared, "k", "left").select("doc_id", "k", "k2", "text", "shared").mapInArrow(
+        _set_rows(k),
+        "doc_id long, k long, k2 long, n_shingles long, set_a long, set_b long, stays boolean, elements array<long>",
+    )
+    sets = stored(found.withColumn("row", F.monotonically_increasing_id()), "sets")
     full = sets.where("n_shingles > 0 and doc_id is not null")
-    named = full.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("cls"), F.max("stays").alias("stays"))
-    classes = stored(sets.where("stays and doc_id is not null").join(named.where("stays").select("cls"), F.col("doc_id") == F.col("cls"), "left_semi").groupBy(F.col("doc_id").alias("cls")).agg(F.first("n_shingles").alias("n"), F.first("elements").alias("elements")), "classes")
-    joined = _components(classes)
-    known = named.join(joined, "cls", "left").select("set_a", "set_b", F.col("cls").alias("class_id"), F.coalesce("component", "cls").alias("component_id"))
-    empty = (F.col("n_shingles") == 0) | F.col("doc_id").isNull()
-    alone = sets.where(empty).select("doc_id", "n_shingles", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("component_id"))
-    return full.select("doc_id", "n_shingles", "set_a", "set_b").join(known, ["set_a", "set_b"]).select("doc_id", "n_shingles", "class_id", "component_id").unionByName(alone)
-
-
-def _components(classes: DataFrame) -> DataFrame:
+    # a class is known by the row that stands for it
+    named = full.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("class_id"), F.min(F.when(F.col("stays"), F.col("row"))).alias("cls"), F.min(F.struct("doc_id", "row"))["row"].alias("head"))
+    named = stored(named, "classes")
+    standing = named.where("cls is not null").select("cls")
+    classes = stored(sets.where("stays").join(standing, F.col("row") == F.col("cls"), "left_semi").select(F.col("row").alias("cls"), F.col("n_shingles").alias("n"), "elements"), "class-sets")
+    joined = stored(_components(classes, buckets), "joined")
+    least = joined.join(named, "cls").groupBy("component").agg(F.min(F.struct("class_id", "head")).alias("p"))
+    linked = joined.join(least, "component").select("cls", F.col("p.class_id").alias("component_id"), F.col("p.head").alias("first_row"))
+    known = named.join(linked, "cls", "left").select("set_a", "set_b", "class_id", F.coalesce("component_id", "class_id").alias("component_id"), F.coalesce("first_row", "head").alias("first_row"))
+    columns = ("doc_id", "n_shingles", "class_id", "component_id", "k", "k2", "first")
+    alone = sets.where((F.col("n_shingles") == 0) | F.col("doc_id").isNull())
+    alone = alone.withColumn("class_id", F.col("doc_id")).withColumn("component_id", F.col("doc_id")).withColumn("first", F.lit(True))
+    several = full.drop("elements", "stays").join(known, ["set_a", "set_b"]).withColumn("first", F.col("row") == F.col("first_row"))
+    return several.select(*columns).unionByName(alone.select(*columns))
+
+
+def _components(classes: DataFrame, buckets: int) -> DataFrame:
     """cls, component of every class that is linked with another."""
     prefixes = stored(_candidate_prefixes(classes), "prefixes")
     enough = f"least(ra, rb) * {100 + PERCENT} >= {PERCENT} * (na + nb)"  # else the overlap is too small
     # round one: each posting's members against its smallest one
-    star = prefixes.groupBy("element").agg(F.min(F.struct("cls", "n", "r")).alias("p")).select("element", F.col("p.cls").alias("a"), F.col("p.n").alias("na"), F.col("p.r").alias("ra"))
+    star = prefixes.groupBy("element").agg(F.min(F.struct("cls", "n", "r")).alias("p"), F.count(F.lit(1)).alias("size"))
+    star = star.where("size > 1").select("element", F.col("p.cls").alias("a"), F.col("p.n").alias("na"), F.col("p.r").alias("ra"))
     pairs = prefixes.withColumnsRenamed({"n": "nb", "r": "rb"}).join(star, "element").where(f"a < cls and {enough}").select("a", F.col("cls").alias("b")).distinct()
     links = stored(_verified(pairs, classes), "links")
-    joined = stored(connected(links), "joined")
+    joined = stored(connected(links), "components")
     # round two: pairs with enough common prefix elements, across components
     own = prefixes.join(joined, "cls", "left").withColumn("component", F.coalesce("component", "cls"))
-    several = own.groupBy("element").agg((F.min("component") < F.max("component")).alias("several")).where("several").select("element")
-    open_posts = own.join(several, "element").select("element", "cls", "n", "r", "m", "component")
-    side = lambda x: open_posts.select("element", F.col("cls").alias(x), *(F.col(c).alias(c[0] + x) for c in ("n", "r", "m", "component")))
-    candidates = side("a").join(side("b"), "element").where(f"a < b and ca != cb and {enough}")
-    more = candidates.groupBy("a", "b").agg(F.count(F.lit(1)).alias("common"), F.first("ma").alias("ma"), F.first("mb").alias("mb")).where("common >= least(ma, mb)").select("a", "b")
+    opened = own.groupBy("element").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("size")).where("low < high")
+    parts = F.ceil(F.col("size") / POSTING).cast("int")
+    dealt = own.join(opened.select("element", parts.alias("parts")), "element").withColumn("part", F.pmod(F.xxhash64("cls"), F.col("parts")))
+    member = F.struct("cls", "n", "r", "rest", "place", "component")
+    posting = stored(dealt.groupBy("element", "parts", "part").agg(F.collect_list(member).alias("x")), "postings")
+    whole = posting.select("x", F.col("x").alias("y"), F.lit(True).alias("own"))
+    cut = posting.where("parts > 1").select("element", "part", "x")
+    across = cut.join(cut.withColumnsRenamed({"x": "y", "part": "other"}), "element").where("part < other").select("x", "y", F.lit(False).alias("own"))
+    counted = whole.unionByName(across).mapInArrow(_pair_counts(buckets), "bucket int, a binary, b binary, least binary, common binary")
+    more = counted.groupBy("bucket").applyInArrow(_enough, "a long, b long")
     rest = _verified(more, classes)
-    whole = links.unionByName(rest)
-    return connected(stored(whole, "all-links"))
+    return connected(stored(links.unionByName(rest), "all-links"))

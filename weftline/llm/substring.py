@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytescan as bs
-from .storage import shuffle_parts
+from .storage import bucket_count
 
 WINDOW = 35
 BLOCK = 18
@@ -257,7 +257,7 @@ def _gather(table: pa.Table) -> pa.Table:
 def repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """Addresses of repeated windows: k (hash of the text), starts (packed int32, may repeat)."""
     block = (window + 1) // 2
-    buckets = shuffle_parts(docs.sparkSession)
+    buckets = bucket_count(docs)
     keyed = _keyed(docs).select("k", "text")
     probes = keyed.mapInArrow(_probe_rows(buckets, block, window), "bucket int, probes binary, twice binary, rests binary, keys binary, blocks binary")
     anchors = probes.groupBy("bucket").applyInArrow(_met_again, "k long, block int")

@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .storage import new_path, shuffle_parts
+from .storage import bucket_count, new_path
 from .tokenfiles import chunk_encoder, default_path
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -36,8 +36,8 @@ LEVEL = 3
 def train_dictionary(docs: DataFrame, path: str) -> bytes:
     """A dictionary from a bounded sample; empty if there is too little to learn from."""
     chosen = docs.where("length(text) > 0").select(F.xxhash64("doc_id").alias("h"), "doc_id").orderBy("h", "doc_id").limit(SAMPLE).select("doc_id").distinct()
-    rows = docs.join(F.broadcast(chosen), "doc_id").select("doc_id", F.substring("text", 1, SAMPLE_CHARS).alias("text")).collect()
-    sample = sorted(rows, key=lambda r: (r.doc_id, r.text))[:SAMPLE]
+    rows = docs.join(F.broadcast(chosen), "doc_id").select("doc_id", F.substring("text", 1, SAMPLE_CHARS).alias("text"))
+    sample = rows.orderBy("doc_id", "text").limit(SAMPLE).collect()  # ids may repeat
     encode = chunk_encoder(path, spaced=True)
     ids = [narrow(encode(r.text)) for r in sample]
     try:
@@ -88,7 +88,7 @@ def write(docs: DataFrame, folder: str, path: str | None = None, end: int = END)
                 block, before = block + 1, before + sum(counts)
 
     schema = "part int, block int, before long, n_ids long, first_id long, last_id long, dictionary string, doc_ids array<long>, counts array<int>, offsets array<long>, payload binary"
-    ordered = slim.repartitionByRange(shuffle_parts(spark), "doc_id").sortWithinPartitions("doc_id", "text")
+    ordered = slim.repartitionByRange(bucket_count(docs), "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"), "text")
     ordered.mapInArrow(encode_part, schema).write.option("compression", "none").parquet(f"{folder}/blocks")
 
 
