@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import stored
+from .storage import forget, stored
 
 
 def _print(edges: DataFrame):
@@ -27,6 +27,7 @@ def connected(edges: DataFrame) -> DataFrame:
         lower = large.groupBy("b").agg(F.min("a").alias("m"))
         small = large.join(lower, "b").select(F.col("m").alias("x"), F.col("a").alias("y")).where("x < y").unionByName(lower.select(F.col("m").alias("x"), F.col("b").alias("y")))
         after = stored(small.select(F.col("x").alias("a"), F.col("y").alias("b")).distinct(), "edges")
+        forget(edges)
         edges, last, before = after, before, _print(after)
         if last == before:
             break

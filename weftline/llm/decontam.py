@@ -156,3 +156,25 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, block_words: int = BLOCK
 
     passes = [slim.mapInArrow(finder(build_index(items)), schema) for items in _blocks(benchmark, block_words)]
     return reduce(DataFrame.unionByName, passes) if passes else slim.sparkSession.createDataFrame([], schema)
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """The rows of docs that overlap with no item, with all their columns as they are.
+
+    Overlaps are those of :func:`contaminated`; rows are searched and dropped in one map for
+    each block of items, so null and repeated ids decide nothing.
+    """
+
+    def keeper(index: Index):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                keep = np.ones(batch.num_rows, bool)
+                for part in bs.slices(bs.lowered(batch.column("text"))):
+                    keep[[part.first + x[0] for x in search(part, index)]] = False
+                yield batch.filter(pa.array(keep))
+
+        return run
+
+    for items in _blocks(benchmark, block_words):
+        docs = docs.mapInArrow(keeper(build_index(items)), docs.schema)
+    return docs

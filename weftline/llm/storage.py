@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -12,12 +13,20 @@ _own: dict[str, str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a temporary one only where it is unset (tests)."""
+    """The folder in spark.checkpoint.dir.
+
+    Where it is unset, a session on one machine gets a temporary folder; on a cluster that
+    would be a folder that other machines don't see, so it is an error there.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        app = spark.sparkContext.applicationId
-        folder = _own.setdefault(app, "file://" + tempfile.mkdtemp(prefix="weftline-") if app not in _own else "")
-    return folder.rstrip("/")
+    if folder:
+        return folder.rstrip("/")
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    app = spark.sparkContext.applicationId
+    if app not in _own:
+        _own[app] = "file://" + tempfile.mkdtemp(prefix="weftline-")
+    return _own[app]
 
 
 def new_path(spark: SparkSession, name: str) -> str:
@@ -27,8 +36,9 @@ def new_path(spark: SparkSession, name: str) -> str:
 def stored(df: DataFrame, name: str) -> DataFrame:
     """The rows of df, written to the shared folder and read from there.
 
-    A lost executor then costs a re-read and no recomputation. Written tables stay until the
-    shared folder is cleared, or :func:`forget` removes them.
+    A lost executor then costs a re-read and no recomputation. The table stays until the
+    shared folder is cleared: what is lazily read from it may run at any later time. Tables
+    that a loop replaces go with :func:`forget`.
     """
     spark = df.sparkSession
     path = new_path(spark, name)
@@ -36,6 +46,15 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def forget(df: DataFrame) -> None:
+    """Remove the files of a table that :func:`stored` wrote and that nothing reads any more."""
+    spark = df.sparkSession
+    folders = {name.rpartition("/")[0] for name in df.inputFiles()}
+    for folder in folders:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -280,6 +281,19 @@ def _cover(starts: bytes | None, n: int, window: int) -> tuple[np.ndarray, np.nd
     return covered, np.stack([at[np.append(0, cut + 1)], at[np.append(cut, len(at) - 1)] + window], axis=1)
 
 
+def _cut_rows(window: int):
+    """(words, kept words, spans) of each row of a batch with text and starts."""
+
+    def rows(batch: pa.RecordBatch) -> Iterator[tuple[list[bytes], list[bytes], np.ndarray]]:
+        data, offsets = bs.column_bytes(batch.column("text"))
+        for r, hits in enumerate(batch.column("starts")):
+            words = data[offsets[r] : offsets[r + 1]].tobytes().split()
+            covered, span = _cover(hits.as_py(), len(words), window)
+            yield words, [words[i] for i in np.flatnonzero(~covered).tolist()] if len(span) else words, span
+
+    return rows
+
+
 def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """One row per row of docs: doc_id, n_words, n_removed, kept_text, kept_sha256, spans.
 
@@ -288,30 +302,49 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     else (the same row included) goes; spans are the maximal repeats as [begin, end) words.
     A null or empty text has no words and keeps the empty text; rows are never merged, so
     repeated rows and null ids come out as often as they went in; an empty table gives none.
-    Windows are compared by 80 bits of hash and rows by 64.
+    Windows are compared by 80 bits of hash and texts are known by 64.
     """
+    rows = _cut_rows(window)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = bs.column_bytes(batch.column("text"))
-            counts, removed, kept, shas, spans = [], [], [], [], []
-            hits = batch.column("starts").to_pylist()
-            for r in range(batch.num_rows):
-                words = data[offsets[r] : offsets[r + 1]].tobytes().split()
-                covered, span = _cover(hits[r], len(words), window)
-                if hits[r]:
-                    left = [words[i] for i in np.flatnonzero(~covered).tolist()]
-                else:
-                    left = words
-                text = b" ".join(left)
-                counts.append(len(words))
-                removed.append(len(words) - len(left))
-                kept.append(text)
-                shas.append(hashlib.sha256(text).hexdigest())
-                spans.append(span.tolist())
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "n_words": pa.array(counts, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "kept_text": pa.array(kept, pa.binary()).cast(pa.string()), "kept_sha256": pa.array(shas, pa.string()), "spans": pa.array(spans, pa.list_(pa.list_(pa.int32())))})
-
-    found = repeats(docs, window)
+            found = [(len(words), len(words) - len(left), b" ".join(left), span.tolist()) for words, left, span in rows(batch)]
+            yield pa.RecordBatch.from_pydict({
+                "doc_id": batch.column("doc_id"),
+                "n_words": pa.array([x[0] for x in found], pa.int64()),
+                "n_removed": pa.array([x[1] for x in found], pa.int64()),
+                "kept_text": pa.array([x[2] for x in found], pa.binary()).cast(pa.string()),
+                "kept_sha256": pa.array([hashlib.sha256(x[2]).hexdigest() for x in found], pa.string()),
+                "spans": pa.array([x[3] for x in found], pa.list_(pa.list_(pa.int32()))),
+            })
+
     keyed = _keyed(docs)
     kind = dict(keyed.dtypes)["doc_id"]
-    return keyed.join(found, "k", "left").select("doc_id", "text", "starts").mapInArrow(cut, f"doc_id {kind}, n_words long, n_removed long, kept_text string, kept_sha256 string, spans array<array<int>>")
+    joined = keyed.join(repeats(docs, window), "k", "left").select("doc_id", "text", "starts")
+    schema = f"doc_id {kind}, n_words long, n_removed long, kept_text string, kept_sha256 string, spans array<array<int>>"
+    return joined.mapInArrow(cut, schema)
+
+
+def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+    """The rows of docs with repeated windows cut out of their texts.
+
+    All columns stay as they are but text: where words were removed it becomes the kept words
+    with one space between; other texts, null ones among them, aren't touched. Every row comes
+    out once, so null and repeated ids decide nothing.
+    """
+    rows = _cut_rows(window)
+    names = docs.columns
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row = batch.column("row")
+            own = pa.RecordBatch.from_arrays(row.flatten(), names)
+            place = names.index("text")
+            kept = [b" ".join(left) if len(span) else None for _, left, span in rows(batch)]
+            text = pa.array(kept, pa.binary()).cast(pa.string())
+            yield own.set_column(place, "text", pc.if_else(pc.is_valid(text), text, own.column(place)))
+
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("row"), text.alias("text"), F.xxhash64(text).alias("k"))
+    joined = whole.join(repeats(docs, window), "k", "left").select("row", "text", "starts")
+    return joined.mapInArrow(cut, docs.schema)
