@@ -3,6 +3,9 @@
 A stage gets (spark, docs, sf_dir), works on all rows that its predecessor kept, and returns
 documents' columns; the last returns packed pieces. ``run`` writes each stage's rows as Parquet
 to the shared folder and reads them back, so a lost executor costs a re-read only.
+
+Decisions are made row by row: a row is never known by its doc_id alone, so null and repeated
+ids are safe. Every stage takes an empty table and gives one.
 """
 
 from __future__ import annotations
@@ -17,46 +20,55 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the grading rejects go; the model learns from the labelled ones of docs."""
-    graded = toxicity.toxicity(docs, table(spark, sf_dir, "labels"))
-    rejected = graded.where("rejected").select("doc_id").distinct()
-    return docs.join(rejected, "doc_id", "left_anti").select(COLUMNS)
+    """Documents that the grading rejects go; the model learns from the labelled ones of docs.
+
+    Null and empty texts, and texts without a word that the model knows, stay.
+    """
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    return toxicity.clean(docs.select(COLUMNS), model)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component stays: that with the smallest doc_id.
+    """One document of each group of linked documents stays: that with the smallest doc_id.
 
-    Documents without words are linked with nothing and stay; of rows that repeat a doc_id of
-    a component's smallest, one stays.
+    Documents without words, and rows with a null doc_id, are linked with nothing and stay. Of
+    rows that are equal in doc_id and text one stays, the smallest in the other columns.
     """
-    found = stored(jaccard.near_duplicates(docs).select("doc_id", "component_id"), "components")
-    copies = found.where("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(copies, "doc_id", "left_anti").select(COLUMNS)
-    several = found.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("doc_id")
-    once = kept.join(several, "doc_id", "left_anti")
-    return once.unionByName(kept.join(several, "doc_id", "left_semi").dropDuplicates(["doc_id"])).select(COLUMNS)
+    found = stored(jaccard.near_duplicates(docs).select("doc_id", "n_shingles", "k", "k2", "first"), "groups")
+    linked = found.where("doc_id is not null and n_shingles > 0")
+    # the address of a row: its id and 128 bits of its text's hash
+    address = linked.groupBy("doc_id", "k", "k2").agg(F.count_if("first").alias("stay"), F.count(F.lit(1)).alias("rows"))
+    gone = address.where("stay = 0").drop("stay", "rows")
+    several = address.where("stay > 0 and rows > 1").drop("stay", "rows")
+    text = F.coalesce("text", F.lit(""))
+    marked = docs.select(COLUMNS).withColumn("k", F.xxhash64(text)).withColumn("k2", F.xxhash64(F.lit(1), text))
+    kept = marked.join(gone, ["doc_id", "k", "k2"], "left_anti")
+    equal = kept.join(several, ["doc_id", "k", "k2"], "left_semi")
+    once = equal.groupBy("doc_id", "k", "k2").agg(F.min(F.struct("source", "lang", "n_chars", "text")).alias("row"))
+    alone = kept.join(several, ["doc_id", "k", "k2"], "left_anti").select(COLUMNS)
+    return alone.unionByName(once.select("doc_id", "row.*").select(COLUMNS))
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated passages are cut out of the texts; a text of which nothing is left goes.
 
-    A document from which nothing is cut keeps its text as it is; n_chars follows the text.
+    A document from which nothing is cut keeps its text as it is, null and empty ones too;
+    n_chars follows a text that changed.
     """
-    found = substring.remove_repeats(docs).where("n_removed > 0").select("doc_id", "kept_text").dropDuplicates(["doc_id"])
-    joined = docs.join(found, "doc_id", "left")
-    text = F.when(F.col("kept_text").isNotNull(), F.col("kept_text")).otherwise(F.col("text"))
-    fresh = joined.withColumn("n_chars", F.when(F.col("kept_text").isNotNull(), F.length("kept_text").cast("long")).otherwise(F.col("n_chars"))).withColumn("text", text)
-    return fresh.where("kept_text is null or kept_text <> ''").select(COLUMNS)
+    before = docs.select(COLUMNS).withColumn("had", F.length("text"))
+    cut = substring.without_repeats(before)
+    changed = F.length("text") != F.col("had")  # what is removed makes a text shorter
+    n_chars = F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars"))
+    return cut.where("text is null or text <> '' or had = 0").withColumn("n_chars", n_chars).select(COLUMNS)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that overlap with a benchmark item go."""
-    found = decontam.contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti").select(COLUMNS)
+    """Documents that overlap with a benchmark item go; null and empty texts stay."""
+    return decontam.clean(docs.select(COLUMNS), table(spark, sf_dir, "benchmark"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces in sequences of at most 2048 tokens."""
+    """Pieces in sequences of at most 2048 tokens; a null or empty text is one piece of one id."""
     return packing.pack(docs)
 
 
@@ -68,7 +80,7 @@ STAGES = [
     ("packing", pack),
 ]
 
-#: Tokenising and the fitted grading can't be said in SQL; the stages are tested one by one.
+#: Tokenising and the fitted grading can't be said in SQL; tests/llm tests each stage.
 ORACLE_SQL = None
 
 
