@@ -167,12 +167,50 @@ def test_bit_probabilities_sum_to_one():
 
 
 def test_mixer_learns_from_every_training_document(spark, monkeypatch):
-    learned = []
-    move = mixlm._Learner.move
+    learned, codes = [], []
+    move, byte_code = mixlm._Learner.move, mixlm.byte_code
     monkeypatch.setattr(mixlm._Learner, "move", lambda self, pull, curve, hits: (learned.append(hits.sum()), move(self, pull, curve, hits)))
+    monkeypatch.setattr(mixlm, "byte_code", lambda counts: codes.append(byte_code(counts)) or codes[-1])
     rows = [(i, f"text {i}" + " of words" * (i % 3)) for i in range(1_200)]
     got = mixlm.scores(spark.createDataFrame(rows, "doc_id long, text string")).where("not held_out").collect()
-    assert len(got) > 1_000 and sum(learned) == 8 * sum(r.n_bytes for r in got)
+    kept = {r.doc_id for r in got}
+    raw = b"".join(b"".join(w + b" " for w in t.encode().split()) + mixlm.END for i, t in rows if i in kept)
+    assert len(got) > 1_000 and len(raw) == sum(r.n_bytes for r in got)
+    assert sum(learned) == codes[0].lengths[np.frombuffer(raw, np.uint8)].sum()  # every bit of every text
+
+
+def test_mixer_costs_equal_a_bit_by_bit_coder():
+    texts = [b"the cat sat \n", b"the dog sat on the cat \n", b"\n", "ñandú the thé \n".encode()]
+    data, borders = np.frombuffer(b"".join(texts), np.uint8), np.append(0, np.cumsum([len(x) for x in texts]))
+    size = int(mixlm._OFFSETS[-1])
+    counts = np.random.default_rng(1).integers(0, 9, 2 * size).astype(np.uint32)
+    mixer = mixlm._learn(counts, [[(x, 2) for x in texts], [(texts[1], 3)]])
+    hashes, _ = mixlm.contexts(data, borders)
+    code, want = mixer.code, []
+    for a, z in zip(borders[:-1], borders[1:], strict=True):
+        spent, begun = 0.0, a
+        for at in range(a, z):
+            if at > a and data[at - 1] == 32:
+                begun = at
+            first = int(code.starts[data[at]])
+            for depth in range(int(code.lengths[data[at]])):
+                node, bit = int(code.nodes[first + depth]), int(code.bits[first + depth])
+                slots = [int(hashes[0][at]) << 8 | node]
+                for h, bits in zip(hashes[1:], mixlm.TABLES[1:], strict=True):
+                    slots.append((((int(h[at]) ^ (node * 0x9E3779B97F4A7C15 % 2**64)) * 0xD6E8FEB86659FD93) % 2**64) >> (64 - bits))
+                gate = (min(at - begun, 7) * 8 + min(depth, 7)) * 8 + int(mixer.sure[slots[-1]])
+                mixed = float(mixer.weights[gate][-1]) + sum(float(mixer.weights[gate][k]) * int(mixer.tables[k][s]) for k, s in enumerate(slots))
+                p = 1 / (1 + math.exp(-max(-16.0, min(16.0, mixed))))
+                level = round(max(-8.0, min(8.0, mixed)) * 2) + mixlm.LEVELS // 2
+                p = min(max((1 - mixlm.REFINED) * p + mixlm.REFINED * float(mixer.refined[gate, level]), 1e-6), 1 - 1e-6)
+                spent -= math.log2(p if bit else 1 - p)
+        want.append(spent)
+    assert mixer.cost(data, borders) == pytest.approx(want, rel=1e-4)
+
+
+def test_byte_code_is_complete_and_follows_counts():
+    code = mixlm.byte_code(np.array([1000 if i == 32 else 10 if i < 128 else 0 for i in range(256)]))
+    assert sum(2.0 ** -int(x) for x in code.lengths) == 1 and code.lengths[32] == 1 < code.lengths[65] < code.lengths[200]
 
 
 def test_mixer_codes_the_running_text(spark):

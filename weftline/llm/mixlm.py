@@ -1,22 +1,25 @@
 """Language-model scores by logistic mixing of hashed-context bit predictors.
 
-The running text is coded byte by byte, each byte bit by bit: its lower-cased words, each with a
-space after it, and one end mark. Predictors of several contexts (place in the word, last 1 to 4
-bytes whatever words they belong to, all of the word so far, that and the previous word) look up
-how often the next bit was 0 or 1 in the training texts, in hashed tables of a fixed size. Their
-stretched probabilities are added with weights that a gate chooses (place in the word, place in
-the byte, how often the word so far was seen), squashed, and refined by an adaptive map of
-(gate, probability) to what really followed. The total code length is the score.
-
-Word counts, the predictors' counts, the weights and the adaptive map cover all training
-documents. The weights are learned in ``STEPS``: each step sums gradient, curvature and hits over
-its share of the documents, task by task, with each bit's own occurrence taken out of the counts;
-every document has its turn once. All that executors receive has a fixed size: the tables, and
-the ``DICTIONARY`` commonest words for the unigram base, whose other words are counted by a join.
+The running text is coded byte by byte: its lower-cased words, each with a space after it, and
+one end mark. A byte is coded bit by bit along a prefix code in which common bytes are short
+(some four bits for each byte of prose), so fewer bits need predicting. Predictors of several
+contexts (last 1 to 4 bytes whatever words they belong to, all of the word so far, that and the
+previous word) look up how often the next bit was 0 or 1 in the training texts, in hashed tables
+of a fixed size. Their stretched probabilities are added with weights that a gate chooses (place
+in the word, place in the code, how often the word so far was seen), squashed, and refined by an
+adaptive map of (gate, probability) to what really followed. The total code length is the score.
+
+Word counts, the byte code, the predictors' counts, the weights and the adaptive map cover all
+training documents. The weights are learned in ``STEPS``: each step sums gradient, curvature and
+hits over its share of the documents, task by task, with each bit's own occurrence taken out of
+the counts; every document has its turn once. All that executors receive has a fixed size: the
+tables, and the ``DICTIONARY`` commonest words for the unigram base, whose other words are
+counted by a join.
 """
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -30,16 +33,16 @@ from pyspark.sql import functions as F
 from . import bytescan as bs
 from .storage import stored
 
-#: log2 of the slots of each context's table: place, last 1, 2, 3, 4 bytes, previous word and word
-#: so far, word so far.
-TABLES = (12, 16, 20, 21, 22, 22, 22)
+#: log2 of the slots of each context's table: last 1, 2, 3, 4 bytes, previous word and word so
+#: far, word so far. The first is exact, the others are hashed.
+TABLES = (16, 20, 21, 22, 22, 22)
 #: Commonest words held in memory for the base; the others are joined.
 DICTIONARY = 1 << 20
 #: Shares of the training documents (parts of 16, by hash of the text) of the learning steps, and
 #: what older steps' curvature still counts.
 STEPS, MEMORY = ((0, 1), (1, 2), (2, 4), (4, 8), (8, 16)), 0.5
 #: Bytes of text whose contexts are held at once, and bytes coded in one go.
-TEXT_BYTES, BLOCK = 256 << 10, 1 << 15
+TEXT_BYTES, BLOCK = 256 << 10, 1 << 14
 FLUSH = 4_000_000
 CHUNK = 1 << 16
 END = b"\n"
@@ -75,8 +78,41 @@ def running_text(words: bs.Words) -> tuple[np.ndarray, np.ndarray]:
     return np.insert(data, rows[1:], END[0]), rows + np.arange(len(rows))
 
 
+@dataclass
+class Code:
+    """A complete prefix code of bytes: the nodes and bits of each byte, end to end."""
+
+    starts: np.ndarray
+    lengths: np.ndarray
+    nodes: np.ndarray
+    bits: np.ndarray
+
+
+def byte_code(counts: np.ndarray) -> Code:
+    """The Huffman code for counts of the 256 bytes, each counted once more; ties by byte."""
+    heap = [(int(n) + 1, i, i) for i, n in enumerate(counts)]
+    heapq.heapify(heap)
+    children = {}
+    while len(heap) > 1:
+        (m, _, a), (n, _, b) = heapq.heappop(heap), heapq.heappop(heap)
+        node = 256 + len(children)
+        children[node] = (a, b)
+        heapq.heappush(heap, (m + n, node, node))
+    paths: list[list[tuple[int, int]]] = [[] for _ in range(256)]
+    open_nodes: list[tuple[int, list[tuple[int, int]]]] = [(heap[0][2], [])]
+    while open_nodes:
+        node, path = open_nodes.pop()
+        if node < 256:
+            paths[node] = path
+        else:
+            open_nodes += [(child, [*path, (node - 256, bit)]) for bit, child in enumerate(children[node])]
+    lengths = np.array([len(x) for x in paths])
+    flat = np.array([step for path in paths for step in path], np.int64)
+    return Code(np.cumsum(lengths) - lengths, lengths, flat[:, 0], flat[:, 1])
+
+
 def contexts(data: np.ndarray, borders: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
-    """(mixed context hash of each table for each byte, place in the word); borders are texts'."""
+    """(context hash of each table for each byte, place in the word); borders are texts'."""
     at = np.arange(len(data))
     text = np.repeat(borders[:-1], np.diff(borders))
     first = at == text
@@ -93,21 +129,49 @@ def contexts(data: np.ndarray, borders: np.ndarray) -> tuple[list[np.ndarray], n
     values = data.astype(_U) + _U(1)
     whole = bs.spans_hash(values, starts, at)
     pair = bs.mix(bs.spans_hash(values, earlier, starts), 9) ^ whole
-    return [bs.mix(x, 10 + i) for i, x in enumerate((np.minimum(place, 15).astype(_U), *last, pair, whole))], place
+    # no byte of a text is 0, so the first table's contexts are the last byte, or 0 at a start
+    return [np.maximum(last[0], _U(1)) - _U(1), *(bs.mix(x, 10 + i) for i, x in enumerate((*last[1:], pair, whole)))], place
 
 
-def slots(hashes: list[np.ndarray], data: np.ndarray, bit: int) -> list[np.ndarray]:
-    """Slot of each table for one bit of every byte."""
-    node = ((1 << bit) | (data.astype(np.int64) >> (8 - bit))).astype(_U) * _ODD
+@dataclass
+class Bits:
+    """The bits of a block: each one's byte, depth in the code, value, and slot in each table."""
+
+    byte: np.ndarray
+    depth: np.ndarray
+    one: np.ndarray
+    slots: list[np.ndarray]
+
+
+def _bits(code: Code, hashes: list[np.ndarray], data: np.ndarray) -> Bits:
+    length = code.lengths[data]
+    ends = np.cumsum(length)
+    byte = np.repeat(np.arange(len(data)), length)
+    depth = np.arange(len(byte)) - np.repeat(ends - length, length)
+    at = np.repeat(code.starts[data], length) + depth
+    node = code.nodes[at]
+    found = [(hashes[0].astype(np.int64)[byte] << 8) | node]
+    key = node.astype(_U) * _ODD
     with np.errstate(over="ignore"):
-        return [(((h ^ node) * _U(0xD6E8FEB86659FD93)) >> _U(64 - size)).astype(np.int64) for h, size in zip(hashes, TABLES, strict=True)]
+        for h, size in zip(hashes[1:], TABLES[1:], strict=True):
+            slot = h[byte]
+            slot ^= key
+            slot *= _U(0xD6E8FEB86659FD93)
+            slot >>= _U(64 - size)
+            found.append(slot.view(np.int64))
+    return Bits(byte, depth, code.bits[at], found)
 
 
-def _blocks(data: np.ndarray, borders: np.ndarray) -> Iterator[tuple[int, list[np.ndarray], np.ndarray, np.ndarray]]:
-    """(first byte, context hashes, place in the word, bytes) of blocks of some texts."""
+def _blocks(code: Code, data: np.ndarray, borders: np.ndarray, block: int = BLOCK) -> Iterator[tuple[int, np.ndarray, Bits]]:
+    """(first byte, place in the word of each bit, bits) of blocks of some texts."""
     hashes, place = contexts(data, borders)
-    for at in range(0, len(data), BLOCK):
-        yield at, [h[at : at + BLOCK] for h in hashes], place[at : at + BLOCK], data[at : at + BLOCK]
+    for at in range(0, len(data), block):
+        bits = _bits(code, [h[at : at + block] for h in hashes], data[at : at + block])
+        yield at, place[at : at + block][bits.byte], bits
+
+
+def _gate(place: np.ndarray, bits: Bits, sure: np.ndarray) -> np.ndarray:
+    return (np.minimum(place, 7) * 8 + np.minimum(bits.depth, 7)) * 8 + sure
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -118,8 +182,9 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.n
 
 @dataclass
 class Mixer:
-    """Stretched predictions (8 fraction bits), weights by gate, adaptive map by gate."""
+    """The byte code, stretched predictions (8 fraction bits), weights and adaptive map by gate."""
 
+    code: Code
     tables: list[np.ndarray]
     sure: np.ndarray
     weights: np.ndarray
@@ -127,18 +192,18 @@ class Mixer:
 
     def cost(self, data: np.ndarray, borders: np.ndarray) -> np.ndarray:
         """Bits of each text."""
-        total = np.zeros(len(data), np.float32)
-        for at, hashes, place, own in _blocks(data, borders):
-            for bit in range(8):
-                found = slots(hashes, own, bit)
-                gate = (np.minimum(place, 7) * 8 + bit) * 8 + self.sure[found[-1]]
-                weights = self.weights[gate]
-                mixed = weights[:, -1].copy()
-                for k, slot in enumerate(found):
-                    mixed += weights[:, k] * self.tables[k][slot]
-                p = final(mixed, gate, self.refined)
-                total[at : at + len(own)] -= np.log2(np.where((own >> (7 - bit)) & 1, p, 1 - p))
-        return np.add.reduceat(total.astype(np.float64), borders[:-1]) if len(borders) > 1 else np.zeros(0)
+        total = np.zeros(len(data), np.float64)
+        columns = np.ascontiguousarray(self.weights.T)
+        for at, place, bits in _blocks(self.code, data, borders):
+            gate = _gate(place, bits, self.sure[bits.slots[-1]])
+            mixed = columns[-1][gate]
+            for k, slot in enumerate(bits.slots):
+                mixed += columns[k][gate] * self.tables[k][slot]
+            p = final(mixed, gate, self.refined)
+            spent = -np.log2(np.where(bits.one, p, 1 - p))
+            own = total[at : at + int(bits.byte[-1]) + 1]
+            own += np.bincount(bits.byte, spent, minlength=len(own))
+        return np.add.reduceat(total, borders[:-1]) if len(borders) > 1 else np.zeros(0)
 
 
 def _level(mixed: np.ndarray) -> np.ndarray:
@@ -182,20 +247,27 @@ def end_hash() -> np.uint64:
     return bs.mix(np.array([0], _U), 99)[0]
 
 
-def _slot_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Bit counts of the texts of a task: a row for each chunk of slots, packed."""
-    total = np.zeros(2 * -(-int(_OFFSETS[-1]) // CHUNK) * CHUNK, np.uint32)
-    for data, borders in _texts(batches):
-        for _, hashes, _, own in _blocks(data, borders):
-            for bit in range(8):
-                one = ((own >> (7 - bit)) & 1).astype(np.int64)
-                for k, slot in enumerate(slots(hashes, own, bit)):
-                    np.add.at(total, ((slot + _OFFSETS[k]) << 1) | one, np.uint32(1))
-    pack = zstandard.ZstdCompressor(level=1).compress
-    for number, own in enumerate(total.reshape(-1, 2 * CHUNK)):
-        met = np.flatnonzero(own)
-        if len(met):
-            yield pa.RecordBatch.from_pydict({"chunk": pa.array([number], pa.int32()), "places": pa.array([bs.pack_sorted(met.astype(np.uint32))], pa.binary()), "counts": pa.array([pack(own[met].astype("<u4").tobytes())], pa.binary())})
+def _slot_rows(code: Code):
+    """Mapper: bit counts of the texts of a task, a row for each chunk of slots, packed."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(2 * -(-int(_OFFSETS[-1]) // CHUNK) * CHUNK, np.uint32)
+        once = np.uint32(1)
+        for data, borders in _texts(batches):
+            for _, _, bits in _blocks(code, data, borders):
+                for k, slot in enumerate(bits.slots):
+                    np.add.at(total, ((slot + _OFFSETS[k]) << 1) | bits.one, once)
+        pack = zstandard.ZstdCompressor(level=1).compress
+        for number, own in enumerate(total.reshape(-1, 2 * CHUNK)):
+            met = np.flatnonzero(own)
+            if len(met):
+                yield pa.RecordBatch.from_pydict({
+                    "chunk": pa.array([number], pa.int32()),
+                    "places": pa.array([bs.pack_sorted(met.astype(np.uint32))], pa.binary()),
+                    "counts": pa.array([pack(own[met].astype("<u4").tobytes())], pa.binary()),
+                })
+
+    return run
 
 
 def _narrow(pairs: np.ndarray) -> np.ndarray:
@@ -213,32 +285,38 @@ def _chunk_sum(table: pa.Table) -> pa.Table:
     return pa.table({"chunk": table.column("chunk").slice(0, 1), "counts": pa.array([packed], pa.binary())})
 
 
-def _sums(pairs: np.ndarray, weights: np.ndarray, texts: Iterable[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _sums(code: Code, pairs: np.ndarray, weights: np.ndarray, texts: Iterable[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(gradient, curvature, hits) of some texts, by gate."""
     pull, curve = np.zeros((GATES, WIDTH)), np.zeros((GATES, WIDTH, WIDTH))
     hits = np.zeros(GATES * LEVELS * 2)
     both, low, high = np.ascontiguousarray(pairs).view("<u4").ravel(), np.uint32(0xFFFF), np.uint32(16)
     for data, borders in texts:
-        for _, hashes, place, own in _blocks(data, borders):
-            for bit in range(8):
-                one = (own >> (7 - bit)) & 1
-                x = np.ones((len(own), WIDTH), np.float32)
-                for k, slot in enumerate(slots(hashes, own, bit)):
-                    pair = both[slot + _OFFSETS[k]]
-                    zeros, ones = pair & low, pair >> high
-                    zeros -= (one == 0) & (zeros > 0)
-                    ones -= (one == 1) & (ones > 0)
-                    x[:, k] = _LOG[ones] - _LOG[zeros]
-                gate = (np.minimum(place, 7) * 8 + bit) * 8 + _SURE[np.minimum(zeros + ones, SURE[-1])]
-                mixed = np.clip(np.einsum("ij,ij->i", weights[gate], x), -16, 16)
-                p = 1 / (1 + np.exp(-mixed))
-                hits += np.bincount((gate * LEVELS + _level(mixed)) * 2 + one, minlength=len(hits))
-                order = np.argsort(gate.astype(np.uint16), kind="stable")
-                x, error, steep = x[order], (one - p)[order], (p * (1 - p))[order]
-                met, first = np.unique(gate[order], return_index=True)
-                for g, a, z in zip(met.tolist(), first.tolist(), [*first[1:].tolist(), len(order)], strict=True):
-                    pull[g] += error[a:z] @ x[a:z]
-                    curve[g] += (x[a:z] * steep[a:z, None]).T @ x[a:z]
+        for _, place, bits in _blocks(code, data, borders, 4 * BLOCK):
+            one = bits.one
+            zero = one == 0
+            x = np.ones((len(one), WIDTH), np.float32)
+            for k, slot in enumerate(bits.slots):
+                pair = both[slot + _OFFSETS[k]]
+                zeros, ones = pair & low, pair >> high
+                zeros -= zero & (zeros > 0)
+                ones -= ~zero & (ones > 0)
+                x[:, k] = _LOG[ones]
+                x[:, k] -= _LOG[zeros]
+            gate = _gate(place, bits, _SURE[np.minimum(zeros + ones, SURE[-1])])
+            order = np.argsort(gate.astype(np.uint16), kind="stable")
+            gate, one, x = gate[order], one[order], x[order]
+            met, first = np.unique(gate, return_index=True)
+            ends = [*first[1:].tolist(), len(gate)]
+            mixed = np.empty(len(gate), np.float32)
+            for g, a, z in zip(met.tolist(), first.tolist(), ends, strict=True):
+                mixed[a:z] = x[a:z] @ weights[g]
+            np.clip(mixed, -16, 16, out=mixed)
+            p = 1 / (1 + np.exp(-mixed))
+            hits += np.bincount((gate * LEVELS + _level(mixed)) * 2 + one, minlength=len(hits))
+            error, steep = (one - p).astype(np.float32), p * (1 - p)
+            for g, a, z in zip(met.tolist(), first.tolist(), ends, strict=True):
+                pull[g] += error[a:z] @ x[a:z]
+                curve[g] += (x[a:z] * steep[a:z, None]).T @ x[a:z]
     return pull, curve, hits.reshape(GATES, LEVELS, 2)
 
 
@@ -256,7 +334,7 @@ class _Learner:
         move = np.linalg.solve(self.curve + 3 * np.eye(WIDTH), pull[:, :, None])[:, :, 0]
         self.weights += np.clip(move, -0.3, 0.3).astype(np.float32)
 
-    def mixer(self, pairs: np.ndarray) -> Mixer:
+    def mixer(self, code: Code, pairs: np.ndarray) -> Mixer:
         # in steps, so that the driver holds little besides the counts and the tables
         tables, sure = [np.empty(1 << size, np.int16) for size in TABLES], np.empty(1 << TABLES[-1], np.uint8)
         for table, start in zip(tables, _OFFSETS.tolist(), strict=False):
@@ -269,16 +347,16 @@ class _Learner:
         scale[-1] = 1
         prior = 1 / (1 + np.exp(-(np.arange(LEVELS) - LEVELS // 2) / 2))
         refined = (self.hits[:, :, 1] + 8 * prior) / (self.hits.sum(axis=2) + 8)
-        return Mixer(tables, sure, self.weights * scale, refined.astype(np.float32))
+        return Mixer(code, tables, sure, self.weights * scale, refined.astype(np.float32))
 
 
 def _learn(counts: np.ndarray, batches: list[list[tuple[bytes, int]]]) -> Mixer:
     """The mixer of given counts, learned from batches of (text, times) in one process."""
-    pairs, learner = _narrow(counts.reshape(-1, 2)), _Learner()
+    pairs, learner, code = _narrow(counts.reshape(-1, 2)), _Learner(), byte_code(np.zeros(256))
     for some in batches:
         texts = [w for w, n in some for _ in range(n)]
-        learner.move(*_sums(pairs, learner.weights, [(np.frombuffer(b"".join(texts), np.uint8), np.append(0, np.cumsum([len(w) for w in texts])))]))
-    return learner.mixer(pairs)
+        learner.move(*_sums(code, pairs, learner.weights, [(np.frombuffer(b"".join(texts), np.uint8), np.append(0, np.cumsum([len(w) for w in texts])))]))
+    return learner.mixer(code, pairs)
 
 
 def _held_out(docs: DataFrame) -> DataFrame:
@@ -292,9 +370,29 @@ def vocabulary(training: DataFrame) -> DataFrame:
     return stored(counted.groupBy("h").agg(F.first("word").alias("word"), F.sum("n").alias("n")), "vocabulary")
 
 
-def train(training: DataFrame) -> Mixer:
-    """Predictors, weights and adaptive map from all training documents."""
-    found = training.select("text").mapInArrow(_slot_rows, "chunk int, places binary, counts binary").groupBy("chunk").applyInArrow(_chunk_sum, "chunk int, counts binary")
+def _byte_counts(words: DataFrame) -> np.ndarray:
+    """How often each byte occurs in the running text of all training documents."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(256)
+        for batch in batches:
+            data, offsets = bs.column_bytes(batch.column("word"))
+            many = np.asarray(batch.column("n"))
+            total += np.bincount(data[offsets[0] : offsets[-1]], np.repeat(many, np.diff(offsets)), minlength=256)
+            total[32] += many.sum()  # the space after each word
+        yield pa.RecordBatch.from_pydict({"byte": pa.array(np.arange(256), pa.int32()), "n": pa.array(total.astype(np.int64))})
+
+    counts = np.zeros(256)
+    for r in words.select("word", "n").mapInArrow(run, "byte int, n long").groupBy("byte").agg(F.sum("n").alias("n")).collect():  # 256 rows
+        counts[r.byte] = r.n
+    return counts
+
+
+def train(training: DataFrame, words: DataFrame) -> Mixer:
+    """Byte code, predictors, weights and adaptive map from all training documents."""
+    code = byte_code(_byte_counts(words))
+    found = training.select("text").mapInArrow(_slot_rows(code), "chunk int, places binary, counts binary")
+    found = found.groupBy("chunk").applyInArrow(_chunk_sum, "chunk int, counts binary")
     pairs = np.zeros((-(-int(_OFFSETS[-1]) // CHUNK) * CHUNK, 2), np.uint16)
     for r in found.toLocalIterator():  # a part at a time
         pairs[r.chunk * CHUNK : (r.chunk + 1) * CHUNK] = np.frombuffer(zstandard.ZstdDecompressor().decompress(bytes(r.counts)), "<u2").reshape(-1, 2)
@@ -302,17 +400,17 @@ def train(training: DataFrame) -> Mixer:
     dealt = training.select("text", F.pmod(F.xxhash64("text"), F.lit(16)).alias("share"))
     learner = _Learner()
     for low, high in STEPS:
-        learner.move(*_summed(dealt.where(F.col("share").between(low, high - 1)).select("text"), shared, learner.weights))
-    mixer = learner.mixer(pairs)
+        learner.move(*_summed(dealt.where(F.col("share").between(low, high - 1)).select("text"), code, shared, learner.weights))
+    mixer = learner.mixer(code, pairs)
     shared.destroy()
     return mixer
 
 
-def _summed(texts: DataFrame, shared: Broadcast, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _summed(texts: DataFrame, code: Code, shared: Broadcast, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The sums of a step over all its texts: a row for each gate that a task met, then for each gate."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pull, curve, hits = _sums(shared.value, weights, _texts(batches))
+        pull, curve, hits = _sums(code, shared.value, weights, _texts(batches))
         rows = np.concatenate([x.reshape(GATES, -1) for x in (pull, curve, hits)], axis=1)
         met = np.flatnonzero(hits.any(axis=(1, 2)))
         yield pa.RecordBatch.from_pydict({"gate": pa.array(met, pa.int32()), "sums": pa.array([rows[g].tobytes() for g in met], pa.binary())})
@@ -366,7 +464,7 @@ def scores(docs: DataFrame) -> DataFrame:
     words = vocabulary(training)
     totals = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
     n_train, n_words = int(totals.n), int(totals.v)
-    mixer = train(training)
+    mixer = train(training, words)
     names, counts, least = _common(words, DICTIONARY)
     gains = np.log10(counts + 1.0)
     end_at = np.searchsorted(names, end_hash())
