@@ -1,7 +1,7 @@
 """All registered queries of the library's own operators, with their SQL."""
 
-from .plans import curation, evaluation, pools
+from .plans import curation, evaluation, pools, reports
 
-AREAS = (curation, evaluation, pools)
+AREAS = (curation, evaluation, pools, reports)
 QUERIES = {name: query for area in AREAS for name, query in area.QUERIES.items()}
 ORACLES = {name: sql for area in AREAS for name, sql in area.ORACLES.items()}
