@@ -39,12 +39,13 @@ SCREEN = 0.15
 CHOICES = (1, 2, 4, 8, 16)
 #: Postings read per element compared when a candidate is verified.
 VERIFY = 0.05
-FLUSH = 2_000_000
+#: Prefix elements, and pairs, that a task holds before it sends them.
+FLUSH, HELD_PAIRS = 200_000, 400_000
 #: Members of a posting that are compared with each other in one step; larger ones are cut in
 #: parts, and every two parts are compared.
 POSTING = 512
 #: Pairs expanded at once.
-PAIRS = 1_000_000
+PAIRS = 200_000
 
 
 def needed(n: np.ndarray) -> np.ndarray:
@@ -298,7 +299,7 @@ def _pair_counts(buckets: int):
                 least = np.maximum(1, least - np.maximum(x["rest"][i], y["rest"][j]))
                 held.append((np.minimum(one, two), np.maximum(one, two), least))
                 count += len(i)
-                if count >= FLUSH:
+                if count >= HELD_PAIRS:
                     yield flush(held)
                     held, count = [], 0
         if count:

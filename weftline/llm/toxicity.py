@@ -33,6 +33,8 @@ SAMPLE = (4_000, 2_000)
 FEATURES = 20_000
 #: Lengths in bytes of the word beginnings that are features besides whole words.
 STEMS = (4, 5, 6, 7)
+#: Bytes of text whose features are held at once.
+SLICE = 1 << 20
 #: A word needs so many sampled texts to become a feature.
 MIN_TEXTS = 5
 #: A word is evidence for grading if so many times likelier in toxic texts.
@@ -96,7 +98,7 @@ def _row_words(part: bs.Slice, only: np.ndarray | None = None) -> tuple[np.ndarr
 def _likeness(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Names texts by their smallest run of five words, which near copies mostly share."""
     for batch in batches:
-        for part in bs.slices(bs.lowered(batch.column("text"))):
+        for part in bs.slices(bs.lowered(batch.column("text")), SLICE):
             words = bs.find_words(part)
             starts, runs = bs.run_hashes(words, words.hashes(), 5)
             least = np.searchsorted(starts, words.rows)
@@ -113,7 +115,7 @@ def _feature_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     """In how many clean and toxic texts of a batch each feature occurs."""
     for batch in batches:
         toxic = np.asarray(batch.column("toxic"))
-        for part in bs.slices(bs.lowered(batch.column("text"))):
+        for part in bs.slices(bs.lowered(batch.column("text")), SLICE):
             row, hashes, _ = _row_words(part)
             names, place = np.unique(hashes, return_inverse=True)
             bad = np.bincount(place, toxic[part.first + row], minlength=len(names)).astype(np.int64)
@@ -126,7 +128,7 @@ def _counts_of(words: np.ndarray):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in bs.slices(bs.lowered(batch.column("text"))):
+            for part in bs.slices(bs.lowered(batch.column("text")), SLICE):
                 row, hashes, counts = _row_words(part, words)
                 place = np.searchsorted(words, hashes).astype("<u4")
                 borders = np.searchsorted(row, np.arange(part.rows + 1))
@@ -274,7 +276,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
 
 def _graded(text: pa.Array, model: Model) -> Iterator[tuple[bs.Slice, np.ndarray, np.ndarray]]:
     """(slice, P(grade > g) for each row and threshold, rejected) of a column of texts."""
-    for part in bs.slices(bs.lowered(text)):
+    for part in bs.slices(bs.lowered(text), SLICE):
         row, hashes, counts = _row_words(part, model.words)
         score = np.zeros(part.rows)
         if len(row):
