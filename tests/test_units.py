@@ -65,15 +65,16 @@ def test_events_batch_equals_stream(spark, tmp_path):
 
 def test_parse_and_edits(spark):
     df = spark.createDataFrame([("x = 1\n", "x = 2\n"), ("def f(:\n", None)], "a string, b string")
-    rows = df.select(pyast.parsed("a").alias("p"), pyast.edit_measure("a", "b").alias("e"), pyast.abstract_edits("a", "b").alias("t")).collect()
-    assert rows[0].p.ok and rows[0].e.changed_lines == 2 and 0 < rows[0].e.ratio < 1 and rows[0].t == ["UPDATE Assign"]
+    rows = df.select(pyast.parsed("a").alias("p"), pyast.edit_measure("a", "b").alias("e"), pyast.abstract_edits("a", "b", F.lit("SMALL"), F.lit(32)).alias("t")).collect()
+    assert rows[0].p.ok and rows[0].e.changed_lines == 2 and 0 < rows[0].e.ratio < 1 and [x.split()[:2] for x in rows[0].t] == [["OP_UPDATE", "NODE_Module"], ["OP_UPDATE", "NODE_Assign"], ["OP_UPDATE", "NODE_Constant"]]
     assert not rows[1].p.ok and rows[1].p.line == 1
 
 
 def test_mutants(spark):
     df = spark.createDataFrame([("def f(a):\n    return a + 1 < 3 and True",), ("(",), (None,)], "c string")
     first, *rest = [r[0] for r in df.select(pyast.mutants("c")).collect()]
-    assert len(first) == len(set(first)) == 6 and any("a - 1" in m for m in first) and all(r == [] for r in rest)
+    assert len(first) == len({m.source for m in first}) == 9 and any("a - 1" in m.source for m in first) and all(r == [] for r in rest)
+    assert [m.description for m in first if m.operator == "compare"] == ["Lt->LtE", "Lt->Gt", "Lt->GtE"]
 
 
 def test_simhash(spark):

@@ -156,8 +156,64 @@ def probability(score: Column) -> Column:
     return F.when((score >= 0) & (score <= 1), score).when(score >= 0, 1 / (1 + F.exp(-score))).otherwise(F.exp(score) / (1 + F.exp(score)))
 
 
+# The verdicts of a judge.
+VERDICTS = ("accepted", "wrong_answer", "runtime_error", "time_limit_exceeded", "memory_limit_exceeded", "compile_error")
+
+
 def verdict(value: Column) -> Column:
-    """Judge verdicts by their common names, or unknown."""
-    names = {"accepted": "accepted", "wrong answer": "wrong_answer", "time limit exceeded": "time_limit", "memory limit exceeded": "memory_limit", "runtime error": "runtime_error", "compile error": "compile_error"}
-    known = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])
-    return F.coalesce(F.element_at(known, F.lower(stripped(value))), F.lit("unknown"))
+    """A judge's verdict, blanks as underscores; unknown for any other."""
+    name = F.replace(F.lower(stripped(value)), F.lit(" "), F.lit("_"))
+    return F.when(name.isin(*VERDICTS), name).otherwise("unknown")
+
+
+def lexical_cosine(a: Column, b: Column) -> Column:
+    """Cosine of the term counts of two token arrays; 0 if one is empty."""
+    terms = F.array_distinct(F.array_intersect(a, b))
+    times = lambda tokens, t: F.size(F.filter(tokens, lambda x: x == t)).cast("double")
+    dot = F.aggregate(terms, F.lit(0.0), lambda s, t: s + times(a, t) * times(b, t))
+    square = lambda tokens: F.aggregate(F.array_distinct(tokens), F.lit(0.0), lambda s, t: s + times(tokens, t) * times(tokens, t))
+    empty = (F.size(a) == 0) | (F.size(b) == 0)
+    return F.when(empty, 0.0).otherwise(dot / F.greatest(F.sqrt(square(a)) * F.sqrt(square(b)), F.lit(1e-12)))
+
+
+def hashed_vector(tokens_: Column, width: int) -> Column:
+    """Unit vector of signed token counts: place and sign of a token come from its sha256."""
+    digest = F.transform(tokens_, lambda x: F.sha2(x, 256))
+    place = F.transform(digest, lambda h: F.pmod(F.conv(F.substring(h, 1, 8), 16, 10).cast("long"), F.lit(width)))
+    sign = F.transform(digest, lambda h: F.when(F.pmod(F.conv(F.substring(h, 9, 2), 16, 10).cast("long"), F.lit(2)) == 0, 1.0).otherwise(-1.0))
+    pairs = F.arrays_zip(place.alias("p"), sign.alias("s"))
+    at = lambda i: F.aggregate(pairs, F.lit(0.0), lambda total, x: total + F.when(x["p"] == i, x["s"]).otherwise(0.0))
+    raw = F.transform(F.sequence(F.lit(0), F.lit(width - 1)), at)
+    norm = F.sqrt(F.aggregate(raw, F.lit(0.0), lambda total, x: total + x * x))
+    return F.transform(raw, lambda x: F.when(norm == 0, x).otherwise(x / norm))
+
+
+def int_sequence_hash(ids: Column) -> Column:
+    """sha256 of the active (non-zero) ids, joined by NUL."""
+    active = F.transform(F.filter(ids, lambda x: x != 0), lambda x: x.cast("string"))
+    return F.sha2(F.array_join(active, "\0"), 256)
+
+
+def action_signature(ids: Column) -> Column:
+    return F.concat(F.lit("act-"), F.substring(int_sequence_hash(ids), 1, 16))
+
+
+def ids_text(ids: Column) -> Column:
+    """The active ids as text: what lexical baselines compare."""
+    return F.array_join(F.transform(F.filter(ids, lambda x: x != 0), lambda x: x.cast("string")), " ")
+
+
+def record_id(*parts: Column) -> Column:
+    return F.concat_ws(":", *parts)
+
+
+def canonical_json_hash(*columns: Column) -> Column:
+    """sha256 of the columns as JSON; name them in sorted order, nulls are left out."""
+    return F.sha2(F.to_json(F.struct(*columns)), 256)
+
+
+def safe_patch(patch: Column) -> Column:
+    """True if no file header of a patch names an absolute path or a parent folder."""
+    paths = F.regexp_extract_all(patch, F.lit(r"(?m)^(?:---|\+\+\+) (\S+)"), 1)
+    bad = F.exists(paths, lambda p: p.rlike(r"^/(?!dev/null$)") | p.rlike(r"^[A-Za-z]:[\\/]") | p.rlike(r"(^|/)\.\.(/|$)"))
+    return ~F.coalesce(bad, F.lit(False))

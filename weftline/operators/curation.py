@@ -5,12 +5,17 @@ Every operator takes an explicit ordinal where the order of rows matters.
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import pyast
 from ..functions import text as T
 
 SPLITS = ("train", "val", "test")
+#: Blocks that a simhash key is cut into for near joins.
+BLOCKS = 6
 
 # Path parts and file endings of generated code.
 GENERATED_PARTS = ("generated", "vendor", "third_party", "node_modules", "__pycache__")
@@ -43,6 +48,40 @@ def edit_rules(before: Column, after: Column, message: Column, path_before: Colu
     return [*rules, ("empty_state", (F.length(T.stripped(before)) == 0) | (F.length(T.stripped(after)) == 0)), ("whitespace_only_change", T.without_space(before) == T.without_space(after)), ("message_length", ~length.between(*MESSAGE_LENGTH))]
 
 
+EDIT_SIZE, EDIT_RATIO = (1, 150), (0.02, 0.60)
+ALL_REASONS = ("non_python_path", "generated_file", "empty_state", "parse_error", "whitespace_only_change", "edit_size", "edit_ratio", "message_length", "license_denied")
+
+
+def edit_cascade(df: DataFrame, decision: str = "decision") -> DataFrame:
+    """Adds drop_reason: the first of ``ALL_REASONS`` that holds for an edit record, or null.
+
+    df: path_before, path_after, before, after, message and a licence decision. Parsing and
+    comparing run in Python on rows that passed the native rules before them only, the
+    quadratic comparison of characters last.
+    """
+    c = F.col
+    cheap = first_reason([
+        ("non_python_path", ~(c("path_before").endswith(".py") & c("path_after").endswith(".py"))),
+        ("generated_file", generated_path(c("path_before")) | generated_path(c("path_after"))),
+        ("empty_state", (F.length(T.stripped(c("before"))) == 0) | (F.length(T.stripped(c("after"))) == 0)),
+    ])
+    one = df.withColumn("_r1", F.coalesce(cheap, F.lit("")))
+    open_text = lambda x, r: F.when(c(r) == "", c(x)).otherwise("")
+    two = one.withColumn("_pb", pyast.parsed(open_text("before", "_r1"))).withColumn("_pa", pyast.parsed(open_text("after", "_r1")))
+    same = T.without_space(c("before")) == T.without_space(c("after"))
+    second = F.when(c("_r1") != "", c("_r1")).when(~c("_pb.ok") | ~c("_pa.ok"), "parse_error").when(same, "whitespace_only_change").otherwise("")
+    two = two.withColumn("_r2", second)
+    three = two.withColumn("_m", pyast.edit_measure(open_text("before", "_r2"), open_text("after", "_r2")))
+    last = (
+        F.when(c("_r2") != "", c("_r2"))
+        .when(~c("_m.changed_lines").between(*EDIT_SIZE), "edit_size")
+        .when(~c("_m.ratio").between(*EDIT_RATIO), "edit_ratio")
+        .when(~F.length(T.stripped(c("message"))).between(*MESSAGE_LENGTH), "message_length")
+        .when(~c(decision)["allowed"], "license_denied")
+    )
+    return three.withColumn("drop_reason", last).drop("_r1", "_r2", "_pb", "_pa", "_m")
+
+
 def with_split(df: DataFrame, key: Column, overrides: dict[str, str] | None = None, **ratios) -> DataFrame:
     """split of each row by the hash of its key; overrides win."""
     split = T.split_name(key, **ratios)
@@ -67,10 +106,17 @@ def exact_leakage(df: DataFrame, key: str, ordinal: str) -> DataFrame:
     return df.where("split <> 'train'").join(train, key)
 
 
-def _banded(df: DataFrame, key: str, threshold: int) -> DataFrame:
-    """A row for each of threshold + 1 bands of a 64-bit key: two keys so close agree in one."""
-    width = 64 // (threshold + 1)
-    band = [F.struct(F.lit(i).alias("b"), F.shiftrightunsigned(F.col(key), i * width).bitwiseAND((1 << width) - 1).alias("v")) for i in range(threshold + 1)]
+def _banded(df: DataFrame, key: str, threshold: int, width: int = 64) -> DataFrame:
+    """A row for each way to choose ``BLOCKS`` - threshold of a key's blocks: b (which), v (their bits).
+
+    Two keys that differ in at most threshold bits agree in all blocks but so many, so they
+    meet in one row at least. With 6 blocks of a 64-bit key and a threshold of 3, a value has
+    32 bits: two keys that don't belong together rarely meet, however many keys there are.
+    """
+    cuts = [(width * i // BLOCKS, width * (i + 1) // BLOCKS) for i in range(BLOCKS)]
+    masks = [sum(((1 << hi) - 1) ^ ((1 << lo) - 1) for lo, hi in chosen) for chosen in combinations(cuts, BLOCKS - threshold)]
+    signed = [m - (1 << 64) if m >= 1 << 63 else m for m in masks]
+    band = [F.struct(F.lit(i).alias("b"), F.col(key).bitwiseAND(F.lit(m).cast("long")).alias("v")) for i, m in enumerate(signed)]
     return df.withColumn("band", F.explode(F.array(*band))).select("*", "band.b", "band.v").drop("band")
 
 
@@ -125,27 +171,41 @@ def group_pair_counts(df: DataFrame, group: str, after: str) -> DataFrame:
     return inner.groupBy(group).agg(F.sum("m").alias("n"), F.sum(pairs("m")).alias("same")).select(group, "n", (pairs("n") - F.col("same")).alias("pairs"))
 
 
-def near_pairs(df: DataFrame, ident: str, key: str, threshold: int = 3) -> DataFrame:
-    """(left_id, right_id, distance) of distinct keys within a Hamming distance.
+def near_pairs(df: DataFrame, ident: str, key: str, threshold: int = 3, width: int = 64) -> DataFrame:
+    """(left_id, right_id, distance) of distinct keys of ``width`` bits within a Hamming distance.
 
-    Keys are cut into threshold + 1 bands: two keys so close agree in one band at least. Rows
-    of equal keys are one row here (the smallest id stands for them; key_members says for which). A band value shared by
-    many keys is dealt on by a second band, where one of the others must nearly agree too.
+    Rows of equal keys are one row here (the smallest id stands for them; key_members says for
+    which); pairs meet in the bands of :func:`_banded`.
     """
-    one = df.groupBy(key).agg(F.min(ident).alias(ident))
-    bands = threshold + 1
-    width = 64 // bands
-    band = [F.struct(F.lit(i).alias("b"), F.shiftrightunsigned(F.col(key), i * width).bitwiseAND((1 << width) - 1).alias("v")) for i in range(bands)]
-    cut = one.select(ident, key, F.explode(F.array(*band)).alias("band")).select(ident, key, "band.b", "band.v")
+    one = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.min(ident).alias(ident))
+    cut = _banded(one, key, threshold, width)
     left, right = cut.withColumnsRenamed({ident: "left_id", key: "lk"}), cut.withColumnsRenamed({ident: "right_id", key: "rk"})
     close = T.hamming(F.col("lk"), F.col("rk"))
-    # a pair is reported for the first band in which it agrees
-    earlier = F.lit(False)
-    for i in range(bands):
-        equal = F.shiftrightunsigned(F.col("lk").bitwiseXOR(F.col("rk")), i * width).bitwiseAND((1 << width) - 1) == 0
-        earlier = earlier | ((F.col("b") > i) & equal)
-    joined = left.join(right, ["b", "v"]).where((F.col("left_id") < F.col("right_id")) & (close <= threshold) & ~earlier)
-    return joined.select("left_id", "right_id", close.alias("distance"))
+    joined = left.join(right, ["b", "v"]).where((F.col("left_id") < F.col("right_id")) & (close <= threshold))
+    return joined.select("left_id", "right_id", close.alias("distance")).distinct()
+
+
+def near_before_pairs(df: DataFrame, ident: str, state: str, after: str, threshold: int = 3, budget: int = 100_000) -> DataFrame:
+    """One row: pairs of states within the threshold, pairs of rows that they stand for whose
+    after differs, and whether the budget of state pairs cut the scan (scan_truncated).
+
+    States are distinct keys; their pairs are taken in order of the two keys until the budget.
+    The pairs of rows are counted by groups and never listed.
+    """
+    sizes = df.groupBy(state, after).agg(F.count(F.lit(1)).alias("m"))
+    states = sizes.groupBy(state).agg(F.sum("m").alias("n"))
+    numbered = states.select(F.col(state).alias("s"), F.col(state).alias("key"))
+    pairs = near_pairs(numbered, "s", "key", threshold).select(F.col("left_id").alias("l"), F.col("right_id").alias("r")).orderBy("l", "r").limit(budget + 1)
+    total = pairs.count()
+    kept = pairs.orderBy("l", "r").limit(budget)
+    n = states.withColumnsRenamed({state: "s", "n": "n"})
+    both = kept.join(n.select(F.col("s").alias("l"), F.col("n").alias("nl")), "l").join(n.select(F.col("s").alias("r"), F.col("n").alias("nr")), "r")
+    left = kept.join(sizes.select(F.col(state).alias("l"), F.col(after).alias("a"), F.col("m").alias("ml")), "l")
+    same = left.join(sizes.select(F.col(state).alias("r"), F.col(after).alias("a"), F.col("m").alias("mr")), ["r", "a"])
+    counts = both.agg(F.count(F.lit(1)).alias("state_pairs"), F.coalesce(F.sum(F.col("nl") * F.col("nr")), F.lit(0)).alias("all"))
+    equal = same.agg(F.coalesce(F.sum(F.col("ml") * F.col("mr")), F.lit(0)).alias("same"))
+    one = counts.crossJoin(equal)  # one row each
+    return one.select("state_pairs", (F.col("all") - F.col("same")).alias("row_pairs"), F.lit(total > budget).alias("scan_truncated"))
 
 
 def key_members(df: DataFrame, ident: str, key: str) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import text as T
+
 
 def squared_l2(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
@@ -71,3 +73,14 @@ def rotated(df: DataFrame, key: list, order: list, value: str) -> DataFrame:
     w = Window.partitionBy(*key).orderBy(*order)
     whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     return df.withColumn("rotated", F.coalesce(F.lead(value).over(w), F.first(value).over(whole)))
+
+
+def rotated_rows(queries: DataFrame, ident: str, size: str, value: str, seed: str = "0", strata: int = 64) -> DataFrame:
+    """Each query gets the value of another query of equal pool size: a shuffled control.
+
+    Within a size, and there within ``strata`` parts by hash so that a common size isn't one
+    task, values move on by one in seeded order; a part of one query keeps its own.
+    """
+    o = T.hash_order(F.col(ident), seed=seed)
+    cut = queries.withColumn("_o", o).withColumn("_s", F.pmod(F.conv(F.substring("_o", 1, 4), 16, 10).cast("long"), F.lit(strata)))
+    return rotated(cut, [size, "_s"], ["_o", ident], value).drop("_o", "_s")

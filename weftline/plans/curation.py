@@ -158,7 +158,7 @@ def near_dup_pairs_md5(s, d):
 
     One document stands for all of an equal key; near_dup_members_md5 names the others.
     """
-    return C.near_pairs(_md5_keys(s, d), "doc_id", "key", 3).select("left_id", "right_id", F.col("distance").cast("int").alias("distance"))
+    return C.near_pairs(_md5_keys(s, d), "doc_id", "key", 3, 48).select("left_id", "right_id", F.col("distance").cast("int").alias("distance"))
 
 
 def near_dup_members_md5(s, d):
