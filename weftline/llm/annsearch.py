@@ -1,18 +1,21 @@
 """Nearest neighbours with an inverted file and product-quantised residuals.
 
-Coarse centroids and the residual code books are k-means models, fitted on the driver from a
-bounded sample. Every row is indexed: its list is the nearest centroid, its code the nearest
-entry of each sub-space's code book for the residual. A query scans the lists of its nearest
-centroids with a table of distances from its own residual to every code book entry
-(asymmetric: the query isn't quantised), keeps the best ``RERANK`` and orders them by exact
-distance. Queries are taken in blocks of a bounded size; each task keeps its best candidates
-of each query, so no list or query is collected in one place.
+Equal vectors are indexed once, with the smallest ids that they have, so a large group of copies
+takes one place among the candidates. Coarse centroids and the residual code books are k-means
+models, fitted on the driver from a bounded sample. Every vector is indexed: its list is the
+nearest centroid, its code the nearest entry of each sub-space's code book for the residual. A
+query scans the lists of its nearest centroids with a table of distances from its own residual
+to every code book entry (asymmetric: the query isn't quantised), keeps the best candidates and
+orders them by exact distance.
+
+Lists grow with the table. How many of them a query scans is measured on the sample: as many as
+hold ``COVER`` of its rows' true neighbours. Queries and index are packed in blocks and chunks of
+a bounded size, and every block of queries meets every chunk in some task.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -21,22 +24,29 @@ from pyspark.sql import functions as F
 
 from .storage import stored
 
-#: Rows that the models are fitted on, by hash of their id.
+#: Vectors that the models are fitted on, by hash.
 SAMPLE = 8_192
-LISTS = 64
-#: Lists that a query scans.
-PROBES = 44
+#: Lists: a power of two near the root of the number of vectors, within these.
+LISTS = (16, 1024)
+#: Sampled queries, and the share of their neighbours that the scanned lists have to hold.
+ASKED, COVER = 256, 0.98
 SUBSPACES = 16
 CODES = 256
-#: Candidates with exact distances, for each query.
-RERANK = 400
+#: Candidates with exact distances for each query: so many up to ``RERANK_AT`` vectors, beyond
+#: that more with the root of their number.
+RERANK, RERANK_AT = 400, 50_000
 NEAREST = 10
 EVERY = 100
-#: Queries held at once.
-QUERY_BLOCK = 2_048
+#: Queries and vectors packed together.
+QUERY_BLOCK, CHUNK = 512, 16_384
 ROUNDS = 12
 
 
+def squares(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Squared distances of all rows of x and y, by a matrix product."""
+    return np.maximum((x * x).sum(axis=1)[:, None] - 2 * (x @ y.T) + (y * y).sum(axis=1)[None], 0)
+
+
 def kmeans(x: np.ndarray, k: int, rounds: int = ROUNDS, seed: int = 1) -> np.ndarray:
     """At most k centroids of the rows of x; empty clusters take far points."""
     k = min(k, len(x))
@@ -55,15 +65,11 @@ def kmeans(x: np.ndarray, k: int, rounds: int = ROUNDS, seed: int = 1) -> np.nda
 
 
 def nearest(x: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(number of the nearest centre, squared distance) for each row, in steps.
-
-    Plain differences: equal rows get equal results whatever rows stand beside them, which a
-    matrix product doesn't promise. Copies of a vector so share a list and a code.
-    """
+    """(number of the nearest centre, squared distance) for each row, in steps."""
     near, far = np.empty(len(x), np.int64), np.empty(len(x), x.dtype)
-    step = max(1, (1 << 20) // max(1, centres.size))
+    step = max(1, (1 << 20) // max(1, len(centres)))
     for at in range(0, len(x), step):
-        d = ((x[at : at + step, None, :] - centres[None]) ** 2).sum(axis=2)
+        d = squares(x[at : at + step], centres)
         near[at : at + step] = d.argmin(axis=1)
         far[at : at + step] = d.min(axis=1)
     return near, far
@@ -82,19 +88,33 @@ class Index:
     def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         near, _ = nearest(x, self.coarse)
         residual = x - self.coarse[near]
-        codes = np.stack([nearest(residual[:, a:z], book)[0] for a, z, book in zip(self.borders[:-1], self.borders[1:], self.books, strict=True)], axis=1)
-        return near, codes.astype(np.uint8)
-
-    def probes(self, q: np.ndarray, n: int) -> np.ndarray:
-        d = ((q[:, None, :] - self.coarse[None, :, :]) ** 2).sum(axis=2)
-        return np.argsort(d, axis=1, kind="stable")[:, :n]
+        codes = [nearest(residual[:, a:z], book)[0] for a, z, book in zip(self.borders[:-1], self.borders[1:], self.books, strict=True)]
+        return near, np.stack(codes, axis=1).astype(np.uint8)
+
+    def order(self, q: np.ndarray) -> np.ndarray:
+        """The lists of each query, nearest first."""
+        return np.argsort(squares(q, self.coarse), axis=1, kind="stable")
+
+    def needed(self, sample: np.ndarray, k: int) -> int:
+        """How many lists hold ``COVER`` of the k nearest other sampled rows of sampled queries."""
+        asked = np.random.default_rng(2).permutation(len(sample))[:ASKED]
+        d = squares(sample[asked], sample)
+        d[np.arange(len(asked)), asked] = np.inf
+        k = min(k, len(sample) - 1)
+        if k < 1:
+            return len(self.coarse)
+        true = np.argpartition(d, k - 1, axis=1)[:, :k]
+        near, _ = nearest(sample, self.coarse)
+        place = np.argsort(self.order(sample[asked]), axis=1)  # of every list for every query
+        ranks = np.sort(np.take_along_axis(place, near[true], axis=1).ravel())
+        return int(ranks[min(len(ranks) - 1, int(np.ceil(COVER * len(ranks))))]) + 1
 
     def table(self, q: np.ndarray, which: int) -> np.ndarray:
-        """[query, sub-space, code]: squared distances of the queries' residuals in one list."""
+        """[sub-space, query, code]: squared distances of the queries' residuals in one list."""
         residual = q - self.coarse[which]
-        out = np.full((len(q), len(self.books), CODES), np.inf, np.float32)
+        out = np.full((len(self.books), len(q), CODES), np.inf, np.float32)
         for s, (a, z, book) in enumerate(zip(self.borders[:-1], self.borders[1:], self.books, strict=True)):
-            out[:, s, : len(book)] = ((residual[:, None, a:z] - book[None]) ** 2).sum(axis=2)
+            out[s, :, : len(book)] = squares(residual[:, a:z], book)
         return out
 
 
@@ -111,92 +131,117 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 1))
 
 
-def search(vectors: DataFrame, k: int = NEAREST, every: int = EVERY, id_column: str = "vec_id", vector_column: str = "embedding", probes: int = PROBES, rerank: int = RERANK) -> DataFrame:
+def distinct_vectors(rows: DataFrame, ids: int) -> DataFrame:
+    """r, v, ids: every vector once, with the smallest ids of its rows; stored.
+
+    Each task keeps its own smallest ids of a vector before the exchange (a group limit), so a
+    vector that a third of all rows have isn't gathered.
+    """
+    order = Window.partitionBy("v").orderBy("id")
+    few = rows.withColumn("n", F.row_number().over(order)).where(F.col("n") <= ids)
+    grouped = few.groupBy("v").agg(F.array_sort(F.collect_list("id")).alias("ids"))
+    return stored(grouped.withColumn("r", F.monotonically_increasing_id()), "vectors")
+
+
+def search(
+    vectors: DataFrame,
+    k: int = NEAREST,
+    every: int = EVERY,
+    id_column: str = "vec_id",
+    vector_column: str = "embedding",
+    probes: int | None = None,
+    rerank: int | None = None,
+) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest rows found for each query.
 
     Queries are the rows whose id is divisible by ``every``; every other usable row is a
     candidate (Euclidean distance in double precision on the original vectors, ties to the
-    smaller id). Null, zero and non-finite vectors, null ids and vectors of another than the
-    most common length take no part; other columns are ignored. A repeated id takes part
-    once, with its smallest vector. An empty table gives none.
+    smaller id). Null, zero and non-finite vectors and null ids take no part; other columns are
+    ignored. Rows that repeat an id are rows of their own: each of them is a candidate for the
+    others, and each is asked. Vectors of different lengths have no distance: more than one
+    length among the usable rows is an error. An empty table gives none. probes, rerank: how
+    many lists are scanned and candidates reranked, if not by the measures above.
     """
     spark = vectors.sparkSession
     rows = usable(vectors, id_column, vector_column)
-    sizes = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    schema = "query_id long, rank int, vec_id long, score double"
-    if sizes is None:
-        return spark.createDataFrame([], schema)
-    rows = rows.where(F.size("v") == sizes.d).groupBy("id").agg(F.min("v").alias("v"))
-    sample = np.array([r.v for r in rows.select("v", F.xxhash64("id").alias("h"), "id").orderBy("h", "id").limit(SAMPLE).collect()])
-    index = Index(sample.astype(np.float32), LISTS, SUBSPACES)
-
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            near, codes = index.encode(_matrix(batch.column("v")).astype(np.float32))
-            yield pa.RecordBatch.from_pydict({"id": batch.column("id"), "list": pa.array(near.astype(np.int32)), "code": pa.array([c.tobytes() for c in codes], pa.binary()), "v": batch.column("v")})
-
-    indexed = stored(rows.mapInArrow(encode, "id long, list int, code binary, v array<double>"), "ivfpq")
-    queries = indexed.where(F.col("id") % every == 0).select("id", "v")
-    n = queries.count()
-    blocks = -(-n // QUERY_BLOCK)
-    found = []
-    for b in range(blocks):
-        block = queries.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b).orderBy("id").collect()
-        if block:
-            found.append(_scan(indexed, index, np.array([r.id for r in block], np.int64), np.array([r.v for r in block]), probes, rerank))
-    if not found:
-        return spark.createDataFrame([], schema)
-    best = Window.partitionBy("query_id").orderBy("estimate", "vec_id")
-    candidates = reduce(DataFrame.unionByName, found).withColumn("place", F.row_number().over(best)).where(F.col("place") <= rerank)
+    width = rows.agg(F.min(F.size("v")).alias("low"), F.max(F.size("v")).alias("high")).first()
+    if width.low is None:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    if width.low != width.high:
+        raise ValueError(f"vectors of {width.low} and of {width.high} components have no distance")
+    known = distinct_vectors(rows, k + 1)
+    total = known.count()
+    sample = np.array([r.v for r in known.orderBy(F.xxhash64("v"), "v").limit(SAMPLE).select("v").collect()], np.float32)  # SAMPLE rows
+    lists = int(np.clip(2 ** round(np.log2(max(1.0, total**0.5))), *LISTS))
+    index = Index(sample, lists, SUBSPACES)
+    probes = probes or index.needed(sample, k)
+    rerank = rerank or int(RERANK * max(1.0, (total / RERANK_AT) ** 0.5))
+    queries = stored(rows.where(F.col("id") % every == 0).withColumn("q_row", F.monotonically_increasing_id()), "queries")
+    chunks = stored(known.select("r", "v").mapInArrow(_encoded(index), "rs binary, lists binary, codes binary"), "ivfpq")
+    blocks = queries.select("q_row", "v").mapInArrow(_packed, "q_rows binary, q binary")
+    pairs = chunks.crossJoin(blocks)  # packed: a row for each block of queries and chunk of vectors
+    found = pairs.mapInArrow(_scan(index, probes, rerank, width.low), "q_row long, r long, estimate float")
+    best = Window.partitionBy("q_row").orderBy("estimate", "r")
+    candidates = found.withColumn("place", F.row_number().over(best)).where(F.col("place") <= rerank).select("q_row", "r")
+    asked = queries.select("q_row", F.col("id").alias("query_id"), F.col("v").alias("q"))
     square = F.aggregate(F.zip_with("q", "v", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda a, x: a + x)
-    exact = candidates.select("query_id", "vec_id").join(indexed.select(F.col("id").alias("vec_id"), "v"), "vec_id").join(queries.select(F.col("id").alias("query_id"), F.col("v").alias("q")), "query_id").select("query_id", "vec_id", F.sqrt(square).alias("score"))
-    ranked = exact.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id")))
+    # the query's own row: one of its id among the rows of an equal vector
+    own = F.when(F.col("v") == F.col("q"), F.array_position("ids", F.col("query_id"))).otherwise(0)
+    others = F.filter("ids", lambda x, i: i + 1 != own)
+    exact = candidates.join(known, "r").join(asked, "q_row").select("q_row", "query_id", F.sqrt(square).alias("score"), F.explode(others).alias("vec_id"))
+    ranked = exact.withColumn("rank", F.row_number().over(Window.partitionBy("q_row").orderBy("score", "vec_id")))
     return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def _scan(indexed: DataFrame, index: Index, ids: np.ndarray, q: np.ndarray, probes: int, rerank: int) -> DataFrame:
-    """Each task's best candidates of each query of a block, by asymmetric distance."""
-    q = q.astype(np.float32)
-    wanted = index.probes(q, probes)
-    askers = [np.flatnonzero((wanted == w).any(axis=1)) for w in range(len(index.coarse))]
+def _encoded(index: Index):
+    """Mapper: chunks of vectors with their lists and codes, packed by list."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best = [np.zeros(0, np.float32)] * len(ids), [np.zeros(0, np.int64)] * len(ids)
+        for batch in batches:
+            for at in range(0, batch.num_rows, CHUNK):
+                some = batch.slice(at, CHUNK)
+                near, codes = index.encode(_matrix(some.column("v")).astype(np.float32))
+                order = np.argsort(near, kind="stable")
+                parts = (np.asarray(some.column("r"))[order].astype("<i8"), near[order].astype("<i4"), np.ascontiguousarray(codes[order].T))
+                yield pa.RecordBatch.from_pydict({c: pa.array([x.tobytes()], pa.binary()) for c, x in zip(("rs", "lists", "codes"), parts, strict=True)})
+
+    return run
+
 
-        def cut(i: int, least: int) -> None:
-            if len(best[0][i]) > least:
-                top = np.lexsort((best[1][i], best[0][i]))[:rerank]
-                best[0][i], best[1][i] = best[0][i][top], best[1][i][top]
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Mapper: blocks of queries, packed."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, QUERY_BLOCK):
+            some = batch.slice(at, QUERY_BLOCK)
+            parts = (np.asarray(some.column("q_row")).astype("<i8"), _matrix(some.column("v")).astype("<f4"))
+            yield pa.RecordBatch.from_pydict({c: pa.array([x.tobytes()], pa.binary()) for c, x in zip(("q_rows", "q"), parts, strict=True)})
 
+
+def _scan(index: Index, probes: int, rerank: int, width: int):
+    """Mapper: the best candidates of each query in a chunk, by asymmetric distance."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists, own = np.asarray(batch.column("list")), np.asarray(batch.column("id"))
-            codes = np.frombuffer(b"".join(batch.column("code").to_pylist()), np.uint8).reshape(len(own), -1)
-            for w in np.unique(lists).tolist():
-                at = np.flatnonzero(lists == w)
-                for few in range(0, len(askers[w]), 64):
-                    ask = askers[w][few : few + 64]
-                    table = index.table(q[ask], w)
-                    d = np.zeros((len(ask), len(at)), np.float32)
-                    for s in range(codes.shape[1]):
-                        d += table[:, s, codes[at, s]]
-                    for row, i in enumerate(ask.tolist()):
-                        other = own[at] != ids[i]
-                        some, near = own[at][other], d[row][other]
-                        if len(near) > rerank:
-                            # all that tie with the last one stay until ids decide
-                            limit = np.partition(near, rerank - 1)[rerank - 1]
-                            keep = near <= limit
-                            some, near = some[keep], near[keep]
-                            if len(near) > rerank:
-                                top = np.lexsort((some, near))[:rerank]
-                                some, near = some[top], near[top]
-                        best[0][i] = np.concatenate((best[0][i], near))
-                        best[1][i] = np.concatenate((best[1][i], some))
-                        cut(i, 4 * rerank)
-        for i in range(len(ids)):
-            cut(i, rerank)
-            yield pa.RecordBatch.from_pydict({"query_id": pa.array(np.full(len(best[1][i]), ids[i])), "vec_id": pa.array(best[1][i]), "estimate": pa.array(best[0][i].astype(np.float64))})
-
-    return indexed.select("id", "list", "code").mapInArrow(run, "query_id long, vec_id long, estimate double")
+            for row in batch.to_pylist():
+                q_rows, q = np.frombuffer(row["q_rows"], "<i8"), np.frombuffer(row["q"], "<f4").reshape(-1, width)
+                rs, lists = np.frombuffer(row["rs"], "<i8"), np.frombuffer(row["lists"], "<i4")
+                codes = np.frombuffer(row["codes"], np.uint8).reshape(-1, len(rs))
+                wanted = np.zeros((len(q), len(index.coarse)), bool)
+                np.put_along_axis(wanted, index.order(q)[:, :probes], True, axis=1)
+                met, first = np.unique(lists, return_index=True)
+                ends = [*first[1:].tolist(), len(lists)]
+                for few in range(0, len(q), 64):
+                    distance = np.full((min(64, len(q) - few), len(rs)), np.inf, np.float32)
+                    for w, a, z in zip(met.tolist(), first.tolist(), ends, strict=True):
+                        ask = np.flatnonzero(wanted[few : few + 64, w])
+                        if len(ask):
+                            table = index.table(q[few + ask], w)
+                            distance[ask, a:z] = sum(table[s][:, codes[s, a:z]] for s in range(len(codes)))
+                    keep = min(rerank, len(rs))
+                    top = np.argpartition(distance, keep - 1, axis=1)[:, :keep]
+                    found = np.take_along_axis(distance, top, axis=1)
+                    good = np.isfinite(found)
+                    who = np.repeat(q_rows[few : few + 64], keep).reshape(found.shape)
+                    yield pa.RecordBatch.from_pydict({"q_row": pa.array(who[good]), "r": pa.array(rs[top][good]), "estimate": pa.array(found[good])})
+
+    return run
