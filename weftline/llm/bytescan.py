@@ -98,12 +98,13 @@ def lowered(column: pa.Array) -> pa.Array:
     return pc.utf8_lower(column)
 
 
-def slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[Slice]:
+def slices(column: pa.Array, limit: int = SLICE_BYTES, rows: int = 1 << 30) -> Iterator[Slice]:
+    """Consecutive rows of at most limit bytes and so many rows; one longer text is alone."""
     data, offsets = column_bytes(column)
     n, at = len(offsets) - 1, 0
     while at < n:
         to = int(np.searchsorted(offsets, offsets[at] + limit, side="right")) - 1
-        to = min(max(to, at + 1), n)
+        to = min(max(to, at + 1), at + rows, n)
         yield Slice(at, data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at])
         at = to
 

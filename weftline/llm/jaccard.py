@@ -13,7 +13,8 @@ reads more postings but asks for m common prefix elements before a pair is verif
    smallest member, which already joins most large groups of near copies. Round two counts,
    for pairs that are not yet in one component, the prefix elements that they share, in packed
    form, and verifies those that share enough for their sizes; pairs within a component can't
-   change it. So a group never turns into rows of all its pairs, and no link between different
+   change it. In large postings, sketches of the sets tell most pairs that can't link before
+   they are counted. So a group never turns into rows of all its pairs, and no link between different
    components is lost.
 """
 
@@ -44,6 +45,10 @@ FLUSH, HELD_PAIRS = 200_000, 400_000
 #: Members of a posting that are compared with each other in one step; larger ones are cut in
 #: parts, and every two parts are compared.
 POSTING = 512
+#: Postings of so many members carry sketches: for sets of at most ``SKETCH`` elements, how many
+#: of them fall in each of ``SKETCH`` buckets. No overlap is larger than the sum of the smaller
+#: counts, so most pairs of a large group that can't link are left out before they are counted.
+SKETCHED, SKETCH = 16, 512
 #: Pairs expanded at once.
 PAIRS = 200_000
 
@@ -248,6 +253,32 @@ def _expanded(left: np.ndarray, right: np.ndarray, own: np.ndarray) -> Iterator[
         at = to
 
 
+def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Mapper: the sketch of each class that isn't too large for one."""
+    for batch in batches:
+        column = batch.column("elements")
+        offsets, values = np.asarray(column.offsets), np.asarray(column.values).view(np.uint64)
+        size = np.diff(offsets)
+        row = np.repeat(np.arange(len(size)), size)
+        slot = (bs.mix(values[offsets[0] : offsets[-1]], 5) % np.uint64(SKETCH)).astype(np.int64)
+        for at in range(0, len(size), 1024):
+            own = (row >= at) & (row < at + 1024)
+            counts = np.bincount((row[own] - at) * SKETCH + slot[own], minlength=min(1024, len(size) - at) * SKETCH).reshape(-1, SKETCH)
+            fits = np.flatnonzero(counts.max(axis=1) < 256)
+            sketches = pa.array([counts[i].astype(np.uint8).tobytes() for i in fits], pa.binary())
+            yield pa.RecordBatch.from_pydict({"cls": batch.column("cls").take(pa.array(fits + at)), "sketch": sketches})
+
+
+def _overlap_bound(x: np.ndarray, y: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Upper bound of the overlap of members i and j by their sketches (all zero: none)."""
+    out = np.empty(len(i), np.int64)
+    for at in range(0, len(i), 8192):
+        a, b = x[i[at : at + 8192]], y[j[at : at + 8192]]
+        most = np.minimum(a, b).sum(axis=1, dtype=np.int64)
+        out[at : at + 8192] = np.where(a.any(axis=1) & b.any(axis=1), most, 1 << 40)
+    return out
+
+
 def _pair_counts(buckets: int):
     """Mapper of round two: for pairs of open classes, how many of these postings they share.
 
@@ -282,6 +313,10 @@ def _pair_counts(buckets: int):
                 column = batch.column(side)
                 members = column.values
                 fields = {c: np.asarray(members.field(c)) for c in ("cls", "n", "r", "rest", "place", "component")}
+                known = members.field("sketch").is_valid().to_numpy(zero_copy_only=False)
+                fields["sketch"] = np.zeros((len(members), SKETCH if known.any() else 0), np.uint8)
+                if known.any():
+                    fields["sketch"][known] = np.frombuffer(b"".join(members.field("sketch").drop_null().to_pylist()), np.uint8).reshape(-1, SKETCH)
                 sides.append((np.asarray(column.offsets).astype(np.int64), fields))
             (left, x), (right, y) = sides
             for i, j in _expanded(left, right, np.asarray(batch.column("own").cast(pa.int8())).astype(bool)):
@@ -292,6 +327,9 @@ def _pair_counts(buckets: int):
                 most = np.minimum(p, q) + 1 + np.minimum(x["r"][i] - 1 - p, y["r"][j] - 1 - q)
                 able = most >= least
                 i, j, least = i[able], j[able], least[able]
+                if len(i) and x["sketch"].shape[1] and y["sketch"].shape[1]:
+                    able = _overlap_bound(x["sketch"], y["sketch"], i, j) >= least
+                    i, j, least = i[able], j[able], least[able]
                 if not len(i):
                     continue
                 one, two = x["cls"][i], y["cls"][j]
@@ -380,8 +418,12 @@ def _components(classes: DataFrame, buckets: int) -> DataFrame:
     own = prefixes.join(joined, "cls", "left").withColumn("component", F.coalesce("component", "cls"))
     opened = own.groupBy("element").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("size")).where("low < high")
     parts = F.ceil(F.col("size") / POSTING).cast("int")
-    dealt = own.join(opened.select("element", parts.alias("parts")), "element").withColumn("part", F.pmod(F.xxhash64("cls"), F.col("parts")))
-    member = F.struct("cls", "n", "r", "rest", "place", "component")
+    dealt = own.join(opened.select("element", "size", parts.alias("parts")), "element").withColumn("part", F.pmod(F.xxhash64("cls"), F.col("parts")))
+    dealt = stored(dealt, "open")
+    large = dealt.where((F.col("size") >= SKETCHED) & (F.col("n") <= SKETCH)).select("cls").distinct()
+    sketches = classes.join(large, "cls", "left_semi").select("cls", "elements").mapInArrow(_sketches, "cls long, sketch binary")
+    dealt = dealt.join(sketches, "cls", "left").withColumn("sketch", F.when(F.col("size") >= SKETCHED, F.col("sketch")))
+    member = F.struct("cls", "n", "r", "rest", "place", "component", "sketch")
     posting = stored(dealt.groupBy("element", "parts", "part").agg(F.collect_list(member).alias("x")), "postings")
     whole = posting.select("x", F.col("x").alias("y"), F.lit(True).alias("own"))
     cut = posting.where("parts > 1").select("element", "part", "x")

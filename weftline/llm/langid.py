@@ -40,6 +40,10 @@ FAMILIES = {
 }
 
 
+#: Rows whose features are held at once: their dense counts take 32 MB.
+ROWS = 1024
+
+
 def family_of(lang: str) -> str:
     return next((name for name, own in FAMILIES.items() if lang.lower() in own), lang)
 
@@ -122,11 +126,13 @@ def fit(labelled: DataFrame, sample: int = SAMPLE) -> Model | None:
     known = labelled.where("text is not null and lang is not null and length(text) > 0")
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))
     ids = known.select("lang", "doc_id", F.xxhash64("doc_id").alias("h")).withColumn("rank", rank).where(F.col("rank") <= sample).select("doc_id", "lang").distinct()
-    chosen = known.join(F.broadcast(ids), ["doc_id", "lang"]).select("lang", "text")
+    chosen = known.join(F.broadcast(ids), ["doc_id", "lang"]).select("lang", "text")  # sample ids a language
+    again = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("text"), "text"))
+    chosen = chosen.withColumn("rank", again).where(F.col("rank") <= sample).select("lang", "text")  # ids may repeat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in bs.slices(batch.column("text")):
+            for part in bs.slices(batch.column("text"), rows=ROWS):
                 x = features(part).astype(np.float16)
                 yield pa.RecordBatch.from_pydict({"lang": batch.column("lang").slice(part.first, part.rows), "x": pa.array([r.tobytes() for r in x], pa.binary())})
 
@@ -167,7 +173,7 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in bs.slices(batch.column("text")):
+            for part in bs.slices(batch.column("text"), rows=ROWS):
                 letters = _has_letter(part)
                 names, score = np.full(part.rows, UNKNOWN, object), np.zeros(part.rows)
                 at = np.flatnonzero(letters)
