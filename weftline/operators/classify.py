@@ -2,30 +2,70 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BINS = 10
 
 
+#: Ranges of scores that running sums are cut into, for each group.
+RANGES = 256
+
+
+def _ranges(rows: DataFrame, by: str) -> Column:
+    """The range of a row's score in its group: 0 has the lowest scores.
+
+    Borders are approximate percentiles, at most ``RANGES`` numbers a group; groups are few
+    (methods), so their borders may be literals of the plan.
+    """
+    shares = [i / RANGES for i in range(1, RANGES)]
+    found = rows.groupBy(by).agg(F.percentile_approx("score", shares, 10_000).alias("cuts")).collect()  # a row for each method
+    chosen = F.lit(0)
+    for r in found:
+        cuts = sorted(set(r.cuts or []))
+        place = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < F.col("score"))) if cuts else F.lit(0)
+        chosen = F.when(F.col(by) == r[by], place).otherwise(chosen)
+    return chosen.cast("int")
+
+
+def _before(sums: DataFrame, by: str, columns: list[str], falling: bool = False) -> DataFrame:
+    """For each group and range: the sums of all ranges before it, as before_<column>."""
+    order = F.desc("range") if falling else F.asc("range")
+    w = Window.partitionBy(by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)  # RANGES rows a group
+    return sums.select(by, "range", *(F.coalesce(F.sum(c).over(w), F.lit(0)).alias(f"before_{c}") for c in columns))
+
+
 def roc_auc(rows: DataFrame, by: str = "method") -> DataFrame:
     """Area by average ranks (ties count half); null if a group has one class.
 
-    Counts of each score are taken first, so the running sums see distinct scores only.
+    Counts of each score are taken first; running sums go over the scores of one range, plus
+    the sums of the ranges below, so no group is one task.
     """
-    counts = rows.groupBy(by, "score").agg(F.sum(F.col("label").cast("long")).alias("pos"), F.sum(1 - F.col("label").cast("long")).alias("neg"))
-    below = F.coalesce(F.sum("neg").over(Window.partitionBy(by).orderBy("score").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    wins = counts.withColumn("wins", F.col("pos") * (below + F.col("neg") / 2.0))
+    label = F.col("label").cast("long")
+    ranged = rows.withColumn("range", _ranges(rows, by))
+    counts = ranged.groupBy(by, "range", "score").agg(F.sum(label).alias("pos"), F.sum(1 - label).alias("neg"))
+    before = _before(counts.groupBy(by, "range").agg(F.sum("neg").alias("neg")), by, ["neg"])
+    inside = F.coalesce(F.sum("neg").over(Window.partitionBy(by, "range").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    joined = counts.withColumn("inside", inside).join(before, [by, "range"])
+    wins = joined.withColumn("wins", F.col("pos") * (F.col("before_neg") + F.col("inside") + F.col("neg") / 2.0))
     total = wins.groupBy(by).agg(F.sum("wins").alias("w"), F.sum("pos").alias("p"), F.sum("neg").alias("n"))
     return total.select(by, F.round(F.when((F.col("p") > 0) & (F.col("n") > 0), F.col("w") / (F.col("p") * F.col("n")).cast("double")), 9).alias("auc"))
 
 
 def precision_areas(rows: DataFrame, by: str = "method", ident: str = "row_id") -> DataFrame:
-    """Average precision and the step-wise area, by falling score, ties by id."""
-    w = Window.partitionBy(by).orderBy(F.desc("score"), ident)
-    ranked = rows.withColumn("place", F.row_number().over(w)).withColumn("tp", F.sum(F.col("label").cast("long")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    precision = F.when(F.col("label") == 1, F.col("tp") / F.col("place").cast("double"))
-    return ranked.groupBy(by).agg(F.round(F.avg(precision), 9).alias("average_precision"), F.round(F.sum(precision) / F.sum(F.col("label").cast("long")), 9).alias("pr_auc_step"))
+    """Average precision and the step-wise area, by falling score, ties by id.
+
+    Places and true positives are counted within ranges of scores, plus those of higher ranges.
+    """
+    label = F.col("label").cast("long")
+    ranged = rows.withColumn("range", _ranges(rows, by)).withColumn("one", F.lit(1))
+    sums = ranged.groupBy(by, "range").agg(F.sum("one").alias("one"), F.sum(label).alias("label"))
+    before = _before(sums, by, ["one", "label"], falling=True)
+    w = Window.partitionBy(by, "range").orderBy(F.desc("score"), ident)
+    placed = ranged.withColumn("place", F.row_number().over(w)).withColumn("tp", F.sum(label).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    joined = placed.join(before, [by, "range"])
+    precision = F.when(F.col("label") == 1, (F.col("tp") + F.col("before_label")) / (F.col("place") + F.col("before_one")).cast("double"))
+    return joined.groupBy(by).agg(F.round(F.avg(precision), 9).alias("average_precision"), F.round(F.sum(precision) / F.sum(label), 9).alias("pr_auc_step"))
 
 
 def threshold_metrics(rows: DataFrame, by: list[str], threshold: float = 0.5) -> DataFrame:

@@ -132,26 +132,34 @@ def near_leakage(df: DataFrame, state: str, ordinal: str, threshold: int = 3) ->
 
 
 def split_dedup(df: DataFrame, transition: str, pair: str, ordinal: str, state: str | None = None, threshold: int = 3) -> DataFrame:
-    """Adds drop_reason (train_leakage, exact_duplicate or null) and matched_id.
+    """Adds drop_reason (train_leakage, exact_duplicate or null), match_type and matched_id.
 
     Leaked rows go first: those whose pair key any train row has and, if ``state`` names a
     simhash column, those whose simhash lies near a train row's. Of the rest the first of each
     pair key stays; equal transition keys imply equal pair keys, so one group decides both.
     """
-    train = df.where("split = 'train'").groupBy(pair).agg(F.max(ordinal).alias("leak_id"))
-    marked = df.join(train, pair, "left").withColumn("exact", (F.col("split") != "train") & F.col("leak_id").isNotNull())
+    none = F.lit(None).cast(dict(df.dtypes)[ordinal])
     if state is None:
-        marked = marked.withColumn("near_id", F.lit(None).cast(dict(df.dtypes)[ordinal]))
+        marked = df.withColumn("near_id", none)
     else:
-        marked = marked.join(near_leakage(df, state, ordinal, threshold), state, "left")
-    marked = marked.withColumn("leaks", F.col("exact") | ((F.col("split") != "train") & F.col("near_id").isNotNull()))
-    firsts = marked.where("not leaks").groupBy(pair).agg(F.min(F.struct(ordinal, transition)).alias("first"))
-    joined = marked.join(firsts, pair, "left")
-    later = ~F.col("leaks") & (F.col("first")[ordinal] < F.col(ordinal))
-    reason = F.when(F.col("leaks"), "train_leakage").when(later, "exact_duplicate")
-    kind = F.when(F.col("exact"), "exact_before_after").when(F.col("leaks"), "near_state").when(later & (F.col("first")[transition] == F.col(transition)), "exact_transition").when(later, "exact_before_after")
-    matched = F.when(F.col("exact"), F.col("leak_id")).when(F.col("leaks"), F.col("near_id")).when(later, F.col("first")[ordinal])
-    return joined.withColumn("drop_reason", reason).withColumn("match_type", kind).withColumn("matched_id", matched).drop("leak_id", "near_id", "exact", "leaks", "first")
+        marked = df.join(near_leakage(df, state, ordinal, threshold), state, "left")
+    # where a key has a train row, all others of it leak and its first row is one of train
+    train = F.col("split") == "train"
+    here = F.struct(ordinal, transition)
+    clean = F.col("near_id").isNull() | train
+    keys = marked.groupBy(pair).agg(
+        F.max(F.when(train, F.col(ordinal))).alias("leak_id"),
+        F.coalesce(F.min(F.when(train, here)), F.min(F.when(clean, here))).alias("first"),
+    )
+    joined = marked.join(keys, pair)
+    exact = ~train & F.col("leak_id").isNotNull()
+    leaks = exact | (~train & F.col("near_id").isNotNull())
+    first = F.col("first")
+    later = ~leaks & (first[ordinal] < F.col(ordinal))
+    reason = F.when(leaks, "train_leakage").when(later, "exact_duplicate")
+    kind = F.when(exact, "exact_before_after").when(leaks, "near_state").when(later & (first[transition] == F.col(transition)), "exact_transition").when(later, "exact_before_after")
+    matched = F.when(exact, F.col("leak_id")).when(leaks, F.col("near_id")).when(later, first[ordinal])
+    return joined.withColumn("drop_reason", reason).withColumn("match_type", kind).withColumn("matched_id", matched).drop("leak_id", "near_id", "first")
 
 
 def zero_filled(counts: DataFrame, column: str, values: tuple[str, ...], count: str = "n") -> DataFrame:

@@ -43,10 +43,10 @@ def centroids(train: DataFrame, label: str = "label") -> DataFrame:
 def nearest_centroid(rows: DataFrame, train: DataFrame, ident: str = "id", label: str = "label") -> DataFrame:
     """ident, actual, predicted: the label of the nearest centroid, ties to the smallest label.
 
-    Centroids are one row per label, a small table that is broadcast.
+    Centroids are one row per label; every row meets each of them.
     """
     c = centroids(train, label).withColumnRenamed(label, "predicted")
-    d = rows.join(F.broadcast(c)).select(ident, F.col(label).alias("actual"), "predicted", F.round(squared_l2(F.col("v"), F.col("c")), 9).alias("d"))
+    d = rows.crossJoin(c).select(ident, F.col(label).alias("actual"), "predicted", F.round(squared_l2(F.col("v"), F.col("c")), 9).alias("d"))
     return d.groupBy(ident, "actual").agg(F.min(F.struct("d", "predicted")).alias("best")).select(ident, "actual", F.col("best.predicted").alias("predicted"))
 
 

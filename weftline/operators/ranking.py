@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,17 +26,122 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(norm == 0, 0.0).otherwise(dot(a, b) / norm)
 
 
+#: Queries and rows that are compared in one step.
+QUERY_BLOCK, ROW_BLOCK = 512, 8192
+
+
+def _packed(size: int, columns: tuple[str, ...]):
+    """Mapper: blocks of rows, each column of numbers packed; the vectors come last, as v."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, size):
+                some = batch.slice(at, size)
+                out = {c: pa.array([np.asarray(some.column(c)).tobytes()], pa.binary()) for c in columns}
+                flat = np.asarray(some.column("v").flatten(), np.float64)
+                yield pa.RecordBatch.from_pydict(out | {"v": pa.array([flat.tobytes()], pa.binary())})
+
+    return run
+
+
+def _block_pairs(queries: DataFrame, rows: DataFrame, extra: tuple[tuple[str, str], ...] = ()) -> DataFrame:
+    """A row for each block of queries (query_id, v) and block of rows (id, v), packed.
+
+    extra: further long columns of the queries and of the rows. Each pair of blocks is one step
+    of some task, so neither side is ever gathered.
+    """
+    own = ("query_id", *(q for q, _ in extra))
+    other = ("id", *(r for _, r in extra))
+    kind = lambda names, v: ", ".join(f"{n} binary" for n in (*names, v))
+    q = queries.select(*(F.col(c).cast("long").alias(c) for c in own), "v").mapInArrow(_packed(QUERY_BLOCK, own), kind(own, "v")).withColumnRenamed("v", "q")
+    r = rows.select(*(F.col(c).cast("long").alias(c) for c in other), "v").mapInArrow(_packed(ROW_BLOCK, other), kind(other, "v"))
+    return r.crossJoin(q)
+
+
+def _distances(x: np.ndarray, y: np.ndarray, distance: str) -> np.ndarray:
+    """Distances of all rows of x and y by a matrix product; near ones are computed anew later."""
+    if distance == "l2":
+        return np.maximum((x * x).sum(axis=1)[:, None] - 2 * (x @ y.T) + (y * y).sum(axis=1)[None], 0)
+    norm = np.linalg.norm(x, axis=1)[:, None] * np.linalg.norm(y, axis=1)[None]
+    return 1 - np.divide(x @ y.T, norm, out=np.zeros_like(norm), where=norm > 0)
+
+
 def nearest(queries: DataFrame, rows: DataFrame, k: int, distance: str = "l2") -> DataFrame:
-    """query_id, rank, id, distance: exact neighbours of a bounded set of queries.
+    """query_id, rank, id, distance: exact neighbours of the queries (query_id, q) among rows (id, v).
 
-    ``queries`` (query_id, q) is a stated, small set: it is broadcast against all rows (id, v).
+    l2 is the squared distance; cosine of a zero vector is 0. Blocks of queries meet blocks of
+    rows; each step keeps what its rows may add to a query's k nearest.
     """
-    d = squared_l2(F.col("q"), F.col("v")) if distance == "l2" else 1 - cosine(F.col("q"), F.col("v"))
-    pairs = rows.join(F.broadcast(queries), F.col("id") != F.col("query_id")).select("query_id", "id", F.round(d, 6).alias("distance"))
-    ranked = pairs.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "id")))
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                ask, ids = np.frombuffer(row["query_id"], np.int64), np.frombuffer(row["id"], np.int64)
+                q, v = np.frombuffer(row["q"]).reshape(len(ask), -1), np.frombuffer(row["v"]).reshape(len(ids), -1)
+                d = _distances(q, v, distance)
+                d[ask[:, None] == ids[None]] = np.inf
+                keep = min(k, len(ids))
+                limit = np.partition(d, keep - 1, axis=1)[:, keep - 1]
+                i, j = np.nonzero(d <= (limit + 2e-6)[:, None])  # ties after rounding stay
+                i, j = i[np.isfinite(d[i, j])], j[np.isfinite(d[i, j])]
+                exact = ((q[i] - v[j]) ** 2).sum(axis=1) if distance == "l2" else d[i, j]
+                yield pa.RecordBatch.from_pydict({"query_id": pa.array(ask[i]), "id": pa.array(ids[j]), "distance": pa.array(exact)})
+
+    found = _block_pairs(queries.select("query_id", F.col("q").alias("v")), rows).mapInArrow(best, "query_id long, id long, distance double")
+    found = found.withColumn("distance", F.round("distance", 6))
+    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "id")))
     return ranked.where(F.col("rank") <= k).select("query_id", "rank", "id", "distance")
 
 
+def _with_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        bits = np.asarray(batch.column("d"), np.float64).view(np.int64)
+        yield pa.RecordBatch.from_pydict({"query_id": batch.column("query_id"), "limit": pa.array(bits), "target": batch.column("target"), "v": batch.column("v")})
+
+
+def nearest_target_ranks(queries: DataFrame, rows: DataFrame) -> DataFrame:
+    """query_id, rank, candidates: the place of the nearest row of the query's label among all rows.
+
+    queries: query_id, q, label; rows: id, v, label (numbers). By squared distance to six
+    digits, ties by id. Targets come first; then every step only counts what beats them.
+    """
+
+    def unpack(row: dict) -> tuple[np.ndarray, ...]:
+        ask, ids = np.frombuffer(row["query_id"], np.int64), np.frombuffer(row["id"], np.int64)
+        q, v = np.frombuffer(row["q"]).reshape(len(ask), -1), np.frombuffer(row["v"]).reshape(len(ids), -1)
+        d = np.round(_distances(q, v, "l2"), 6)
+        d[ask[:, None] == ids[None]] = np.inf
+        return ask, ids, d
+
+    def targets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                ask, ids, d = unpack(row)
+                same = np.frombuffer(row["label"], np.int64)[:, None] == np.frombuffer(row["own"], np.int64)[None]
+                d = np.where(same, d, np.inf)
+                least = d.min(axis=1)
+                at = np.where(d == least[:, None], ids[None], np.iinfo(np.int64).max).min(axis=1)
+                good = np.isfinite(least)
+                yield pa.RecordBatch.from_pydict({"query_id": pa.array(ask[good]), "d": pa.array(least[good]), "target": pa.array(at[good])})
+
+    def better(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                ask, ids, d = unpack(row)
+                limit, target = np.frombuffer(row["limit"], np.int64).view(np.float64)[:, None], np.frombuffer(row["target"], np.int64)[:, None]
+                wins = ((d < limit) | ((d == limit) & (ids[None] < target))).sum(axis=1)
+                yield pa.RecordBatch.from_pydict({"query_id": pa.array(ask), "wins": pa.array(wins.astype(np.int64)), "others": pa.array(np.isfinite(d).sum(axis=1).astype(np.int64))})
+
+    asked = queries.select("query_id", F.col("q").alias("v"), "label")
+    found = _block_pairs(asked, rows.withColumnRenamed("label", "own"), (("label", "own"),)).mapInArrow(targets, "query_id long, d double, target long")
+    best = found.groupBy("query_id").agg(F.min(F.struct("d", "target")).alias("t"))
+    # a distance travels as its bits: blocks hold columns of longs and one of vectors
+    known = asked.join(best.select("query_id", "t.d", "t.target"), "query_id").mapInArrow(_with_bits, "query_id long, limit long, target long, v array<double>")
+    zero = rows.withColumn("a", F.lit(0)).withColumn("b", F.lit(0))
+    counted = _block_pairs(known, zero, (("limit", "a"), ("target", "b"))).mapInArrow(better, "query_id long, wins long, others long")
+    return counted.groupBy("query_id").agg((F.sum("wins") + 1).cast("int").alias("rank"), F.sum("others").alias("candidates"))
+
+
 def target_ranks(scores: DataFrame) -> DataFrame:
     """query_id, rank, candidates: place of the target by falling score, ties by position."""
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "position")
@@ -52,15 +161,27 @@ def claim_gate(metrics: DataFrame, prediction: str = "prediction") -> DataFrame:
     return base.join(F.broadcast(own)).select("method", F.round(F.col("p1") - F.col("r1"), 9).alias("delta_r1"), F.round(F.col("pm") - F.col("mrr"), 9).alias("delta_mrr"), ((F.col("p1") > F.col("r1")) & (F.col("pm") > F.col("mrr"))).alias("gate_open"))
 
 
-def ordered_first_pass(rows: DataFrame, problem: str, order: list) -> DataFrame:
-    """Rank of each problem's first passing completion (null without one), and its pool."""
-    ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy(problem).orderBy(*order)))
-    return ranked.groupBy(problem).agg(F.min(F.when(F.col("passed"), F.col("rank"))).alias("first_pass"), F.count(F.lit(1)).alias("pool"), F.count_if("passed").alias("passes"))
+def first_passes(rows: DataFrame, problem: str, orders: dict[str, list]) -> DataFrame:
+    """problem, method, first_pass (null without one), pool, passes: all orders over one exchange."""
+    ranked, rank = rows, lambda m: F.col(f"_{m}")
+    for method, order in orders.items():
+        ranked = ranked.withColumn(f"_{method}", F.row_number().over(Window.partitionBy(problem).orderBy(*order)))
+    firsts = [F.min(F.when(F.col("passed"), rank(m))).alias(f"_{m}") for m in orders]
+    each = ranked.groupBy(problem).agg(*firsts, F.count(F.lit(1)).alias("pool"), F.count_if("passed").alias("passes"))
+    methods = F.array(*(F.struct(F.lit(m).alias("method"), rank(m).alias("first_pass")) for m in orders))
+    return each.select(problem, F.explode(methods).alias("x"), "pool", "passes").select(problem, "x.*", "pool", "passes")
 
 
 def pass_metrics(firsts: DataFrame, k: int = 3) -> DataFrame:
+    """method, problems, pass_at_1, pass_at_k, mrr, mean_first_pass."""
     hit = lambda n: F.round(F.avg(F.when(F.col("first_pass") <= n, 1.0).otherwise(0.0)), 9)
-    return firsts.agg(F.count(F.lit(1)).alias("problems"), hit(1).alias("pass_at_1"), hit(k).alias("pass_at_k"), F.round(F.avg(F.coalesce(1.0 / F.col("first_pass"), F.lit(0.0))), 9).alias("mrr"), F.round(F.avg("first_pass"), 9).alias("mean_first_pass"))
+    return firsts.groupBy("method").agg(
+        F.count(F.lit(1)).alias("problems"),
+        hit(1).alias("pass_at_1"),
+        hit(k).alias("pass_at_k"),
+        F.round(F.avg(F.coalesce(1.0 / F.col("first_pass"), F.lit(0.0))), 9).alias("mrr"),
+        F.round(F.avg("first_pass"), 9).alias("mean_first_pass"),
+    )
 
 
 def true_rank_half_ties(better: Column, ties: Column) -> Column:

@@ -45,7 +45,7 @@ def train_leakage_exact(s, d):
 
 
 def split_dedup(s, d):
-    return C.split_dedup(records(s, d), "transition", "pair", "doc_id").select("doc_id", "split", "drop_reason", "match_type", "matched_id")
+    return C.split_dedup(records(s, d).select("doc_id", "split", "pair", "transition"), "transition", "pair", "doc_id").select("doc_id", "split", "drop_reason", "match_type", "matched_id")
 
 
 def split_dedup_report(s, d):
@@ -87,7 +87,7 @@ def drop_reason_by_source(s, d):
 
 
 def row_accounting(s, d):
-    r = C.split_dedup(records(s, d), "transition", "pair", "doc_id")
+    r = C.split_dedup(records(s, d).select("doc_id", "split", "pair", "transition"), "transition", "pair", "doc_id")
     n = r.agg(F.count(F.lit(1)).alias("loaded"), F.count_if(F.col("drop_reason").isNull()).alias("kept"), F.count_if(F.col("drop_reason") == "train_leakage").alias("leaked"), F.count_if(F.col("drop_reason") == "exact_duplicate").alias("duplicates"))
     return n.withColumn("balanced", F.col("loaded") == F.col("kept") + F.col("leaked") + F.col("duplicates"))
 

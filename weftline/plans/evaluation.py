@@ -40,16 +40,11 @@ def retrieval_prior(s, d):
     return knn_l2(s, d).groupBy("query_id").agg(F.round(F.avg("distance"), 6).alias("prior"))
 
 
-def scores(s, d):
-    """Each query against all other rows; the target is the nearest row of the query's label."""
-    q = vectors(s, d).where("id % 50 = 0").select(F.col("id").alias("query_id"), F.col("v").alias("q"), F.col("label").alias("ql"))
-    pairs = vectors(s, d).join(F.broadcast(q), F.col("id") != F.col("query_id")).select("query_id", F.col("id").alias("position"), (-F.round(R.squared_l2(F.col("q"), F.col("v")), 6)).alias("score"), (F.col("label") == F.col("ql")).alias("same"))
-    best = pairs.where("same").groupBy("query_id").agg(F.min(F.struct((-F.col("score")).alias("d"), F.col("position").alias("target_id"))).alias("b")).select("query_id", "b.target_id")
-    return pairs.join(F.broadcast(best), "query_id").withColumn("target", F.col("position") == F.col("target_id"))
-
-
 def rank_targets(s, d):
-    return R.target_ranks(scores(s, d))
+    """Each query against all other rows; the target is the nearest row of the query's label."""
+    v = vectors(s, d)
+    q = v.where("id % 50 = 0").select(F.col("id").alias("query_id"), F.col("v").alias("q"), "label")
+    return R.nearest_target_ranks(q, v)
 
 
 def retrieval_metrics(s, d):
@@ -62,13 +57,8 @@ def completions(s, d):
 
 
 def rerank_pass_at_k(s, d):
-    c = completions(s, d)
     orders = {"model": [F.desc("model"), "completion_id"], "lexical": [F.desc("lexical"), "completion_id"], "hash": ["completion_id"]}
-    out = None
-    for name, order in orders.items():
-        one = R.pass_metrics(R.ordered_first_pass(c, "l_orderkey", order)).select(F.lit(name).alias("method"), "*")
-        out = one if out is None else out.unionByName(one)
-    return out
+    return R.pass_metrics(R.first_passes(completions(s, d), "l_orderkey", orders))
 
 
 def rerankability_headroom(s, d):
@@ -82,7 +72,7 @@ def anti_saturation_report(s, d):
 
 
 def rotated_baseline(s, d):
-    """Within orders of equal size in ship order, each line's price moves on by one."""
+    """Within an order, each line gets the price of the next one by its id."""
     c = completions(s, d)
     return R.rotated(c, ["l_orderkey"], ["completion_id"], "model").select("l_orderkey", "completion_id", "rotated")
 
