@@ -1,7 +1,7 @@
 """All registered queries of the library's own operators, with their SQL."""
 
-from .plans import code, curation, evaluation, pools, reports
+from .plans import code, curation, evaluation, pools, reports, rows
 
-AREAS = (code, curation, evaluation, pools, reports)
+AREAS = (code, curation, evaluation, pools, reports, rows)
 QUERIES = {name: query for area in AREAS for name, query in area.QUERIES.items()}
 ORACLES = {name: sql for area in AREAS for name, sql in area.ORACLES.items()}

@@ -1,7 +1,7 @@
-"""Bootstrap intervals, out-of-fold calibration and the eigen part of the collapse report.
+"""Bootstrap intervals, and reports on the geometry of vectors.
 
-The first two work on one bounded row per problem, grouped by method; the last needs only the
-d x d sums of products, which the executors add up.
+Intervals are sums per round that executors add up; geometry needs only the d x d sums of
+products, whose eigenvalues are taken on the driver.
 """
 
 from __future__ import annotations
@@ -58,3 +58,90 @@ def effective_rank(vectors: DataFrame, vector: str = "v") -> DataFrame:
     p = values[values > 0] / values.sum() if values.sum() > 0 else np.ones(1)
     rank = float(np.exp(-(p * np.log(p)).sum()))
     return spark.createDataFrame([(n, round(rank, 6), round(rank / d, 6))], "n long, effective_rank double, rank_ratio double")
+
+
+def paired_lift_ci(df: DataFrame, method: str, baselines: list[str], value: str, rounds: int = 1000, seed: int = 0) -> DataFrame:
+    """baseline, lift, low, high: interval of a method's mean minus each baseline's, paired by task.
+
+    df: task, method, value. Fewer than 20 tasks give nulls.
+    """
+    own = df.where(F.col("method") == method).select("task", F.col(value).alias("own"))
+    pairs = df.where(F.col("method").isin(*baselines)).join(own, "task").select(F.col("method").alias("baseline"), "task", (F.col("own") - F.col(value)).alias("lift"))
+    found = bootstrap_ci(pairs, "baseline", "lift", rounds, seed)
+    enough = pairs.groupBy("baseline").agg(F.count(F.lit(1)).alias("tasks"))
+    keep = lambda c: F.when(F.col("tasks") >= 20, F.col(c)).alias(c)
+    return found.join(enough, "baseline").select("baseline", F.col("mean").alias("lift"), keep("low"), keep("high"))
+
+
+def lcg_choices(seed: int, n: int, count: int) -> list[int]:
+    """Rows that a linear congruential generator draws from n, one after the other."""
+    import hashlib
+
+    state, out = int(hashlib.sha256(str(seed).encode()).hexdigest()[:16], 16), []
+    for _ in range(count):
+        state = (1103515245 * state + 12345) % 2**31
+        out.append(state % n)
+    return out
+
+
+def _sums(vectors: DataFrame, vector: str) -> tuple[int, np.ndarray, np.ndarray]:
+    """(rows, sums, sums of products) of all vectors: d + d * d numbers reach the driver."""
+
+    def partial(batches):
+        n, s, q = 0, None, None
+        for pdf in batches:
+            if len(pdf):
+                x = np.array(pdf[vector].tolist(), float)
+                n, s, q = n + len(x), x.sum(axis=0) + (0 if s is None else s), x.T @ x + (0 if q is None else q)
+        if n:
+            yield pd.DataFrame({"i": np.arange(1 + s.size + q.size), "x": np.concatenate(([n], s, q.ravel()))})
+
+    found = vectors.select(vector).mapInPandas(partial, "i int, x double").groupBy("i").agg(F.sum("x").alias("x")).orderBy("i").toPandas()["x"].to_numpy()
+    if not len(found):
+        return 0, np.zeros(0), np.zeros((0, 0))
+    d = int(round((-1 + (1 + 4 * (len(found) - 1)) ** 0.5) / 2))
+    return int(found[0]), found[1 : 1 + d], found[1 + d :].reshape(d, d)
+
+
+def collapse_report(vectors: DataFrame, vector: str = "v") -> DataFrame:
+    """One row: variances (least, median, largest), effective rank and its ratio, mean cosine, mean norm."""
+    from .latents import mean_pair_cosine
+
+    n, s, q = _sums(vectors, vector)
+    spark = vectors.sparkSession
+    schema = "n long, per_dim_variance_min double, per_dim_variance_median double, per_dim_variance_max double, effective_rank double, effective_rank_ratio double, mean_cosine double, mean_norm double"
+    if n < 2:
+        return spark.createDataFrame([(n, *[None] * 7)], schema)
+    covariance = q / n - np.outer(s / n, s / n)
+    variance = np.clip(np.diag(covariance), 0, None)
+    values = np.clip(np.linalg.eigvalsh(covariance), 0, None)
+    p = values[values > 0] / values.sum() if values.sum() > 0 else np.ones(1)
+    rank = float(np.exp(-(p * np.log(p)).sum()))
+    norm = vectors.agg(F.avg(F.sqrt(F.aggregate(vector, F.lit(0.0), lambda a, x: a + x * x)))).first()[0]
+    cosine = mean_pair_cosine(vectors.select(F.col(vector).alias("v"))).first()[0]
+    return spark.createDataFrame([(n, float(variance.min()), float(np.median(variance)), float(variance.max()), rank, rank / len(s), float(cosine), float(norm))], schema)
+
+
+def latent_matrix(vectors: DataFrame, vector: str = "v", top: int = 16) -> DataFrame:
+    """dim, mean, variance, std of the dimensions with most variance, by falling sample variance."""
+    n, s, q = _sums(vectors, vector)
+    if n < 2:
+        return vectors.sparkSession.createDataFrame([], "dim int, mean double, variance double, std double")
+    mean = s / n
+    variance = np.clip((np.diag(q) - n * mean * mean) / (n - 1), 0, None)
+    order = np.lexsort((np.arange(len(s)), -np.round(variance, 12)))[:top]
+    rows = [(int(i), float(mean[i]), float(variance[i]), float(variance[i] ** 0.5)) for i in order]
+    return vectors.sparkSession.createDataFrame(rows, "dim int, mean double, variance double, std double")
+
+
+def correlations(vectors: DataFrame, vector: str = "v") -> DataFrame:
+    """a, b, correlation of all dimensions a < b; 0 where one doesn't vary."""
+    n, s, q = _sums(vectors, vector)
+    if n < 2:
+        return vectors.sparkSession.createDataFrame([], "a int, b int, correlation double")
+    covariance = (q - np.outer(s, s) / n) / (n - 1)
+    std = np.sqrt(np.clip(np.diag(covariance), 0, None))
+    both = np.outer(std, std)
+    r = np.divide(covariance, both, out=np.zeros_like(covariance), where=both > 1e-15)
+    rows = [(i, j, float(r[i, j])) for i in range(len(s)) for j in range(i + 1, len(s))]  # d * d / 2 rows
+    return vectors.sparkSession.createDataFrame(rows, "a int, b int, correlation double")

@@ -45,6 +45,13 @@ def read_codenet(spark: SparkSession, path: str) -> DataFrame:
     return rows.withColumn("judge_verdict", T.verdict(F.col("judge_verdict"))).withColumn("test_cases", F.filter("test_cases", lambda x: x["input"].isNotNull()))
 
 
+def load_source(spark: SparkSession, kind: str, path: str, **options) -> DataFrame:
+    """The rows of a source of a registered kind."""
+    if kind not in READERS:
+        raise ValueError(f"unknown source {kind!r}; known: {', '.join(sorted(READERS))}")
+    return READERS[kind](spark, path, **options)
+
+
 READERS = {"fixture": read_fixture, "commits": read_commits, "apps": read_apps, "codenet": read_codenet}
 
 
