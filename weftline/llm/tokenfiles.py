@@ -23,7 +23,7 @@ _encoders: dict[tuple[str, bool], Callable[[str], bytes]] = {}
 #: letters is a chunk of its own before a full stop or comma, so that it is met more often.
 _CHUNKS = re.compile(r"[ \t\n\r\x0b\x0c]*[A-Za-zÀ-ÖØ-öø-ÿ]+(?=[.,\s])|[ \t\n\r\x0b\x0c]*[^ \t\n\r\x0b\x0c]+|[ \t\n\r\x0b\x0c]+\Z")
 #: White space that is not ASCII (or that only some libraries call white space).
-_ODD = re.compile(r"[\x1c-\x1f\x85\xa0 ᠎ -‏    ⁠　﻿]")
+_ODD = re.compile(r"[\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\u2028\u2029\u202f\u205f\u2060\u3000\ufeff]")
 _WORDS = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+(?=[.,\s])|[^ \t\n\r\x0b\x0c]+")
 
 
