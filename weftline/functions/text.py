@@ -17,7 +17,11 @@ NAME_TOKEN = r"[A-Za-z_][A-Za-z0-9_]*|\d+"
 
 # Patterns of secret values.
 SECRET_VALUE = r"(?i)((?<![A-Za-z0-9_])sk-[A-Za-z0-9_-]{20,}|gh[pousr]_[A-Za-z0-9_]{12,}|xox[baprs]-[A-Za-z0-9-]{12,}|AKIA[0-9A-Z]{12,})"
+# Names of fields that hold secrets, marks, and from where on a text is long.
+SECRET_KEY = r"(?i)(token|api[_-]?key|password|passwd|credential|secret)"
+SECRET_MARK = "[REDACTED_SECRET]"
 LONGEST_LINES, LONGEST_CHARS = 20, 4000
+LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
 
 
 def stripped(text: Column) -> Column:
@@ -127,11 +131,17 @@ def checked_width(ids: Column, width: int) -> Column:
 
 
 def redacted(text: Column) -> Column:
-    """Secret values and home folders replaced; long texts become a digest."""
-    clean = F.regexp_replace(F.regexp_replace(text, SECRET_VALUE, "<redacted:secret>"), r"(/home|/Users)/[^/\s]+", "<redacted:home>")
-    lines = F.size(F.split(text, "\n"))
-    digest = F.concat(F.lit("<redacted:text sha256="), F.sha2(text, 256), F.lit(">"))
-    return F.when((lines > LONGEST_LINES) | (F.length(text) > LONGEST_CHARS), digest).otherwise(clean)
+    """Home folders as ~ and secret values as a mark; a long text becomes a digest of what is left."""
+    clean = F.regexp_replace(F.regexp_replace(text, r"(/home|/Users)/[^/\s]+", "~"), SECRET_VALUE, F.lit(SECRET_MARK))
+    parts = F.size(F.split(clean, LINE_END))
+    lines = parts - F.when(clean.rlike(f"({LINE_END})\\z"), 1).otherwise(0)  # a last line end ends no further line
+    digest = F.concat(F.lit("[REDACTED_LONG_TEXT sha256="), F.substring(F.sha2(clean, 256), 1, 16), F.lit(" lines="), lines, F.lit(" chars="), F.length(clean), F.lit("]"))
+    return F.when((lines > LONGEST_LINES) | (F.length(clean) > LONGEST_CHARS), digest).otherwise(clean)
+
+
+def redacted_fields(fields: Column) -> Column:
+    """A map of texts, redacted; what a secret's name leads to is a mark whatever it holds."""
+    return F.transform_values(fields, lambda k, v: F.when(k.rlike(SECRET_KEY), SECRET_MARK).otherwise(redacted(v)))
 
 
 def redacted_path(path: Column) -> Column:

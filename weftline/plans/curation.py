@@ -93,13 +93,23 @@ def row_accounting(s, d):
 
 
 def secret_scan_findings(s, d):
-    return C.secret_findings(read(s, d, "documents"), "doc_id", "text")
+    """documents, every tenth with a line that holds a made-up secret of one of four kinds."""
+    value = F.concat(F.element_at(F.array(*map(F.lit, ("sk-", "ghp_", "xoxb-", "AKIA"))), (F.col("doc_id") % 4 + 1).cast("int")), F.upper(F.md5(F.col("doc_id").cast("string"))))
+    line = F.when(F.col("doc_id") % 10 == 0, F.concat(F.lit("\nkey: "), value)).otherwise("")
+    docs = read(s, d, "documents").select("doc_id", F.concat("text", line).alias("text"))
+    return C.secret_findings(docs, "doc_id", "text")
 
 
 def redact_text(s, d):
     return read(s, d, "conversations").select("conv_id", "turn", F.sha2(T.redacted(F.col("text")), 256).alias("redacted_sha256"))
 
 
+def redact_fields(s, d):
+    note = F.concat(F.lit("see /home/someone/x and ghp_ABCDEFGHIJKL0123 of "), "n_name")
+    fields = T.redacted_fields(F.create_map(F.lit("Api-Key"), F.col("n_name"), F.lit("note"), note))
+    return read(s, d, "nation").withColumn("f", fields).select("n_nationkey", F.col("f")["Api-Key"].alias("api_key"), F.col("f")["note"].alias("note"))
+
+
 def path_redaction(s, d):
     return read(s, d, "pages").select("page_id", T.redacted_path(F.regexp_replace("url", "^https?://[^/]*", "")).alias("path"))
 
@@ -167,10 +177,11 @@ def near_dup_members_md5(s, d):
     return C.key_members(every, "doc_id", "key").select("doc_id", "representative")
 
 
-QUERIES = {f.__name__: f for f in (license_gate_report, source_license_counts, split_assignment, split_counts, exact_dedup_keep_first, train_leakage_exact, split_dedup, split_dedup_report, split_dedup_near, filter_cascade, filter_cascade_report, drop_reason_by_source, row_accounting, secret_scan_findings, redact_text, path_redaction, problem_split, split_leakage_report, group_pair_counts, top_counts, bucket_distributions, token_counts, token_count_buckets, padded_tokens, near_dup_pairs_md5, near_dup_members_md5)}
+QUERIES = {f.__name__: f for f in (license_gate_report, source_license_counts, split_assignment, split_counts, exact_dedup_keep_first, train_leakage_exact, split_dedup, split_dedup_report, split_dedup_near, filter_cascade, filter_cascade_report, drop_reason_by_source, row_accounting, secret_scan_findings, redact_text, redact_fields, path_redaction, problem_split, split_leakage_report, group_pair_counts, top_counts, bucket_distributions, token_counts, token_count_buckets, padded_tokens, near_dup_pairs_md5, near_dup_members_md5)}
 
 CODE, NAME = r"[A-Za-z_][A-Za-z0-9_]*|[0-9]+|[^\s\x0b]", r"[A-Za-z_][A-Za-z0-9_]*|[0-9]+"
-SECRET = r"(?i)(gh[pousr]_[A-Za-z0-9_]{12,}|xox[baprs]-[A-Za-z0-9-]{12,}|AKIA[0-9A-Z]{12,}|\bsk-[A-Za-z0-9_-]{20,})"
+# DuckDB's patterns have no look-behind; before "sk-" a word border says the same
+SECRET = T.SECRET_VALUE.replace("(?<![A-Za-z0-9_])", r"\b")
 
 ORACLES = {
     "license_gate_report": f"""WITH {LICENSED_SQL} SELECT included, kind, value, count(*) AS n FROM (
@@ -187,8 +198,9 @@ ORACLES = {
     "filter_cascade_report": f"{CASCADE} SELECT coalesce(drop_reason, 'kept') AS reason, count(*) AS n FROM c GROUP BY ALL",
     "drop_reason_by_source": f"WITH {LICENSED_SQL} SELECT source, count(*) AS loaded, count(*) FILTER (WHERE allowed) AS included, count(*) FILTER (WHERE NOT allowed) AS excluded FROM dec GROUP BY source",
     "row_accounting": f"{DEDUP} SELECT *, loaded = kept + leaked + duplicates AS balanced FROM (SELECT count(*) AS loaded, count(*) FILTER (WHERE drop_reason IS NULL) AS kept, count(*) FILTER (WHERE drop_reason = 'train_leakage') AS leaked, count(*) FILTER (WHERE drop_reason = 'exact_duplicate') AS duplicates FROM out)",
-    "secret_scan_findings": rf"WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(1, len(string_split(text, chr(10))) + 1))::INT AS line_no FROM documents) SELECT doc_id, line_no, sha256(unnest(regexp_extract_all(line, '{SECRET}'))) AS digest FROM l WHERE regexp_matches(line, '{SECRET}')",
-    "redact_text": rf"SELECT conv_id, turn, sha256(CASE WHEN len(string_split(text, chr(10))) > 20 OR length(text) > 4000 THEN '<redacted:text sha256=' || sha256(text) || '>' ELSE regexp_replace(regexp_replace(text, '{SECRET}', '<redacted:secret>', 'g'), '(/home|/Users)/[^/\s]+', '<redacted:home>', 'g') END) AS redacted_sha256 FROM conversations",
+    "secret_scan_findings": rf"WITH t AS (SELECT doc_id, text || CASE WHEN doc_id % 10 = 0 THEN chr(10) || 'key: ' || (['sk-', 'ghp_', 'xoxb-', 'AKIA'])[doc_id % 4 + 1] || upper(md5(doc_id::VARCHAR)) ELSE '' END AS text FROM documents), l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(1, len(string_split(text, chr(10))) + 1))::INT AS line_no FROM t) SELECT doc_id, line_no, sha256(unnest(regexp_extract_all(line, '{SECRET}'))) AS digest FROM l WHERE regexp_matches(line, '{SECRET}')",
+    "redact_text": rf"WITH c AS (SELECT conv_id, turn, regexp_replace(regexp_replace(text, '(/home|/Users)/[^/\s]+', '~', 'g'), '{SECRET}', '[REDACTED_SECRET]', 'g') AS t FROM conversations), n AS (SELECT *, len(string_split(t, chr(10))) - CASE WHEN ends_with(t, chr(10)) THEN 1 ELSE 0 END AS n FROM c) SELECT conv_id, turn, sha256(CASE WHEN n > 20 OR length(t) > 4000 THEN '[REDACTED_LONG_TEXT sha256=' || substr(sha256(t), 1, 16) || ' lines=' || n || ' chars=' || length(t) || ']' ELSE t END) AS redacted_sha256 FROM n",
+    "redact_fields": "SELECT n_nationkey, '[REDACTED_SECRET]' AS api_key, 'see ~/x and [REDACTED_SECRET] of ' || n_name AS note FROM nation",
     "path_redaction": "SELECT page_id, CASE WHEN p LIKE '/%' THEN '<redacted:absolute:sha256=' || sha256(p) || '>' ELSE p END AS path FROM (SELECT page_id, regexp_replace(url, '^https?://[^/]*', '') AS p FROM pages)",
     "problem_split": f"SELECT l_orderkey, {split_sql('l_orderkey::VARCHAR')} AS split FROM (SELECT DISTINCT l_orderkey FROM lineitem)",
     "split_leakage_report": f"SELECT custkey, array_to_string(list_sort(list(DISTINCT split)), ',') AS splits FROM (SELECT o_custkey AS custkey, {split_sql('o_orderkey::VARCHAR')} AS split FROM orders) GROUP BY custkey HAVING count(DISTINCT split) > 1",
