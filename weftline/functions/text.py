@@ -176,26 +176,41 @@ def verdict(value: Column) -> Column:
     return F.when(name.isin(*VERDICTS), name).otherwise("unknown")
 
 
+def bound(value: Column, body) -> Column:
+    """body(value), with the value computed once however often body uses it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def lexical_cosine(a: Column, b: Column) -> Column:
     """Cosine of the term counts of two token arrays; 0 if one is empty."""
-    terms = F.array_distinct(F.array_intersect(a, b))
-    times = lambda tokens, t: F.size(F.filter(tokens, lambda x: x == t)).cast("double")
-    dot = F.aggregate(terms, F.lit(0.0), lambda s, t: s + times(a, t) * times(b, t))
-    square = lambda tokens: F.aggregate(F.array_distinct(tokens), F.lit(0.0), lambda s, t: s + times(tokens, t) * times(tokens, t))
-    empty = (F.size(a) == 0) | (F.size(b) == 0)
-    return F.when(empty, 0.0).otherwise(dot / F.greatest(F.sqrt(square(a)) * F.sqrt(square(b)), F.lit(1e-12)))
+
+    def of(x: Column) -> Column:
+        times = lambda tokens, t: F.size(F.filter(tokens, lambda y: y == t)).cast("double")
+        square = lambda tokens: F.aggregate(F.array_distinct(tokens), F.lit(0.0), lambda s, t: s + times(tokens, t) * times(tokens, t))
+        dot = F.aggregate(F.array_intersect(x["a"], x["b"]), F.lit(0.0), lambda s, t: s + times(x["a"], t) * times(x["b"], t))
+        norm = F.sqrt(square(x["a"])) * F.sqrt(square(x["b"]))
+        return F.when((F.size(x["a"]) == 0) | (F.size(x["b"]) == 0), 0.0).otherwise(dot / F.greatest(norm, F.lit(1e-12)))
+
+    return bound(F.struct(a.alias("a"), b.alias("b")), of)
 
 
 def hashed_vector(tokens_: Column, width: int) -> Column:
     """Unit vector of signed token counts: place and sign of a token come from its sha256."""
-    digest = F.transform(tokens_, lambda x: F.sha2(x, 256))
-    place = F.transform(digest, lambda h: F.pmod(F.conv(F.substring(h, 1, 8), 16, 10).cast("long"), F.lit(width)))
-    sign = F.transform(digest, lambda h: F.when(F.pmod(F.conv(F.substring(h, 9, 2), 16, 10).cast("long"), F.lit(2)) == 0, 1.0).otherwise(-1.0))
-    pairs = F.arrays_zip(place.alias("p"), sign.alias("s"))
-    at = lambda i: F.aggregate(pairs, F.lit(0.0), lambda total, x: total + F.when(x["p"] == i, x["s"]).otherwise(0.0))
-    raw = F.transform(F.sequence(F.lit(0), F.lit(width - 1)), at)
-    norm = F.sqrt(F.aggregate(raw, F.lit(0.0), lambda total, x: total + x * x))
-    return F.transform(raw, lambda x: F.when(norm == 0, x).otherwise(x / norm))
+
+    def signed(token: Column) -> Column:
+        number = lambda h, at, n: F.conv(F.substring(h, at, n), 16, 10).cast("long")
+        pair = lambda h: F.struct(F.pmod(number(h, 1, 8), F.lit(width)).alias("p"), F.when(number(h, 9, 2) % 2 == 0, 1.0).otherwise(-1.0).alias("s"))
+        return bound(F.sha2(token, 256), pair)
+
+    def counted(pairs: Column) -> Column:
+        at = lambda i: F.aggregate(pairs, F.lit(0.0), lambda total, x: total + F.when(x["p"] == i, x["s"]).otherwise(0.0))
+        return F.transform(F.sequence(F.lit(0), F.lit(width - 1)), at)
+
+    def unit(raw: Column) -> Column:
+        norm = F.sqrt(F.aggregate(raw, F.lit(0.0), lambda total, x: total + x * x))
+        return bound(F.struct(raw.alias("v"), norm.alias("n")), lambda s: F.transform(s["v"], lambda x: F.when(s["n"] == 0, x).otherwise(x / s["n"])))
+
+    return bound(bound(F.transform(tokens_, signed), counted), unit)
 
 
 def int_sequence_hash(ids: Column) -> Column:

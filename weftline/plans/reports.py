@@ -13,6 +13,7 @@ from ..operators import calibrator as O
 from ..operators import ranking as R
 from ..operators import reports as P
 from .common import read, split_sql
+from .evaluation import ORACLES as EVALUATION
 
 
 MODES = ("AIR", "MAIL", "RAIL", "SHIP", "TRUCK")
@@ -121,7 +122,7 @@ def retrieval_claim_gate(s, d):
     from .evaluation import rerank_pass_at_k
 
     m = rerank_pass_at_k(s, d).select("method", F.col("pass_at_1").alias("r1"), "mrr")
-    return R.claim_gate(m, "model").select("method", "delta_r1", "delta_mrr", *([c for c in R.claim_gate(m, "model").columns if c not in ("method", "delta_r1", "delta_mrr")]))
+    return R.claim_gate(m, "model")
 
 
 def collapse_gate(s, d):
@@ -245,6 +246,7 @@ QUERIES = {
     )
 }
 
+RERANK, AREAS = EVALUATION["rerank_pass_at_k"], EVALUATION["roc_auc"]
 DEC = """e AS (SELECT vec_id, list_transform(embedding[1:6], lambda x: round(x::DOUBLE, 3)) AS x FROM embeddings WHERE vec_id % 50 = 0),
   s AS (SELECT vec_id AS query_id, x[1] AS true_score, unnest(['random', 'random', 'same_file', 'action_cluster']) AS category, unnest(x[2:5]) AS decoy_score FROM e)"""
 WON = "CASE WHEN true_score < decoy_score THEN 1.0::DOUBLE WHEN true_score = decoy_score THEN 0.5 ELSE 0 END"
@@ -288,6 +290,8 @@ ORACLES = {
       CASE WHEN dual_share < 0.70 THEN 'dual_hard_negative_coverage_below_minimum' END, 'secret_scan_not_ok'], lambda x: x IS NOT NULL) AS r FROM b) SELECT len(r) = 0 AS eligible, array_to_string(r, ',') AS blocked_reasons FROM x""",
     "downstream_claim_gate": BASE + " SELECT * FROM g",
     "claim_audit": BASE + " SELECT false AS eligible, 'p_pass' AS missing, 'inconclusive_missing_baselines' AS wording",
+    "retrieval_claim_gate": f"WITH m AS ({RERANK}), p AS (SELECT * FROM m WHERE method = 'model') SELECT m.method, round(p.pass_at_1 - m.pass_at_1, 9) AS delta_r1, round(p.mrr - m.mrr, 9) AS delta_mrr, p.pass_at_1 > m.pass_at_1 AND p.mrr > m.mrr AS gate_open FROM m, p WHERE m.method <> 'model'",
+    "method_report": f"WITH a AS ({AREAS}), l AS (SELECT * FROM a WHERE method = 'length'), o AS (SELECT * FROM a WHERE method <> 'length' ORDER BY auc DESC, method DESC LIMIT 1) SELECT l.method AS best_latent, l.auc AS latent_auc, o.method AS best_other, o.auc AS other_auc, round(l.auc - o.auc, 9) AS lift, round(l.auc - o.auc, 9) >= 0.02 AS lift_ok FROM l, o",
     "collapse_gate": "WITH x AS (SELECT unnest(embedding::DOUBLE[]) AS x, unnest(range(64)) AS dim FROM embeddings), v AS (SELECT var_pop(x) AS v FROM x GROUP BY dim), m AS (SELECT round(median(v), 9) AS m FROM v) SELECT 'nearest_neighbor_entropy' AS metric, 0.05::DOUBLE AS observed, 'minimum' AS comparison UNION ALL SELECT 'mean_norm', 'nan'::DOUBLE, 'finite' UNION ALL SELECT 'per_dim_variance_median', m, 'minimum' FROM m WHERE m < 1e-8",
     "probe_coverage_gate": f"WITH e AS (SELECT label::VARCHAR AS label, {split_sql('vec_id::VARCHAR')} AS split FROM embeddings), s AS (SELECT split, 'label' AS target, label FROM e UNION ALL SELECT split, 'none', NULL FROM e UNION ALL SELECT split, 'one', 'x' FROM e), c AS (SELECT target, count(DISTINCT label) FILTER (WHERE split = 'train') AS train_classes, count(label) FILTER (WHERE split = 'val') AS val_rows, count(label) FILTER (WHERE split = 'test') AS test_rows FROM s GROUP BY 1) SELECT *, CASE WHEN train_classes >= 2 AND val_rows >= 1 AND test_rows >= 1 THEN 'available' ELSE 'blocked' END AS status FROM c",
     "sandbox_survivors": "SELECT CASE WHEN event_type = 'error' THEN 'sandbox_timeout' WHEN event_id % 7 = 0 THEN 'nondeterministic' WHEN event_id % 5 = 0 AND event_type <> 'view' THEN 'missing_output_repr' WHEN event_id % 11 = 0 THEN 'output_truncated' ELSE 'kept' END AS reason, count(*) AS n FROM events GROUP BY 1",

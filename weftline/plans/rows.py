@@ -172,5 +172,6 @@ ORACLES = {
     "calibration_slices_all": f"WITH {SAMP}, z AS (SELECT *, 'all' AS slice FROM pr UNION ALL SELECT *, 'lang:' || lang FROM pr), m AS (SELECT method, slice, {MET} FROM z GROUP BY ALL) SELECT method, slice, tp, fp, fn, tn, {RATIOS}, brier FROM m",
     "collapse_report": f"WITH {DIM}, v AS (SELECT var_pop(x) AS v FROM x GROUP BY dim) SELECT (SELECT count(*) FROM embeddings) AS n, round(min(v), 6) AS per_dim_variance_min, round(median(v), 6) AS per_dim_variance_median, round(max(v), 6) AS per_dim_variance_max, (SELECT mean_cosine FROM ({EVAL['cosine_mean']})) AS mean_cosine, (SELECT round(avg(sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]))), 6) FROM embeddings) AS mean_norm FROM v",
     "latent_matrix": f"WITH {DIM} SELECT dim, round(avg(x), 6) AS mean, round(var_samp(x), 6) AS variance, round(stddev_samp(x), 6) AS std FROM x GROUP BY dim ORDER BY var_samp(x) DESC, dim LIMIT 8",
+    "folded_actions": r"SELECT conv_id, turn, sha256(replace(lower(regexp_replace(regexp_replace(regexp_replace(text, '^\s+', ''), '\s+$', ''), '\s+', ' ', 'g')), 'ß', 'ss')) AS action_sha256 FROM conversations",
     "correlations": "WITH e AS (SELECT embedding::DOUBLE[] AS v FROM embeddings), p AS (SELECT a::INT AS a, b::INT AS b FROM range(6) r(a), range(6) q(b) WHERE a < b) SELECT a, b, round(corr(v[a + 1], v[b + 1]), 6) AS correlation FROM e, p GROUP BY a, b",
 }
