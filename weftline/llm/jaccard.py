@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from . import bytescan as bs
 from .components import connected
-from .storage import bucket_count, stored
+from .storage import bucket_count, scratch, stored
 
 SHINGLE = 5
 #: Two sets link when 100 * intersection >= PERCENT * union.
@@ -48,7 +48,7 @@ POSTING = 512
 #: Postings of so many members carry sketches: for sets of at most ``SKETCH`` elements, how many
 #: of them fall in each of ``SKETCH`` buckets. No overlap is larger than the sum of the smaller
 #: counts, so most pairs of a large group that can't link are left out before they are counted.
-SKETCHED, SKETCH = 16, 512
+SKETCHED, SKETCH = 64, 512
 #: Pairs expanded at once.
 PAIRS = 200_000
 
@@ -307,10 +307,15 @@ def _pair_counts(buckets: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, count = [], 0
-        for batch in batches:
+        for batch in (whole.slice(at, 256) for whole in batches for at in range(0, whole.num_rows, 256)):
+            own = np.asarray(batch.column("own").cast(pa.int8())).astype(bool)
             sides = []
             for side in ("x", "y"):
                 column = batch.column(side)
+                if side == "y":  # a posting of one part stands on both sides
+                    column = pa.concat_arrays([batch.column("x").filter(pa.array(own)), column.filter(pa.array(~own))])
+                else:
+                    column = pa.concat_arrays([column.filter(pa.array(own)), column.filter(pa.array(~own))])
                 members = column.values
                 fields = {c: np.asarray(members.field(c)) for c in ("cls", "n", "r", "rest", "place", "component")}
                 known = members.field("sketch").is_valid().to_numpy(zero_copy_only=False)
@@ -319,7 +324,7 @@ def _pair_counts(buckets: int):
                     fields["sketch"][known] = np.frombuffer(b"".join(members.field("sketch").drop_null().to_pylist()), np.uint8).reshape(-1, SKETCH)
                 sides.append((np.asarray(column.offsets).astype(np.int64), fields))
             (left, x), (right, y) = sides
-            for i, j in _expanded(left, right, np.asarray(batch.column("own").cast(pa.int8())).astype(bool)):
+            for i, j in _expanded(left, right, np.sort(own)[::-1]):
                 far = x["component"][i] != y["component"][j]
                 i, j = i[far], j[far]
                 least = -(-(x["n"][i] + y["n"][j]) * PERCENT // (100 + PERCENT))  # the overlap of a link
@@ -393,7 +398,8 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
     named = stored(named, "classes")
     standing = named.where("cls is not null").select("cls")
     classes = stored(sets.where("stays").join(standing, F.col("row") == F.col("cls"), "left_semi").select(F.col("row").alias("cls"), F.col("n_shingles").alias("n"), "elements"), "class-sets")
-    joined = stored(_components(classes, buckets), "joined")
+    with scratch(docs.sparkSession):
+        joined = stored(_components(classes, buckets), "joined", keep=True)
     least = joined.join(named, "cls").groupBy("component").agg(F.min(F.struct("class_id", "head")).alias("p"))
     linked = joined.join(least, "component").select("cls", F.col("p.class_id").alias("component_id"), F.col("p.head").alias("first_row"))
     known = named.join(linked, "cls", "left").select("set_a", "set_b", "class_id", F.coalesce("component_id", "class_id").alias("component_id"), F.coalesce("first_row", "head").alias("first_row"))
@@ -425,7 +431,7 @@ def _components(classes: DataFrame, buckets: int) -> DataFrame:
     dealt = dealt.join(sketches, "cls", "left").withColumn("sketch", F.when(F.col("size") >= SKETCHED, F.col("sketch")))
     member = F.struct("cls", "n", "r", "rest", "place", "component", "sketch")
     posting = stored(dealt.groupBy("element", "parts", "part").agg(F.collect_list(member).alias("x")), "postings")
-    whole = posting.select("x", F.col("x").alias("y"), F.lit(True).alias("own"))
+    whole = posting.select("x", F.lit(None).cast(posting.schema["x"].dataType).alias("y"), F.lit(True).alias("own"))
     cut = posting.where("parts > 1").select("element", "part", "x")
     across = cut.join(cut.withColumnsRenamed({"x": "y", "part": "other"}), "element").where("part < other").select("x", "y", F.lit(False).alias("own"))
     counted = whole.unionByName(across).mapInArrow(_pair_counts(buckets), "bucket int, a binary, b binary, least binary, common binary")
