@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.llm import decontam, jaccard, packing, substring, toxicity
-from weftline.llm.storage import stored, table
+from weftline.llm.storage import scratch, stored, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -34,7 +34,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     Documents without words, and rows with a null doc_id, are linked with nothing and stay. Of
     rows that are equal in doc_id and text one stays, the smallest in the other columns.
     """
-    found = stored(jaccard.near_duplicates(docs).select("doc_id", "n_shingles", "k", "k2", "first"), "groups")
+    with scratch(spark):
+        found = stored(jaccard.near_duplicates(docs).select("doc_id", "n_shingles", "k", "k2", "first"), "groups", keep=True)
     linked = found.where("doc_id is not null and n_shingles > 0")
     # the address of a row: its id and 128 bits of its text's hash
     address = linked.groupBy("doc_id", "k", "k2").agg(F.count_if("first").alias("stay"), F.count(F.lit(1)).alias("rows"))
