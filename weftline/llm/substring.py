@@ -33,7 +33,9 @@ FLUSH = 4_000_000
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("k", F.xxhash64("text"))
+    """The rows of docs with k, the hash of the text; other columns are numbered, so none clashes."""
+    kept = docs.select(*(F.col(f"`{c}`").alias("text" if c == "text" else f"c{i}") for i, c in enumerate(docs.columns)))
+    return kept.withColumn("text", F.col("text").cast("string")).withColumn("k", F.xxhash64(F.coalesce("text", F.lit(""))))
 
 
 def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -255,15 +257,20 @@ def _gather(table: pa.Table) -> pa.Table:
     return pa.table({"k": pa.array(key[edge], pa.int64()), "starts": pa.array([start[a:z].astype("<i4").tobytes() for a, z in zip(edge, np.append(edge, len(key))[1:], strict=True)], pa.binary())})
 
 
-def repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """Addresses of repeated windows: k (hash of the text), starts (packed int32, may repeat)."""
+def repeats(keyed: DataFrame, window: int = WINDOW) -> DataFrame:
+    """Addresses of repeated windows: k (hash of the text), starts (packed int32, may repeat).
+
+    keyed: rows of :func:`_keyed`. All their columns go through the join with the anchors, though
+    only k and text are read: so that join and the one that brings the starts back to the rows
+    need the same exchange of the texts, and Spark makes it once.
+    """
     block = (window + 1) // 2
-    buckets = bucket_count(docs)
-    keyed = _keyed(docs).select("k", "text")
-    probes = keyed.mapInArrow(_probe_rows(buckets, block, window), "bucket int, probes binary, twice binary, rests binary, keys binary, blocks binary")
+    buckets = bucket_count(keyed)
+    probes = keyed.select("k", "text").mapInArrow(_probe_rows(buckets, block, window), "bucket int, probes binary, twice binary, rests binary, keys binary, blocks binary")
     anchors = probes.groupBy("bucket").applyInArrow(_met_again, "k long, block int")
     hits = anchors.groupBy("k").agg(F.collect_list("block").alias("blocks"))
-    windows = keyed.join(hits, "k").select("k", "text", "blocks").mapInArrow(_window_rows(buckets, block, window), "bucket int, hashes binary, checks binary, keys binary, starts binary, twice binary")
+    schema = "bucket int, hashes binary, checks binary, keys binary, starts binary, twice binary"
+    windows = keyed.join(hits, "k").mapInArrow(_window_rows(buckets, block, window), schema)
     places = windows.groupBy("bucket").applyInArrow(lambda rows: _repeated(rows, buckets), "part int, places binary")
     return places.groupBy("part").applyInArrow(_gather, "k long, starts binary")
 
@@ -310,7 +317,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
         for batch in batches:
             found = [(len(words), len(words) - len(left), b" ".join(left), span.tolist()) for words, left, span in rows(batch)]
             yield pa.RecordBatch.from_pydict({
-                "doc_id": batch.column("doc_id"),
+                "doc_id": batch.column("c0"),
                 "n_words": pa.array([x[0] for x in found], pa.int64()),
                 "n_removed": pa.array([x[1] for x in found], pa.int64()),
                 "kept_text": pa.array([x[2] for x in found], pa.binary()).cast(pa.string()),
@@ -318,11 +325,10 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                 "spans": pa.array([x[3] for x in found], pa.list_(pa.list_(pa.int32()))),
             })
 
-    keyed = _keyed(docs)
-    kind = dict(keyed.dtypes)["doc_id"]
-    joined = keyed.join(repeats(docs, window), "k", "left").select("doc_id", "text", "starts")
+    kind = dict(docs.dtypes)["doc_id"]
+    keyed = _keyed(docs.select("doc_id", "text"))
     schema = f"doc_id {kind}, n_words long, n_removed long, kept_text string, kept_sha256 string, spans array<array<int>>"
-    return joined.mapInArrow(cut, schema)
+    return keyed.join(repeats(keyed, window), "k", "left").mapInArrow(cut, schema)
 
 
 def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -333,18 +339,14 @@ def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     out once, so null and repeated ids decide nothing.
     """
     rows = _cut_rows(window)
-    names = docs.columns
+    keyed = _keyed(docs)
+    names, own = docs.columns, [c for c in keyed.columns if c != "k"]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            row = batch.column("row")
-            own = pa.RecordBatch.from_arrays(row.flatten(), names)
-            place = names.index("text")
             kept = [b" ".join(left) if len(span) else None for _, left, span in rows(batch)]
             text = pa.array(kept, pa.binary()).cast(pa.string())
-            yield own.set_column(place, "text", pc.if_else(pc.is_valid(text), text, own.column(place)))
+            columns = {c: batch.column(o) for c, o in zip(names, own, strict=True)}
+            yield pa.RecordBatch.from_pydict(columns | {"text": pc.if_else(pc.is_valid(text), text, columns["text"])})
 
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("row"), text.alias("text"), F.xxhash64(text).alias("k"))
-    joined = whole.join(repeats(docs, window), "k", "left").select("row", "text", "starts")
-    return joined.mapInArrow(cut, docs.schema)
+    return keyed.join(repeats(keyed, window), "k", "left").mapInArrow(cut, docs.schema)
