@@ -20,14 +20,56 @@ def lines(path, items):
 
 def test_submission_sources(spark, tmp_path):
     code = "def add(a, b):\n    return a + b\n"
-    path = lines(tmp_path / "m.jsonl", [{"task_id": i, "code": code, "test_list": ["assert add(1, 2) == 3", "assert math.add((1,), {2}) == [1]", "assert add(x, 1) == 2", "assert add(a=1) == 2", "oops("]} for i in (1, 2)] + [{"task_id": 3, "code": "x = 1", "test_list": ["assert x == 1"]}])
+    path = lines(
+        tmp_path / "m.jsonl",
+        [
+            {
+                "task_id": i,
+                "code": code,
+                "test_list": [
+                    "assert add(1, 2) == 3",
+                    "assert math.add((1,), {2}) == [1]",
+                    "assert add(x, 1) == 2",
+                    "assert add(a=1) == 2",
+                    "oops("
+                ]
+            } for i in (1, 2)
+        ] + [{"task_id": 3, "code": "x = 1", "test_list": ["assert x == 1"]}]
+    )
     got = execution.load_submissions(spark, "mbpp", path, deduplicate=False).orderBy("problem_id").collect()
     assert [r.problem_id for r in got] == ["mbpp/1", "mbpp/2"]
-    assert [(c.input_id, c.input_repr, c.expected, c.function_name) for c in got[0].cases] == [("mbpp/1/0", "[1, 2]", "3", "add"), ("mbpp/1/1", "[[1], [2]]", "[1]", "add")]
-    path = lines(tmp_path / "h.jsonl", [{"task_id": "H/0", "prompt": "def f(a):\n    ", "canonical_solution": "    return a\n", "test": "def check(candidate):\n    assert candidate(1) == 1\n    assert candidate('x') == 'x'\n", "entry_point": "f"}])
+    assert [
+        (c.input_id, c.input_repr, c.expected, c.function_name) for c in got[0].cases
+    ] == [("mbpp/1/0", "[1, 2]", "3", "add"), ("mbpp/1/1", "[[1], [2]]", "[1]", "add")]
+    path = lines(
+        tmp_path / "h.jsonl",
+        [
+            {
+                "task_id": "H/0",
+                "prompt": "def f(a):\n    ",
+                "canonical_solution": "    return a\n",
+                "test": "def check(candidate):\n    assert candidate(1) == 1\n    assert candidate('x') == 'x'\n",
+                "entry_point": "f"
+            }
+        ]
+    )
     r = execution.load_submissions(spark, "humaneval", path).first()
-    assert r.code == "def f(a):\n    return a\n" and r.held_out_for_eval and [(c.input_id, c.expected) for c in r.cases] == [("humaneval/case-0", "1"), ("humaneval/case-1", "'x'")]
-    path = lines(tmp_path / "p.jsonl", [{"task_id": "P/1", "canonical_solution": code, "entry_point": "add", "base_input": ["[1, 2]"], "plus_input": ["[3, 4]", "[5, 6]"], "expected_output": ["3", "7"]}])
+    assert r.code == "def f(a):\n    return a\n" and r.held_out_for_eval and [(c.input_id, c.expected) for c in r.cases] == [
+        ("humaneval/case-0", "1"), ("humaneval/case-1", "'x'")
+    ]
+    path = lines(
+        tmp_path / "p.jsonl",
+        [
+            {
+                "task_id": "P/1",
+                "canonical_solution": code,
+                "entry_point": "add",
+                "base_input": ["[1, 2]"],
+                "plus_input": ["[3, 4]", "[5, 6]"],
+                "expected_output": ["3", "7"]
+            }
+        ]
+    )
     assert [c.expected for c in execution.load_submissions(spark, "mbpp_plus", path).first().cases] == ["3", "7", ""]
     with pytest.raises(ValueError, match="unknown execution source"):
         execution.load_submissions(spark, "other", path)
@@ -47,17 +89,36 @@ def test_equal_content_is_ingested_once(spark, tmp_path):
 
 def test_score_files(spark, tmp_path):
     a = lines(tmp_path / "a.jsonl", [{"problem_id": "p", "completion_id": "1", "scores": {"m": 0.5, "n": 0.25}}])
-    b = lines(tmp_path / "b.jsonl", [{"problem_id": "p", "completion_id": "2", "score": 0.75, "method": "m"}, {"problem_id": "p", "completion_id": "3", "score": 1.0}])
+    b = lines(
+        tmp_path / "b.jsonl",
+        [
+            {"problem_id": "p", "completion_id": "2", "score": 0.75, "method": "m"},
+            {"problem_id": "p", "completion_id": "3", "score": 1.0}
+        ]
+    )
     got = {(r.completion_id, r.method, r.score) for r in execution.completion_scores(spark, [a, b]).collect()}
     assert got == {("1", "m", 0.5), ("1", "n", 0.25), ("2", "m", 0.75), ("3", "score", 1.0)}
-    path = lines(tmp_path / "c.jsonl", [{"completion_id": "c", "p_pass": 0.5, "label": "pass"}, {"record_id": "r", "score": 0.1, "passed": False, "benchmark_id": "b", "split": "val"}])
-    assert {tuple(r) for r in execution.pass_scores(spark, path, "x").collect()} == {("c", "x", "unknown", 0.5, 1), ("r", "b", "val", 0.1, 0)}
-    path = lines(tmp_path / "d.jsonl", [{"problem_id": "p", "prompt": "old"}, "{bad", {"problem_id": "p", "prompt": "new"}, {"problem_id": "q"}])
+    path = lines(
+        tmp_path / "c.jsonl",
+        [
+            {"completion_id": "c", "p_pass": 0.5, "label": "pass"},
+            {"record_id": "r", "score": 0.1, "passed": False, "benchmark_id": "b", "split": "val"}
+        ]
+    )
+    assert {
+        tuple(r) for r in execution.pass_scores(spark, path, "x").collect()
+    } == {("c", "x", "unknown", 0.5, 1), ("r", "b", "val", 0.1, 0)}
+    path = lines(
+        tmp_path / "d.jsonl",
+        [{"problem_id": "p", "prompt": "old"}, "{bad", {"problem_id": "p", "prompt": "new"}, {"problem_id": "q"}]
+    )
     assert [tuple(r) for r in execution.prompts(spark, path).collect()] == [("p", "new")]
 
 
 def test_packs_and_indexes(spark, tmp_path):
-    df = spark.createDataFrame([(i, "train" if i % 2 else "val", list(range(i % 4))) for i in range(25)], "id int, split string, ids array<long>")
+    df = spark.createDataFrame(
+        [(i, "train" if i % 2 else "val", list(range(i % 4))) for i in range(25)], "id int, split string, ids array<long>"
+    )
     sinks.write_shards(df, f"{tmp_path}/shards", per_file=5)
     assert spark.read.parquet(f"{tmp_path}/shards").count() == 25 and len(list((tmp_path / "shards").glob("part-*"))) >= 5
     with pytest.raises(Exception, match="(?i)exists"):
@@ -85,7 +146,9 @@ def test_manifests(spark, tmp_path):
     (folder / "a.bin").write_bytes(b"abc")
     (folder / "b.bin").write_bytes(b"def")
     m = sinks.artifact_manifest(spark, f"{folder}/*", ["p1", "p2"]).cache()
-    assert [(f.name, f.bytes, f.sha256) for f in m.first().files] == [(n, 3, hashlib.sha256(x).hexdigest()) for n, x in (("a.bin", b"abc"), ("b.bin", b"def"))]
+    assert [(f.name, f.bytes, f.sha256) for f in m.first().files] == [
+        (n, 3, hashlib.sha256(x).hexdigest()) for n, x in (("a.bin", b"abc"), ("b.bin", b"def"))
+    ]
     assert sinks.verify_manifest(spark, m, f"{folder}/*", ["p1", "p2"]).count() == 0
     (folder / "a.bin").write_bytes(b"abd")
     (folder / "b.bin").rename(folder / "c.bin")
@@ -120,16 +183,34 @@ def test_source_registry(spark, tmp_path):
 
 
 def test_codenet_verdicts(spark, tmp_path):
-    path = lines(tmp_path / "c.jsonl", [{"problem_id": "p", "submission_id": str(i), "language": lang, "code": "x", "judge_verdict": v} for i, (lang, v) in enumerate([("Python", "Time Limit Exceeded"), ("py", "wrong_answer"), ("C", "Accepted"), ("python3", "?")])])
-    assert {(r.submission_id, r.judge_verdict) for r in records.read_codenet(spark, path).collect()} == {("0", "time_limit_exceeded"), ("1", "wrong_answer"), ("3", "unknown")}
+    path = lines(
+        tmp_path / "c.jsonl",
+        [
+            {"problem_id": "p", "submission_id": str(i), "language": lang, "code": "x", "judge_verdict": v} for i,
+            (lang, v) in enumerate(
+                [("Python", "Time Limit Exceeded"), ("py", "wrong_answer"), ("C", "Accepted"), ("python3", "?")]
+            )
+        ]
+    )
+    assert {
+        (r.submission_id, r.judge_verdict) for r in records.read_codenet(spark, path).collect()
+    } == {("0", "time_limit_exceeded"), ("1", "wrong_answer"), ("3", "unknown")}
 
 
 def test_patches(spark):
     a = "one\ntwo\nthree\nfour\n"
     b = "one\n2\nthree\nfour\nfive\n"
-    good = spark.createDataFrame([(a, b)], "a string, b string").select("a", "b", diffs.unified_diff("a", "b", F.lit("x")).alias("p")).withColumn("r", diffs.apply_patch("a", "p")).first()
+    good = spark.createDataFrame([(a, b)], "a string, b string").select(
+        "a", "b", diffs.unified_diff("a", "b", F.lit("x")).alias("p")
+    ).withColumn("r", diffs.apply_patch("a", "p")).first()
     assert good.r.text == b and good.r.error is None
-    bad = [(a, good.p.replace("-two", "-tow")), (a, "no patch"), (a, "@@ -9,1 +9,1 @@\n-x\n"), (a, "@@ -1,3 +1,3 @@\n one\n"), (None, good.p)]
+    bad = [
+        (a, good.p.replace("-two", "-tow")),
+        (a, "no patch"),
+        (a, "@@ -9,1 +9,1 @@\n-x\n"),
+        (a, "@@ -1,3 +1,3 @@\n one\n"),
+        (None, good.p)
+    ]
     got = spark.createDataFrame(bad, "a string, p string").select(diffs.apply_patch("a", "p").alias("r")).collect()
     assert all(r.r.text is None and r.r.error for r in got)
 
@@ -143,14 +224,25 @@ def test_casefold_and_ids(spark):
 
 def test_sampled_mutants_are_seeded_and_ordered(spark):
     df = spark.createDataFrame([("x = not (a < b and c is d)\ny += 1\n", 3, 7)], "c string, n int, s int")
-    every, some, again = df.select(pyast.mutants("c"), pyast.sampled_mutants("c", "n", "s"), pyast.sampled_mutants("c", "n", "s")).first()
-    assert {m.operator for m in every} == {"compare", "boolop", "not", "augassign", "const"} and "Is->IsNot" in {m.description for m in every}
+    every, some, again = df.select(
+        pyast.mutants("c"), pyast.sampled_mutants("c", "n", "s"), pyast.sampled_mutants("c", "n", "s")
+    ).first()
+    assert {m.operator for m in every} == {
+        "compare", "boolop", "not", "augassign", "const"
+    } and "Is->IsNot" in {m.description for m in every}
     assert len(some) == 3 and some == again and [m for m in every if m in some] == some
 
 
 def test_code_states(spark):
-    source = "import os\n\nclass A(B):\n    def one(self):\n        return os.path.join(self.x)\n\n    def two(self):\n        return 2\n\n" + "\n".join(f"v{i} = {i}" for i in range(60))
-    df = spark.createDataFrame([(source, [5]), (source, [40]), ("x = 1\n", [1]), ("def (:", [1]), (None, [1])], "t string, c array<int>")
+    source = (
+        "import os\n\nclass A(B):\n    def one(self):\n        return os.path.join(self.x)\n\n    def two(self):\n       "
+        " return 2\n\n"
+    ) + "\n".join(
+        f"v{i} = {i}" for i in range(60)
+    )
+    df = spark.createDataFrame(
+        [(source, [5]), (source, [40]), ("x = 1\n", [1]), ("def (:", [1]), (None, [1])], "t string, c array<int>"
+    )
     method, region, small, broken, none = [r[0] for r in df.select(pystate.code_state("t", "c").alias("s")).collect()]
     assert (method.symbol, method.kind, method.enclosing_class, method.imports) == ("A.one", "method", "A", "import os")
     assert method.siblings == ["def two(self)"] and method.callees == ["os.path.join"] and method.changed == [False, True] and method.start_line == 4
@@ -159,9 +251,20 @@ def test_code_states(spark):
 
 
 def test_budget_drops_in_order(spark):
-    state = F.struct(F.lit("a b c d").alias("primary"), F.array(F.lit("f")).alias("callees"), F.array(F.lit("def g")).alias("siblings"), F.lit("import os").alias("imports"))
+    state = F.struct(
+        F.lit("a b c d").alias("primary"),
+        F.array(F.lit("f")).alias("callees"),
+        F.array(F.lit("def g")).alias("siblings"),
+        F.lit("import os").alias("imports")
+    )
     got = {n: spark.range(1).select(pystate.budgeted(state, n).alias("x")).first().x for n in (9, 8, 6, 4, 2)}
-    assert [got[n].dropped for n in (9, 8, 6, 4, 2)] == [[], ["siblings"], ["siblings", "callees"], ["siblings", "callees", "imports"], ["siblings", "callees", "imports", "primary_tail"]]
+    assert [got[n].dropped for n in (9, 8, 6, 4, 2)] == [
+        [],
+        ["siblings"],
+        ["siblings", "callees"],
+        ["siblings", "callees", "imports"],
+        ["siblings", "callees", "imports", "primary_tail"]
+    ]
     assert got[2].primary == "a b" and got[9].siblings == ["def g"]
 
 
@@ -173,13 +276,20 @@ def test_pools_and_errors(spark):
     with pytest.raises(Exception, match="repeated id 2"):
         pools.fixture_pool(df, [2]).collect()
     with pytest.raises(Exception, match="repeated candidate"):
-        rows.benchmark_pack(spark.createDataFrame([(1, "mit")], "task_id int, license string"), *[spark.createDataFrame([(1, "c", "t", "pass")], "task_id int, candidate_id string, text string, label string")] * 2).collect()
+        rows.benchmark_pack(
+            spark.createDataFrame([(1, "mit")], "task_id int, license string"),
+            *[spark.createDataFrame([(1, "c", "t", "pass")], "task_id int, candidate_id string, text string, label string")] * 2
+        ).collect()
     with pytest.raises(Exception, match="doesn't parse"):
-        rows.hard_negative_candidates(spark.createDataFrame([(1, "x", "def (")], "task_id int, before_text string, after_text string")).collect()
+        rows.hard_negative_candidates(
+            spark.createDataFrame([(1, "x", "def (")], "task_id int, before_text string, after_text string")
+        ).collect()
 
 
 def test_output_fingerprints(spark):
-    df = spark.createDataFrame([("x", "c", [1]), ("", "c", [1]), (None, None, [1, 2]), (None, None, None)], "a string, b string, t array<int>")
+    df = spark.createDataFrame(
+        [("x", "c", [1]), ("", "c", [1]), (None, None, [1, 2]), (None, None, None)], "a string, b string, t array<int>"
+    )
     got = [r[0] for r in df.select(pools.output_fingerprint(F.col("a"), F.col("b"), F.col("t"))).collect()]
     assert got == ["x", "sha256:c", "tokens_sha256:" + hashlib.sha256(b"1,2").hexdigest(), ""]
 
@@ -190,7 +300,10 @@ def test_calibrator_recovers_weights(spark):
     rng = np.random.default_rng(1)
     x = rng.normal(size=(600, 2))
     y = rng.random(600) < 1 / (1 + np.exp(-(2 * x[:, 0] - x[:, 1])))
-    df = spark.createDataFrame([(int(i), float(a), float(b), int(c)) for i, (a, b), c in zip(range(600), x, y, strict=True)], "p long, a double, b double, y int")
+    df = spark.createDataFrame(
+        [(int(i), float(a), float(b), int(c)) for i, (a, b), c in zip(range(600), x, y, strict=True)],
+        "p long, a double, b double, y int"
+    )
     folded = df.join(calibrator.fold_ids(df, "p"), "p")
     assert {r["count"] for r in folded.groupBy("fold").count().collect()} == {120}
     got = {r.p: (r.fold, r.probability) for r in calibrator.out_of_fold(folded, ["a", "b"], "y").collect()}
@@ -207,7 +320,9 @@ def test_calibrator_recovers_weights(spark):
 
 
 def test_lift_needs_tasks_and_lcg_is_fixed(spark):
-    df = spark.createDataFrame([(t, m, float(t % 2 if m == "a" else 0)) for t in range(19) for m in ("a", "b")], "task int, method string, v double")
+    df = spark.createDataFrame(
+        [(t, m, float(t % 2 if m == "a" else 0)) for t in range(19) for m in ("a", "b")], "task int, method string, v double"
+    )
     r = resample.paired_lift_ci(df, "a", ["b"], "v", 50).first()
     assert r.lift == pytest.approx(9 / 19) and r.low is None and r.high is None
     state, want = int(hashlib.sha256(b"3").hexdigest()[:16], 16), []
@@ -221,13 +336,22 @@ def test_near_before_budget(spark):
     df = spark.createDataFrame([(i, i % 8, f"a{i % 3}") for i in range(40)], "id long, s long, a string")
     whole = curation.near_before_pairs(df, "id", "s", "a", 3).first()
     cut = curation.near_before_pairs(df, "id", "s", "a", 3, budget=5).first()
-    pairs = [(i, j) for i in range(40) for j in range(i) if i % 8 != j % 8 and ((i % 8) ^ (j % 8)).bit_count() <= 3 and i % 3 != j % 3]
+    pairs = [
+        (i, j) for i in range(40) for j in range(i) if i % 8 != j % 8 and ((i % 8) ^ (j % 8)).bit_count() <= 3 and i % 3 != j % 3
+    ]
     assert (whole.state_pairs, whole.row_pairs, whole.scan_truncated) == (28, len(pairs), False)
     assert cut.state_pairs == 5 and cut.scan_truncated
 
 
 def test_safe_patches(spark):
-    rows_ = [("--- a/x\n+++ b/x\n", True), ("--- /dev/null\n+++ b/x\n", True), ("--- /etc/x\n+++ b/x\n", False), ("--- a/../../x\n", False), ("+++ C:\\x\n", False), ("", True)]
+    rows_ = [
+        ("--- a/x\n+++ b/x\n", True),
+        ("--- /dev/null\n+++ b/x\n", True),
+        ("--- /etc/x\n+++ b/x\n", False),
+        ("--- a/../../x\n", False),
+        ("+++ C:\\x\n", False),
+        ("", True)
+    ]
     df = spark.createDataFrame(rows_, "p string, ok boolean")
     assert all(r.ok == r.got for r in df.withColumn("got", T.safe_patch(F.col("p"))).collect())
 
@@ -235,5 +359,9 @@ def test_safe_patches(spark):
 def test_representation_table(spark):
     p = spark.createDataFrame([(1, "t", 0.9), (1, "t", 0.8)], "seed int, target string, accuracy double")
     c = spark.createDataFrame([(1, "t", 0.5)], "seed int, target string, accuracy double")
-    got = {(r.seed, r.target): (r.lift, r.status) for r in reports.representation_table(p, c, spark.createDataFrame([(1,), (2,)], "seed int"), ["t", "u"]).collect()}
+    got = {
+        (r.seed, r.target): (r.lift, r.status) for r in reports.representation_table(
+            p, c, spark.createDataFrame([(1,), (2,)], "seed int"), ["t", "u"]
+        ).collect()
+    }
     assert got[1, "t"] == (0.4, "available") and all(got[k] == (None, "not_evaluable") for k in ((1, "u"), (2, "t"), (2, "u")))

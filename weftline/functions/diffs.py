@@ -38,7 +38,9 @@ def size_bucket(n):
 def diff_shape_hash(shape):
     """sha256 over the counts and the size bucket of a diff's shape."""
     size = size_bucket(shape["changed_lines"])
-    text = F.concat(F.lit("r="), shape["replaced"], F.lit(";d="), shape["deleted"], F.lit(";i="), shape["inserted"], F.lit(";bucket="), size)
+    text = F.concat(
+        F.lit("r="), shape["replaced"], F.lit(";d="), shape["deleted"], F.lit(";i="), shape["inserted"], F.lit(";bucket="), size
+    )
     return F.sha2(F.concat(text, F.lit("\0")), 256)
 
 
@@ -55,7 +57,9 @@ def changed_lines(before: pd.Series, after: pd.Series) -> pd.DataFrame:
 @F.pandas_udf(T.StringType())
 def unified_diff(before: pd.Series, after: pd.Series, path: pd.Series) -> pd.Series:
     """The patch from before to after; empty for equal texts."""
-    make = lambda a, b, p: "".join(difflib.unified_diff(a.splitlines(keepends=True), b.splitlines(keepends=True), f"a/{p}", f"b/{p}"))
+    make = lambda a, b, p: "".join(
+        difflib.unified_diff(a.splitlines(keepends=True), b.splitlines(keepends=True), f"a/{p}", f"b/{p}")
+    )
     return pd.Series([make(a, b, p) for a, b, p in zip(before.fillna(""), after.fillna(""), path, strict=True)])
 
 
@@ -99,7 +103,10 @@ def apply_patch(source: pd.Series, patch: pd.Series) -> pd.DataFrame:
 @F.pandas_udf(T.LongType())
 def token_id(token: pd.Series) -> pd.Series:
     """A stable id: the first four bytes of blake2b, 31 bits."""
-    return pd.Series([int.from_bytes(hashlib.blake2b(x.encode(), digest_size=4).digest(), "big") & 0x7FFFFFFF for x in token.fillna("")], dtype="int64")
+    return pd.Series(
+        [int.from_bytes(hashlib.blake2b(x.encode(), digest_size=4).digest(), "big") & 0x7FFFFFFF for x in token.fillna("")],
+        dtype="int64"
+    )
 
 
 @F.pandas_udf(T.StringType())

@@ -9,10 +9,18 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-PARSED = T.StructType([T.StructField("ok", T.BooleanType()), T.StructField("line", T.IntegerType()), T.StructField("message", T.StringType())])
+PARSED = T.StructType(
+    [T.StructField("ok", T.BooleanType()), T.StructField("line", T.IntegerType()), T.StructField("message", T.StringType())]
+)
 EDIT = T.StructType([T.StructField("changed_lines", T.IntegerType()), T.StructField("ratio", T.DoubleType())])
 
-MUTANT = T.StructType([T.StructField("source", T.StringType()), T.StructField("operator", T.StringType()), T.StructField("description", T.StringType())])
+MUTANT = T.StructType(
+    [
+        T.StructField("source", T.StringType()),
+        T.StructField("operator", T.StringType()),
+        T.StructField("description", T.StringType())
+    ]
+)
 
 # What each operator may turn into, by family, in order.
 COMPARE = {
@@ -50,7 +58,9 @@ def parsed(code: pd.Series) -> pd.DataFrame:
             rows.append((True, None, None))
         except (SyntaxError, ValueError, RecursionError, MemoryError) as e:
             rows.append((False, getattr(e, "lineno", None), str(getattr(e, "msg", e))))
-    return pd.DataFrame({"ok": [r[0] for r in rows], "line": pd.array([r[1] for r in rows], "Int32"), "message": [r[2] for r in rows]})
+    return pd.DataFrame(
+        {"ok": [r[0] for r in rows], "line": pd.array([r[1] for r in rows], "Int32"), "message": [r[2] for r in rows]}
+    )
 
 
 @F.pandas_udf(EDIT)
@@ -73,7 +83,9 @@ def _shape(node: ast.AST | None) -> str:
     if isinstance(node, ast.Call):
         return "CallWithKeyword" if node.keywords else "Call"
     if isinstance(node, ast.Constant):
-        return "ConstantStr" if isinstance(node.value, str) else "ConstantNum" if isinstance(node.value, (int, float, complex)) else "Constant"
+        return "ConstantStr" if isinstance(node.value, str) else "ConstantNum" if isinstance(
+            node.value, (int, float, complex)
+        ) else "Constant"
     return "None" if node is None else type(node).__name__
 
 
@@ -82,11 +94,15 @@ def _by_path(text: str) -> dict[tuple[str, ...], tuple[ast.AST, str]]:
     found, waiting = {}, [(ast.parse(text), ("Module",), "module")]
     while waiting:
         node, path, scope = waiting.pop()
-        scope = "function" if isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef)) else "class" if isinstance(node, ast.ClassDef) else scope
+        scope = "function" if isinstance(
+            node, (ast.FunctionDef, ast.AsyncFunctionDef)
+        ) else "class" if isinstance(node, ast.ClassDef) else scope
         found[path] = (node, scope)
         for field, value in ast.iter_fields(node):
             items = [(str(i), x) for i, x in enumerate(value)] if isinstance(value, list) else [("", value)]
-            waiting += [(x, (*path, field, *([i] if i else []), type(x).__name__), scope) for i, x in items if isinstance(x, ast.AST)]
+            waiting += [
+                (x, (*path, field, *([i] if i else []), type(x).__name__), scope) for i, x in items if isinstance(x, ast.AST)
+            ]
     return found
 
 
@@ -116,7 +132,12 @@ def abstract_edits(before: pd.Series, after: pd.Series, size: pd.Series, limit:
                 verb = "UPDATE"
             else:
                 continue
-            found.append(f"OP_{verb} NODE_{type(node).__name__} PATH_DEPTH_{_depth(len(path))} OLD_{_shape(old)} NEW_{_shape(new)} SCOPE_{scope} SIZE_{bucket}")
+            found.append(
+                (
+                    f"OP_{verb} NODE_{type(node).__name__} PATH_DEPTH_{_depth(len(path))} OLD_{_shape(old)} NEW_{_shape(new)} SCOPE_{scope} "
+                    f"SIZE_{bucket}"
+                )
+            )
             if len(found) >= most:
                 break
         out.append(found)
@@ -136,11 +157,17 @@ def _places(parent: ast.AST):
 
 def _points(tree: ast.AST):
     """(operator, description, container, key, replacement) of every single change."""
-    swap = lambda name, node, table: [(name, f"{'aug ' * (name == 'augassign')}{type(node.op).__name__}->{new.__name__}", vars(node), "op", new()) for new in table.get(type(node.op), ())]
+    swap = lambda name, node, table: [
+        (
+            name, f"{'aug ' * (name == 'augassign')}{type(node.op).__name__}->{new.__name__}", vars(node), "op", new()
+        ) for new in table.get(type(node.op), ())
+    ]
     for holder, key, node in _places(tree):
         if isinstance(node, ast.Compare):
             for i, op in enumerate(node.ops):
-                yield from (("compare", f"{type(op).__name__}->{new.__name__}", node.ops, i, new()) for new in COMPARE.get(type(op), ()))
+                yield from (
+                    ("compare", f"{type(op).__name__}->{new.__name__}", node.ops, i, new()) for new in COMPARE.get(type(op), ())
+                )
         elif isinstance(node, ast.BinOp):
             yield from swap("binop", node, BINARY)
         elif isinstance(node, ast.BoolOp):
@@ -150,7 +177,9 @@ def _points(tree: ast.AST):
         elif isinstance(node, ast.UnaryOp) and isinstance(node.op, ast.Not):
             yield "not", "remove `not`", holder, key, node.operand
         elif isinstance(node, ast.Constant) and type(node.value) in (int, float):
-            yield from (("const", f"const {node.value!r}{d:+d}", holder, key, ast.Constant(node.value + d)) for d in CONSTANT_DELTAS)
+            yield from (
+                ("const", f"const {node.value!r}{d:+d}", holder, key, ast.Constant(node.value + d)) for d in CONSTANT_DELTAS
+            )
 
 
 def _mutants(text: str | None) -> list[tuple[str, str, str]]:
@@ -184,7 +213,9 @@ def sampled_mutants(code: pd.Series, count: pd.Series, seed: pd.Series) -> pd.Se
     out = []
     for text, n, own in zip(code, count, seed, strict=True):
         pool = _mutants(text) if n > 0 else []
-        out.append(pool if len(pool) <= n else [pool[i] for i in sorted(random.Random(int(own)).sample(range(len(pool)), int(n)))])
+        out.append(
+            pool if len(pool) <= n else [pool[i] for i in sorted(random.Random(int(own)).sample(range(len(pool)), int(n)))]
+        )
     return pd.Series(out)
 
 
@@ -202,7 +233,9 @@ def simhash(text: pd.Series) -> pd.Series:
 
     def bits(token: str) -> np.ndarray:
         if token not in known:
-            known[token] = np.unpackbits(np.frombuffer(hashlib.blake2b(token.casefold().encode(), digest_size=8).digest(), np.uint8)).astype(np.int32) * 2 - 1
+            known[token] = np.unpackbits(
+                np.frombuffer(hashlib.blake2b(token.casefold().encode(), digest_size=8).digest(), np.uint8)
+            ).astype(np.int32) * 2 - 1
         return known[token]
 
     out = []

@@ -62,7 +62,9 @@ def _state(text: str, changed: set[int]) -> tuple | None:
     except (SyntaxError, ValueError, RecursionError):
         return None
     lines = text.splitlines()
-    imports = "\n".join(ast.get_source_segment(text, n) or ast.unparse(n) for n in tree.body if isinstance(n, (ast.Import, ast.ImportFrom)))
+    imports = "\n".join(
+        ast.get_source_segment(text, n) or ast.unparse(n) for n in tree.body if isinstance(n, (ast.Import, ast.ImportFrom))
+    )
     ranked = []
     for node, parent, owner in _symbols(tree):
         start = min([node.lineno, *(d.lineno for d in node.decorator_list)])
@@ -73,7 +75,9 @@ def _state(text: str, changed: set[int]) -> tuple | None:
         _, _, start, _, node, parent, owner = min(ranked, key=lambda x: x[:4])
         end, method = node.end_lineno, owner is not None and not isinstance(node, ast.ClassDef)
         kind = "class" if isinstance(node, ast.ClassDef) else "method" if method else "function"
-        symbol, around, inside = f"{owner}.{node.name}" if method else node.name, [x for x in getattr(parent, "body", []) if x is not node], node
+        symbol, around, inside = f"{owner}.{node.name}" if method else node.name, [
+            x for x in getattr(parent, "body", []) if x is not node
+        ], node
     else:
         symbol, owner, around, inside, start, end = None, None, tree.body, tree, 1, max(len(lines), 1)
         kind = "small_file" if len(lines) <= SMALL_FILE_LINES else "region"
@@ -93,7 +97,10 @@ def code_state(text: pd.Series, changed: pd.Series) -> pd.DataFrame:
     Without one: the whole of a small file, or the region around the changed lines.
     """
     empty = (None,) * len(STATE.names)
-    rows = [_state(t, {int(n) for n in (() if c is None else c)}) or empty if t is not None else empty for t, c in zip(text, changed, strict=True)]
+    rows = [
+        _state(t, {int(n) for n in (() if c is None else c)}) or empty if t is not None else empty for t,
+        c in zip(text, changed, strict=True)
+    ]
     frame = pd.DataFrame(rows, columns=STATE.names)
     return frame.astype({"start_line": "Int32"})
 
@@ -103,7 +110,9 @@ class _Normal(ast.NodeTransformer):
 
     def visit(self, node: ast.AST) -> ast.AST:
         body = getattr(node, "body", None)
-        if isinstance(node, (ast.Module, *DEFS)) and body and isinstance(body[0], ast.Expr) and isinstance(getattr(body[0].value, "value", None), str):
+        if isinstance(node, (ast.Module, *DEFS)) and body and isinstance(body[0], ast.Expr) and isinstance(
+            getattr(body[0].value, "value", None), str
+        ):
             node.body = body[1:] or [ast.Pass()]
         if isinstance(node, ast.Constant):
             if isinstance(node.value, str) and len(node.value) > LONG_STRING:
@@ -134,7 +143,11 @@ def budgeted(state, limit: int):
     """
     count = lambda text: F.size(F.regexp_extract_all(text, F.lit(r"((?U)\w+|[^\w\s])"), 1))
     joined = lambda c: F.coalesce(F.array_join(state[c], "\n"), F.lit(""))
-    parts = [("siblings", count(joined("siblings"))), ("callees", count(joined("callees"))), ("imports", count(F.coalesce(state["imports"], F.lit(""))))]
+    parts = [
+        ("siblings", count(joined("siblings"))),
+        ("callees", count(joined("callees"))),
+        ("imports", count(F.coalesce(state["imports"], F.lit(""))))
+    ]
     own = count(F.coalesce(state["primary"], F.lit("")))
     total, gone = own + parts[0][1] + parts[1][1] + parts[2][1], {}
     for name, n in parts:
@@ -143,9 +156,17 @@ def budgeted(state, limit: int):
     words = F.regexp_extract_all(state["primary"], F.lit(r"((?U)\w+|[^\w\s])"), 1)
     primary = F.when(own > limit, F.array_join(F.slice(words, 1, limit), " ")).otherwise(state["primary"])
     none = F.array().cast("array<string>")
-    dropped = F.filter(F.array(*(F.when(gone[n], n) for n, _ in parts), F.when(own > limit, "primary_tail")), lambda x: x.isNotNull())
+    dropped = F.filter(
+        F.array(*(F.when(gone[n], n) for n, _ in parts), F.when(own > limit, "primary_tail")), lambda x: x.isNotNull()
+    )
     keep = lambda c: F.when(gone[c], none).otherwise(state[c])
-    return F.struct(primary.alias("primary"), keep("callees").alias("callees"), keep("siblings").alias("siblings"), F.when(gone["imports"], "").otherwise(state["imports"]).alias("imports"), dropped.alias("dropped"))
+    return F.struct(
+        primary.alias("primary"),
+        keep("callees").alias("callees"),
+        keep("siblings").alias("siblings"),
+        F.when(gone["imports"], "").otherwise(state["imports"]).alias("imports"),
+        dropped.alias("dropped")
+    )
 
 
 def segments(state):
@@ -190,7 +211,9 @@ def _set_literal(tree: ast.AST) -> bool:
     for parent in ast.walk(tree):
         for field, value in ast.iter_fields(parent):
             for i, node in enumerate(value if isinstance(value, list) else [value]):
-                if isinstance(node, ast.Call) and getattr(node.func, "id", None) == "set" and len(node.args) == 1 and not node.keywords:
+                if isinstance(node, ast.Call) and getattr(
+                    node.func, "id", None
+                ) == "set" and len(node.args) == 1 and not node.keywords:
                     items = getattr(node.args[0], "elts", []) if isinstance(node.args[0], (ast.List, ast.Tuple)) else []
                     if items and all(isinstance(x, ast.Constant) for x in items):
                         new = ast.Set(items)
@@ -233,6 +256,8 @@ def synthetic_edits(files: DataFrame) -> DataFrame:
     digest = F.sha2("text", 256)
     each = files.withColumn("x", F.explode(rewrites("text")))
     return each.select(
-        F.lit("synthetic").alias("source"), "repo", F.concat(F.lit("synthetic:"), F.substring(digest, 1, 12), F.lit(":"), F.col("x.transform_id")).alias("commit"),
+        F.lit("synthetic").alias("source"), "repo", F.concat(
+            F.lit("synthetic:"), F.substring(digest, 1, 12), F.lit(":"), F.col("x.transform_id")
+        ).alias("commit"),
         F.col("path").alias("path_before"), F.col("path").alias("path_after"), F.col("text").alias("before"), F.col("x.after").alias("after"), F.col("x.message").alias("message"), "license",
     )

@@ -7,7 +7,13 @@ from pyspark.sql import functions as F
 
 # Licences that may be redistributed, other spellings, and words for none.
 PERMISSIVE_LICENSES = ("apache-2.0", "bsd-2-clause", "bsd-3-clause", "cc0-1.0", "isc", "mit", "unlicense")
-LICENSE_ALIASES = {"apache-license-2.0": "apache-2.0", "apache-2": "apache-2.0", "cc0": "cc0-1.0", "mit-license": "mit", "the-unlicense": "unlicense"}
+LICENSE_ALIASES = {
+    "apache-license-2.0": "apache-2.0",
+    "apache-2": "apache-2.0",
+    "cc0": "cc0-1.0",
+    "mit-license": "mit",
+    "the-unlicense": "unlicense"
+}
 NO_LICENSE = ("", "none", "null", "unknown", "other", "n/a")
 
 # Token patterns (identifier, digits or any mark; word run or mark; identifier or digits).
@@ -41,16 +47,32 @@ def normal_license(value: Column) -> Column:
     return F.when(~name.isin(*NO_LICENSE), name)
 
 
-def license_decision(value: Column, allowed: tuple[str, ...] = PERMISSIVE_LICENSES, required: bool = True, redistribution: bool = True, policy: str = "full_text") -> Column:
+def license_decision(
+    value: Column,
+    allowed: tuple[str, ...] = PERMISSIVE_LICENSES,
+    required: bool = True,
+    redistribution: bool = True,
+    policy: str = "full_text"
+) -> Column:
     """struct(allowed, reason, license, artifact_policy) for a licence text."""
     name = normal_license(value)
     if not redistribution:
-        return F.struct(F.lit(False).alias("allowed"), F.lit("redistribution_not_allowed").alias("reason"), name.alias("license"), F.lit("exclude").alias("artifact_policy"))
+        return F.struct(
+            F.lit(False).alias("allowed"),
+            F.lit("redistribution_not_allowed").alias("reason"),
+            name.alias("license"),
+            F.lit("exclude").alias("artifact_policy")
+        )
     listed = name.isin(*allowed)
     ok = F.when(name.isNull(), F.lit(not required)).otherwise(listed)
     missing = "missing_license" if required else "source_policy_allows_missing_license"
     reason = F.when(name.isNull(), missing).when(listed, "allowed").otherwise("license_not_allowed")
-    return F.struct(ok.alias("allowed"), reason.alias("reason"), name.alias("license"), F.when(ok, policy).otherwise("exclude").alias("artifact_policy"))
+    return F.struct(
+        ok.alias("allowed"),
+        reason.alias("reason"),
+        name.alias("license"),
+        F.when(ok, policy).otherwise("exclude").alias("artifact_policy")
+    )
 
 
 def normal_repo(value: Column) -> Column:
@@ -105,11 +127,15 @@ def jaccard(a: Column, b: Column) -> Column:
 
 
 def edit_size_bucket(n: Column) -> Column:
-    return F.when(n <= 2, "xs:0-2").when(n <= 10, "s:3-10").when(n <= 50, "m:11-50").when(n <= 150, "l:51-150").otherwise("xl:151+")
+    return F.when(n <= 2, "xs:0-2").when(n <= 10, "s:3-10").when(n <= 50, "m:11-50").when(
+        n <= 150, "l:51-150"
+    ).otherwise("xl:151+")
 
 
 def token_count_bucket(n: Column) -> Column:
-    return F.when(n == 0, "empty").when(n <= 4, "xs:1-4").when(n <= 16, "s:5-16").when(n <= 64, "m:17-64").when(n <= 256, "l:65-256").otherwise("xl:257+")
+    return F.when(n == 0, "empty").when(n <= 4, "xs:1-4").when(n <= 16, "s:5-16").when(n <= 64, "m:17-64").when(
+        n <= 256, "l:65-256"
+    ).otherwise("xl:257+")
 
 
 def fold_to_vocabulary(token: Column, size: int) -> Column:
@@ -127,7 +153,9 @@ def padded(ids: Column, width: int) -> Column:
 
 def checked_width(ids: Column, width: int) -> Column:
     """Padded ids; a longer sequence is an error, never cut."""
-    return F.when(F.size(ids) <= width, padded(ids, width)).otherwise(F.raise_error(F.concat(F.lit("sequence is longer than "), F.lit(str(width)))))
+    return F.when(F.size(ids) <= width, padded(ids, width)).otherwise(
+        F.raise_error(F.concat(F.lit("sequence is longer than "), F.lit(str(width))))
+    )
 
 
 def redacted(text: Column) -> Column:
@@ -135,7 +163,15 @@ def redacted(text: Column) -> Column:
     clean = F.regexp_replace(F.regexp_replace(text, r"(/home|/Users)/[^/\s]+", "~"), SECRET_VALUE, F.lit(SECRET_MARK))
     parts = F.size(F.split(clean, LINE_END))
     lines = parts - F.when(clean.rlike(f"({LINE_END})\\z"), 1).otherwise(0)  # a last line end ends no further line
-    digest = F.concat(F.lit("[REDACTED_LONG_TEXT sha256="), F.substring(F.sha2(clean, 256), 1, 16), F.lit(" lines="), lines, F.lit(" chars="), F.length(clean), F.lit("]"))
+    digest = F.concat(
+        F.lit("[REDACTED_LONG_TEXT sha256="),
+        F.substring(F.sha2(clean, 256), 1, 16),
+        F.lit(" lines="),
+        lines,
+        F.lit(" chars="),
+        F.length(clean),
+        F.lit("]")
+    )
     return F.when((lines > LONGEST_LINES) | (F.length(clean) > LONGEST_CHARS), digest).otherwise(clean)
 
 
@@ -147,7 +183,9 @@ def redacted_fields(fields: Column) -> Column:
 def redacted_path(path: Column) -> Column:
     """Absolute, home and drive paths as a kind and a digest; others as they are."""
     kind = F.when(path.rlike(r"^~"), "home").when(path.rlike(r"^[A-Za-z]:[\\/]"), "drive").when(path.rlike(r"^/"), "absolute")
-    return F.when(kind.isNull(), path).otherwise(F.concat(F.lit("<redacted:"), kind, F.lit(":sha256="), F.sha2(path, 256), F.lit(">")))
+    return F.when(kind.isNull(), path).otherwise(
+        F.concat(F.lit("<redacted:"), kind, F.lit(":sha256="), F.sha2(path, 256), F.lit(">"))
+    )
 
 
 def module_name(path: Column) -> Column:
@@ -163,7 +201,9 @@ def hash_order(*parts: Column, seed: str = "0") -> Column:
 
 def probability(score: Column) -> Column:
     """The score inside [0, 1], else its logistic."""
-    return F.when((score >= 0) & (score <= 1), score).when(score >= 0, 1 / (1 + F.exp(-score))).otherwise(F.exp(score) / (1 + F.exp(score)))
+    return F.when((score >= 0) & (score <= 1), score).when(
+        score >= 0, 1 / (1 + F.exp(-score))
+    ).otherwise(F.exp(score) / (1 + F.exp(score)))
 
 
 # The verdicts of a judge.
@@ -186,7 +226,9 @@ def lexical_cosine(a: Column, b: Column) -> Column:
 
     def of(x: Column) -> Column:
         times = lambda tokens, t: F.size(F.filter(tokens, lambda y: y == t)).cast("double")
-        square = lambda tokens: F.aggregate(F.array_distinct(tokens), F.lit(0.0), lambda s, t: s + times(tokens, t) * times(tokens, t))
+        square = lambda tokens: F.aggregate(
+            F.array_distinct(tokens), F.lit(0.0), lambda s, t: s + times(tokens, t) * times(tokens, t)
+        )
         dot = F.aggregate(F.array_intersect(x["a"], x["b"]), F.lit(0.0), lambda s, t: s + times(x["a"], t) * times(x["b"], t))
         norm = F.sqrt(square(x["a"])) * F.sqrt(square(x["b"]))
         return F.when((F.size(x["a"]) == 0) | (F.size(x["b"]) == 0), 0.0).otherwise(dot / F.greatest(norm, F.lit(1e-12)))
@@ -199,7 +241,9 @@ def hashed_vector(tokens_: Column, width: int) -> Column:
 
     def signed(token: Column) -> Column:
         number = lambda h, at, n: F.conv(F.substring(h, at, n), 16, 10).cast("long")
-        pair = lambda h: F.struct(F.pmod(number(h, 1, 8), F.lit(width)).alias("p"), F.when(number(h, 9, 2) % 2 == 0, 1.0).otherwise(-1.0).alias("s"))
+        pair = lambda h: F.struct(
+            F.pmod(number(h, 1, 8), F.lit(width)).alias("p"), F.when(number(h, 9, 2) % 2 == 0, 1.0).otherwise(-1.0).alias("s")
+        )
         return bound(F.sha2(token, 256), pair)
 
     def counted(pairs: Column) -> Column:
@@ -208,7 +252,10 @@ def hashed_vector(tokens_: Column, width: int) -> Column:
 
     def unit(raw: Column) -> Column:
         norm = F.sqrt(F.aggregate(raw, F.lit(0.0), lambda total, x: total + x * x))
-        return bound(F.struct(raw.alias("v"), norm.alias("n")), lambda s: F.transform(s["v"], lambda x: F.when(s["n"] == 0, x).otherwise(x / s["n"])))
+        return bound(
+            F.struct(raw.alias("v"), norm.alias("n")),
+            lambda s: F.transform(s["v"], lambda x: F.when(s["n"] == 0, x).otherwise(x / s["n"]))
+        )
 
     return bound(bound(F.transform(tokens_, signed), counted), unit)
 

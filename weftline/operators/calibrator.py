@@ -20,9 +20,16 @@ def fold_ids(problems: DataFrame, ident: str, folds: int = FOLDS, seed: str = "0
 
     The order is cut in 4096 buckets whose sizes tell where each one begins.
     """
-    keyed = problems.select(ident).distinct().withColumn("o", T.hash_order(F.col(ident), seed=seed)).withColumn("bucket", F.substring("o", 1, 3))
+    keyed = problems.select(ident).distinct().withColumn(
+        "o", T.hash_order(F.col(ident), seed=seed)
+    ).withColumn("bucket", F.substring("o", 1, 3))
     sizes = keyed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))  # 4096 rows at most
-    before = sizes.select("bucket", F.coalesce(F.sum("n").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    before = sizes.select(
+        "bucket",
+        F.coalesce(
+            F.sum("n").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
+        ).alias("before")
+    )
     place = F.col("before") + F.row_number().over(Window.partitionBy("bucket").orderBy("o", ident)) - 1
     return keyed.join(F.broadcast(before), "bucket").select(ident, F.pmod(place, F.lit(folds)).cast("int").alias("fold"))
 
@@ -32,20 +39,29 @@ def standardised(rows: DataFrame, features: list[str], folds: int = FOLDS) -> Da
 
     Adds left_out (0 .. folds - 1) and z (array); rows come once for each fold left out.
     """
-    own = rows.groupBy("fold").agg(F.count(F.lit(1)).alias("n"), *(F.sum(f).alias(f"s_{f}") for f in features), *(F.sum(F.col(f) * F.col(f)).alias(f"q_{f}") for f in features)).collect()  # a row for each fold
+    own = rows.groupBy("fold").agg(  # a row for each fold
+        F.count(F.lit(1)).alias("n"),
+        *(F.sum(f).alias(f"s_{f}") for f in features),
+        *(F.sum(F.col(f) * F.col(f)).alias(f"q_{f}") for f in features)
+    ).collect()
     by = {r["fold"]: r for r in own}
     levels = []
     for left in range(folds):
         rest = [r for f, r in by.items() if f != left]
         n = sum(r["n"] for r in rest) or 1
         mean = [sum(float(r[f"s_{f}"]) for r in rest) / n for f in features]
-        std = [max(sum(float(r[f"q_{f}"]) for r in rest) / n - m * m, 0.0) ** 0.5 or 1.0 for f, m in zip(features, mean, strict=True)]
+        std = [
+            max(sum(float(r[f"q_{f}"]) for r in rest) / n - m * m, 0.0) ** 0.5 or 1.0 for f,
+            m in zip(features, mean, strict=True)
+        ]
         z = F.array(*((F.col(f).cast("double") - m) / s for f, m, s in zip(features, mean, std, strict=True)))
         levels.append(F.struct(F.lit(left).alias("left_out"), z.alias("z")))
     return rows.withColumn("x", F.explode(F.array(*levels))).select("*", "x.left_out", "x.z").drop("x")
 
 
-def out_of_fold(rows: DataFrame, features: list[str], label: str, folds: int = FOLDS, ridge: float = RIDGE, steps: int = STEPS) -> DataFrame:
+def out_of_fold(
+    rows: DataFrame, features: list[str], label: str, folds: int = FOLDS, ridge: float = RIDGE, steps: int = STEPS
+) -> DataFrame:
     """Adds probability: the logistic model of the other folds, for each row's own fold.
 
     rows has a fold column. L2 on all weights but the bias, features standardised on the other
@@ -60,7 +76,9 @@ def out_of_fold(rows: DataFrame, features: list[str], label: str, folds: int = F
         chosen = None
         for left in range(folds):
             total = sum((x * float(c) for x, c in zip(inputs, w[left], strict=True)), F.lit(0.0))
-            chosen = F.when(F.col("left_out") == left, total) if chosen is None else chosen.when(F.col("left_out") == left, total)
+            chosen = F.when(
+                F.col("left_out") == left, total
+            ) if chosen is None else chosen.when(F.col("left_out") == left, total)
         return 1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), chosen))))
 
     train = z.where("fold <> left_out")

@@ -39,17 +39,37 @@ def generated_path(path: Column) -> Column:
     return parts
 
 
-def edit_rules(before: Column, after: Column, message: Column, path_before: Column | None = None, path_after: Column | None = None) -> list[tuple[str, Column]]:
+def edit_rules(
+    before: Column, after: Column, message: Column, path_before: Column | None = None, path_after: Column | None = None
+) -> list[tuple[str, Column]]:
     """The native rules of the edit filter, in their order."""
     rules = []
     if path_before is not None and path_after is not None:
-        rules = [("non_python_path", ~(path_before.endswith(".py") & path_after.endswith(".py"))), ("generated_file", generated_path(path_before) | generated_path(path_after))]
+        rules = [
+            ("non_python_path", ~(path_before.endswith(".py") & path_after.endswith(".py"))),
+            ("generated_file", generated_path(path_before) | generated_path(path_after))
+        ]
     length = F.length(T.stripped(message))
-    return [*rules, ("empty_state", (F.length(T.stripped(before)) == 0) | (F.length(T.stripped(after)) == 0)), ("whitespace_only_change", T.without_space(before) == T.without_space(after)), ("message_length", ~length.between(*MESSAGE_LENGTH))]
+    return [
+        *rules,
+        ("empty_state", (F.length(T.stripped(before)) == 0) | (F.length(T.stripped(after)) == 0)),
+        ("whitespace_only_change", T.without_space(before) == T.without_space(after)),
+        ("message_length", ~length.between(*MESSAGE_LENGTH))
+    ]
 
 
 EDIT_SIZE, EDIT_RATIO = (1, 150), (0.02, 0.60)
-ALL_REASONS = ("non_python_path", "generated_file", "empty_state", "parse_error", "whitespace_only_change", "edit_size", "edit_ratio", "message_length", "license_denied")
+ALL_REASONS = (
+    "non_python_path",
+    "generated_file",
+    "empty_state",
+    "parse_error",
+    "whitespace_only_change",
+    "edit_size",
+    "edit_ratio",
+    "message_length",
+    "license_denied"
+)
 
 
 def edit_cascade(df: DataFrame, decision: str = "decision") -> DataFrame:
@@ -67,9 +87,13 @@ def edit_cascade(df: DataFrame, decision: str = "decision") -> DataFrame:
     ])
     one = df.withColumn("_r1", F.coalesce(cheap, F.lit("")))
     open_text = lambda x, r: F.when(c(r) == "", c(x)).otherwise("")
-    two = one.withColumn("_pb", pyast.parsed(open_text("before", "_r1"))).withColumn("_pa", pyast.parsed(open_text("after", "_r1")))
+    two = one.withColumn(
+        "_pb", pyast.parsed(open_text("before", "_r1"))
+    ).withColumn("_pa", pyast.parsed(open_text("after", "_r1")))
     same = T.without_space(c("before")) == T.without_space(c("after"))
-    second = F.when(c("_r1") != "", c("_r1")).when(~c("_pb.ok") | ~c("_pa.ok"), "parse_error").when(same, "whitespace_only_change").otherwise("")
+    second = F.when(c("_r1") != "", c("_r1")).when(
+        ~c("_pb.ok") | ~c("_pa.ok"), "parse_error"
+    ).when(same, "whitespace_only_change").otherwise("")
     two = two.withColumn("_r2", second)
     three = two.withColumn("_m", pyast.edit_measure(open_text("before", "_r2"), open_text("after", "_r2")))
     last = (
@@ -116,7 +140,9 @@ def _banded(df: DataFrame, key: str, threshold: int, width: int = 64) -> DataFra
     cuts = [(width * i // BLOCKS, width * (i + 1) // BLOCKS) for i in range(BLOCKS)]
     masks = [sum(((1 << hi) - 1) ^ ((1 << lo) - 1) for lo, hi in chosen) for chosen in combinations(cuts, BLOCKS - threshold)]
     signed = [m - (1 << 64) if m >= 1 << 63 else m for m in masks]
-    band = [F.struct(F.lit(i).alias("b"), F.col(key).bitwiseAND(F.lit(m).cast("long")).alias("v")) for i, m in enumerate(signed)]
+    band = [
+        F.struct(F.lit(i).alias("b"), F.col(key).bitwiseAND(F.lit(m).cast("long")).alias("v")) for i, m in enumerate(signed)
+    ]
     return df.withColumn("band", F.explode(F.array(*band))).select("*", "band.b", "band.v").drop("band")
 
 
@@ -128,10 +154,14 @@ def near_leakage(df: DataFrame, state: str, ordinal: str, threshold: int = 3) ->
     train = df.where("split = 'train'").groupBy(F.col(state).alias("train_state")).agg(F.min(ordinal).alias("near_id"))
     other = df.where("split <> 'train'").select(state).distinct()
     close = T.hamming(F.col(state), F.col("train_state")) <= threshold
-    return _banded(other, state, threshold).join(_banded(train, "train_state", threshold), ["b", "v"]).where(close).groupBy(state).agg(F.min("near_id").alias("near_id"))
+    return _banded(other, state, threshold).join(
+        _banded(train, "train_state", threshold), ["b", "v"]
+    ).where(close).groupBy(state).agg(F.min("near_id").alias("near_id"))
 
 
-def split_dedup(df: DataFrame, transition: str, pair: str, ordinal: str, state: str | None = None, threshold: int = 3) -> DataFrame:
+def split_dedup(
+    df: DataFrame, transition: str, pair: str, ordinal: str, state: str | None = None, threshold: int = 3
+) -> DataFrame:
     """Adds drop_reason (train_leakage, exact_duplicate or null), match_type and matched_id.
 
     Leaked rows go first: those whose pair key any train row has and, if ``state`` names a
@@ -157,9 +187,13 @@ def split_dedup(df: DataFrame, transition: str, pair: str, ordinal: str, state:
     first = F.col("first")
     later = ~leaks & (first[ordinal] < F.col(ordinal))
     reason = F.when(leaks, "train_leakage").when(later, "exact_duplicate")
-    kind = F.when(exact, "exact_before_after").when(leaks, "near_state").when(later & (first[transition] == F.col(transition)), "exact_transition").when(later, "exact_before_after")
+    kind = F.when(exact, "exact_before_after").when(leaks, "near_state").when(
+        later & (first[transition] == F.col(transition)), "exact_transition"
+    ).when(later, "exact_before_after")
     matched = F.when(exact, F.col("leak_id")).when(leaks, F.col("near_id")).when(later, first[ordinal])
-    return joined.withColumn("drop_reason", reason).withColumn("match_type", kind).withColumn("matched_id", matched).drop("leak_id", "near_id", "first")
+    return joined.withColumn("drop_reason", reason).withColumn("match_type", kind).withColumn("matched_id", matched).drop(
+        "leak_id", "near_id", "first"
+    )
 
 
 def zero_filled(counts: DataFrame, column: str, values: tuple[str, ...], count: str = "n") -> DataFrame:
@@ -176,7 +210,9 @@ def group_pair_counts(df: DataFrame, group: str, after: str) -> DataFrame:
     """Pairs in a group whose after differs, by counts: C(n, 2) less those of equal after."""
     inner = df.groupBy(group, after).agg(F.count(F.lit(1)).alias("m"))
     pairs = lambda c: F.expr(f"{c} * ({c} - 1) div 2")
-    return inner.groupBy(group).agg(F.sum("m").alias("n"), F.sum(pairs("m")).alias("same")).select(group, "n", (pairs("n") - F.col("same")).alias("pairs"))
+    return inner.groupBy(group).agg(F.sum("m").alias("n"), F.sum(pairs("m")).alias("same")).select(
+        group, "n", (pairs("n") - F.col("same")).alias("pairs")
+    )
 
 
 def near_pairs(df: DataFrame, ident: str, key: str, threshold: int = 3, width: int = 64) -> DataFrame:
@@ -193,7 +229,9 @@ def near_pairs(df: DataFrame, ident: str, key: str, threshold: int = 3, width: i
     return joined.select("left_id", "right_id", close.alias("distance")).distinct()
 
 
-def near_before_pairs(df: DataFrame, ident: str, state: str, after: str, threshold: int = 3, budget: int = 100_000) -> DataFrame:
+def near_before_pairs(
+    df: DataFrame, ident: str, state: str, after: str, threshold: int = 3, budget: int = 100_000
+) -> DataFrame:
     """One row: pairs of states within the threshold, pairs of rows that they stand for whose
     after differs, and whether the budget of state pairs cut the scan (scan_truncated).
 
@@ -203,17 +241,25 @@ def near_before_pairs(df: DataFrame, ident: str, state: str, after: str, thresho
     sizes = df.groupBy(state, after).agg(F.count(F.lit(1)).alias("m"))
     states = sizes.groupBy(state).agg(F.sum("m").alias("n"))
     numbered = states.select(F.col(state).alias("s"), F.col(state).alias("key"))
-    pairs = near_pairs(numbered, "s", "key", threshold).select(F.col("left_id").alias("l"), F.col("right_id").alias("r")).orderBy("l", "r").limit(budget + 1)
+    pairs = near_pairs(numbered, "s", "key", threshold).select(
+        F.col("left_id").alias("l"), F.col("right_id").alias("r")
+    ).orderBy("l", "r").limit(budget + 1)
     total = pairs.count()
     kept = pairs.orderBy("l", "r").limit(budget)
     n = states.withColumnsRenamed({state: "s", "n": "n"})
-    both = kept.join(n.select(F.col("s").alias("l"), F.col("n").alias("nl")), "l").join(n.select(F.col("s").alias("r"), F.col("n").alias("nr")), "r")
+    both = kept.join(
+        n.select(F.col("s").alias("l"), F.col("n").alias("nl")), "l"
+    ).join(n.select(F.col("s").alias("r"), F.col("n").alias("nr")), "r")
     left = kept.join(sizes.select(F.col(state).alias("l"), F.col(after).alias("a"), F.col("m").alias("ml")), "l")
     same = left.join(sizes.select(F.col(state).alias("r"), F.col(after).alias("a"), F.col("m").alias("mr")), ["r", "a"])
-    counts = both.agg(F.count(F.lit(1)).alias("state_pairs"), F.coalesce(F.sum(F.col("nl") * F.col("nr")), F.lit(0)).alias("all"))
+    counts = both.agg(
+        F.count(F.lit(1)).alias("state_pairs"), F.coalesce(F.sum(F.col("nl") * F.col("nr")), F.lit(0)).alias("all")
+    )
     equal = same.agg(F.coalesce(F.sum(F.col("ml") * F.col("mr")), F.lit(0)).alias("same"))
     one = counts.crossJoin(equal)  # one row each
-    return one.select("state_pairs", (F.col("all") - F.col("same")).alias("row_pairs"), F.lit(total > budget).alias("scan_truncated"))
+    return one.select(
+        "state_pairs", (F.col("all") - F.col("same")).alias("row_pairs"), F.lit(total > budget).alias("scan_truncated")
+    )
 
 
 def key_members(df: DataFrame, ident: str, key: str) -> DataFrame:
@@ -228,7 +274,16 @@ def key_members(df: DataFrame, ident: str, key: str) -> DataFrame:
 def license_report(df: DataFrame, decision: str = "decision", source: str = "source") -> DataFrame:
     """Counts of every licence, source and reason, included and excluded apart."""
     d = F.col(decision)
-    long = df.select(d["allowed"].alias("included"), F.explode(F.array(F.struct(F.lit("license").alias("kind"), F.coalesce(d["license"], F.lit("missing")).alias("value")), F.struct(F.lit("source").alias("kind"), F.col(source).alias("value")), F.struct(F.lit("reason").alias("kind"), d["reason"].alias("value")))).alias("x"))
+    long = df.select(
+        d["allowed"].alias("included"),
+        F.explode(
+            F.array(
+                F.struct(F.lit("license").alias("kind"), F.coalesce(d["license"], F.lit("missing")).alias("value")),
+                F.struct(F.lit("source").alias("kind"), F.col(source).alias("value")),
+                F.struct(F.lit("reason").alias("kind"), d["reason"].alias("value"))
+            )
+        ).alias("x")
+    )
     return long.groupBy("included", "x.kind", "x.value").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -242,15 +297,23 @@ def enforce_license_gate(df: DataFrame, decision: str = "decision", policy: str
 
 def split_leakage(df: DataFrame, key: str) -> DataFrame:
     """Keys that occur in more than one split."""
-    return df.groupBy(key).agg(F.array_sort(F.collect_set("split")).alias("splits")).where(F.size("splits") > 1).select(key, F.array_join("splits", ",").alias("splits"))
+    return df.groupBy(key).agg(
+        F.array_sort(F.collect_set("split")).alias("splits")
+    ).where(F.size("splits") > 1).select(key, F.array_join("splits", ",").alias("splits"))
 
 
 def secret_findings(df: DataFrame, ident: str, text: str) -> DataFrame:
     """One row per secret value: id, line number from 1, digest of the value."""
     lines = df.select(ident, F.posexplode(F.split(text, "\n")).alias("at", "line")).where(F.col("line").rlike(T.SECRET_VALUE))
-    return lines.select(ident, (F.col("at") + 1).alias("line_no"), F.explode(F.regexp_extract_all("line", F.lit(T.SECRET_VALUE), 1)).alias("value")).select(ident, "line_no", F.sha2("value", 256).alias("digest"))
+    return lines.select(
+        ident,
+        (F.col("at") + 1).alias("line_no"),
+        F.explode(F.regexp_extract_all("line", F.lit(T.SECRET_VALUE), 1)).alias("value")
+    ).select(ident, "line_no", F.sha2("value", 256).alias("digest"))
 
 
 def capped(df: DataFrame, key: str, order: list, cap: int) -> DataFrame:
     """At most cap rows of each key, in order."""
-    return df.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where(F.col("_n") <= cap).drop("_n")
+    return df.withColumn(
+        "_n", F.row_number().over(Window.partitionBy(key).orderBy(*order))
+    ).where(F.col("_n") <= cap).drop("_n")

@@ -17,7 +17,21 @@ MAX_PER_POOL = 5
 NEAR_BITS = 3
 POOLS = ("exact_same_before", "near_before", "same_file", "action_cluster", "edit_shape", "mutation", "random")
 #: Columns of a pool entry.
-ENTRY = ("id", "split", "source", "repo", "path", "before", "after", "state", "edit_size", "cluster", "shape", "mutated", "similarity")
+ENTRY = (
+    "id",
+    "split",
+    "source",
+    "repo",
+    "path",
+    "before",
+    "after",
+    "state",
+    "edit_size",
+    "cluster",
+    "shape",
+    "mutated",
+    "similarity"
+)
 
 
 def held_out_queries(entries: DataFrame, limit: int = MAX_QUERIES, seed: str = "0") -> DataFrame:
@@ -45,7 +59,15 @@ def _same_file() -> Column:
     return F.coalesce((F.col("q_path") != "") & (F.col("path") == F.col("q_path")) & repo, F.lit(False))
 
 
-def hard_negatives(queries: DataFrame, entries: DataFrame, target: str = "q_id", limit: int = MAX_NEGATIVES, bits: int = NEAR_BITS, bucket: int = 10, seed: str = "0") -> DataFrame:
+def hard_negatives(
+    queries: DataFrame,
+    entries: DataFrame,
+    target: str = "q_id",
+    limit: int = MAX_NEGATIVES,
+    bits: int = NEAR_BITS,
+    bucket: int = 10,
+    seed: str = "0"
+) -> DataFrame:
     """query_id, rank, id, reasons: for each query the rows that have most in common with it.
 
     Rows of train and the target itself never enter. Order: number of reasons, similarity
@@ -64,7 +86,9 @@ def hard_negatives(queries: DataFrame, entries: DataFrame, target: str = "q_id",
         ("same_action_cluster", equal("cluster")),
     )
     reasons = F.filter(F.array(*(F.when(rule, name) for name, rule in rules)), lambda x: x.isNotNull())
-    open_rows = _pairs(queries, entries.where("split <> 'train'")).where(F.col("id") != F.col(target)).withColumn("reasons", reasons)
+    open_rows = _pairs(
+        queries, entries.where("split <> 'train'")
+    ).where(F.col("id") != F.col(target)).withColumn("reasons", reasons)
     tie = T.hash_order(F.col("q_id"), F.col("id"), seed=seed)
     order = Window.partitionBy("q_id").orderBy(F.size("reasons").desc(), F.col("similarity").desc_nulls_last(), tie, "id")
     ranked = open_rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
@@ -85,7 +109,9 @@ def hard_pool(queries: DataFrame, negatives: DataFrame) -> DataFrame:
     return target.unionByName(negatives.select("query_id", F.col("rank").alias("position"), "id"))
 
 
-def contrast_pools(queries: DataFrame, entries: DataFrame, cap: int = MAX_PER_POOL, bits: int = NEAR_BITS, seed: str = "0") -> DataFrame:
+def contrast_pools(
+    queries: DataFrame, entries: DataFrame, cap: int = MAX_PER_POOL, bits: int = NEAR_BITS, seed: str = "0"
+) -> DataFrame:
     """query_id, pool, id: held-out rows of each pool, at most cap in seeded order."""
     other = different_after()
     equal = lambda c: F.coalesce(F.col(c) == F.col(f"q_{c}"), F.lit(False))
@@ -108,16 +134,22 @@ def contrast_pools(queries: DataFrame, entries: DataFrame, cap: int = MAX_PER_PO
 def output_fingerprint(shown: Column, checksum: Column, tokens: Column) -> Column:
     """The shown output, else its checksum, else the hash of its tokens, else empty."""
     joined = F.array_join(F.transform(tokens, lambda x: x.cast("string")), ",")
-    return F.when(F.length(shown) > 0, shown).when(F.length(checksum) > 0, F.concat(F.lit("sha256:"), checksum)).when(tokens.isNotNull(), F.concat(F.lit("tokens_sha256:"), F.sha2(joined, 256))).otherwise("")
+    return F.when(F.length(shown) > 0, shown).when(F.length(checksum) > 0, F.concat(F.lit("sha256:"), checksum)).when(
+        tokens.isNotNull(), F.concat(F.lit("tokens_sha256:"), F.sha2(joined, 256))
+    ).otherwise("")
 
 
-def decoy_pairs(records: DataFrame, category: str, per_query: int = 1, same_input_only: bool = True, seed: str = "0") -> DataFrame:
+def decoy_pairs(
+    records: DataFrame, category: str, per_query: int = 1, same_input_only: bool = True, seed: str = "0"
+) -> DataFrame:
     """category, query_id, decoy_id, relation: records whose output differs, in seeded order.
 
     records: record_id, problem_id, submission_id, input_id, output. same_problem_different_
     submission joins on the problem (and input), same_code_different_input on the submission.
     """
-    other = records.select(*(F.col(c).alias(f"d_{c}") for c in ("record_id", "problem_id", "submission_id", "input_id", "output")))
+    other = records.select(
+        *(F.col(c).alias(f"d_{c}") for c in ("record_id", "problem_id", "submission_id", "input_id", "output"))
+    )
     present = lambda c: F.coalesce(F.col(c), F.lit("")) != ""
     if category == "same_code_different_input":
         match = (F.col("submission_id") == F.col("d_submission_id")) & (F.col("input_id") != F.col("d_input_id"))
@@ -131,7 +163,12 @@ def decoy_pairs(records: DataFrame, category: str, per_query: int = 1, same_inpu
     order = Window.partitionBy("record_id").orderBy(T.hash_order(F.col("d_record_id"), seed=seed), "d_record_id")
     chosen = joined.withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_query)
     relation = F.when(F.col("input_id") == F.col("d_input_id"), "same_input_id").otherwise("different_input_id")
-    return chosen.select(F.lit(category).alias("category"), F.col("record_id").alias("query_id"), F.col("d_record_id").alias("decoy_id"), relation.alias("relation"))
+    return chosen.select(
+        F.lit(category).alias("category"),
+        F.col("record_id").alias("query_id"),
+        F.col("d_record_id").alias("decoy_id"),
+        relation.alias("relation")
+    )
 
 
 def decoy_skips(records: DataFrame, category: str, same_input_only: bool = True) -> DataFrame:
@@ -148,12 +185,16 @@ def decoy_skips(records: DataFrame, category: str, same_input_only: bool = True)
     side = known.groupBy(*key, unlike).agg(F.count(F.lit(1)).alias("side_n"))
     alike = known.groupBy(*key, "output").agg(F.count(F.lit(1)).alias("alike_n"))
     both = known.groupBy(*key, unlike, "output").agg(F.count(F.lit(1)).alias("both_n"))
-    counts = known.join(whole, key).join(side, [*key, unlike]).join(alike, [*key, "output"]).join(both, [*key, unlike, "output"])
+    counts = known.join(whole, key).join(side, [*key, unlike]).join(alike, [*key, "output"]).join(
+        both, [*key, unlike, "output"]
+    )
     others = F.col("group_n") - F.col("side_n")
     differing = others - (F.col("alike_n") - F.col("both_n"))
     none = "no_other_input" if code else "no_other_submission"
     reason = F.when(others == 0, none).when(differing == 0, "outputs_identical").otherwise("paired")
-    return counts.select(reason.alias("reason")).unionByName(records.where(absent).select(F.lit("missing_ids").alias("reason"))).groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
+    return counts.select(reason.alias("reason")).unionByName(
+        records.where(absent).select(F.lit("missing_ids").alias("reason"))
+    ).groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
 
 
 def semantic_decoys(records: DataFrame, per_query: int = 1, seed: str = "0") -> DataFrame:
@@ -167,8 +208,16 @@ def semantic_decoys(records: DataFrame, per_query: int = 1, seed: str = "0") ->
         for category, same in (("same_problem_different_submission", False), ("same_code_different_input", True)):
             pairs = decoy_pairs(own, category, per_query, same, seed)
             found = pairs if found is None else found.unionByName(pairs)
-    side = lambda p: records.select(*(F.col(c).alias(f"{p}_{c}") for c in ("record_id", "split", "dataset", "problem_id", "submission_id", "input_id", "output")))
-    both = found.join(side("a"), F.col("query_id") == F.col("a_record_id")).join(side("b"), F.col("decoy_id") == F.col("b_record_id"))
+    side = lambda p: records.select(
+        *(
+            F.col(c).alias(f"{p}_{c}") for c in (
+                "record_id", "split", "dataset", "problem_id", "submission_id", "input_id", "output"
+            )
+        )
+    )
+    both = found.join(
+        side("a"), F.col("query_id") == F.col("a_record_id")
+    ).join(side("b"), F.col("decoy_id") == F.col("b_record_id"))
     problem = F.col("category") == "same_problem_different_submission"
     equal = lambda c: F.col(f"a_{c}") == F.col(f"b_{c}")
     leak = (
@@ -179,7 +228,15 @@ def semantic_decoys(records: DataFrame, per_query: int = 1, seed: str = "0") ->
         .when(~problem & equal("input_id"), "same_input")
         .when(equal("output"), "identical_outputs")
     )
-    return both.select("category", "query_id", "decoy_id", "relation", F.col("a_split").alias("split"), F.col("a_problem_id").alias("problem_id"), leak.alias("leak"))
+    return both.select(
+        "category",
+        "query_id",
+        "decoy_id",
+        "relation",
+        F.col("a_split").alias("split"),
+        F.col("a_problem_id").alias("problem_id"),
+        leak.alias("leak")
+    )
 
 
 def scorable_coverage(pairs: DataFrame, rows: DataFrame) -> DataFrame:
@@ -188,7 +245,9 @@ def scorable_coverage(pairs: DataFrame, rows: DataFrame) -> DataFrame:
     joined = pairs.join(have.withColumnRenamed("there", "q_there"), F.col("query_id") == F.col("r"), "left").drop("r")
     joined = joined.join(have.withColumnRenamed("there", "d_there"), F.col("decoy_id") == F.col("r"), "left")
     both = F.col("q_there").isNotNull() & F.col("d_there").isNotNull()
-    return joined.groupBy("category").agg(F.count(F.lit(1)).alias("pairs"), F.count_if(both).alias("scorable"), F.count_if(~both).alias("skipped"))
+    return joined.groupBy("category").agg(
+        F.count(F.lit(1)).alias("pairs"), F.count_if(both).alias("scorable"), F.count_if(~both).alias("skipped")
+    )
 
 
 def surprise_decoys(queries: DataFrame, entries: DataFrame, per_category: int = 3, seed: str = "0") -> DataFrame:
@@ -198,13 +257,19 @@ def surprise_decoys(queries: DataFrame, entries: DataFrame, per_category: int =
     """
     other = (F.col("id") != F.col("q_id")) & different_after()
     pairs = _pairs(queries, entries).where(other)
-    own = F.array(F.lit("random"), F.when(_same_file(), "same_file"), F.when(F.col("cluster") == F.col("q_cluster"), "action_cluster"))
+    own = F.array(
+        F.lit("random"), F.when(_same_file(), "same_file"), F.when(F.col("cluster") == F.col("q_cluster"), "action_cluster")
+    )
     each = pairs.select("q_id", "id", F.explode(F.filter(own, lambda x: x.isNotNull())).alias("category"))
     have = each.select("q_id", "category").distinct()
-    want = queries.select(F.col("id").alias("q_id"), F.explode(F.array(F.lit("same_file"), F.lit("action_cluster"))).alias("category"))
+    want = queries.select(
+        F.col("id").alias("q_id"), F.explode(F.array(F.lit("same_file"), F.lit("action_cluster"))).alias("category")
+    )
     lacking = want.join(have, ["q_id", "category"], "left_anti")
     fallback = pairs.select("q_id", "id").join(F.broadcast(lacking), "q_id").select("q_id", "id", "category")  # two rows a query
-    order = Window.partitionBy("q_id", "category").orderBy(T.hash_order(F.col("q_id"), F.col("category"), F.col("id"), seed=seed), "id")
+    order = Window.partitionBy("q_id", "category").orderBy(
+        T.hash_order(F.col("q_id"), F.col("category"), F.col("id"), seed=seed), "id"
+    )
     kept = each.unionByName(fallback).withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_category)
     return kept.select(F.col("q_id").alias("query_id"), "category", "id")
 
@@ -244,7 +309,9 @@ def problem_splits(problems: DataFrame, ident: str, train: float = 0.8, val: flo
     order = T.hash_order(F.col(ident), seed=seed)
     keyed = problems.select(ident).distinct().withColumn("o", order).withColumn("bucket", F.substring("o", 1, 3))
     sizes = keyed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))  # 4096 buckets at most
-    before = sizes.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    before = sizes.withColumn(
+        "before", F.coalesce(F.sum("n").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    )
     before = before.withColumn("total", F.sum("n").over(Window.partitionBy())).drop("n")
     placed = keyed.join(F.broadcast(before), "bucket")  # 4096 rows at most
     place = F.col("before") + F.row_number().over(Window.partitionBy("bucket").orderBy("o", ident))
@@ -252,7 +319,12 @@ def problem_splits(problems: DataFrame, ident: str, train: float = 0.8, val: flo
     n_val = F.greatest(F.lit(1), F.floor(n * val))
     n_test = F.greatest(F.lit(1), n - F.greatest(F.lit(1), F.floor(n * train)) - n_val)
     n_train = n - n_val - n_test
-    return placed.withColumn("place", place).select(ident, F.when(F.col("place") <= n_train, "train").when(F.col("place") <= n_train + n_val, "val").otherwise("test").alias("split"))
+    return placed.withColumn("place", place).select(
+        ident,
+        F.when(F.col("place") <= n_train, "train").when(
+            F.col("place") <= n_train + n_val, "val"
+        ).otherwise("test").alias("split")
+    )
 
 
 def padded_token_decoy(ids: Column, vocabulary: int) -> Column:

@@ -53,8 +53,12 @@ def _block_pairs(queries: DataFrame, rows: DataFrame, extra: tuple[tuple[str, st
     own = ("query_id", *(q for q, _ in extra))
     other = ("id", *(r for _, r in extra))
     kind = lambda names, v: ", ".join(f"{n} binary" for n in (*names, v))
-    q = queries.select(*(F.col(c).cast("long").alias(c) for c in own), "v").mapInArrow(_packed(QUERY_BLOCK, own), kind(own, "v")).withColumnRenamed("v", "q")
-    r = rows.select(*(F.col(c).cast("long").alias(c) for c in other), "v").mapInArrow(_packed(ROW_BLOCK, other), kind(other, "v"))
+    q = queries.select(
+        *(F.col(c).cast("long").alias(c) for c in own), "v"
+    ).mapInArrow(_packed(QUERY_BLOCK, own), kind(own, "v")).withColumnRenamed("v", "q")
+    r = rows.select(
+        *(F.col(c).cast("long").alias(c) for c in other), "v"
+    ).mapInArrow(_packed(ROW_BLOCK, other), kind(other, "v"))
     return r.crossJoin(q)
 
 
@@ -85,9 +89,13 @@ def nearest(queries: DataFrame, rows: DataFrame, k: int, distance: str = "l2") -
                 i, j = np.nonzero(d <= (limit + 2e-6)[:, None])  # ties after rounding stay
                 i, j = i[np.isfinite(d[i, j])], j[np.isfinite(d[i, j])]
                 exact = ((q[i] - v[j]) ** 2).sum(axis=1) if distance == "l2" else d[i, j]
-                yield pa.RecordBatch.from_pydict({"query_id": pa.array(ask[i]), "id": pa.array(ids[j]), "distance": pa.array(exact)})
+                yield pa.RecordBatch.from_pydict(
+                    {"query_id": pa.array(ask[i]), "id": pa.array(ids[j]), "distance": pa.array(exact)}
+                )
 
-    found = _block_pairs(queries.select("query_id", F.col("q").alias("v")), rows).mapInArrow(best, "query_id long, id long, distance double")
+    found = _block_pairs(
+        queries.select("query_id", F.col("q").alias("v")), rows
+    ).mapInArrow(best, "query_id long, id long, distance double")
     found = found.withColumn("distance", F.round("distance", 6))
     ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "id")))
     return ranked.where(F.col("rank") <= k).select("query_id", "rank", "id", "distance")
@@ -96,7 +104,14 @@ def nearest(queries: DataFrame, rows: DataFrame, k: int, distance: str = "l2") -
 def _with_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         bits = np.asarray(batch.column("d"), np.float64).view(np.int64)
-        yield pa.RecordBatch.from_pydict({"query_id": batch.column("query_id"), "limit": pa.array(bits), "target": batch.column("target"), "v": batch.column("v")})
+        yield pa.RecordBatch.from_pydict(
+            {
+                "query_id": batch.column("query_id"),
+                "limit": pa.array(bits),
+                "target": batch.column("target"),
+                "v": batch.column("v")
+            }
+        )
 
 
 def nearest_target_ranks(queries: DataFrame, rows: DataFrame) -> DataFrame:
@@ -122,43 +137,75 @@ def nearest_target_ranks(queries: DataFrame, rows: DataFrame) -> DataFrame:
                 least = d.min(axis=1)
                 at = np.where(d == least[:, None], ids[None], np.iinfo(np.int64).max).min(axis=1)
                 good = np.isfinite(least)
-                yield pa.RecordBatch.from_pydict({"query_id": pa.array(ask[good]), "d": pa.array(least[good]), "target": pa.array(at[good])})
+                yield pa.RecordBatch.from_pydict(
+                    {"query_id": pa.array(ask[good]), "d": pa.array(least[good]), "target": pa.array(at[good])}
+                )
 
     def better(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
                 ask, ids, d = unpack(row)
-                limit, target = np.frombuffer(row["limit"], np.int64).view(np.float64)[:, None], np.frombuffer(row["target"], np.int64)[:, None]
+                limit, target = np.frombuffer(row["limit"], np.int64).view(np.float64)[:, None], np.frombuffer(
+                    row["target"], np.int64
+                )[:, None]
                 wins = ((d < limit) | ((d == limit) & (ids[None] < target))).sum(axis=1)
-                yield pa.RecordBatch.from_pydict({"query_id": pa.array(ask), "wins": pa.array(wins.astype(np.int64)), "others": pa.array(np.isfinite(d).sum(axis=1).astype(np.int64))})
+                yield pa.RecordBatch.from_pydict(
+                    {
+                        "query_id": pa.array(ask),
+                        "wins": pa.array(wins.astype(np.int64)),
+                        "others": pa.array(np.isfinite(d).sum(axis=1).astype(np.int64))
+                    }
+                )
 
     asked = queries.select("query_id", F.col("q").alias("v"), "label")
-    found = _block_pairs(asked, rows.withColumnRenamed("label", "own"), (("label", "own"),)).mapInArrow(targets, "query_id long, d double, target long")
+    found = _block_pairs(
+        asked, rows.withColumnRenamed("label", "own"), (("label", "own"),)
+    ).mapInArrow(targets, "query_id long, d double, target long")
     best = found.groupBy("query_id").agg(F.min(F.struct("d", "target")).alias("t"))
     # a distance travels as its bits: blocks hold columns of longs and one of vectors
-    known = asked.join(best.select("query_id", "t.d", "t.target"), "query_id").mapInArrow(_with_bits, "query_id long, limit long, target long, v array<double>")
+    known = asked.join(best.select("query_id", "t.d", "t.target"), "query_id").mapInArrow(
+        _with_bits, "query_id long, limit long, target long, v array<double>"
+    )
     zero = rows.withColumn("a", F.lit(0)).withColumn("b", F.lit(0))
-    counted = _block_pairs(known, zero, (("limit", "a"), ("target", "b"))).mapInArrow(better, "query_id long, wins long, others long")
+    counted = _block_pairs(known, zero, (("limit", "a"), ("target", "b"))).mapInArrow(
+        better, "query_id long, wins long, others long"
+    )
     return counted.groupBy("query_id").agg((F.sum("wins") + 1).cast("int").alias("rank"), F.sum("others").alias("candidates"))
 
 
 def target_ranks(scores: DataFrame) -> DataFrame:
     """query_id, rank, candidates: place of the target by falling score, ties by position."""
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "position")
-    ranked = scores.withColumn("rank", F.row_number().over(w)).withColumn("candidates", F.count(F.lit(1)).over(Window.partitionBy("query_id")))
+    ranked = scores.withColumn("rank", F.row_number().over(w)).withColumn(
+        "candidates", F.count(F.lit(1)).over(Window.partitionBy("query_id"))
+    )
     return ranked.where("target").select("query_id", "rank", "candidates")
 
 
 def retrieval_metrics(ranks: DataFrame, *by: str) -> DataFrame:
     hit = lambda k: F.round(F.avg(F.when(F.col("rank") <= k, 1.0).otherwise(0.0)), 9)
-    return ranks.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), hit(1).alias("r1"), hit(5).alias("r5"), hit(10).alias("r10"), F.round(F.avg(1.0 / F.col("rank")), 9).alias("mrr"), F.median("rank").alias("median_rank"), F.min("candidates").alias("min_candidates"), F.max("candidates").alias("max_candidates"))
+    return ranks.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("n"),
+        hit(1).alias("r1"),
+        hit(5).alias("r5"),
+        hit(10).alias("r10"),
+        F.round(F.avg(1.0 / F.col("rank")), 9).alias("mrr"),
+        F.median("rank").alias("median_rank"),
+        F.min("candidates").alias("min_candidates"),
+        F.max("candidates").alias("max_candidates")
+    )
 
 
 def claim_gate(metrics: DataFrame, prediction: str = "prediction") -> DataFrame:
     """Deltas of the prediction to each baseline; open only with strictly better R@1 and MRR."""
     base = metrics.where(F.col("method") != prediction)
     own = metrics.where(F.col("method") == prediction).select(F.col("r1").alias("p1"), F.col("mrr").alias("pm"))
-    return base.join(F.broadcast(own)).select("method", F.round(F.col("p1") - F.col("r1"), 9).alias("delta_r1"), F.round(F.col("pm") - F.col("mrr"), 9).alias("delta_mrr"), ((F.col("p1") > F.col("r1")) & (F.col("pm") > F.col("mrr"))).alias("gate_open"))
+    return base.join(F.broadcast(own)).select(
+        "method",
+        F.round(F.col("p1") - F.col("r1"), 9).alias("delta_r1"),
+        F.round(F.col("pm") - F.col("mrr"), 9).alias("delta_mrr"),
+        ((F.col("p1") > F.col("r1")) & (F.col("pm") > F.col("mrr"))).alias("gate_open")
+    )
 
 
 def first_passes(rows: DataFrame, problem: str, orders: dict[str, list]) -> DataFrame:
@@ -203,5 +250,7 @@ def rotated_rows(queries: DataFrame, ident: str, size: str, value: str, seed: st
     task, values move on by one in seeded order; a part of one query keeps its own.
     """
     o = T.hash_order(F.col(ident), seed=seed)
-    cut = queries.withColumn("_o", o).withColumn("_s", F.pmod(F.conv(F.substring("_o", 1, 4), 16, 10).cast("long"), F.lit(strata)))
+    cut = queries.withColumn("_o", o).withColumn(
+        "_s", F.pmod(F.conv(F.substring("_o", 1, 4), 16, 10).cast("long"), F.lit(strata))
+    )
     return rotated(cut, [size, "_s"], ["_o", ident], value).drop("_o", "_s")

@@ -22,13 +22,17 @@ def ratio(part: Column, whole: Column) -> Column:
 
 def true_ranks(scores: DataFrame) -> DataFrame:
     """query_id, true_rank: 1 + better decoys + ties // 2, lower scores being better."""
-    better, ties = F.count_if(F.col("decoy_score") < F.col("true_score")), F.count_if(F.col("decoy_score") == F.col("true_score"))
+    better, ties = F.count_if(F.col("decoy_score") < F.col("true_score")), F.count_if(
+        F.col("decoy_score") == F.col("true_score")
+    )
     return scores.groupBy("query_id").agg((1 + better + F.floor(ties / 2)).cast("long").alias("true_rank"))
 
 
 def surprise_metrics(scores: DataFrame) -> DataFrame:
     """category (and overall), pairs, auc: how often the true one beats a decoy, ties half."""
-    won = F.when(F.col("true_score") < F.col("decoy_score"), 1.0).when(F.col("true_score") == F.col("decoy_score"), 0.5).otherwise(0.0)
+    won = F.when(F.col("true_score") < F.col("decoy_score"), 1.0).when(
+        F.col("true_score") == F.col("decoy_score"), 0.5
+    ).otherwise(0.0)
     each = scores.groupBy("category").agg(F.count(F.lit(1)).alias("pairs"), F.sum(won).alias("won"))
     whole = each.agg(F.lit("overall").alias("category"), F.sum("pairs").alias("pairs"), F.sum("won").alias("won"))
     return each.unionByName(whole).select("category", "pairs", F.round(F.col("won") / F.col("pairs"), 9).alias("auc"))
@@ -51,7 +55,12 @@ def pair_count_gates(metrics: DataFrame, least: dict[str, int], floor: float = 0
     joined = need.join(metrics, "category", "left")
     pairs = F.coalesce("pairs", F.lit(0))
     reason = F.when(pairs < F.col("least"), "too_few_pairs").when(~(F.col("auc") > floor), "auc_not_above_floor")
-    return joined.select("category", pairs.alias("pairs"), F.when(reason.isNull(), "open").otherwise("blocked").alias("status"), reason.alias("reason"))
+    return joined.select(
+        "category",
+        pairs.alias("pairs"),
+        F.when(reason.isNull(), "open").otherwise("blocked").alias("status"),
+        reason.alias("reason")
+    )
 
 
 def min_max(rows: DataFrame, value: str, by: str) -> DataFrame:
@@ -102,21 +111,35 @@ def order_metrics(candidates: DataFrame, task: str, order: list[Column], k: int
     )
     hit = lambda m: F.when(F.col("first_pass_rank") <= m, 1.0).otherwise(0.0)
     mrr = F.round(F.coalesce(1.0 / F.col("first_pass_rank"), F.lit(0.0)), 9)
-    return each.select(task, hit(1).alias("pass_at_1"), hit(k).alias("pass_at_k"), mrr.alias("mrr"), "first_pass_rank", "valid_rate", "check_rate")
+    return each.select(
+        task,
+        hit(1).alias("pass_at_1"),
+        hit(k).alias("pass_at_k"),
+        mrr.alias("mrr"),
+        "first_pass_rank",
+        "valid_rate",
+        "check_rate"
+    )
 
 
 def downstream_aggregate(tasks: DataFrame) -> DataFrame:
     """Macro means over tasks; the mean first passing rank ignores tasks without one."""
     mean = lambda c: F.round(F.avg(c), 9).alias(c)
     columns = [mean(c) for c in ("pass_at_1", "pass_at_k", "mrr", "valid_rate", "check_rate")]
-    return tasks.agg(F.count(F.lit(1)).alias("tasks"), *columns, F.round(F.avg("first_pass_rank"), 9).alias("mean_first_pass_rank"))
+    return tasks.agg(
+        F.count(F.lit(1)).alias("tasks"), *columns, F.round(F.avg("first_pass_rank"), 9).alias("mean_first_pass_rank")
+    )
 
 
 def availability(candidates: DataFrame, scores: dict[str, str]) -> DataFrame:
     """baseline, finite_scores, status: blocked where no candidate has a finite score."""
     finite = lambda c: F.count_if(F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(F.col(c)) < float("inf")))
-    one = candidates.agg(F.array(*(F.struct(F.lit(b).alias("baseline"), finite(c).alias("finite_scores")) for b, c in scores.items())).alias("x"))
-    return one.select(F.explode("x").alias("x")).select("x.baseline", "x.finite_scores", F.when(F.col("x.finite_scores") > 0, "completed").otherwise("blocked").alias("status"))
+    one = candidates.agg(
+        F.array(*(F.struct(F.lit(b).alias("baseline"), finite(c).alias("finite_scores")) for b, c in scores.items())).alias("x")
+    )
+    return one.select(F.explode("x").alias("x")).select(
+        "x.baseline", "x.finite_scores", F.when(F.col("x.finite_scores") > 0, "completed").otherwise("blocked").alias("status")
+    )
 
 
 def next_in_order(tasks: DataFrame, task: str, value: str) -> DataFrame:
@@ -129,7 +152,13 @@ def next_in_order(tasks: DataFrame, task: str, value: str) -> DataFrame:
     placed = ranged.withColumn("next", F.lead(value).over(inner)).withColumn("ends", F.lead(task).over(inner).isNull())
     heads = ranged.groupBy("part").agg(F.min(F.struct(task, value))[value].alias("head"))  # a row for each range
     order = Window.orderBy("part")
-    following = heads.select("part", F.coalesce(F.lead("head").over(order), F.first("head").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("after"))
+    following = heads.select(
+        "part",
+        F.coalesce(
+            F.lead("head").over(order),
+            F.first("head").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+        ).alias("after")
+    )
     joined = placed.join(following, "part")
     return joined.select(task, F.when(F.col("ends"), F.col("after")).otherwise(F.col("next")).alias("shifted"))
 
@@ -145,7 +174,9 @@ def pool_baselines(candidates: DataFrame, task: str, orders: dict[str, list[Colu
         ranked = ranked.withColumn(f"_{name}", F.row_number().over(w(order)) == 1)
     firsts = [F.max(F.when(F.col(f"_{n}") & F.col("passed"), 1.0).otherwise(0.0)).alias(n) for n in orders]
     classes = F.size(F.collect_set(F.when(~F.col("passed"), F.col("failure_class"))))
-    each = ranked.groupBy(task).agg(F.count(F.lit(1)).alias("pool"), F.count_if("passed").alias("passes"), classes.alias("classes"), *firsts)
+    each = ranked.groupBy(task).agg(
+        F.count(F.lit(1)).alias("pool"), F.count_if("passed").alias("passes"), classes.alias("classes"), *firsts
+    )
     return each.agg(
         F.count(F.lit(1)).alias("problems"),
         F.min("pool").alias("pool_min"),
@@ -182,7 +213,15 @@ def strict_gate(metrics: DataFrame, method: str, baselines: list[str], values: l
 
 def collapse_gate(report: DataFrame) -> DataFrame:
     """metric, observed, comparison: failures of a one-row collapse report."""
-    rows = F.array(*(F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("observed"), F.lit(COLLAPSE_FLOORS.get(m)).cast("double").alias("floor")) for m in report.columns))
+    rows = F.array(
+        *(
+            F.struct(
+                F.lit(m).alias("metric"),
+                F.col(m).cast("double").alias("observed"),
+                F.lit(COLLAPSE_FLOORS.get(m)).cast("double").alias("floor")
+            ) for m in report.columns
+        )
+    )
     each = report.select(F.explode(rows).alias("x")).select("x.*")
     odd = F.isnan("observed") | (F.abs(F.col("observed")) == float("inf"))
     kind = F.when(odd, "finite").when(F.col("observed") < F.col("floor"), "minimum")
@@ -194,7 +233,11 @@ def label_coverage(rows: DataFrame, targets: list[str], least_classes: int = 2,
     stack = F.array(*(F.struct(F.lit(t).alias("target"), F.col(t).cast("string").alias("label")) for t in targets))
     long = rows.select("split", F.explode(stack).alias("x")).select("split", "x.target", "x.label")
     count = lambda s: F.count_if((F.col("split") == s) & F.col("label").isNotNull())
-    c = long.groupBy("target").agg(F.count_distinct(F.when(F.col("split") == "train", F.col("label"))).alias("train_classes"), count("val").alias("val_rows"), count("test").alias("test_rows"))
+    c = long.groupBy("target").agg(
+        F.count_distinct(F.when(F.col("split") == "train", F.col("label"))).alias("train_classes"),
+        count("val").alias("val_rows"),
+        count("test").alias("test_rows")
+    )
     ok = (F.col("train_classes") >= least_classes) & (F.col("val_rows") >= least_rows) & (F.col("test_rows") >= least_rows)
     return c.withColumn("status", F.when(ok, "available").otherwise("blocked"))
 
@@ -206,8 +249,12 @@ def representation_table(probes: DataFrame, controls: DataFrame, seeds: DataFram
     """
     want = seeds.select("seed", F.explode(F.array(*map(F.lit, targets))).alias("target"))
     best = lambda df, name: df.groupBy("seed", "target").agg(F.max("accuracy").alias(name))
-    joined = want.join(best(probes, "best_probe"), ["seed", "target"], "left").join(best(controls, "best_control"), ["seed", "target"], "left")
-    return joined.withColumn("lift", F.round(F.col("best_probe") - F.col("best_control"), 12)).withColumn("status", F.when(F.col("best_probe").isNotNull(), "available").otherwise("not_evaluable"))
+    joined = want.join(best(probes, "best_probe"), ["seed", "target"], "left").join(
+        best(controls, "best_control"), ["seed", "target"], "left"
+    )
+    return joined.withColumn("lift", F.round(F.col("best_probe") - F.col("best_control"), 12)).withColumn(
+        "status", F.when(F.col("best_probe").isNotNull(), "available").otherwise("not_evaluable")
+    )
 
 
 def survivor_reason(exit_code: Column, deterministic: Column, shown: Column, truncated: Column) -> Column:
@@ -235,7 +282,9 @@ def record_kind(output_kind: Column, output_type: Column) -> Column:
 
 
 def magnitude_bucket(value: Column) -> Column:
-    return F.when(value < 0, "negative").when(value == 0, "zero").when(value <= 10, "small").when(value <= 1000, "medium").when(value > 1000, "large")
+    return F.when(value < 0, "negative").when(value == 0, "zero").when(value <= 10, "small").when(
+        value <= 1000, "medium"
+    ).when(value > 1000, "large")
 
 
 def length_bucket(n: Column) -> Column:
@@ -251,14 +300,28 @@ def probe_labels(rows: DataFrame) -> DataFrame:
     return (
         rows.withColumn("will_raise", F.coalesce(raised, F.lit(False)))
         .withColumn("record_kind", record_kind(F.col("output_kind"), F.col("output_type")))
-        .withColumn("output_magnitude_bucket", F.when(F.col("output_type").isin("int", "float"), magnitude_bucket(F.col("output_value").cast("double"))))
-        .withColumn("output_length_bucket", F.when(F.col("output_type").isin("str", "list", "tuple", "dict", "set", "bytes"), length_bucket(F.col("output_length"))))
+        .withColumn(
+            "output_magnitude_bucket",
+            F.when(F.col("output_type").isin("int", "float"), magnitude_bucket(F.col("output_value").cast("double")))
+        )
+        .withColumn(
+            "output_length_bucket",
+            F.when(
+                F.col("output_type").isin("str", "list", "tuple", "dict", "set", "bytes"), length_bucket(F.col("output_length"))
+            )
+        )
     )
 
 
 def histograms(rows: DataFrame, columns: list[str]) -> DataFrame:
     """column, value, n for each of several columns, in one pass; null is 'missing'."""
-    stack = F.array(*(F.struct(F.lit(c).alias("column"), F.coalesce(F.col(c).cast("string"), F.lit("missing")).alias("value")) for c in columns))
+    stack = F.array(
+        *(
+            F.struct(
+                F.lit(c).alias("column"), F.coalesce(F.col(c).cast("string"), F.lit("missing")).alias("value")
+            ) for c in columns
+        )
+    )
     return rows.select(F.explode(stack).alias("x")).groupBy("x.column", "x.value").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -287,7 +350,9 @@ def pass_fail_records(completions: DataFrame, expected: DataFrame, results: Data
 def candidate_labels(cases: DataFrame, ident: str) -> DataFrame:
     """ident, label: pass only if every case is ok and its output equal."""
     good = F.coalesce((F.col("exit_code") == "ok") & (F.col("output") == F.col("expected")), F.lit(False))
-    return cases.groupBy(ident).agg(F.when(F.bool_and(good), "pass").otherwise("fail").alias("label"), F.count(F.lit(1)).alias("cases"))
+    return cases.groupBy(ident).agg(
+        F.when(F.bool_and(good), "pass").otherwise("fail").alias("label"), F.count(F.lit(1)).alias("cases")
+    )
 
 
 def mutation_pack(references: DataFrame, mutants: DataFrame, pool_size: int = 6, seed: str = "0") -> DataFrame:
@@ -296,20 +361,40 @@ def mutation_pack(references: DataFrame, mutants: DataFrame, pool_size: int = 6,
     references, mutants: problem_id, candidate_id, passed, ordinal. Problems whose reference
     fails or that have too few failing mutants are dropped.
     """
-    failing = mutants.where(~F.col("passed")).withColumn("n", F.row_number().over(Window.partitionBy("problem_id").orderBy("ordinal", "candidate_id"))).where(F.col("n") <= pool_size - 1)
+    failing = mutants.where(~F.col("passed")).withColumn(
+        "n", F.row_number().over(Window.partitionBy("problem_id").orderBy("ordinal", "candidate_id"))
+    ).where(F.col("n") <= pool_size - 1)
     enough = failing.groupBy("problem_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") == pool_size - 1)
     good = references.where("passed").join(enough.select("problem_id"), "problem_id", "left_semi")
-    both = good.select("problem_id", "candidate_id", "passed").unionByName(failing.join(good.select("problem_id"), "problem_id", "left_semi").select("problem_id", "candidate_id", "passed"))
-    order = Window.partitionBy("problem_id").orderBy(T.hash_order(F.col("problem_id"), F.col("candidate_id"), seed=seed), "candidate_id")
+    both = good.select("problem_id", "candidate_id", "passed").unionByName(
+        failing.join(good.select("problem_id"), "problem_id", "left_semi").select("problem_id", "candidate_id", "passed")
+    )
+    order = Window.partitionBy("problem_id").orderBy(
+        T.hash_order(F.col("problem_id"), F.col("candidate_id"), seed=seed), "candidate_id"
+    )
     return both.withColumn("rank", F.row_number().over(order) - 1)
 
 
 def readiness(candidates: DataFrame, task: str, least_tasks: int = 20) -> DataFrame:
     """tasks, labelled, both_labels, blockers of a benchmark pack."""
-    each = candidates.groupBy(task).agg(F.count_if(F.col("label").isNotNull()).alias("labelled"), F.count_if(F.col("label") == "pass").alias("good"), F.count_if(F.col("label") == "fail").alias("bad"))
-    one = each.agg(F.count(F.lit(1)).alias("tasks"), F.sum("labelled").alias("labelled"), F.count_if((F.col("good") > 0) & (F.col("bad") > 0)).alias("both_labels"))
-    rules = [("too_few_tasks", F.col("tasks") < least_tasks), ("no_labels", F.col("labelled") == 0), ("no_task_with_both_labels", F.col("both_labels") == 0)]
-    return one.withColumn("blockers", F.array_join(F.filter(F.array(*(F.when(r, n) for n, r in rules)), lambda x: x.isNotNull()), ","))
+    each = candidates.groupBy(task).agg(
+        F.count_if(F.col("label").isNotNull()).alias("labelled"),
+        F.count_if(F.col("label") == "pass").alias("good"),
+        F.count_if(F.col("label") == "fail").alias("bad")
+    )
+    one = each.agg(
+        F.count(F.lit(1)).alias("tasks"),
+        F.sum("labelled").alias("labelled"),
+        F.count_if((F.col("good") > 0) & (F.col("bad") > 0)).alias("both_labels")
+    )
+    rules = [
+        ("too_few_tasks", F.col("tasks") < least_tasks),
+        ("no_labels", F.col("labelled") == 0),
+        ("no_task_with_both_labels", F.col("both_labels") == 0)
+    ]
+    return one.withColumn(
+        "blockers", F.array_join(F.filter(F.array(*(F.when(r, n) for n, r in rules)), lambda x: x.isNotNull()), ",")
+    )
 
 
 def prompt_or_id(rows: DataFrame, prompts: DataFrame) -> DataFrame:
@@ -326,18 +411,28 @@ def timeline(steps: DataFrame) -> DataFrame:
     """
     c = steps.groupBy("run_id").agg(
         F.count(F.lit(1)).alias("steps"), F.min("step").alias("lo"), F.max("step").alias("hi"), F.count_distinct("step").alias("distinct"),
-        F.count_if(F.col("status") == "failed").alias("failed"), F.count_if((F.col("status") == "failed") & F.col("failure").isNull()).alias("untyped"),
+        F.count_if(F.col("status") == "failed").alias("failed"), F.count_if(
+            (F.col("status") == "failed") & F.col("failure").isNull()
+        ).alias("untyped"),
         F.sum("duration_ms").alias("duration_ms"),
     )
     gaps = (F.col("lo") != 1) | (F.col("hi") != F.col("steps")) | (F.col("distinct") != F.col("steps"))
     problem = F.when(gaps, "step_order_not_contiguous").when(F.col("untyped") > 0, "failed_step_without_typed_failure")
-    return c.select("run_id", "steps", F.when(F.col("failed") > 0, "failed").otherwise("completed").alias("status"), "duration_ms", problem.alias("problem"))
+    return c.select(
+        "run_id",
+        "steps",
+        F.when(F.col("failed") > 0, "failed").otherwise("completed").alias("status"),
+        "duration_ms",
+        problem.alias("problem")
+    )
 
 
 def ablation(completed: DataFrame, variants: list[str]) -> DataFrame:
     """A row for every wanted variant: its metric, or blocked; none is dropped."""
     want = completed.sparkSession.createDataFrame([(v,) for v in variants], "variant string")
-    return want.join(completed, "variant", "left").withColumn("status", F.when(F.col("metric").isNull(), "blocked").otherwise("completed"))
+    return want.join(completed, "variant", "left").withColumn(
+        "status", F.when(F.col("metric").isNull(), "blocked").otherwise("completed")
+    )
 
 
 def claim_audit(gates: DataFrame, required: list[str]) -> DataFrame:
@@ -346,5 +441,9 @@ def claim_audit(gates: DataFrame, required: list[str]) -> DataFrame:
     missing = F.array_except(F.array(*map(F.lit, required)), seen)
     one = gates.agg(missing.alias("missing"), F.coalesce(F.bool_and("better"), F.lit(False)).alias("better"))
     eligible = (F.size("missing") == 0) & F.col("better")
-    wording = F.when(eligible, "improves_over_required_baselines").when(F.size("missing") > 0, "inconclusive_missing_baselines").otherwise("no_improvement_claim")
-    return one.select(eligible.alias("eligible"), F.array_join(F.array_sort("missing"), ",").alias("missing"), wording.alias("wording"))
+    wording = F.when(eligible, "improves_over_required_baselines").when(
+        F.size("missing") > 0, "inconclusive_missing_baselines"
+    ).otherwise("no_improvement_claim")
+    return one.select(
+        eligible.alias("eligible"), F.array_join(F.array_sort("missing"), ",").alias("missing"), wording.alias("wording")
+    )

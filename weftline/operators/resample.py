@@ -28,13 +28,30 @@ def bootstrap_ci(df: DataFrame, by: str, value: str, rounds: int = 1000, seed: i
             w = rng.poisson(1.0, (rounds, len(x[at : at + 4096])))
             total += w @ x[at : at + 4096]
             weight += w.sum(axis=1)
-        return pd.DataFrame({by: pdf[by].iloc[0], "round": np.arange(rounds), "total": total, "weight": weight, "x": x.sum() / rounds, "n": len(x) / rounds})
-
-    dealt = df.select(by, value, F.xxhash64(*df.columns).alias("h")).withColumn("stratum", F.pmod("h", F.lit(strata)).cast("int"))
+        return pd.DataFrame(
+            {
+                by: pdf[by].iloc[0],
+                "round": np.arange(rounds),
+                "total": total,
+                "weight": weight,
+                "x": x.sum() / rounds,
+                "n": len(x) / rounds
+            }
+        )
+
+    dealt = df.select(by, value, F.xxhash64(*df.columns).alias("h")).withColumn(
+        "stratum", F.pmod("h", F.lit(strata)).cast("int")
+    )
     kind = dict(df.dtypes)[by]
-    each = dealt.groupBy(by, "stratum").applyInPandas(sums, f"{by} {kind}, round int, total double, weight double, x double, n double")
-    means = each.groupBy(by, "round").agg((F.sum("total") / F.sum("weight")).alias("m"), F.sum("x").alias("x"), F.sum("n").alias("n"))
-    return means.groupBy(by).agg((F.sum("x") / F.sum("n")).alias("mean"), F.percentile("m", 0.025).alias("low"), F.percentile("m", 0.975).alias("high"))
+    each = dealt.groupBy(by, "stratum").applyInPandas(
+        sums, f"{by} {kind}, round int, total double, weight double, x double, n double"
+    )
+    means = each.groupBy(by, "round").agg(
+        (F.sum("total") / F.sum("weight")).alias("m"), F.sum("x").alias("x"), F.sum("n").alias("n")
+    )
+    return means.groupBy(by).agg(
+        (F.sum("x") / F.sum("n")).alias("mean"), F.percentile("m", 0.025).alias("low"), F.percentile("m", 0.975).alias("high")
+    )
 
 
 def effective_rank(vectors: DataFrame, vector: str = "v") -> DataFrame:
@@ -47,7 +64,9 @@ def effective_rank(vectors: DataFrame, vector: str = "v") -> DataFrame:
                 yield pd.DataFrame({"n": [len(x)], "s": [x.sum(axis=0).tolist()], "q": [(x.T @ x).ravel().tolist()]})
 
     parts = vectors.select(vector).mapInPandas(partial, "n long, s array<double>, q array<double>")
-    total = lambda c: parts.select(F.posexplode(c).alias("i", "x")).groupBy("i").agg(F.sum("x").alias("x")).orderBy("i").toPandas()["x"].to_numpy()
+    total = lambda c: parts.select(
+        F.posexplode(c).alias("i", "x")
+    ).groupBy("i").agg(F.sum("x").alias("x")).orderBy("i").toPandas()["x"].to_numpy()
     n = parts.agg(F.sum("n")).first()[0] or 0
     spark = vectors.sparkSession
     if n < 2:
@@ -60,13 +79,17 @@ def effective_rank(vectors: DataFrame, vector: str = "v") -> DataFrame:
     return spark.createDataFrame([(n, round(rank, 6), round(rank / d, 6))], "n long, effective_rank double, rank_ratio double")
 
 
-def paired_lift_ci(df: DataFrame, method: str, baselines: list[str], value: str, rounds: int = 1000, seed: int = 0) -> DataFrame:
+def paired_lift_ci(
+    df: DataFrame, method: str, baselines: list[str], value: str, rounds: int = 1000, seed: int = 0
+) -> DataFrame:
     """baseline, lift, low, high: interval of a method's mean minus each baseline's, paired by task.
 
     df: task, method, value. Fewer than 20 tasks give nulls.
     """
     own = df.where(F.col("method") == method).select("task", F.col(value).alias("own"))
-    pairs = df.where(F.col("method").isin(*baselines)).join(own, "task").select(F.col("method").alias("baseline"), "task", (F.col("own") - F.col(value)).alias("lift"))
+    pairs = df.where(F.col("method").isin(*baselines)).join(own, "task").select(
+        F.col("method").alias("baseline"), "task", (F.col("own") - F.col(value)).alias("lift")
+    )
     found = bootstrap_ci(pairs, "baseline", "lift", rounds, seed)
     enough = pairs.groupBy("baseline").agg(F.count(F.lit(1)).alias("tasks"))
     keep = lambda c: F.when(F.col("tasks") >= 20, F.col(c)).alias(c)
@@ -96,7 +119,9 @@ def _sums(vectors: DataFrame, vector: str) -> tuple[int, np.ndarray, np.ndarray]
         if n:
             yield pd.DataFrame({"i": np.arange(1 + s.size + q.size), "x": np.concatenate(([n], s, q.ravel()))})
 
-    found = vectors.select(vector).mapInPandas(partial, "i int, x double").groupBy("i").agg(F.sum("x").alias("x")).orderBy("i").toPandas()["x"].to_numpy()
+    found = vectors.select(vector).mapInPandas(
+        partial, "i int, x double"
+    ).groupBy("i").agg(F.sum("x").alias("x")).orderBy("i").toPandas()["x"].to_numpy()
     if not len(found):
         return 0, np.zeros(0), np.zeros((0, 0))
     d = int(round((-1 + (1 + 4 * (len(found) - 1)) ** 0.5) / 2))
@@ -109,7 +134,10 @@ def collapse_report(vectors: DataFrame, vector: str = "v") -> DataFrame:
 
     n, s, q = _sums(vectors, vector)
     spark = vectors.sparkSession
-    schema = "n long, per_dim_variance_min double, per_dim_variance_median double, per_dim_variance_max double, effective_rank double, effective_rank_ratio double, mean_cosine double, mean_norm double"
+    schema = (
+        "n long, per_dim_variance_min double, per_dim_variance_median double, per_dim_variance_max double, effective_rank "
+        "double, effective_rank_ratio double, mean_cosine double, mean_norm double"
+    )
     if n < 2:
         return spark.createDataFrame([(n, *[None] * 7)], schema)
     covariance = q / n - np.outer(s / n, s / n)
@@ -119,7 +147,21 @@ def collapse_report(vectors: DataFrame, vector: str = "v") -> DataFrame:
     rank = float(np.exp(-(p * np.log(p)).sum()))
     norm = vectors.agg(F.avg(F.sqrt(F.aggregate(vector, F.lit(0.0), lambda a, x: a + x * x)))).first()[0]
     cosine = mean_pair_cosine(vectors.select(F.col(vector).alias("v"))).first()[0]
-    return spark.createDataFrame([(n, float(variance.min()), float(np.median(variance)), float(variance.max()), rank, rank / len(s), float(cosine), float(norm))], schema)
+    return spark.createDataFrame(
+        [
+            (
+                n,
+                float(variance.min()),
+                float(np.median(variance)),
+                float(variance.max()),
+                rank,
+                rank / len(s),
+                float(cosine),
+                float(norm)
+            )
+        ],
+        schema
+    )
 
 
 def latent_matrix(vectors: DataFrame, vector: str = "v", top: int = 16) -> DataFrame:

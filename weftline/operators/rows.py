@@ -9,7 +9,12 @@ from ..functions import diffs, pyast, pystate
 from ..functions import text as T
 
 # Classes of hard negatives by the kind of their mutation.
-CLASS_OF_MUTATION = {"compare": "off_by_one_or_boundary", "const": "off_by_one_or_boundary", "not": "inverted_condition", "boolop": "inverted_condition"}
+CLASS_OF_MUTATION = {
+    "compare": "off_by_one_or_boundary",
+    "const": "off_by_one_or_boundary",
+    "not": "inverted_condition",
+    "boolop": "inverted_condition"
+}
 OTHER_CLASS = "wrong_operator"
 SMALLEST_POOL, LARGEST_POOL = 6, 12
 COMMENT = "# no-op clarifying comment, no behavior change"
@@ -43,15 +48,29 @@ def transitions(edits: DataFrame, limit: int = 512) -> DataFrame:
     edits: source, repo, commit, path_before, path_after, before, after, message, license, split.
     Records that don't parse have null states; the caller drops them with a reason.
     """
-    e = edits.withColumn("_shape", diffs.diff_shape("before", "after")).withColumn("_lines", diffs.changed_lines("before", "after"))
+    e = edits.withColumn("_shape", diffs.diff_shape("before", "after")).withColumn(
+        "_lines", diffs.changed_lines("before", "after")
+    )
     for side in ("before", "after"):
         e = e.withColumn(f"_{side}", pystate.code_state(side, F.col(f"_lines.{side}")))
         e = e.withColumn(f"_{side}_cut", pystate.budgeted(F.col(f"_{side}"), limit))
-    size = F.when(F.col("_shape.changed_lines") <= 2, "SMALL").when(F.col("_shape.changed_lines") <= 10, "MEDIUM").otherwise("LARGE")
-    e = e.withColumn("dedup", dedup_keys(F.col("before"), F.col("after"), F.col("message"), diffs.diff_shape_hash(F.col("_shape"))))
-    e = e.withColumn("path", F.col("path_after")).withColumn("action_abs", pyast.abstract_edits("before", "after", size, F.lit(32)))
+    size = F.when(F.col("_shape.changed_lines") <= 2, "SMALL").when(
+        F.col("_shape.changed_lines") <= 10, "MEDIUM"
+    ).otherwise("LARGE")
+    e = e.withColumn(
+        "dedup", dedup_keys(F.col("before"), F.col("after"), F.col("message"), diffs.diff_shape_hash(F.col("_shape")))
+    )
+    e = e.withColumn("path", F.col("path_after")).withColumn(
+        "action_abs", pyast.abstract_edits("before", "after", size, F.lit(32))
+    )
     words = lambda s: F.transform(pystate.segments(F.col(f"_{s}_cut")), lambda x: x["token"])
-    flags = F.concat(*(F.transform(F.col(f"_{s}_cut.dropped"), lambda x, s=s: F.concat(F.lit(f"{s}_dropped:"), x)) for s in ("before", "after")))
+    flags = F.concat(
+        *(
+            F.transform(
+                F.col(f"_{s}_cut.dropped"), lambda x, s=s: F.concat(F.lit(f"{s}_dropped:"), x)
+            ) for s in ("before", "after")
+        )
+    )
     state = lambda s: [
         _token_ids(words(s)).alias(f"state_{s}_input_ids"),
         F.transform(pystate.segments(F.col(f"_{s}_cut")), lambda x: x["segment"]).alias(f"state_{s}_segment_ids"),
@@ -73,9 +92,17 @@ def evaluation_rows(transitions_: DataFrame) -> DataFrame:
     return transitions_.select(
         "transition_id", text("source"), text("repo"), text("path"), "split", "edit_size",
         (F.floor(F.col("edit_size") / 10) * 10).cast("int").alias("edit_size_decade"),
-        T.ids_text(F.col("state_before_input_ids")).alias("before_text"), T.ids_text(F.col("action_text_input_ids")).alias("action_text"),
-        T.int_sequence_hash(F.col("state_before_input_ids")).alias("state_before_hash"), T.int_sequence_hash(F.col("state_after_input_ids")).alias("state_after_hash"),
-        T.action_signature(F.col("action_text_input_ids")).alias("action_cluster"), F.col("dedup.diff_shape").alias("diff_shape"), text("state_after_kind"), text("state_after_symbol"),
+        T.ids_text(
+            F.col("state_before_input_ids")
+        ).alias("before_text"), T.ids_text(F.col("action_text_input_ids")).alias("action_text"),
+        T.int_sequence_hash(
+            F.col("state_before_input_ids")
+        ).alias("state_before_hash"), T.int_sequence_hash(F.col("state_after_input_ids")).alias("state_after_hash"),
+        T.action_signature(
+            F.col("action_text_input_ids")
+        ).alias("action_cluster"), F.col("dedup.diff_shape").alias("diff_shape"), text("state_after_kind"), text(
+            "state_after_symbol"
+        ),
     )
 
 
@@ -83,8 +110,12 @@ def diagnostic_rows(transitions_: DataFrame) -> DataFrame:
     """Hashes and named buckets of a transition, for reports on shards."""
     n = F.size("state_before_input_ids")
     return transitions_.select(
-        "transition_id", T.int_sequence_hash(F.col("state_before_input_ids")).alias("before_hash"), T.int_sequence_hash(F.col("state_after_input_ids")).alias("after_hash"),
-        T.action_signature(F.col("action_text_input_ids")).alias("action"), T.edit_size_bucket(F.col("edit_size")).alias("edit_bucket"), T.token_count_bucket(n).alias("token_bucket"),
+        "transition_id", T.int_sequence_hash(
+            F.col("state_before_input_ids")
+        ).alias("before_hash"), T.int_sequence_hash(F.col("state_after_input_ids")).alias("after_hash"),
+        T.action_signature(
+            F.col("action_text_input_ids")
+        ).alias("action"), T.edit_size_bucket(F.col("edit_size")).alias("edit_bucket"), T.token_count_bucket(n).alias("token_bucket"),
     )
 
 
@@ -101,14 +132,19 @@ def execution_records(rows: DataFrame) -> DataFrame:
 
 def index_entries(rows: DataFrame) -> DataFrame:
     """id, vector and the four attributes that an index keeps."""
-    return rows.select(F.col("transition_id").alias("id"), "vector", *(c for c in ("repo", "path", "message", "license") if c in rows.columns))
+    return rows.select(
+        F.col("transition_id").alias("id"), "vector", *(c for c in ("repo", "path", "message", "license") if c in rows.columns)
+    )
 
 
 def symbol_kind(kind: Column, symbol: Column, fallback: Column) -> Column:
     known = lambda c: F.coalesce(c, F.lit("")) != ""
     return (
         F.when(known(kind) & known(symbol), F.concat(kind, F.lit(":named")))
-        .when(kind.isin("region", "small_file"), F.concat(kind, F.lit(":fallback:"), F.when(known(fallback), fallback).otherwise("unknown")))
+        .when(
+            kind.isin("region", "small_file"),
+            F.concat(kind, F.lit(":fallback:"), F.when(known(fallback), fallback).otherwise("unknown"))
+        )
         .when(known(kind), F.concat(kind, F.lit(":unnamed")))
     )
 
@@ -120,15 +156,21 @@ def probe_rows(rows: DataFrame) -> DataFrame:
     bucket = T.edit_size_bucket(F.col("edit_size"))
     kind = symbol_kind(F.col("state_after_kind"), F.col("state_after_symbol"), F.lit(""))
     return rows.select(
-        "transition_id", "split", F.coalesce(none("diff_shape"), bucket).alias("edit_class"), none("state_after_kind").alias("ast_node_kind"), kind.alias("symbol_kind"),
+        "transition_id", "split", F.coalesce(
+            none("diff_shape"), bucket
+        ).alias("edit_class"), none("state_after_kind").alias("ast_node_kind"), kind.alias("symbol_kind"),
         bucket.alias("edit_size_bucket"), none("action_cluster").alias("action_cluster"), none("source").alias("source_family"),
-        F.when(suffix == "", "<none>").otherwise(suffix).alias("path_suffix"), F.coalesce(kind, F.lit("<missing>")).alias("symbol_feature"),
+        F.when(suffix == "", "<none>").otherwise(suffix).alias("path_suffix"), F.coalesce(
+            kind, F.lit("<missing>")
+        ).alias("symbol_feature"),
     )
 
 
 def lexical_matrix(rows: DataFrame, ident: str, tokens: str, width: int = 256) -> DataFrame:
     """ident, dim, value: unit vectors of token counts by token modulo the width."""
-    each = rows.select(ident, F.explode(tokens).alias("t")).groupBy(ident, F.pmod("t", F.lit(width)).alias("dim")).agg(F.count(F.lit(1)).alias("n"))
+    each = rows.select(ident, F.explode(tokens).alias("t")).groupBy(
+        ident, F.pmod("t", F.lit(width)).alias("dim")
+    ).agg(F.count(F.lit(1)).alias("n"))
     norm = each.groupBy(ident).agg(F.sqrt(F.sum((F.col("n") * F.col("n")).cast("double"))).alias("norm"))
     return each.join(norm, ident).select(ident, "dim", (F.col("n") / F.col("norm")).alias("value"))
 
@@ -145,7 +187,9 @@ def hard_negative_candidates(tasks: DataFrame, pool_size: int = SMALLEST_POOL, s
     reference = F.when(F.col("_ok.ok"), F.col("after_text")).otherwise(F.raise_error(F.lit("the reference doesn't parse")))
     checked = checked.withColumn("_reference", reference)
     comment = F.concat(F.rtrim(F.col("before_text"), F.lit("\n")), F.lit(f"\n{COMMENT}\n"))
-    row = lambda name, text, label, how: F.struct(F.lit(name).alias("class"), text.alias("after_text"), F.lit(label).alias("label"), how.alias("mutation"))
+    row = lambda name, text, label, how: F.struct(
+        F.lit(name).alias("class"), text.alias("after_text"), F.lit(label).alias("label"), how.alias("mutation")
+    )
     nothing = F.lit(None).cast("string")
     fixed = F.array(
         row("passing_reference", F.col("_reference"), "pass", nothing),
@@ -154,8 +198,18 @@ def hard_negative_candidates(tasks: DataFrame, pool_size: int = SMALLEST_POOL, s
     )
     kinds = F.create_map(*[F.lit(x) for pair in CLASS_OF_MUTATION.items() for x in pair])
     made = pyast.sampled_mutants("_reference", F.lit(pool_size - 3), F.lit(seed))
-    rest = F.transform(made, lambda m: F.struct(F.coalesce(F.element_at(kinds, m["operator"]), F.lit(OTHER_CLASS)).alias("class"), m["source"].alias("after_text"), F.lit("unknown").alias("label"), m["description"].alias("mutation")))
-    return checked.select("task_id", F.posexplode(F.concat(fixed, rest)).alias("position", "x")).select("task_id", "position", "x.*")
+    rest = F.transform(
+        made,
+        lambda m: F.struct(
+            F.coalesce(F.element_at(kinds, m["operator"]), F.lit(OTHER_CLASS)).alias("class"),
+            m["source"].alias("after_text"),
+            F.lit("unknown").alias("label"),
+            m["description"].alias("mutation")
+        )
+    )
+    return checked.select(
+        "task_id", F.posexplode(F.concat(fixed, rest)).alias("position", "x")
+    ).select("task_id", "position", "x.*")
 
 
 def benchmark_pack(tasks: DataFrame, candidates: DataFrame, generated: DataFrame) -> DataFrame:
@@ -168,7 +222,9 @@ def benchmark_pack(tasks: DataFrame, candidates: DataFrame, generated: DataFrame
     own = Window.partitionBy("task_id").orderBy(F.desc("origin"), "candidate_id")
     ranked = every.join(tasks, "task_id").withColumn("rank", F.row_number().over(own))
     twice = F.count(F.lit(1)).over(Window.partitionBy("task_id", "candidate_id"))
-    checked = F.when(twice == 1, F.col("candidate_id")).otherwise(F.raise_error(F.concat(F.lit("repeated candidate "), F.col("candidate_id"))))
+    checked = F.when(twice == 1, F.col("candidate_id")).otherwise(
+        F.raise_error(F.concat(F.lit("repeated candidate "), F.col("candidate_id")))
+    )
     return ranked.withColumn("candidate_id", checked)
 
 

@@ -13,13 +13,20 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 #: A licence that a document names, as its notices spell it.
-LICENSE_LINE = (("Apache License, Version 2.0", "Apache License_2.0"), ("MIT License", "MIT  License"), ("GNU General Public License, version 3", "GPL-3.0"), ("CC BY-NC 4.0", "CC-BY-NC-4.0"))
+LICENSE_LINE = (
+    ("Apache License, Version 2.0", "Apache License_2.0"),
+    ("MIT License", "MIT  License"),
+    ("GNU General Public License, version 3", "GPL-3.0"),
+    ("CC BY-NC 4.0", "CC-BY-NC-4.0")
+)
 
 
 def named_license(text):
     found = None
     for line, name in LICENSE_LINE:
-        found = F.when(F.contains(text, F.lit(line)), name) if found is None else found.when(F.contains(text, F.lit(line)), name)
+        found = F.when(
+            F.contains(text, F.lit(line)), name
+        ) if found is None else found.when(F.contains(text, F.lit(line)), name)
     return found
 
 
@@ -46,4 +53,14 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents as records: id, source, licence decision, split by source and id, text keys."""
     docs = read(spark, sf_dir, "documents")
     key = F.concat_ws("/", "source", F.col("doc_id").cast("string"))
-    return docs.select("doc_id", "source", "lang", "text", "n_chars", T.license_decision(named_license(F.col("text"))).alias("decision"), T.split_name(key).alias("split"), T.parts_hash(F.col("text")).alias("pair"), T.parts_hash(F.col("text"), F.col("lang")).alias("transition"))
+    return docs.select(
+        "doc_id",
+        "source",
+        "lang",
+        "text",
+        "n_chars",
+        T.license_decision(named_license(F.col("text"))).alias("decision"),
+        T.split_name(key).alias("split"),
+        T.parts_hash(F.col("text")).alias("pair"),
+        T.parts_hash(F.col("text"), F.col("lang")).alias("transition")
+    )

@@ -21,10 +21,19 @@ MODES = ("AIR", "MAIL", "RAIL", "SHIP", "TRUCK")
 
 def decoy_scores(s, d):
     """A query is an embedding divisible by 50; true score: first component, decoys: two others'."""
-    e = read(s, d, "embeddings").select("vec_id", *(F.round(F.col("embedding")[i].cast("double"), 3).alias(f"x{i}") for i in range(6)))
+    e = read(s, d, "embeddings").select(
+        "vec_id", *(F.round(F.col("embedding")[i].cast("double"), 3).alias(f"x{i}") for i in range(6))
+    )
     q = e.where("vec_id % 50 = 0")
-    stack = F.array(*(F.struct(F.lit(c).alias("category"), F.col(f"x{i}").alias("decoy_score")) for i, c in ((1, "random"), (2, "random"), (3, "same_file"), (4, "action_cluster"))))
-    return q.select(F.col("vec_id").alias("query_id"), F.col("x0").alias("true_score"), F.explode(stack).alias("x")).select("query_id", "true_score", "x.*")
+    stack = F.array(
+        *(
+            F.struct(F.lit(c).alias("category"), F.col(f"x{i}").alias("decoy_score")) for i,
+            c in ((1, "random"), (2, "random"), (3, "same_file"), (4, "action_cluster"))
+        )
+    )
+    return q.select(
+        F.col("vec_id").alias("query_id"), F.col("x0").alias("true_score"), F.explode(stack).alias("x")
+    ).select("query_id", "true_score", "x.*")
 
 
 def surprise_metrics(s, d):
@@ -129,20 +138,29 @@ def collapse_gate(s, d):
     from .evaluation import vectors
 
     v = vectors(s, d).select(F.posexplode("v").alias("dim", "x")).groupBy("dim").agg(F.var_pop("x").alias("variance"))
-    one = v.agg(F.round(F.median("variance"), 9).alias("per_dim_variance_median"), F.lit(0.05).alias("nearest_neighbor_entropy"), F.lit(0.5).alias("effective_rank_ratio"), F.lit(float("nan")).alias("mean_norm"))
+    one = v.agg(
+        F.round(F.median("variance"), 9).alias("per_dim_variance_median"),
+        F.lit(0.05).alias("nearest_neighbor_entropy"),
+        F.lit(0.5).alias("effective_rank_ratio"),
+        F.lit(float("nan")).alias("mean_norm")
+    )
     return P.collapse_gate(one)
 
 
 def probe_coverage_gate(s, d):
     e = read(s, d, "embeddings").withColumn("split", T.split_name(F.col("vec_id").cast("string")))
-    return P.label_coverage(e.withColumn("none", F.lit(None).cast("string")).withColumn("one", F.lit("x")), ["label", "none", "one"])
+    return P.label_coverage(
+        e.withColumn("none", F.lit(None).cast("string")).withColumn("one", F.lit("x")), ["label", "none", "one"]
+    )
 
 
 def sandbox_survivors(s, d):
     """events as results of runs: the typed reason of each reject."""
     e = read(s, d, "events")
     code = F.when(F.col("event_type") == "error", "timeout").when(F.col("event_type") == "view", "raised").otherwise("ok")
-    reason = P.survivor_reason(code, F.col("event_id") % 7 != 0, F.when(F.col("event_id") % 5 != 0, "x"), F.col("event_id") % 11 == 0)
+    reason = P.survivor_reason(
+        code, F.col("event_id") % 7 != 0, F.when(F.col("event_id") % 5 != 0, "x"), F.col("event_id") % 11 == 0
+    )
     return e.groupBy(F.coalesce(reason, F.lit("kept")).alias("reason")).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -171,21 +189,41 @@ def loader_diagnostics(s, d):
 def pass_fail_records(s, d):
     """Lines as completions of their order's supplier problem, checked on three inputs."""
     c = candidates(s, d).where("task < 200").select(F.col("task").alias("problem_id"), "candidate_id")
-    expected = s.range(200).select(F.col("id").alias("problem_id"), F.explode(F.array(*(F.lit(i) for i in range(3)))).alias("input_id")).withColumn("expected_hash", F.md5(F.concat_ws(":", "problem_id", "input_id")))
-    results = c.select("candidate_id", F.explode(F.array(F.lit(0), F.lit(1))).alias("input_id"), "problem_id").withColumn("output_hash", F.when(F.substring(F.md5("candidate_id"), 1, 1) < "8", F.md5(F.concat_ws(":", "problem_id", "input_id"))).otherwise("other")).drop("problem_id")
-    cases = P.pass_fail_records(c.withColumnRenamed("candidate_id", "completion_id"), expected, results.withColumnRenamed("candidate_id", "completion_id"))
+    expected = s.range(200).select(
+        F.col("id").alias("problem_id"), F.explode(F.array(*(F.lit(i) for i in range(3)))).alias("input_id")
+    ).withColumn("expected_hash", F.md5(F.concat_ws(":", "problem_id", "input_id")))
+    results = c.select("candidate_id", F.explode(F.array(F.lit(0), F.lit(1))).alias("input_id"), "problem_id").withColumn(
+        "output_hash",
+        F.when(
+            F.substring(F.md5("candidate_id"), 1, 1) < "8", F.md5(F.concat_ws(":", "problem_id", "input_id"))
+        ).otherwise("other")
+    ).drop("problem_id")
+    cases = P.pass_fail_records(
+        c.withColumnRenamed("candidate_id", "completion_id"),
+        expected,
+        results.withColumnRenamed("candidate_id", "completion_id")
+    )
     return cases.groupBy("problem_id").agg(F.count(F.lit(1)).alias("cases"), F.count_if("passed").alias("passed"))
 
 
 def candidate_labels(s, d):
     c = candidates(s, d)
-    cases = c.select("task", F.when(F.col("static_ok"), "ok").otherwise("raised").alias("exit_code"), F.col("failure_class").alias("output"), F.when(F.col("check_ok"), F.col("failure_class")).otherwise("SHIP").alias("expected"))
+    cases = c.select(
+        "task",
+        F.when(F.col("static_ok"), "ok").otherwise("raised").alias("exit_code"),
+        F.col("failure_class").alias("output"),
+        F.when(F.col("check_ok"), F.col("failure_class")).otherwise("SHIP").alias("expected")
+    )
     return P.candidate_labels(cases, "task")
 
 
 def mutation_rerank_pack(s, d):
-    c = candidates(s, d).withColumn("problem_id", (F.col("task") % 300).cast("string")).withColumn("ordinal", F.md5("candidate_id"))
-    one = c.groupBy("problem_id").agg(F.min(F.struct("ordinal", "candidate_id", "passed")).alias("r")).select("problem_id", "r.*")
+    c = candidates(s, d).withColumn(
+        "problem_id", (F.col("task") % 300).cast("string")
+    ).withColumn("ordinal", F.md5("candidate_id"))
+    one = c.groupBy("problem_id").agg(
+        F.min(F.struct("ordinal", "candidate_id", "passed")).alias("r")
+    ).select("problem_id", "r.*")
     return P.mutation_pack(one, c.join(one.select("candidate_id"), "candidate_id", "left_anti"))
 
 
@@ -194,7 +232,11 @@ def pack_readiness(s, d):
 
 
 def prompt_lookup(s, d):
-    prompts = read(s, d, "conversations").where("role = 'user'").select((F.col("conv_id") % 50).cast("string").alias("problem_id"), (F.col("conv_id") * 1000 + F.col("turn")).alias("ordinal"), F.md5("text").alias("prompt"))
+    prompts = read(s, d, "conversations").where("role = 'user'").select(
+        (F.col("conv_id") % 50).cast("string").alias("problem_id"),
+        (F.col("conv_id") * 1000 + F.col("turn")).alias("ordinal"),
+        F.md5("text").alias("prompt")
+    )
     return P.prompt_or_id(s.range(60).select(F.col("id").cast("string").alias("problem_id")), prompts)
 
 
@@ -202,12 +244,20 @@ def run_timelines(s, d):
     """Each user's events as steps of a run; every seventh run lacks its first step."""
     e = read(s, d, "events").select("user_id", "event_id", "event_type")
     ranked = e.withColumn("step", F.row_number().over(R.Window.partitionBy("user_id").orderBy("event_id")))
-    steps = ranked.where("step > 1 or user_id % 7 <> 0").select(F.col("user_id").alias("run_id"), "step", F.when(F.col("event_type") == "error", "failed").otherwise("completed").alias("status"), (F.col("event_id") % 100).alias("duration_ms"), F.when(F.col("event_id") % 2 == 0, "typed").alias("failure"))
+    steps = ranked.where("step > 1 or user_id % 7 <> 0").select(
+        F.col("user_id").alias("run_id"),
+        "step",
+        F.when(F.col("event_type") == "error", "failed").otherwise("completed").alias("status"),
+        (F.col("event_id") % 100).alias("duration_ms"),
+        F.when(F.col("event_id") % 2 == 0, "typed").alias("failure")
+    )
     return P.timeline(steps)
 
 
 def ablation_rows(s, d):
-    done = candidates(s, d).groupBy(F.col("failure_class").alias("variant")).agg(F.round(F.avg(F.col("passed").cast("int")), 9).alias("metric"))
+    done = candidates(s, d).groupBy(F.col("failure_class").alias("variant")).agg(
+        F.round(F.avg(F.col("passed").cast("int")), 9).alias("metric")
+    )
     return P.ablation(done, ["AIR", "MAIL", "RAIL", "NONE"])
 
 
@@ -230,9 +280,20 @@ def calibration_folds(s, d):
 
 def oof_calibrator(s, d):
     """probability that a line was returned, out of fold by order; the driver's SQL can't fit it."""
-    li = read(s, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.col("l_quantity").cast("double").alias("q"), F.col("l_discount").cast("double").alias("disc"), F.col("l_tax").cast("double").alias("tax"), (F.col("l_returnflag") == "R").cast("int").alias("y"))
+    li = read(s, d, "lineitem").select(
+        "l_orderkey",
+        "l_linenumber",
+        "l_partkey",
+        "l_suppkey",
+        F.col("l_quantity").cast("double").alias("q"),
+        F.col("l_discount").cast("double").alias("disc"),
+        F.col("l_tax").cast("double").alias("tax"),
+        (F.col("l_returnflag") == "R").cast("int").alias("y")
+    )
     rows = li.join(O.fold_ids(li.select("l_orderkey"), "l_orderkey"), "l_orderkey")
-    return O.out_of_fold(rows, ["q", "disc", "tax"], "y").select("l_orderkey", "l_linenumber", "l_partkey", "fold", F.round("probability", 6).alias("probability"))
+    return O.out_of_fold(rows, ["q", "disc", "tax"], "y").select(
+        "l_orderkey", "l_linenumber", "l_partkey", "fold", F.round("probability", 6).alias("probability")
+    )
 
 
 QUERIES = {
@@ -250,8 +311,14 @@ RERANK, AREAS = EVALUATION["rerank_pass_at_k"], EVALUATION["roc_auc"]
 DEC = """e AS (SELECT vec_id, list_transform(embedding[1:6], lambda x: round(x::DOUBLE, 3)) AS x FROM embeddings WHERE vec_id % 50 = 0),
   s AS (SELECT vec_id AS query_id, x[1] AS true_score, unnest(['random', 'random', 'same_file', 'action_cluster']) AS category, unnest(x[2:5]) AS decoy_score FROM e)"""
 WON = "CASE WHEN true_score < decoy_score THEN 1.0::DOUBLE WHEN true_score = decoy_score THEN 0.5 ELSE 0 END"
-SUR = f"WITH {DEC}, m AS (SELECT category, count(*) AS pairs, round(avg({WON}), 9) AS auc FROM s GROUP BY 1 UNION ALL SELECT 'overall', count(*), round(avg({WON}), 9) FROM s)"
-RANKS = f"WITH {DEC}, r AS (SELECT query_id, (1 + count(*) FILTER (WHERE decoy_score < true_score) + count(*) FILTER (WHERE decoy_score = true_score) // 2)::BIGINT AS true_rank FROM s GROUP BY 1)"
+SUR = (
+    f"WITH {DEC}, m AS (SELECT category, count(*) AS pairs, round(avg({WON}), 9) AS auc FROM s GROUP BY 1 UNION ALL SELECT "
+    f"'overall', count(*), round(avg({WON}), 9) FROM s)"
+)
+RANKS = (
+    f"WITH {DEC}, r AS (SELECT query_id, (1 + count(*) FILTER (WHERE decoy_score < true_score) + count(*) FILTER (WHERE "
+    f"decoy_score = true_score) // 2)::BIGINT AS true_rank FROM s GROUP BY 1)"
+)
 CAND = """c AS (SELECT l_orderkey % 2000 AS task, concat_ws('-', l_orderkey, l_partkey, l_suppkey, l_linenumber) AS candidate_id,
   max(l_returnflag) = 'R' AS passed, max(l_linestatus) = 'F' AS static_ok, l_partkey % 5 <> 0 AS check_ok,
   CASE WHEN max(l_discount) > 0 THEN max(l_discount)::DOUBLE END AS score, max(l_quantity)::DOUBLE AS quantity, (['AIR', 'MAIL', 'RAIL', 'SHIP', 'TRUCK'])[l_partkey % 5 + 1] AS failure_class,
@@ -271,47 +338,130 @@ BASE = f"""WITH {CAND}, r AS (SELECT *, row_number() OVER (PARTITION BY task ORD
 
 
 def _hist(columns: list[str], source: str) -> str:
-    return " UNION ALL ".join(f"SELECT '{c}' AS \"column\", coalesce({c}::VARCHAR, 'missing') AS value, count(*) AS n FROM {source} GROUP BY ALL" for c in columns)
+    return " UNION ALL ".join(
+        f"SELECT '{c}' AS \"column\", coalesce({c}::VARCHAR, 'missing') AS value, count(*) AS n FROM {source} GROUP BY ALL" for c in columns
+    )
 
 
 ORACLES = {
     "surprise_metrics": SUR + " SELECT * FROM m",
-    "surprise_rank_summary": RANKS + " SELECT count(*) AS examples, round(avg(true_rank), 9) AS mean_true_rank, median(true_rank) AS median_true_rank, round(avg((true_rank = 1)::INT), 9) AS recall_at_1 FROM r",
+    "surprise_rank_summary": RANKS + (
+        " SELECT count(*) AS examples, round(avg(true_rank), 9) AS mean_true_rank, median(true_rank) AS median_true_rank, "
+        "round(avg((true_rank = 1)::INT), 9) AS recall_at_1 FROM r"
+    ),
     "true_rank_half_ties": RANKS + " SELECT * FROM r",
-    "surprise_gates": SUR + ", w AS (SELECT w.category, least, coalesce(pairs, 0) AS pairs, auc FROM (VALUES ('random', 10), ('same_file', 100000), ('mutation', 1)) w(category, least) LEFT JOIN m ON m.category = w.category) SELECT category, pairs, CASE WHEN pairs < least OR auc <= 0.5 THEN 'blocked' ELSE 'open' END AS status, CASE WHEN pairs < least THEN 'too_few_pairs' WHEN auc <= 0.5 THEN 'auc_not_above_floor' END AS reason FROM w",
+    "surprise_gates": SUR + (
+        ", w AS (SELECT w.category, least, coalesce(pairs, 0) AS pairs, auc FROM (VALUES ('random', 10), ('same_file', 100000), "
+        "('mutation', 1)) w(category, least) LEFT JOIN m ON m.category = w.category) SELECT category, pairs, CASE WHEN pairs "
+        "< least OR auc <= 0.5 THEN 'blocked' ELSE 'open' END AS status, CASE WHEN pairs < least THEN 'too_few_pairs' WHEN "
+        "auc <= 0.5 THEN 'auc_not_above_floor' END AS reason FROM w"
+    ),
     "downstream_order_metrics": ORDER + " SELECT * FROM o",
-    "downstream_aggregate": ORDER + " SELECT count(*) AS tasks, round(avg(pass_at_1), 9) AS pass_at_1, round(avg(pass_at_k), 9) AS pass_at_k, round(avg(mrr), 9) AS mrr, round(avg(valid_rate), 9) AS valid_rate, round(avg(check_rate), 9) AS check_rate, round(avg(first_pass_rank), 9) AS mean_first_pass_rank FROM o",
+    "downstream_aggregate": ORDER + (
+        " SELECT count(*) AS tasks, round(avg(pass_at_1), 9) AS pass_at_1, round(avg(pass_at_k), 9) AS pass_at_k, round(avg(mrr), "
+        "9) AS mrr, round(avg(valid_rate), 9) AS valid_rate, round(avg(check_rate), 9) AS check_rate, round(avg(first_pass_rank), "
+        "9) AS mean_first_pass_rank FROM o"
+    ),
     "downstream_slices": f"WITH {CAND} " + _hist(["failure_class", "label"], "c"),
-    "baseline_availability": f"WITH {CAND} SELECT 'latent' AS baseline, count(score) AS finite_scores, 'completed' AS status FROM c UNION ALL SELECT 'prior', 0, 'blocked'",
-    "shuffled_action_control": f"WITH {CAND}, t AS (SELECT task, max(quantity) AS q FROM c GROUP BY 1) SELECT task, coalesce(lead(q) OVER (ORDER BY task), first_value(q) OVER (ORDER BY task)) AS shifted FROM t",
+    "baseline_availability": (
+        f"WITH {CAND} SELECT 'latent' AS baseline, count(score) AS finite_scores, 'completed' AS status FROM c UNION ALL SELECT "
+        f"'prior', 0, 'blocked'"
+    ),
+    "shuffled_action_control": (
+        f"WITH {CAND}, t AS (SELECT task, max(quantity) AS q FROM c GROUP BY 1) SELECT task, coalesce(lead(q) OVER (ORDER "
+        f"BY task), first_value(q) OVER (ORDER BY task)) AS shifted FROM t"
+    ),
     "model_independent_baselines": BASE + " SELECT * FROM b",
     "anti_saturation_gate": BASE + """, x AS (SELECT list_filter([CASE WHEN problems < 100 THEN 'problem_count_below_minimum' END, CASE WHEN pool_min < 6 OR pool_max > 12 THEN 'candidate_pool_size_out_of_range' END,
       CASE WHEN no_action > 0.85 THEN 'saturated_baseline_no_action' END, CASE WHEN lexical > 0.85 THEN 'saturated_baseline_lexical' END, CASE WHEN llm_order > 0.90 THEN 'saturated_baseline_llm_order' END,
       CASE WHEN dual_share < 0.70 THEN 'dual_hard_negative_coverage_below_minimum' END, 'secret_scan_not_ok'], lambda x: x IS NOT NULL) AS r FROM b) SELECT len(r) = 0 AS eligible, array_to_string(r, ',') AS blocked_reasons FROM x""",
     "downstream_claim_gate": BASE + " SELECT * FROM g",
     "claim_audit": BASE + " SELECT false AS eligible, 'p_pass' AS missing, 'inconclusive_missing_baselines' AS wording",
-    "retrieval_claim_gate": f"WITH m AS ({RERANK}), p AS (SELECT * FROM m WHERE method = 'model') SELECT m.method, round(p.pass_at_1 - m.pass_at_1, 9) AS delta_r1, round(p.mrr - m.mrr, 9) AS delta_mrr, p.pass_at_1 > m.pass_at_1 AND p.mrr > m.mrr AS gate_open FROM m, p WHERE m.method <> 'model'",
-    "method_report": f"WITH a AS ({AREAS}), l AS (SELECT * FROM a WHERE method = 'length'), o AS (SELECT * FROM a WHERE method <> 'length' ORDER BY auc DESC, method DESC LIMIT 1) SELECT l.method AS best_latent, l.auc AS latent_auc, o.method AS best_other, o.auc AS other_auc, round(l.auc - o.auc, 9) AS lift, round(l.auc - o.auc, 9) >= 0.02 AS lift_ok FROM l, o",
-    "collapse_gate": "WITH x AS (SELECT unnest(embedding::DOUBLE[]) AS x, unnest(range(64)) AS dim FROM embeddings), v AS (SELECT var_pop(x) AS v FROM x GROUP BY dim), m AS (SELECT round(median(v), 9) AS m FROM v) SELECT 'nearest_neighbor_entropy' AS metric, 0.05::DOUBLE AS observed, 'minimum' AS comparison UNION ALL SELECT 'mean_norm', 'nan'::DOUBLE, 'finite' UNION ALL SELECT 'per_dim_variance_median', m, 'minimum' FROM m WHERE m < 1e-8",
-    "probe_coverage_gate": f"WITH e AS (SELECT label::VARCHAR AS label, {split_sql('vec_id::VARCHAR')} AS split FROM embeddings), s AS (SELECT split, 'label' AS target, label FROM e UNION ALL SELECT split, 'none', NULL FROM e UNION ALL SELECT split, 'one', 'x' FROM e), c AS (SELECT target, count(DISTINCT label) FILTER (WHERE split = 'train') AS train_classes, count(label) FILTER (WHERE split = 'val') AS val_rows, count(label) FILTER (WHERE split = 'test') AS test_rows FROM s GROUP BY 1) SELECT *, CASE WHEN train_classes >= 2 AND val_rows >= 1 AND test_rows >= 1 THEN 'available' ELSE 'blocked' END AS status FROM c",
-    "sandbox_survivors": "SELECT CASE WHEN event_type = 'error' THEN 'sandbox_timeout' WHEN event_id % 7 = 0 THEN 'nondeterministic' WHEN event_id % 5 = 0 AND event_type <> 'view' THEN 'missing_output_repr' WHEN event_id % 11 = 0 THEN 'output_truncated' ELSE 'kept' END AS reason, count(*) AS n FROM events GROUP BY 1",
+    "retrieval_claim_gate": (
+        f"WITH m AS ({RERANK}), p AS (SELECT * FROM m WHERE method = 'model') SELECT m.method, round(p.pass_at_1 - m.pass_at_1, "
+        f"9) AS delta_r1, round(p.mrr - m.mrr, 9) AS delta_mrr, p.pass_at_1 > m.pass_at_1 AND p.mrr > m.mrr AS gate_open FROM "
+        f"m, p WHERE m.method <> 'model'"
+    ),
+    "method_report": (
+        f"WITH a AS ({AREAS}), l AS (SELECT * FROM a WHERE method = 'length'), o AS (SELECT * FROM a WHERE method <> 'length' "
+        f"ORDER BY auc DESC, method DESC LIMIT 1) SELECT l.method AS best_latent, l.auc AS latent_auc, o.method AS best_other, "
+        f"o.auc AS other_auc, round(l.auc - o.auc, 9) AS lift, round(l.auc - o.auc, 9) >= 0.02 AS lift_ok FROM l, o"
+    ),
+    "collapse_gate": (
+        "WITH x AS (SELECT unnest(embedding::DOUBLE[]) AS x, unnest(range(64)) AS dim FROM embeddings), v AS (SELECT var_pop(x) "
+        "AS v FROM x GROUP BY dim), m AS (SELECT round(median(v), 9) AS m FROM v) SELECT 'nearest_neighbor_entropy' AS metric, "
+        "0.05::DOUBLE AS observed, 'minimum' AS comparison UNION ALL SELECT 'mean_norm', 'nan'::DOUBLE, 'finite' UNION ALL "
+        "SELECT 'per_dim_variance_median', m, 'minimum' FROM m WHERE m < 1e-8"
+    ),
+    "probe_coverage_gate": (
+        f"WITH e AS (SELECT label::VARCHAR AS label, {split_sql('vec_id::VARCHAR')} AS split FROM embeddings), s AS (SELECT "
+        f"split, 'label' AS target, label FROM e UNION ALL SELECT split, 'none', NULL FROM e UNION ALL SELECT split, 'one', "
+        f"'x' FROM e), c AS (SELECT target, count(DISTINCT label) FILTER (WHERE split = 'train') AS train_classes, count(label) "
+        f"FILTER (WHERE split = 'val') AS val_rows, count(label) FILTER (WHERE split = 'test') AS test_rows FROM s GROUP BY "
+        f"1) SELECT *, CASE WHEN train_classes >= 2 AND val_rows >= 1 AND test_rows >= 1 THEN 'available' ELSE 'blocked' END "
+        f"AS status FROM c"
+    ),
+    "sandbox_survivors": (
+        "SELECT CASE WHEN event_type = 'error' THEN 'sandbox_timeout' WHEN event_id % 7 = 0 THEN 'nondeterministic' WHEN "
+        "event_id % 5 = 0 AND event_type <> 'view' THEN 'missing_output_repr' WHEN event_id % 11 = 0 THEN 'output_truncated' "
+        "ELSE 'kept' END AS reason, count(*) AS n FROM events GROUP BY 1"
+    ),
     "record_kinds": """WITH r AS (SELECT (['int', 'float', 'str', 'list', 'bool', 'none', 'exception', 'odd'])[o_orderkey % 8 + 1] AS t, CASE WHEN o_orderkey % 9 = 0 THEN 'stdout' ELSE 'value' END AS k, o_orderkey % 10 = 0 AS raised, floor(o_totalprice) - 1000 AS v, o_custkey % 1200 AS n FROM orders),
       l AS (SELECT raised OR t = 'exception' AS will_raise, CASE WHEN k = 'stdout' THEN 'stdout' ELSE coalesce(map {'int': 'value-int', 'float': 'value-numeric', 'str': 'value-string', 'list': 'value-collection', 'bool': 'value-bool', 'none': 'value-none'}[t], 'other') END AS record_kind,
       CASE WHEN t IN ('int', 'float') THEN CASE WHEN v < 0 THEN 'negative' WHEN v = 0 THEN 'zero' WHEN v <= 10 THEN 'small' WHEN v <= 1000 THEN 'medium' ELSE 'large' END END AS output_magnitude_bucket,
       CASE WHEN t IN ('str', 'list') THEN CASE WHEN n = 0 THEN 'empty' WHEN n <= 5 THEN 'short' WHEN n <= 50 THEN 'medium' WHEN n <= 1000 THEN 'long' ELSE 'huge' END END AS output_length_bucket FROM r) """ + _hist(["will_raise", "record_kind", "output_magnitude_bucket", "output_length_bucket"], "l"),
     "pack_histograms": _hist(["l_returnflag", "l_linestatus", "l_linenumber"], "lineitem"),
-    "loader_diagnostics": "WITH t AS (SELECT len(regexp_extract_all(text, '[A-Za-z_][A-Za-z0-9_]*|[0-9]+')) AS n FROM conversations) SELECT count(*) AS rows, count(*) FILTER (WHERE n > 16) AS truncated, count(*) FILTER (WHERE n = 0) AS empty, sum(least(n, 16))::BIGINT AS active, sum(greatest(n - 16, 0))::BIGINT AS cut FROM t",
-    "pass_fail_records": f"WITH {CAND} SELECT task AS problem_id, count(*) * 3 AS cases, count(*) FILTER (WHERE substr(md5(candidate_id), 1, 1) < '8') * 2 AS passed FROM c WHERE task < 200 GROUP BY 1",
-    "candidate_labels": f"WITH {CAND} SELECT task, CASE WHEN bool_and(static_ok AND (check_ok OR failure_class = 'SHIP')) THEN 'pass' ELSE 'fail' END AS label, count(*) AS cases FROM c GROUP BY 1",
+    "loader_diagnostics": (
+        "WITH t AS (SELECT len(regexp_extract_all(text, '[A-Za-z_][A-Za-z0-9_]*|[0-9]+')) AS n FROM conversations) SELECT "
+        "count(*) AS rows, count(*) FILTER (WHERE n > 16) AS truncated, count(*) FILTER (WHERE n = 0) AS empty, sum(least(n, "
+        "16))::BIGINT AS active, sum(greatest(n - 16, 0))::BIGINT AS cut FROM t"
+    ),
+    "pass_fail_records": (
+        f"WITH {CAND} SELECT task AS problem_id, count(*) * 3 AS cases, count(*) FILTER (WHERE substr(md5(candidate_id), 1, "
+        f"1) < '8') * 2 AS passed FROM c WHERE task < 200 GROUP BY 1"
+    ),
+    "candidate_labels": (
+        f"WITH {CAND} SELECT task, CASE WHEN bool_and(static_ok AND (check_ok OR failure_class = 'SHIP')) THEN 'pass' ELSE "
+        f"'fail' END AS label, count(*) AS cases FROM c GROUP BY 1"
+    ),
     "mutation_rerank_pack": f"""WITH {CAND}, m AS (SELECT (task % 300)::VARCHAR AS problem_id, candidate_id, passed, md5(candidate_id) AS o FROM c), r AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY problem_id ORDER BY o, candidate_id) = 1),
       f AS (SELECT * FROM m WHERE NOT passed AND candidate_id NOT IN (SELECT candidate_id FROM r) QUALIFY row_number() OVER (PARTITION BY problem_id ORDER BY o, candidate_id) <= 5),
       g AS (SELECT * FROM r WHERE passed AND problem_id IN (SELECT problem_id FROM f GROUP BY 1 HAVING count(*) = 5)),
       b AS (SELECT * FROM g UNION ALL SELECT * FROM f WHERE problem_id IN (SELECT problem_id FROM g))
       SELECT problem_id, candidate_id, passed, (row_number() OVER (PARTITION BY problem_id ORDER BY sha256('0:' || problem_id || ':' || candidate_id), candidate_id) - 1)::INT AS rank FROM b""",
-    "pack_readiness": f"WITH {CAND}, t AS (SELECT task, count(label) AS n, count(*) FILTER (WHERE label = 'pass') AS g, count(*) FILTER (WHERE label = 'fail') AS b FROM c GROUP BY 1), o AS (SELECT count(*) AS tasks, sum(n)::BIGINT AS labelled, count(*) FILTER (WHERE g > 0 AND b > 0) AS both_labels FROM t) SELECT *, array_to_string(list_filter([CASE WHEN tasks < 20 THEN 'too_few_tasks' END, CASE WHEN labelled = 0 THEN 'no_labels' END, CASE WHEN both_labels = 0 THEN 'no_task_with_both_labels' END], lambda x: x IS NOT NULL), ',') AS blockers FROM o",
-    "prompt_lookup": "WITH p AS (SELECT (conv_id % 50)::VARCHAR AS problem_id, arg_max(md5(text), conv_id * 1000 + turn) AS prompt FROM conversations WHERE role = 'user' AND text IS NOT NULL GROUP BY 1) SELECT i::VARCHAR AS problem_id, coalesce(prompt, i::VARCHAR) AS prompt FROM range(60) r(i) LEFT JOIN p ON p.problem_id = i::VARCHAR",
-    "run_timelines": "WITH r AS (SELECT user_id AS run_id, event_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS step FROM events), s AS (SELECT * FROM r WHERE step > 1 OR run_id % 7 <> 0) SELECT run_id, count(*) AS steps, CASE WHEN count(*) FILTER (WHERE event_type = 'error') > 0 THEN 'failed' ELSE 'completed' END AS status, sum(event_id % 100)::BIGINT AS duration_ms, CASE WHEN min(step) <> 1 THEN 'step_order_not_contiguous' WHEN count(*) FILTER (WHERE event_type = 'error' AND event_id % 2 <> 0) > 0 THEN 'failed_step_without_typed_failure' END AS problem FROM s GROUP BY 1",
-    "ablation_rows": f"WITH {CAND}, m AS (SELECT failure_class, round(avg(passed::INT), 9) AS metric FROM c GROUP BY 1) SELECT v.variant, metric, CASE WHEN metric IS NULL THEN 'blocked' ELSE 'completed' END AS status FROM (VALUES ('AIR'), ('MAIL'), ('RAIL'), ('NONE')) v(variant) LEFT JOIN m ON failure_class = v.variant",
-    "scaled_norms": "WITH n AS (SELECT vec_id AS id, label, round(sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])), 6) AS norm FROM embeddings), s AS (SELECT *, min(norm) OVER (PARTITION BY label) AS lo, max(norm) OVER (PARTITION BY label) AS hi FROM n) SELECT id, round(CASE WHEN hi = lo THEN 0.5 ELSE (norm - lo) / (hi - lo) END, 6) AS scaled FROM s",
-    "calibration_folds": "SELECT o_orderkey, ((row_number() OVER (ORDER BY sha256('0:' || o_orderkey), o_orderkey) - 1) % 5)::INT AS fold FROM (SELECT DISTINCT o_orderkey FROM orders)",
+    "pack_readiness": (
+        f"WITH {CAND}, t AS (SELECT task, count(label) AS n, count(*) FILTER (WHERE label = 'pass') AS g, count(*) FILTER "
+        f"(WHERE label = 'fail') AS b FROM c GROUP BY 1), o AS (SELECT count(*) AS tasks, sum(n)::BIGINT AS labelled, count(*) "
+        f"FILTER (WHERE g > 0 AND b > 0) AS both_labels FROM t) SELECT *, array_to_string(list_filter([CASE WHEN tasks < 20 "
+        f"THEN 'too_few_tasks' END, CASE WHEN labelled = 0 THEN 'no_labels' END, CASE WHEN both_labels = 0 THEN 'no_task_with_both_labels' "
+        f"END], lambda x: x IS NOT NULL), ',') AS blockers FROM o"
+    ),
+    "prompt_lookup": (
+        "WITH p AS (SELECT (conv_id % 50)::VARCHAR AS problem_id, arg_max(md5(text), conv_id * 1000 + turn) AS prompt FROM "
+        "conversations WHERE role = 'user' AND text IS NOT NULL GROUP BY 1) SELECT i::VARCHAR AS problem_id, coalesce(prompt, "
+        "i::VARCHAR) AS prompt FROM range(60) r(i) LEFT JOIN p ON p.problem_id = i::VARCHAR"
+    ),
+    "run_timelines": (
+        "WITH r AS (SELECT user_id AS run_id, event_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY event_id) "
+        "AS step FROM events), s AS (SELECT * FROM r WHERE step > 1 OR run_id % 7 <> 0) SELECT run_id, count(*) AS steps, "
+        "CASE WHEN count(*) FILTER (WHERE event_type = 'error') > 0 THEN 'failed' ELSE 'completed' END AS status, sum(event_id "
+        "% 100)::BIGINT AS duration_ms, CASE WHEN min(step) <> 1 THEN 'step_order_not_contiguous' WHEN count(*) FILTER (WHERE "
+        "event_type = 'error' AND event_id % 2 <> 0) > 0 THEN 'failed_step_without_typed_failure' END AS problem FROM s GROUP "
+        "BY 1"
+    ),
+    "ablation_rows": (
+        f"WITH {CAND}, m AS (SELECT failure_class, round(avg(passed::INT), 9) AS metric FROM c GROUP BY 1) SELECT v.variant, "
+        f"metric, CASE WHEN metric IS NULL THEN 'blocked' ELSE 'completed' END AS status FROM (VALUES ('AIR'), ('MAIL'), ('RAIL'), "
+        f"('NONE')) v(variant) LEFT JOIN m ON failure_class = v.variant"
+    ),
+    "scaled_norms": (
+        "WITH n AS (SELECT vec_id AS id, label, round(sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])), 6) "
+        "AS norm FROM embeddings), s AS (SELECT *, min(norm) OVER (PARTITION BY label) AS lo, max(norm) OVER (PARTITION BY "
+        "label) AS hi FROM n) SELECT id, round(CASE WHEN hi = lo THEN 0.5 ELSE (norm - lo) / (hi - lo) END, 6) AS scaled "
+        "FROM s"
+    ),
+    "calibration_folds": (
+        "SELECT o_orderkey, ((row_number() OVER (ORDER BY sha256('0:' || o_orderkey), o_orderkey) - 1) % 5)::INT AS fold "
+        "FROM (SELECT DISTINCT o_orderkey FROM orders)"
+    ),
 }

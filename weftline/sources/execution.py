@@ -22,13 +22,19 @@ def _literal_cases(tree: ast.AST, names: set[str], shown: str) -> list[tuple[str
     found = []
     for node in ast.walk(tree):
         test = getattr(node, "test", None) if isinstance(node, ast.Assert) else None
-        if not (isinstance(test, ast.Compare) and [type(o) for o in test.ops] == [ast.Eq] and isinstance(test.left, ast.Call) and not test.left.keywords):
+        if not (
+            isinstance(test, ast.Compare) and [
+                type(o) for o in test.ops
+            ] == [ast.Eq] and isinstance(test.left, ast.Call) and not test.left.keywords
+        ):
             continue
         called = test.left.func
         if getattr(called, "id", getattr(called, "attr", None)) not in names:
             continue
         try:
-            args = json.dumps([ast.literal_eval(a) for a in test.left.args], ensure_ascii=False, default=lambda v: sorted(v, key=repr))
+            args = json.dumps(
+                [ast.literal_eval(a) for a in test.left.args], ensure_ascii=False, default=lambda v: sorted(v, key=repr)
+            )
             found.append((args, repr(ast.literal_eval(test.comparators[0])), shown))
         except (ValueError, SyntaxError, TypeError):
             continue
@@ -48,7 +54,9 @@ def assert_cases(code: pd.Series, tests: pd.Series) -> pd.Series:
     out = []
     for text, asserts in zip(code, tests, strict=True):
         tree = _parse(text)
-        first = next((n.name for n in tree.body if isinstance(n, (ast.FunctionDef, ast.AsyncFunctionDef))), None) if tree else None
+        first = next(
+            (n.name for n in tree.body if isinstance(n, (ast.FunctionDef, ast.AsyncFunctionDef))), None
+        ) if tree else None
         trees = [t for x in ([] if asserts is None else asserts) if (t := _parse(x)) is not None and len(t.body) == 1]
         out.append([c for t in trees for c in _literal_cases(t, {first}, first)] if first else [])
     return pd.Series(out)
@@ -57,12 +65,30 @@ def assert_cases(code: pd.Series, tests: pd.Series) -> pd.Series:
 @F.pandas_udf(T.ArrayType(CASE))
 def check_cases(test: pd.Series, entry: pd.Series) -> pd.Series:
     """Cases of the asserts on ``candidate`` in a check function."""
-    return pd.Series([_literal_cases(t, {"candidate"}, e) if (t := _parse(x)) is not None else [] for x, e in zip(test, entry, strict=True)])
+    return pd.Series(
+        [_literal_cases(t, {"candidate"}, e) if (t := _parse(x)) is not None else [] for x, e in zip(test, entry, strict=True)]
+    )
 
 
 def _submissions(rows: DataFrame, dataset: str, problem, cases, code, held_out: bool, prefix) -> DataFrame:
-    numbered = F.transform(cases, lambda c, i: F.struct(F.concat(prefix, i.cast("string")).alias("input_id"), c["input_repr"].alias("input_repr"), c["expected"].alias("expected"), c["function_name"].alias("function_name")))
-    out = rows.select(F.lit(dataset).alias("dataset"), problem.alias("problem_id"), code.alias("code"), numbered.alias("cases"), F.lit("accepted").alias("verdict"), F.lit(held_out).alias("held_out_for_eval"))
+    numbered = F.transform(
+        cases,
+        lambda c,
+        i: F.struct(
+            F.concat(prefix, i.cast("string")).alias("input_id"),
+            c["input_repr"].alias("input_repr"),
+            c["expected"].alias("expected"),
+            c["function_name"].alias("function_name")
+        )
+    )
+    out = rows.select(
+        F.lit(dataset).alias("dataset"),
+        problem.alias("problem_id"),
+        code.alias("code"),
+        numbered.alias("cases"),
+        F.lit("accepted").alias("verdict"),
+        F.lit(held_out).alias("held_out_for_eval")
+    )
     return out.where(F.col("code").isNotNull() & F.col("problem_id").isNotNull() & (F.size("cases") > 0))
 
 
@@ -70,26 +96,45 @@ def assert_submissions(rows: DataFrame, dataset: str = "mbpp") -> DataFrame:
     """rows: task_id, code, test_list (asserts on the code's first function)."""
     task = F.col("task_id").cast("string")
     problem = F.concat(F.lit(f"{dataset}/"), task)
-    return _submissions(rows, dataset, problem, assert_cases("code", "test_list"), F.col("code"), False, F.concat(problem, F.lit("/")))
+    return _submissions(
+        rows, dataset, problem, assert_cases("code", "test_list"), F.col("code"), False, F.concat(problem, F.lit("/"))
+    )
 
 
 def array_submissions(rows: DataFrame, dataset: str = "mbpp_plus") -> DataFrame:
     """rows: task_id, canonical_solution, entry_point, base_input, plus_input, expected_output (JSON texts)."""
     inputs = F.concat(F.coalesce("base_input", F.array()), F.coalesce("plus_input", F.array()))
     expected = F.coalesce("expected_output", F.array().cast("array<string>"))
-    case = lambda x, i: F.struct(x.alias("input_repr"), F.coalesce(F.try_element_at(expected, i + 1), F.lit("")).alias("expected"), F.col("entry_point").alias("function_name"))
-    return _submissions(rows, dataset, F.col("task_id"), F.transform(inputs, case), F.col("canonical_solution"), True, F.concat(F.col("task_id"), F.lit("/case-")))
+    case = lambda x, i: F.struct(
+        x.alias("input_repr"),
+        F.coalesce(F.try_element_at(expected, i + 1), F.lit("")).alias("expected"),
+        F.col("entry_point").alias("function_name")
+    )
+    return _submissions(
+        rows,
+        dataset,
+        F.col("task_id"),
+        F.transform(inputs, case),
+        F.col("canonical_solution"),
+        True,
+        F.concat(F.col("task_id"), F.lit("/case-"))
+    )
 
 
 def check_submissions(rows: DataFrame, dataset: str = "humaneval") -> DataFrame:
     """rows: task_id, prompt, canonical_solution, test (a check function), entry_point."""
     code = F.concat(F.regexp_replace("prompt", r"[ \t]+\z", ""), F.col("canonical_solution"))
-    return _submissions(rows, dataset, F.col("task_id"), check_cases("test", "entry_point"), code, True, F.lit(f"{dataset}/case-"))
+    return _submissions(
+        rows, dataset, F.col("task_id"), check_cases("test", "entry_point"), code, True, F.lit(f"{dataset}/case-")
+    )
 
 
 SCHEMAS = {
     "mbpp": "task_id string, code string, test_list array<string>",
-    "mbpp_plus": "task_id string, canonical_solution string, entry_point string, base_input array<string>, plus_input array<string>, expected_output array<string>",
+    "mbpp_plus": (
+        "task_id string, canonical_solution string, entry_point string, base_input array<string>, plus_input array<string>, "
+        "expected_output array<string>"
+    ),
     "humaneval": "task_id string, prompt string, canonical_solution string, test string, entry_point string",
 }
 BUILDERS = {"mbpp": assert_submissions, "mbpp_plus": array_submissions, "humaneval": check_submissions}
@@ -100,7 +145,9 @@ def register(kind: str, schema: str, builder) -> None:
     SCHEMAS[kind], BUILDERS[kind] = schema, builder
 
 
-def load_submissions(spark: SparkSession, kind: str, path: str, limit: int | None = None, deduplicate: bool = True) -> DataFrame:
+def load_submissions(
+    spark: SparkSession, kind: str, path: str, limit: int | None = None, deduplicate: bool = True
+) -> DataFrame:
     """Submissions of a registered source; of equal code and cases the first stays, then the limit.
 
     A line that is no JSON is an error.
@@ -128,27 +175,44 @@ def pack_split(spark: SparkSession, path: str, split: str | None = None) -> Data
 
 def completion_scores(spark: SparkSession, paths: list[str]) -> DataFrame:
     """problem_id, completion_id, method, score of several score files, nested or top-level."""
-    schema = "problem_id string, completion_id string, benchmark_id string, split string, scores map<string,double>, score double, method string"
+    schema = (
+        "problem_id string, completion_id string, benchmark_id string, split string, scores map<string,double>, score double, "
+        "method string"
+    )
     rows = spark.read.schema(schema).json(paths)
-    every = F.map_concat(F.coalesce("scores", F.create_map().cast("map<string,double>")), F.when(F.col("score").isNotNull(), F.create_map(F.coalesce("method", F.lit("score")), "score")).otherwise(F.create_map().cast("map<string,double>")))
+    every = F.map_concat(
+        F.coalesce("scores", F.create_map().cast("map<string,double>")),
+        F.when(
+            F.col("score").isNotNull(), F.create_map(F.coalesce("method", F.lit("score")), "score")
+        ).otherwise(F.create_map().cast("map<string,double>"))
+    )
     return rows.select("benchmark_id", "split", "problem_id", "completion_id", F.explode(every).alias("method", "score"))
 
 
 def pass_scores(spark: SparkSession, path: str, benchmark: str = "unknown") -> DataFrame:
     """Scores with labels: id, benchmark and split fall back to what names the row; label as 0 or 1."""
-    schema = "record_id string, completion_id string, candidate_id string, benchmark_id string, benchmark string, split string, p_pass double, score double, passed boolean, label string"
+    schema = (
+        "record_id string, completion_id string, candidate_id string, benchmark_id string, benchmark string, split string, "
+        "p_pass double, score double, passed boolean, label string"
+    )
     rows = spark.read.schema(schema).json(path)
     label = F.coalesce(F.col("passed").cast("int"), F.when(F.col("label") == "pass", 1).when(F.col("label") == "fail", 0))
     return rows.select(
-        F.coalesce("record_id", "completion_id", "candidate_id").alias("id"), F.coalesce("benchmark_id", "benchmark", F.lit(benchmark)).alias("benchmark"),
-        F.coalesce("split", F.lit("unknown")).alias("split"), F.coalesce("p_pass", "score").alias("score"), label.alias("label"),
+        F.coalesce("record_id", "completion_id", "candidate_id").alias("id"), F.coalesce(
+            "benchmark_id", "benchmark", F.lit(benchmark)
+        ).alias("benchmark"),
+        F.coalesce(
+            "split", F.lit("unknown")
+        ).alias("split"), F.coalesce("p_pass", "score").alias("score"), label.alias("label"),
     )
 
 
 def prompts(spark: SparkSession, path: str) -> DataFrame:
     """problem_id, prompt: bad JSON lines are skipped, the last line of a problem wins."""
     lines = spark.read.text(path).withColumn("ordinal", F.monotonically_increasing_id())
-    parsed = lines.select("ordinal", F.from_json("value", "problem_id string, prompt string").alias("x")).where("x.problem_id is not null and x.prompt is not null")
+    parsed = lines.select(
+        "ordinal", F.from_json("value", "problem_id string, prompt string").alias("x")
+    ).where("x.problem_id is not null and x.prompt is not null")
     return parsed.groupBy("x.problem_id").agg(F.max_by("x.prompt", "ordinal").alias("prompt"))
 
 
@@ -166,5 +230,7 @@ def candidate_blockers(rows: DataFrame, safe, secret) -> DataFrame:
 def transition_index(spark: SparkSession, path: str, width: int) -> DataFrame:
     """id, vector and attributes of an index; a vector of another width is an error."""
     rows = spark.read.parquet(path)
-    checked = F.when(F.size("vector") == width, F.col("vector")).otherwise(F.raise_error(F.lit(f"vector isn't {width} wide")).cast("array<double>"))
+    checked = F.when(F.size("vector") == width, F.col("vector")).otherwise(
+        F.raise_error(F.lit(f"vector isn't {width} wide")).cast("array<double>")
+    )
     return rows.withColumn("vector", checked)

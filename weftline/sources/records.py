@@ -7,9 +7,20 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 
-RAW = "source string, repo string, commit string, path_before string, path_after string, before string, after string, message string, license string, timestamp string, metadata map<string,string>"
+RAW = (
+    "source string, repo string, commit string, path_before string, path_after string, before string, after string, message "
+    "string, license string, timestamp string, metadata map<string,string>"
+)
 # Names under which commit rows carry each field.
-ALIASES = {"repo": ("repo", "repos", "repository", "repo_name"), "commit": ("commit", "commit_hash", "sha"), "path_before": ("old_file", "old_path", "path_before"), "path_after": ("new_file", "new_path", "path_after"), "before": ("old_contents", "before"), "after": ("new_contents", "after"), "message": ("message", "subject")}
+ALIASES = {
+    "repo": ("repo", "repos", "repository", "repo_name"),
+    "commit": ("commit", "commit_hash", "sha"),
+    "path_before": ("old_file", "old_path", "path_before"),
+    "path_after": ("new_file", "new_path", "path_after"),
+    "before": ("old_contents", "before"),
+    "after": ("new_contents", "after"),
+    "message": ("message", "subject")
+}
 
 
 def read_fixture(spark: SparkSession, path: str, source: str = "fixture") -> DataFrame:
@@ -24,25 +35,64 @@ def read_commits(spark: SparkSession, folder: str, source: str = "commits", lang
     A row of another language is an error, not a filtered row.
     """
     names = sorted({a for own in ALIASES.values() for a in own} | {"lang", "license"})
-    rows = spark.read.schema(", ".join(f"`{n}` string" for n in names)).option("recursiveFileLookup", True).option("pathGlobFilter", "*.jsonl*").json(folder)
-    checked = F.when(F.coalesce(F.lower("lang"), F.lit(language)) == language, F.lit(source)).otherwise(F.raise_error(F.lit("row of another language")))
+    rows = spark.read.schema(
+        ", ".join(f"`{n}` string" for n in names)
+    ).option("recursiveFileLookup", True).option("pathGlobFilter", "*.jsonl*").json(folder)
+    checked = F.when(
+        F.coalesce(F.lower("lang"), F.lit(language)) == language, F.lit(source)
+    ).otherwise(F.raise_error(F.lit("row of another language")))
     pick = {field: F.coalesce(*own) for field, own in ALIASES.items()}
     repo = F.array_join(F.filter(F.transform(F.split(pick["repo"], ","), lambda x: F.trim(x)), lambda x: x != ""), ",")
-    return rows.select(checked.alias("source"), repo.alias("repo"), pick["commit"].alias("commit"), T.normal_path(pick["path_before"]).alias("path_before"), T.normal_path(pick["path_after"]).alias("path_after"), pick["before"].alias("before"), pick["after"].alias("after"), pick["message"].alias("message"), "license", F.input_file_name().alias("file"))
+    return rows.select(
+        checked.alias("source"),
+        repo.alias("repo"),
+        pick["commit"].alias("commit"),
+        T.normal_path(pick["path_before"]).alias("path_before"),
+        T.normal_path(pick["path_after"]).alias("path_after"),
+        pick["before"].alias("before"),
+        pick["after"].alias("after"),
+        pick["message"].alias("message"),
+        "license",
+        F.input_file_name().alias("file")
+    )
 
 
 def read_apps(spark: SparkSession, path: str) -> DataFrame:
     """One row per problem, solution and input: problem_id, solution_no, input_no, code, input, output."""
-    schema = "problem_id string, difficulty string, solutions array<string>, input_output struct<inputs: array<string>, outputs: array<string>>, license string"
-    rows = spark.read.schema(schema).json(path).select("problem_id", "license", F.posexplode("solutions").alias("solution_no", "code"), "input_output")
-    return rows.select("problem_id", "license", "solution_no", "code", F.posexplode(F.arrays_zip("input_output.inputs", "input_output.outputs")).alias("input_no", "case")).select("problem_id", "license", "solution_no", "code", "input_no", F.col("case.inputs").alias("input"), F.col("case.outputs").alias("output"))
+    schema = (
+        "problem_id string, difficulty string, solutions array<string>, input_output struct<inputs: array<string>, outputs: "
+        "array<string>>, license string"
+    )
+    rows = spark.read.schema(schema).json(path).select(
+        "problem_id", "license", F.posexplode("solutions").alias("solution_no", "code"), "input_output"
+    )
+    return rows.select(
+        "problem_id",
+        "license",
+        "solution_no",
+        "code",
+        F.posexplode(F.arrays_zip("input_output.inputs", "input_output.outputs")).alias("input_no", "case")
+    ).select(
+        "problem_id",
+        "license",
+        "solution_no",
+        "code",
+        "input_no",
+        F.col("case.inputs").alias("input"),
+        F.col("case.outputs").alias("output")
+    )
 
 
 def read_codenet(spark: SparkSession, path: str) -> DataFrame:
     """Python submissions with normal verdicts and their string test cases."""
-    schema = "problem_id string, submission_id string, language string, license string, license_url string, code string, judge_verdict string, test_cases array<struct<input_id: string, input: string, expected_output: string>>"
+    schema = (
+        "problem_id string, submission_id string, language string, license string, license_url string, code string, judge_verdict "
+        "string, test_cases array<struct<input_id: string, input: string, expected_output: string>>"
+    )
     rows = spark.read.schema(schema).json(path).where(F.lower("language").isin("python", "python3", "py"))
-    return rows.withColumn("judge_verdict", T.verdict(F.col("judge_verdict"))).withColumn("test_cases", F.filter("test_cases", lambda x: x["input"].isNotNull()))
+    return rows.withColumn("judge_verdict", T.verdict(F.col("judge_verdict"))).withColumn(
+        "test_cases", F.filter("test_cases", lambda x: x["input"].isNotNull())
+    )
 
 
 def load_source(spark: SparkSession, kind: str, path: str, **options) -> DataFrame:
@@ -64,15 +114,28 @@ def first_of_content(rows: DataFrame, content: str, ordinal: str, limit: int | N
 
 def completion_labels(spark: SparkSession, paths: list[str], benchmark: str, strict: bool = False) -> DataFrame:
     """Labels of one benchmark: code or completion_text, passed or label pass/fail."""
-    schema = "benchmark_id string, problem_id string, completion_id string, code string, completion_text string, llm_order_rank int, passed boolean, label string"
+    schema = (
+        "benchmark_id string, problem_id string, completion_id string, code string, completion_text string, llm_order_rank "
+        "int, passed boolean, label string"
+    )
     rows = spark.read.schema(schema).json(paths)
     passed = F.coalesce("passed", F.when(F.col("label") == "pass", True).when(F.col("label") == "fail", False))
-    out = rows.where(F.lower("benchmark_id") == benchmark.lower()).select("problem_id", "completion_id", F.coalesce("code", "completion_text").alias("code"), "llm_order_rank", passed.alias("passed"))
+    out = rows.where(F.lower("benchmark_id") == benchmark.lower()).select(
+        "problem_id",
+        "completion_id",
+        F.coalesce("code", "completion_text").alias("code"),
+        "llm_order_rank",
+        passed.alias("passed")
+    )
     if strict:
-        return out.withColumn("passed", F.coalesce("passed", F.raise_error(F.lit("completion without a label")).cast("boolean")))
+        return out.withColumn(
+            "passed", F.coalesce("passed", F.raise_error(F.lit("completion without a label")).cast("boolean"))
+        )
     return out.where("passed is not null and problem_id is not null and completion_id is not null and code is not null")
 
 
 def file_hashes(spark: SparkSession, glob: str) -> DataFrame:
     """path, bytes, sha256 of files: the content of a manifest."""
-    return spark.read.format("binaryFile").load(glob).select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    return spark.read.format("binaryFile").load(glob).select(
+        "path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256")
+    )

@@ -33,8 +33,12 @@ def write_json_lines(rows: DataFrame, path: str) -> None:
 
 def write_index(rows: DataFrame, path: str, width: int) -> None:
     """id, vector and four attributes as Parquet; a vector of another width is an error."""
-    checked = F.when(F.size("vector") == width, F.col("vector")).otherwise(F.raise_error(F.lit(f"vector isn't {width} wide")).cast("array<double>"))
-    rows.select("id", checked.alias("vector"), *[c for c in ("repo", "path", "message", "license") if c in rows.columns]).write.mode("errorifexists").parquet(path)
+    checked = F.when(F.size("vector") == width, F.col("vector")).otherwise(
+        F.raise_error(F.lit(f"vector isn't {width} wide")).cast("array<double>")
+    )
+    rows.select(
+        "id", checked.alias("vector"), *[c for c in ("repo", "path", "message", "license") if c in rows.columns]
+    ).write.mode("errorifexists").parquet(path)
 
 
 def write_report(report: DataFrame, path: str, required: list[str]) -> None:
@@ -52,10 +56,14 @@ def append_events(rows: DataFrame, path: str) -> None:
 
 def dataset_manifest(rows: DataFrame) -> DataFrame:
     """One row: counts by split (zeros too) and source, licences by source, records."""
-    by = lambda c: rows.groupBy(F.coalesce(c, F.lit("missing")).alias("k")).agg(F.count(F.lit(1)).alias("n")).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("k", "n")))).alias(c))
+    by = lambda c: rows.groupBy(F.coalesce(c, F.lit("missing")).alias("k")).agg(F.count(F.lit(1)).alias("n")).agg(
+        F.map_from_entries(F.array_sort(F.collect_list(F.struct("k", "n")))).alias(c)
+    )
     pairs = rows.groupBy("source", F.coalesce("license", F.lit("missing")).alias("license")).agg(F.count(F.lit(1)).alias("n"))
     licences = pairs.agg(F.array_sort(F.collect_list(F.struct("source", "license", "n"))).alias("licenses"))
-    splits = rows.agg(*(F.count_if(F.col("split") == s).alias(s) for s in ("train", "val", "test")), F.count(F.lit(1)).alias("records"))
+    splits = rows.agg(
+        *(F.count_if(F.col("split") == s).alias(s) for s in ("train", "val", "test")), F.count(F.lit(1)).alias("records")
+    )
     return splits.crossJoin(by("source").withColumnRenamed("source", "sources")).crossJoin(licences)  # one row each
 
 
@@ -72,18 +80,28 @@ def verify_manifest(spark: SparkSession, manifest: DataFrame, glob: str, known:
     want = manifest.select(F.explode("files").alias("f")).select(F.col("f.name").alias("name"), F.col("f.sha256").alias("want"))
     have = file_hashes(spark, glob).select(F.element_at(F.split("path", "/"), -1).alias("name"), F.col("sha256").alias("have"))
     joined = want.join(have, "name", "full")
-    problem = F.when(F.col("have").isNull(), "missing").when(F.col("want").isNull(), "unlisted").when(F.col("have") != F.col("want"), "changed")
-    lost = manifest.select(F.explode("parents").alias("name")).where(~F.col("name").isin(*known)).select("name", F.lit("unknown_parent").alias("problem"))
+    problem = F.when(F.col("have").isNull(), "missing").when(F.col("want").isNull(), "unlisted").when(
+        F.col("have") != F.col("want"), "changed"
+    )
+    lost = manifest.select(F.explode("parents").alias("name")).where(~F.col("name").isin(*known)).select(
+        "name", F.lit("unknown_parent").alias("problem")
+    )
     return joined.select("name", problem.alias("problem")).where("problem is not null").unionByName(lost)
 
 
-def publish_gate(pack: DataFrame, manifest_records: int, attributions: DataFrame, licenses: tuple[str, ...] = T.PERMISSIVE_LICENSES) -> DataFrame:
+def publish_gate(
+    pack: DataFrame, manifest_records: int, attributions: DataFrame, licenses: tuple[str, ...] = T.PERMISSIVE_LICENSES
+) -> DataFrame:
     """check, ok: what has to hold before a pack is published.
 
     pack: source, license; attributions: source, url.
     """
-    one = pack.agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.coalesce(F.col("license").isin(*licenses), F.lit(False))).alias("other"))
-    lacking = pack.select("source").distinct().join(attributions.where("url is not null").select("source"), "source", "left_anti").agg(F.count(F.lit(1)).alias("lacking"))
+    one = pack.agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(~F.coalesce(F.col("license").isin(*licenses), F.lit(False))).alias("other")
+    )
+    lacking = pack.select("source").distinct().join(
+        attributions.where("url is not null").select("source"), "source", "left_anti"
+    ).agg(F.count(F.lit(1)).alias("lacking"))
     checks = F.array(
         F.struct(F.lit("record_count_nonzero").alias("check"), (F.col("n") > 0).alias("ok")),
         F.struct(F.lit("record_count_matches").alias("check"), (F.col("n") == manifest_records).alias("ok")),

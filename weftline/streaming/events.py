@@ -34,4 +34,6 @@ def read_stream(spark: SparkSession, folder: str) -> DataFrame:
 def tumbling_counts(events: DataFrame, minutes: int = 10, late: str = "1 hour") -> DataFrame:
     """Events by type in windows of ``ts``, with a watermark; an extension, batch or stream."""
     w = F.window("ts", f"{minutes} minutes")
-    return events.withWatermark("ts", late).groupBy(w.alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").alias("start"), "event_type", "n")
+    return events.withWatermark("ts", late).groupBy(w.alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n")).select(
+        F.col("w.start").alias("start"), "event_type", "n"
+    )
