@@ -26,7 +26,24 @@ def odd_texts():
     base, other, shared = words(120, 1), words(90, 2), words(40, 3)
     near = base.copy()
     near[60] = "changed"
-    return [None, "", " \n\t ", "one two", "ONE two", " ".join(base), " ".join(base), " ".join(near), " ".join(other[:45] + shared + other[45:]), " ".join(words(30, 4) + shared + words(10, 5)), " ".join(shared[:34]), " ".join(["again"] * 200), "é ü ñ " * 30, " ".join(words(6000, 6)), "a\x0bb\x0cc\rd <|endoftext|> it's", "x" * 3000]
+    return [
+        None,
+        "",
+        " \n\t ",
+        "one two",
+        "ONE two",
+        " ".join(base),
+        " ".join(base),
+        " ".join(near),
+        " ".join(other[:45] + shared + other[45:]),
+        " ".join(words(30, 4) + shared + words(10, 5)),
+        " ".join(shared[:34]),
+        " ".join(["again"] * 200),
+        "é ü ñ " * 30,
+        " ".join(words(6000, 6)),
+        "a\x0bb\x0cc\rd <|endoftext|> it's",
+        "x" * 3000
+    ]
 
 
 @pytest.fixture(scope="module")
@@ -77,13 +94,17 @@ def test_jaccard(docs, empty, spark):
 
 def test_components(spark):
     edges = spark.createDataFrame([(5, 4), (4, 3), (3, 9), (10, 11), (11, 12), (12, 10)], "a long, b long")
-    assert {(r.cls, r.component) for r in connected(edges).collect()} == {(3, 3), (4, 3), (5, 3), (9, 3), (10, 10), (11, 10), (12, 10)}
+    assert {(r.cls, r.component) for r in connected(edges).collect()} == {
+        (3, 3), (4, 3), (5, 3), (9, 3), (10, 10), (11, 10), (12, 10)
+    }
 
 
 def test_token_counts(docs, empty):
     library = load(default_path("word_bpe_49k.json"))
     got = sorted(tuple(r) for r in bpecount.token_counts(docs).collect())
-    want = sorted((i, len(t.encode()), n := len(library.encode(t, add_special_tokens=False).ids), n > 2048) for i, t in rows_of(docs))
+    want = sorted(
+        (i, len(t.encode()), n := len(library.encode(t, add_special_tokens=False).ids), n > 2048) for i, t in rows_of(docs)
+    )
     assert got == want and bpecount.token_counts(empty).count() == 0
 
 
@@ -94,7 +115,9 @@ def test_chunked_encoding_equals_library(name, spaced):
     rng, letters = random.Random(1), "ab '\n\t .,1é́ΣS<|> 日x\x0b\xa0"
     texts = ["".join(rng.choice(letters) for _ in range(rng.randint(0, 30))) for _ in range(1500)]
     texts += ["it's  they'LL\n\n go", "İstanbul ß ſ", "\x1cfoo \x1f bar", "word.word,word. , x", "trail  \n \n"]
-    library, encode, count = load(default_path(name)), chunk_encoder(default_path(name), spaced), bpecount.counter(default_path("word_bpe_49k.json"))
+    library, encode, count = load(default_path(name)), chunk_encoder(default_path(name), spaced), bpecount.counter(
+        default_path("word_bpe_49k.json")
+    )
     for t in texts:
         ids = library.encode(t, add_special_tokens=False).ids
         assert np.frombuffer(encode(t), "<u4").tolist() == ids
@@ -152,7 +175,9 @@ def test_lm_scores(docs, empty, monkeypatch):
     got = sorted(mixlm.scores(docs).collect(), key=lambda r: (r.doc_id, r.n_tokens))
     for r, (i, w) in zip(got, sorted(rows, key=lambda x: (x[0], len(x[1]))), strict=True):
         base = sum(math.log10((counts[x] + 1) / (n + v + 1)) for x in [*w, "end"])
-        assert r.doc_id == i and r.n_tokens == len(w) + 1 and r.n_known == sum(counts[x] > 0 for x in [*w, "end"]) and r.train_tokens == n
+        assert r.doc_id == i and r.n_tokens == len(w) + 1 and r.n_known == sum(
+            counts[x] > 0 for x in [*w, "end"]
+        ) and r.train_tokens == n
         assert r.base_score == pytest.approx(base) and r.score < 0 and math.isfinite(r.score)
     assert mixlm.scores(empty).count() == 0
 
@@ -169,7 +194,9 @@ def test_bit_probabilities_sum_to_one():
 def test_mixer_learns_from_every_training_document(spark, monkeypatch):
     learned, codes = [], []
     move, byte_code = mixlm._Learner.move, mixlm.byte_code
-    monkeypatch.setattr(mixlm._Learner, "move", lambda self, pull, curve, hits: (learned.append(hits.sum()), move(self, pull, curve, hits)))
+    monkeypatch.setattr(
+        mixlm._Learner, "move", lambda self, pull, curve, hits: (learned.append(hits.sum()), move(self, pull, curve, hits))
+    )
     monkeypatch.setattr(mixlm, "byte_code", lambda counts: codes.append(byte_code(counts)) or codes[-1])
     rows = [(i, f"text {i}" + " of words" * (i % 3)) for i in range(1_200)]
     got = mixlm.scores(spark.createDataFrame(rows, "doc_id long, text string")).where("not held_out").collect()
@@ -197,9 +224,13 @@ def test_mixer_costs_equal_a_bit_by_bit_coder():
                 node, bit = int(code.nodes[first + depth]), int(code.bits[first + depth])
                 slots = [int(hashes[0][at]) << 8 | node]
                 for h, bits in zip(hashes[1:], mixlm.TABLES[1:], strict=True):
-                    slots.append((((int(h[at]) ^ (node * 0x9E3779B97F4A7C15 % 2**64)) * 0xD6E8FEB86659FD93) % 2**64) >> (64 - bits))
+                    slots.append(
+                        (((int(h[at]) ^ (node * 0x9E3779B97F4A7C15 % 2**64)) * 0xD6E8FEB86659FD93) % 2**64) >> (64 - bits)
+                    )
                 gate = (min(at - begun, 7) * 8 + min(depth, 7)) * 8 + int(mixer.sure[slots[-1]])
-                mixed = float(mixer.weights[gate][-1]) + sum(float(mixer.weights[gate][k]) * int(mixer.tables[k][s]) for k, s in enumerate(slots))
+                mixed = float(mixer.weights[gate][-1]) + sum(
+                    float(mixer.weights[gate][k]) * int(mixer.tables[k][s]) for k, s in enumerate(slots)
+                )
                 p = 1 / (1 + math.exp(-max(-16.0, min(16.0, mixed))))
                 level = round(max(-8.0, min(8.0, mixed)) * 2) + mixlm.LEVELS // 2
                 p = min(max((1 - mixlm.REFINED) * p + mixlm.REFINED * float(mixer.refined[gate, level]), 1e-6), 1 - 1e-6)
@@ -217,7 +248,9 @@ def test_mixer_codes_the_running_text(spark):
     phrase = words(40, 5)
     shuffled = list(np.random.default_rng(5).permutation(phrase))
     held = [i for i in range(400) if zlib.crc32(str(i).encode()) % 7 == 2]
-    rows = [(i, " ".join(words(20, i) + phrase)) for i in range(400) if i not in held] + [(held[0], " ".join(phrase)), (held[1], " ".join(shuffled))]
+    rows = [
+        (i, " ".join(words(20, i) + phrase)) for i in range(400) if i not in held
+    ] + [(held[0], " ".join(phrase)), (held[1], " ".join(shuffled))]
     got = {r.doc_id: r for r in mixlm.scores(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     known, mixed = got[held[0]], got[held[1]]
     assert known.n_bytes == mixed.n_bytes and known.base_score == pytest.approx(mixed.base_score)
@@ -225,7 +258,12 @@ def test_mixer_codes_the_running_text(spark):
 
 
 def test_language(spark, empty):
-    texts = {"en": "the house and the garden of that man with this", "de": "das haus und der garten von dem mann mit dieser", "fr": "la maison et le jardin de cet homme avec cette", "es": "la casa y el jardin de ese hombre con esta"}
+    texts = {
+        "en": "the house and the garden of that man with this",
+        "de": "das haus und der garten von dem mann mit dieser",
+        "fr": "la maison et le jardin de cet homme avec cette",
+        "es": "la casa y el jardin de ese hombre con esta"
+    }
     rng = np.random.default_rng(1)
     rows = [(i, " ".join(rng.permutation(texts[lang].split())), lang) for i in range(160) for lang in [list(texts)[i % 4]]]
     rows += [(1000, None, "en"), (1001, "123 !?", None), (1002, "", "fr")]
@@ -239,7 +277,14 @@ def test_language(spark, empty):
 def test_decontamination(spark, docs, empty):
     item = words(30, 77)
     changed = [w if i % 6 != 3 else "other" for i, w in enumerate(item)]
-    rows = [(1, " ".join(words(50, 8) + item + words(9, 9))), (2, " ".join(words(80, 10))), (3, " ".join(words(20, 11) + changed)), (4, " ".join(item).upper()), (5, None), (6, " ".join(item[:8]))]
+    rows = [
+        (1, " ".join(words(50, 8) + item + words(9, 9))),
+        (2, " ".join(words(80, 10))),
+        (3, " ".join(words(20, 11) + changed)),
+        (4, " ".join(item).upper()),
+        (5, None),
+        (6, " ".join(item[:8]))
+    ]
     bench = spark.createDataFrame([(7, " ".join(item)), (7, " ".join(item)), (8, None)], "item_id long, text string")
     got = decontam.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()
     assert {(r.doc_id, r.item_id) for r in got} == {(1, 7), (3, 7), (4, 7)}
@@ -250,9 +295,18 @@ def test_decontamination(spark, docs, empty):
 def test_decontamination_bounds_hold_for_the_whole_overlap(spark):
     other = lambda w, gone: [x if i not in gone else f"other{i}" for i, x in enumerate(w)]
     short, long = words(15, 41), words(48, 42)
-    rows = [(1, " ".join(words(30, 43) + other(short, {2, 8, 14}))), (2, " ".join(other(long, set(range(3, 48, 4))) + words(9, 44))), (3, " ".join(words(9, 45) + other(short, {2, 6, 10, 14}))), (4, " ".join(other(long, set(range(2, 48, 3)))))]
+    rows = [
+        (1, " ".join(words(30, 43) + other(short, {2, 8, 14}))),
+        (2, " ".join(other(long, set(range(3, 48, 4))) + words(9, 44))),
+        (3, " ".join(words(9, 45) + other(short, {2, 6, 10, 14}))),
+        (4, " ".join(other(long, set(range(2, 48, 3)))))
+    ]
     bench = spark.createDataFrame([(1, " ".join(short)), (2, " ".join(long))], "item_id long, text string")
-    got = {(r.doc_id, r.item_id, r.doc_word, r.n_words, r.n_equal) for r in decontam.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()}
+    got = {
+        (r.doc_id, r.item_id, r.doc_word, r.n_words, r.n_equal) for r in decontam.contaminated(
+            spark.createDataFrame(rows, "doc_id long, text string"), bench
+        ).collect()
+    }
     assert got == {(1, 1, 30, 14, 12), (2, 2, 0, 47, 36)}
 
 
@@ -284,7 +338,9 @@ def test_toxicity(spark, empty):
     got = {r.doc_id: r for r in toxicity.toxicity(d, lab).collect()}
     assert all(got[i].rejected == (i % 4 == 0) for i in range(300, 400))
     assert not got[900].rejected and got[901].severity == 0
-    assert toxicity.toxicity(empty, lab).count() == 0 and not any(r.rejected for r in toxicity.toxicity(d, lab.limit(0)).collect())
+    assert toxicity.toxicity(empty, lab).count() == 0 and not any(
+        r.rejected for r in toxicity.toxicity(d, lab.limit(0)).collect()
+    )
 
 
 def test_ordinal_recovers_order():

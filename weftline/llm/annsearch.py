@@ -88,7 +88,11 @@ class Index:
     def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         near, _ = nearest(x, self.coarse)
         residual = x - self.coarse[near]
-        codes = [nearest(residual[:, a:z], book)[0] for a, z, book in zip(self.borders[:-1], self.borders[1:], self.books, strict=True)]
+        codes = [
+            nearest(residual[:, a:z], book)[0] for a,
+            z,
+            book in zip(self.borders[:-1], self.borders[1:], self.books, strict=True)
+        ]
         return near, np.stack(codes, axis=1).astype(np.uint8)
 
     def order(self, q: np.ndarray) -> np.ndarray:
@@ -123,7 +127,9 @@ def usable(vectors: DataFrame, id_column: str, vector_column: str) -> DataFrame:
     v = F.transform(F.col(vector_column), lambda x: x.cast("double"))
     good = F.col("v").isNotNull() & (F.size("v") > 0) & F.col("id").isNotNull()
     good &= ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    return vectors.select(F.col(id_column).cast("long").alias("id"), v.alias("v")).where(good).where(F.exists("v", lambda x: x != 0))
+    return vectors.select(
+        F.col(id_column).cast("long").alias("id"), v.alias("v")
+    ).where(good).where(F.exists("v", lambda x: x != 0))
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -188,7 +194,9 @@ def search(
     # the query's own row: one of its id among the rows of an equal vector
     own = F.when(F.col("v") == F.col("q"), F.array_position("ids", F.col("query_id"))).otherwise(0)
     others = F.filter("ids", lambda x, i: i + 1 != own)
-    exact = candidates.join(known, "r").join(asked, "q_row").select("q_row", "query_id", F.sqrt(square).alias("score"), F.explode(others).alias("vec_id"))
+    exact = candidates.join(known, "r").join(asked, "q_row").select(
+        "q_row", "query_id", F.sqrt(square).alias("score"), F.explode(others).alias("vec_id")
+    )
     ranked = exact.withColumn("rank", F.row_number().over(Window.partitionBy("q_row").orderBy("score", "vec_id")))
     return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
@@ -202,8 +210,14 @@ def _encoded(index: Index):
                 some = batch.slice(at, CHUNK)
                 near, codes = index.encode(_matrix(some.column("v")).astype(np.float32))
                 order = np.argsort(near, kind="stable")
-                parts = (np.asarray(some.column("r"))[order].astype("<i8"), near[order].astype("<i4"), np.ascontiguousarray(codes[order].T))
-                yield pa.RecordBatch.from_pydict({c: pa.array([x.tobytes()], pa.binary()) for c, x in zip(("rs", "lists", "codes"), parts, strict=True)})
+                parts = (
+                    np.asarray(some.column("r"))[order].astype("<i8"),
+                    near[order].astype("<i4"),
+                    np.ascontiguousarray(codes[order].T)
+                )
+                yield pa.RecordBatch.from_pydict(
+                    {c: pa.array([x.tobytes()], pa.binary()) for c, x in zip(("rs", "lists", "codes"), parts, strict=True)}
+                )
 
     return run
 
@@ -214,7 +228,9 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for at in range(0, batch.num_rows, QUERY_BLOCK):
             some = batch.slice(at, QUERY_BLOCK)
             parts = (np.asarray(some.column("q_row")).astype("<i8"), _matrix(some.column("v")).astype("<f4"))
-            yield pa.RecordBatch.from_pydict({c: pa.array([x.tobytes()], pa.binary()) for c, x in zip(("q_rows", "q"), parts, strict=True)})
+            yield pa.RecordBatch.from_pydict(
+                {c: pa.array([x.tobytes()], pa.binary()) for c, x in zip(("q_rows", "q"), parts, strict=True)}
+            )
 
 
 def _scan(index: Index, probes: int, rerank: int, width: int):
@@ -242,6 +258,8 @@ def _scan(index: Index, probes: int, rerank: int, width: int):
                     found = np.take_along_axis(distance, top, axis=1)
                     good = np.isfinite(found)
                     who = np.repeat(q_rows[few : few + 64], keep).reshape(found.shape)
-                    yield pa.RecordBatch.from_pydict({"q_row": pa.array(who[good]), "r": pa.array(rs[top][good]), "estimate": pa.array(found[good])})
+                    yield pa.RecordBatch.from_pydict(
+                        {"q_row": pa.array(who[good]), "r": pa.array(rs[top][good]), "estimate": pa.array(found[good])}
+                    )
 
     return run

@@ -155,7 +155,14 @@ def _rows(batches: Iterator[pa.RecordBatch], path: str, limit: int) -> Iterator[
             text = x.as_py() or ""
             sizes.append(len(text.encode()))
             tokens.append(count(text))
-        yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "n_bytes": pa.array(sizes, pa.int64()), "n_tokens": pa.array(tokens, pa.int64()), "over_limit": pa.array([n > limit for n in tokens], pa.bool_())})
+        yield pa.RecordBatch.from_pydict(
+            {
+                "doc_id": batch.column("doc_id"),
+                "n_bytes": pa.array(sizes, pa.int64()),
+                "n_tokens": pa.array(tokens, pa.int64()),
+                "over_limit": pa.array([n > limit for n in tokens], pa.bool_())
+            }
+        )
 
 
 def token_counts(docs: DataFrame, path: str | None = None, limit: int = LIMIT) -> DataFrame:
@@ -169,4 +176,6 @@ def token_counts(docs: DataFrame, path: str | None = None, limit: int = LIMIT) -
     path = path or default_path(VOCABULARY)
     slim = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     kind = dict(slim.dtypes)["doc_id"]
-    return slim.mapInArrow(partial(_rows, path=path, limit=limit), f"doc_id {kind}, n_bytes long, n_tokens long, over_limit boolean")
+    return slim.mapInArrow(
+        partial(_rows, path=path, limit=limit), f"doc_id {kind}, n_bytes long, n_tokens long, over_limit boolean"
+    )

@@ -25,7 +25,9 @@ def connected(edges: DataFrame) -> DataFrame:
         large = both.join(least, "a").where("b > a").select(F.col("m").alias("a"), "b").where("a < b").distinct()
         # small star: every node's smaller neighbours and itself point to the smallest of them
         lower = large.groupBy("b").agg(F.min("a").alias("m"))
-        small = large.join(lower, "b").select(F.col("m").alias("x"), F.col("a").alias("y")).where("x < y").unionByName(lower.select(F.col("m").alias("x"), F.col("b").alias("y")))
+        small = large.join(lower, "b").select(F.col("m").alias("x"), F.col("a").alias("y")).where("x < y").unionByName(
+            lower.select(F.col("m").alias("x"), F.col("b").alias("y"))
+        )
         after = stored(small.select(F.col("x").alias("a"), F.col("y").alias("b")).distinct(), "edges")
         forget(edges)
         edges, last, before = after, before, _print(after)

@@ -103,7 +103,16 @@ def search(part: bs.Slice, index: Index) -> list[tuple[int, int, int, int, int,
         many = last - first
         at = np.repeat(starts, many)
         place = index.places[np.repeat(first, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)]
-        hits.append(np.stack([np.searchsorted(words.rows, at, side="right") - 1, np.searchsorted(index.rows, place, side="right") - 1, at - place], axis=1))
+        hits.append(
+            np.stack(
+                [
+                    np.searchsorted(words.rows, at, side="right") - 1,
+                    np.searchsorted(index.rows, place, side="right") - 1,
+                    at - place
+                ],
+                axis=1
+            )
+        )
     out = []
     for row, item, shift in np.unique(np.concatenate(hits), axis=0).tolist():
         a, z = int(index.rows[item]), int(index.rows[item + 1])
@@ -119,7 +128,9 @@ def search(part: bs.Slice, index: Index) -> list[tuple[int, int, int, int, int,
 
 def _blocks(benchmark: DataFrame, block_words: int) -> Iterator[list[tuple[int, str]]]:
     """Items in blocks of bounded size, on the driver."""
-    slim = benchmark.where("text is not null and item_id is not null").select("item_id", F.col("text").cast("string").alias("text"))
+    slim = benchmark.where("text is not null and item_id is not null").select(
+        "item_id", F.col("text").cast("string").alias("text")
+    )
     total = slim.agg(F.sum(F.length("text"))).first()[0] or 0
     n = max(1, -(-int(total) // (4 * block_words)))
     for i in range(n):
@@ -150,7 +161,16 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, block_words: int = BLOCK
                 for part in bs.slices(bs.lowered(batch.column("text"))):
                     found = search(part, index)
                     column = lambda i, t: pa.array([x[i] for x in found], t)  # noqa: E731, B023
-                    yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id").take(pa.array([part.first + x[0] for x in found], pa.int64())), "item_id": pa.array([index.ids[x[1]] for x in found], pa.int64()), "doc_word": column(2, pa.int32()), "item_word": column(3, pa.int32()), "n_words": column(4, pa.int32()), "n_equal": column(5, pa.int32())})
+                    yield pa.RecordBatch.from_pydict(
+                        {
+                            "doc_id": batch.column("doc_id").take(pa.array([part.first + x[0] for x in found], pa.int64())),
+                            "item_id": pa.array([index.ids[x[1]] for x in found], pa.int64()),
+                            "doc_word": column(2, pa.int32()),
+                            "item_word": column(3, pa.int32()),
+                            "n_words": column(4, pa.int32()),
+                            "n_equal": column(5, pa.int32())
+                        }
+                    )
 
         return run
 

@@ -66,7 +66,12 @@ def shingle_sets(words: bs.Words, k: int) -> tuple[np.ndarray, np.ndarray]:
     length = np.diff(words.rows)
     short = np.flatnonzero((length > 0) & (length < k))
     if len(short):  # the whole sequence is one shingle; its length is part of the hash
-        own = bs.mix(bs.spans_hash(hashes, words.rows[short], words.rows[short + 1], np.uint64(0xD6E8FEB86659FD93)) ^ length[short].astype(np.uint64), 1)
+        own = bs.mix(
+            bs.spans_hash(
+                hashes, words.rows[short], words.rows[short + 1], np.uint64(0xD6E8FEB86659FD93)
+            ) ^ length[short].astype(np.uint64),
+            1
+        )
         row, runs = np.concatenate((row, short)), np.concatenate((runs, own))
     order = np.lexsort((runs, row))
     row, runs = row[order], runs[order]
@@ -96,7 +101,9 @@ def _screen_rows(buckets: int, k: int):
             out["rests"].append(press(np.ascontiguousarray(gaps.view(np.uint8).reshape(-1, 4).T).tobytes()))
             out["rows"].append(press(np.ascontiguousarray(local.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()))
             out["keys"].append(keys[used].tobytes())
-        return pa.RecordBatch.from_pydict({"bucket": pa.array(number, pa.int32())} | {c: pa.array(v, pa.binary()) for c, v in out.items()})
+        return pa.RecordBatch.from_pydict(
+            {"bucket": pa.array(number, pa.int32())} | {c: pa.array(v, pa.binary()) for c, v in out.items()}
+        )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, count, seen = [], 0, set()
@@ -135,7 +142,9 @@ def _shared(table: pa.Table, parts: int) -> pa.Table:
         rests.append(bs.unpack_sorted(r))
         import zstandard
 
-        local = np.ascontiguousarray(np.frombuffer(zstandard.ZstdDecompressor().decompress(w), np.uint8).reshape(4, -1).T).view("<u4").ravel()
+        local = np.ascontiguousarray(
+            np.frombuffer(zstandard.ZstdDecompressor().decompress(w), np.uint8).reshape(4, -1).T
+        ).view("<u4").ravel()
         texts.append(np.frombuffer(k, np.int64)[local])
     names, text = np.unique(np.concatenate(texts), return_inverse=True)
     pair = np.unique((np.concatenate(rests).astype(np.uint64) << np.uint64(32)) | text.astype(np.uint64))
@@ -151,7 +160,9 @@ def _shared(table: pa.Table, parts: int) -> pa.Table:
     order = np.argsort(part, kind="stable")
     number, first = np.unique(part[order], return_index=True)
     borders = np.append(first, len(part))
-    cut = lambda a, kind: pa.array([a[order[x:z]].astype(kind).tobytes() for x, z in zip(borders[:-1], borders[1:], strict=True)], pa.binary())
+    cut = lambda a, kind: pa.array(
+        [a[order[x:z]].astype(kind).tobytes() for x, z in zip(borders[:-1], borders[1:], strict=True)], pa.binary()
+    )
     return pa.table({"part": pa.array(number, pa.int32()), "keys": cut(names, "<i8"), "counts": cut(count, "<u4")})
 
 
@@ -159,7 +170,12 @@ def _total(table: pa.Table) -> pa.Table:
     """Sum of the counts of each text of a part."""
     join = lambda c, kind: np.frombuffer(b"".join(table.column(c).to_pylist()), kind)
     names, place = np.unique(join("keys", "<i8"), return_inverse=True)
-    return pa.table({"k": pa.array(names, pa.int64()), "shared": pa.array(np.bincount(place, join("counts", "<u4"), minlength=len(names)).astype(np.int64))})
+    return pa.table(
+        {
+            "k": pa.array(names, pa.int64()),
+            "shared": pa.array(np.bincount(place, join("counts", "<u4"), minlength=len(names)).astype(np.int64))
+        }
+    )
 
 
 def _set_rows(k: int):
@@ -171,7 +187,9 @@ def _set_rows(k: int):
             for part in bs.slices(batch.column("text")):
                 row, hashes = shingle_sets(bs.find_words(part, lower=True), k)
                 size = np.bincount(row, minlength=part.rows)
-                columns = {c: batch.column(c).slice(part.first, part.rows) for c in ("doc_id", "k", "k2")} | {"n_shingles": pa.array(size, pa.int64())}
+                columns = {
+                    c: batch.column(c).slice(part.first, part.rows) for c in ("doc_id", "k", "k2")
+                } | {"n_shingles": pa.array(size, pa.int64())}
                 # what the smallest possible partner asks for, less room for equal short hashes
                 least = np.ceil(SCREEN * needed(size)) - 1 - size // 5000
                 stays = (size > 0) & (shared[part.first : part.first + part.rows] >= least)
@@ -183,7 +201,12 @@ def _set_rows(k: int):
                     edge = np.append(0, np.cumsum(size))
                     sums.append((total[edge[1:]] - total[edge[:-1]]).view(np.int64))
                 borders = np.append(0, np.cumsum(np.where(stays, size, 0))).astype(np.int32)
-                columns |= {"set_a": pa.array(sums[0]), "set_b": pa.array(sums[1]), "stays": pa.array(stays), "elements": pa.ListArray.from_arrays(pa.array(borders), pa.array(hashes[stays[row]].view(np.int64)))}
+                columns |= {
+                    "set_a": pa.array(sums[0]),
+                    "set_b": pa.array(sums[1]),
+                    "stays": pa.array(stays),
+                    "elements": pa.ListArray.from_arrays(pa.array(borders), pa.array(hashes[stays[row]].view(np.int64)))
+                }
                 yield pa.RecordBatch.from_pydict(columns)
 
     return run
@@ -197,7 +220,9 @@ def _candidate_prefixes(classes: DataFrame) -> DataFrame:
     """
     posts = classes.select("cls", "n", F.explode("elements").alias("element"))
     frequency = posts.groupBy("element").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    ranked = posts.join(frequency, "element").groupBy("cls", "n").agg(F.array_sort(F.collect_list(F.struct("df", "element"))).alias("ranked"))
+    ranked = posts.join(frequency, "element").groupBy("cls", "n").agg(
+        F.array_sort(F.collect_list(F.struct("df", "element"))).alias("ranked")
+    )
     # elements of one class only come first in the order, and need no posting
     unique = F.col("n") - F.size("ranked")
     ranked = ranked.withColumn("spare", F.col("n") - F.expr(f"div(n * {PERCENT} + 99, 100)") - unique).where("spare >= 0")
@@ -210,7 +235,9 @@ def _candidate_prefixes(classes: DataFrame) -> DataFrame:
     chosen = ranked.withColumn("m", F.array_min(allowed)["m"]).withColumn("r", F.size("ranked"))
     length = F.least(F.col("r"), (F.col("spare") + F.col("m")).cast("int"))
     chosen = chosen.withColumn("rest", F.col("r") - length).withColumn("prefix", F.slice("ranked", F.lit(1), length))
-    return chosen.select("cls", "n", "r", "rest", F.posexplode("prefix").alias("place", "x")).select("cls", "n", "r", "rest", "place", F.col("x.element").alias("element"))
+    return chosen.select("cls", "n", "r", "rest", F.posexplode("prefix").alias("place", "x")).select(
+        "cls", "n", "r", "rest", "place", F.col("x.element").alias("element")
+    )
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -228,7 +255,9 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 both = np.sort(np.concatenate((p, q)), kind="stable")
                 common = int((both[1:] == both[:-1]).sum())
                 keep[i] = 100 * common >= PERCENT * (len(both) - common)
-            yield pa.RecordBatch.from_pydict({"a": batch.column("a").filter(pa.array(keep)), "b": batch.column("b").filter(pa.array(keep))})
+            yield pa.RecordBatch.from_pydict(
+                {"a": batch.column("a").filter(pa.array(keep)), "b": batch.column("b").filter(pa.array(keep))}
+            )
 
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(link, "a long, b long")
 
@@ -263,7 +292,9 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         slot = (bs.mix(values[offsets[0] : offsets[-1]], 5) % np.uint64(SKETCH)).astype(np.int64)
         for at in range(0, len(size), 1024):
             own = (row >= at) & (row < at + 1024)
-            counts = np.bincount((row[own] - at) * SKETCH + slot[own], minlength=min(1024, len(size) - at) * SKETCH).reshape(-1, SKETCH)
+            counts = np.bincount(
+                (row[own] - at) * SKETCH + slot[own], minlength=min(1024, len(size) - at) * SKETCH
+            ).reshape(-1, SKETCH)
             fits = np.flatnonzero(counts.max(axis=1) < 256)
             sketches = pa.array([counts[i].astype(np.uint8).tobytes() for i in fits], pa.binary())
             yield pa.RecordBatch.from_pydict({"cls": batch.column("cls").take(pa.array(fits + at)), "sketch": sketches})
@@ -303,7 +334,9 @@ def _pair_counts(buckets: int):
         spans = list(zip(edge.tolist(), [*edge[1:].tolist(), len(bucket)], strict=True))
         cut = lambda v, kind: pa.array([press(v[order[i:j]].astype(kind).tobytes()) for i, j in spans], pa.binary())
         columns = zip(names, (a, b, least, common), ("<i8", "<i8", "<i4", "<i4"), strict=True)
-        return pa.RecordBatch.from_pydict({"bucket": pa.array(number, pa.int32())} | {c: cut(v, kind) for c, v, kind in columns})
+        return pa.RecordBatch.from_pydict(
+            {"bucket": pa.array(number, pa.int32())} | {c: cut(v, kind) for c, v, kind in columns}
+        )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, count = [], 0
@@ -321,7 +354,9 @@ def _pair_counts(buckets: int):
                 known = members.field("sketch").is_valid().to_numpy(zero_copy_only=False)
                 fields["sketch"] = np.zeros((len(members), SKETCH if known.any() else 0), np.uint8)
                 if known.any():
-                    fields["sketch"][known] = np.frombuffer(b"".join(members.field("sketch").drop_null().to_pylist()), np.uint8).reshape(-1, SKETCH)
+                    fields["sketch"][known] = np.frombuffer(
+                        b"".join(members.field("sketch").drop_null().to_pylist()), np.uint8
+                    ).reshape(-1, SKETCH)
                 sides.append((np.asarray(column.offsets).astype(np.int64), fields))
             (left, x), (right, y) = sides
             for i, j in _expanded(left, right, np.sort(own)[::-1]):
@@ -384,8 +419,12 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
     base = base.withColumn("k", F.xxhash64("text")).withColumn("k2", F.xxhash64(F.lit(1), "text"))
-    screened = base.where("doc_id is not null").select("k", "text").mapInArrow(_screen_rows(buckets, k), "bucket int, rests binary, rows binary, keys binary")
-    shared = screened.groupBy("bucket").applyInArrow(lambda rows: _shared(rows, buckets), "part int, keys binary, counts binary")
+    screened = base.where("doc_id is not null").select("k", "text").mapInArrow(
+        _screen_rows(buckets, k), "bucket int, rests binary, rows binary, keys binary"
+    )
+    shared = screened.groupBy("bucket").applyInArrow(
+        lambda rows: _shared(rows, buckets), "part int, keys binary, counts binary"
+    )
     shared = shared.groupBy("part").applyInArrow(_total, "k long, shared long")
     found = base.join(shared, "k", "left").select("doc_id", "k", "k2", "text", "shared").mapInArrow(
         _set_rows(k),
@@ -394,19 +433,40 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
     sets = stored(found.withColumn("row", F.monotonically_increasing_id()), "sets")
     full = sets.where("n_shingles > 0 and doc_id is not null")
     # a class is known by the row that stands for it
-    named = full.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("class_id"), F.min(F.when(F.col("stays"), F.col("row"))).alias("cls"), F.min(F.struct("doc_id", "row"))["row"].alias("head"))
+    named = full.groupBy("set_a", "set_b").agg(
+        F.min("doc_id").alias("class_id"),
+        F.min(F.when(F.col("stays"), F.col("row"))).alias("cls"),
+        F.min(F.struct("doc_id", "row"))["row"].alias("head")
+    )
     named = stored(named, "classes")
     standing = named.where("cls is not null").select("cls")
-    classes = stored(sets.where("stays").join(standing, F.col("row") == F.col("cls"), "left_semi").select(F.col("row").alias("cls"), F.col("n_shingles").alias("n"), "elements"), "class-sets")
+    classes = stored(
+        sets.where("stays").join(standing, F.col("row") == F.col("cls"), "left_semi").select(
+            F.col("row").alias("cls"), F.col("n_shingles").alias("n"), "elements"
+        ),
+        "class-sets"
+    )
     with scratch(docs.sparkSession):
         joined = stored(_components(classes, buckets), "joined", keep=True)
     least = joined.join(named, "cls").groupBy("component").agg(F.min(F.struct("class_id", "head")).alias("p"))
-    linked = joined.join(least, "component").select("cls", F.col("p.class_id").alias("component_id"), F.col("p.head").alias("first_row"))
-    known = named.join(linked, "cls", "left").select("set_a", "set_b", "class_id", F.coalesce("component_id", "class_id").alias("component_id"), F.coalesce("first_row", "head").alias("first_row"))
+    linked = joined.join(least, "component").select(
+        "cls", F.col("p.class_id").alias("component_id"), F.col("p.head").alias("first_row")
+    )
+    known = named.join(linked, "cls", "left").select(
+        "set_a",
+        "set_b",
+        "class_id",
+        F.coalesce("component_id", "class_id").alias("component_id"),
+        F.coalesce("first_row", "head").alias("first_row")
+    )
     columns = ("doc_id", "n_shingles", "class_id", "component_id", "k", "k2", "first")
     alone = sets.where((F.col("n_shingles") == 0) | F.col("doc_id").isNull())
-    alone = alone.withColumn("class_id", F.col("doc_id")).withColumn("component_id", F.col("doc_id")).withColumn("first", F.lit(True))
-    several = full.drop("elements", "stays").join(known, ["set_a", "set_b"]).withColumn("first", F.col("row") == F.col("first_row"))
+    alone = alone.withColumn("class_id", F.col("doc_id")).withColumn(
+        "component_id", F.col("doc_id")
+    ).withColumn("first", F.lit(True))
+    several = full.drop("elements", "stays").join(known, ["set_a", "set_b"]).withColumn(
+        "first", F.col("row") == F.col("first_row")
+    )
     return several.select(*columns).unionByName(alone.select(*columns))
 
 
@@ -416,25 +476,39 @@ def _components(classes: DataFrame, buckets: int) -> DataFrame:
     enough = f"least(ra, rb) * {100 + PERCENT} >= {PERCENT} * (na + nb)"  # else the overlap is too small
     # round one: each posting's members against its smallest one
     star = prefixes.groupBy("element").agg(F.min(F.struct("cls", "n", "r")).alias("p"), F.count(F.lit(1)).alias("size"))
-    star = star.where("size > 1").select("element", F.col("p.cls").alias("a"), F.col("p.n").alias("na"), F.col("p.r").alias("ra"))
-    pairs = prefixes.withColumnsRenamed({"n": "nb", "r": "rb"}).join(star, "element").where(f"a < cls and {enough}").select("a", F.col("cls").alias("b")).distinct()
+    star = star.where("size > 1").select(
+        "element", F.col("p.cls").alias("a"), F.col("p.n").alias("na"), F.col("p.r").alias("ra")
+    )
+    pairs = prefixes.withColumnsRenamed({"n": "nb", "r": "rb"}).join(star, "element").where(f"a < cls and {enough}").select(
+        "a", F.col("cls").alias("b")
+    ).distinct()
     links = stored(_verified(pairs, classes), "links")
     joined = stored(connected(links), "components")
     # round two: pairs with enough common prefix elements, across components
     own = prefixes.join(joined, "cls", "left").withColumn("component", F.coalesce("component", "cls"))
-    opened = own.groupBy("element").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("size")).where("low < high")
+    opened = own.groupBy("element").agg(
+        F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("size")
+    ).where("low < high")
     parts = F.ceil(F.col("size") / POSTING).cast("int")
-    dealt = own.join(opened.select("element", "size", parts.alias("parts")), "element").withColumn("part", F.pmod(F.xxhash64("cls"), F.col("parts")))
+    dealt = own.join(
+        opened.select("element", "size", parts.alias("parts")), "element"
+    ).withColumn("part", F.pmod(F.xxhash64("cls"), F.col("parts")))
     dealt = stored(dealt, "open")
     large = dealt.where((F.col("size") >= SKETCHED) & (F.col("n") <= SKETCH)).select("cls").distinct()
-    sketches = classes.join(large, "cls", "left_semi").select("cls", "elements").mapInArrow(_sketches, "cls long, sketch binary")
+    sketches = classes.join(large, "cls", "left_semi").select("cls", "elements").mapInArrow(
+        _sketches, "cls long, sketch binary"
+    )
     dealt = dealt.join(sketches, "cls", "left").withColumn("sketch", F.when(F.col("size") >= SKETCHED, F.col("sketch")))
     member = F.struct("cls", "n", "r", "rest", "place", "component", "sketch")
     posting = stored(dealt.groupBy("element", "parts", "part").agg(F.collect_list(member).alias("x")), "postings")
     whole = posting.select("x", F.lit(None).cast(posting.schema["x"].dataType).alias("y"), F.lit(True).alias("own"))
     cut = posting.where("parts > 1").select("element", "part", "x")
-    across = cut.join(cut.withColumnsRenamed({"x": "y", "part": "other"}), "element").where("part < other").select("x", "y", F.lit(False).alias("own"))
-    counted = whole.unionByName(across).mapInArrow(_pair_counts(buckets), "bucket int, a binary, b binary, least binary, common binary")
+    across = cut.join(
+        cut.withColumnsRenamed({"x": "y", "part": "other"}), "element"
+    ).where("part < other").select("x", "y", F.lit(False).alias("own"))
+    counted = whole.unionByName(across).mapInArrow(
+        _pair_counts(buckets), "bucket int, a binary, b binary, least binary, common binary"
+    )
     more = counted.groupBy("bucket").applyInArrow(_enough, "a long, b long")
     rest = _verified(more, classes)
     return connected(stored(links.unionByName(rest), "all-links"))

@@ -125,7 +125,9 @@ def fit(labelled: DataFrame, sample: int = SAMPLE) -> Model | None:
     """Fit on rows with doc_id, text and lang, none of them null; None without any."""
     known = labelled.where("text is not null and lang is not null and length(text) > 0")
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))
-    ids = known.select("lang", "doc_id", F.xxhash64("doc_id").alias("h")).withColumn("rank", rank).where(F.col("rank") <= sample).select("doc_id", "lang").distinct()
+    ids = known.select(
+        "lang", "doc_id", F.xxhash64("doc_id").alias("h")
+    ).withColumn("rank", rank).where(F.col("rank") <= sample).select("doc_id", "lang").distinct()
     chosen = known.join(F.broadcast(ids), ["doc_id", "lang"]).select("lang", "text")  # sample ids a language
     again = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("text"), "text"))
     chosen = chosen.withColumn("rank", again).where(F.col("rank") <= sample).select("lang", "text")  # ids may repeat
@@ -134,7 +136,12 @@ def fit(labelled: DataFrame, sample: int = SAMPLE) -> Model | None:
         for batch in batches:
             for part in bs.slices(batch.column("text"), rows=ROWS):
                 x = features(part).astype(np.float16)
-                yield pa.RecordBatch.from_pydict({"lang": batch.column("lang").slice(part.first, part.rows), "x": pa.array([r.tobytes() for r in x], pa.binary())})
+                yield pa.RecordBatch.from_pydict(
+                    {
+                        "lang": batch.column("lang").slice(part.first, part.rows),
+                        "x": pa.array([r.tobytes() for r in x], pa.binary())
+                    }
+                )
 
     rows = chosen.mapInArrow(run, "lang string, x binary").collect()
     if not rows:
@@ -180,10 +187,19 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
                 if model is not None and len(at):
                     some = model.predict(features(part)[at])
                     names[at], score[at] = some
-                yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id").slice(part.first, part.rows), "held_out": batch.column("held_out").slice(part.first, part.rows), "lang_pred": pa.array(names.tolist(), pa.string()), "score": pa.array(score)})
+                yield pa.RecordBatch.from_pydict(
+                    {
+                        "doc_id": batch.column("doc_id").slice(part.first, part.rows),
+                        "held_out": batch.column("held_out").slice(part.first, part.rows),
+                        "lang_pred": pa.array(names.tolist(), pa.string()),
+                        "score": pa.array(score)
+                    }
+                )
 
     kind = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", "held_out", "text").mapInArrow(run, f"doc_id {kind}, held_out boolean, lang_pred string, score double")
+    return docs.select("doc_id", "held_out", "text").mapInArrow(
+        run, f"doc_id {kind}, held_out boolean, lang_pred string, score double"
+    )
 
 
 def identify(docs: DataFrame) -> DataFrame:
@@ -197,5 +213,7 @@ def identify(docs: DataFrame) -> DataFrame:
     go to the larger margin, then to the name; repeated rows stay; an empty table gives none.
     """
     held = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 3 == 1
-    slim = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"), held.alias("held_out"))
+    slim = docs.select(
+        "doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"), held.alias("held_out")
+    )
     return predict(slim, fit(slim.where(~F.col("held_out")).select("doc_id", "text", "lang")))

@@ -223,7 +223,13 @@ def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, counts = np.concatenate([x[0] for x in held]), np.concatenate([x[1] for x in held])
         words = pa.concat_arrays([x[2] for x in held])
         names, first, place = np.unique(hashes, return_index=True, return_inverse=True)
-        return pa.RecordBatch.from_pydict({"h": pa.array(names.view(np.int64)), "word": words.take(pa.array(first)), "n": pa.array(np.bincount(place, counts).astype(np.int64))})
+        return pa.RecordBatch.from_pydict(
+            {
+                "h": pa.array(names.view(np.int64)),
+                "word": words.take(pa.array(first)),
+                "n": pa.array(np.bincount(place, counts).astype(np.int64))
+            }
+        )
 
     held, count = [], 0
     for batch in batches:
@@ -233,8 +239,18 @@ def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             length = words.ends[first] - words.starts[first]
             place = np.arange(length.sum()) - np.repeat(np.cumsum(length) - length, length)
             raw = words.data[np.repeat(words.starts[first], length) + place]
-            own = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(np.append(0, np.cumsum(length)).astype(np.int32).tobytes()), pa.py_buffer(raw.tobytes())])
-            held.append((np.append(names, end_hash()), np.append(counts, part.rows), pa.concat_arrays([own, pa.array([END], pa.binary())])))
+            own = pa.Array.from_buffers(
+                pa.binary(),
+                len(first),
+                [None, pa.py_buffer(np.append(0, np.cumsum(length)).astype(np.int32).tobytes()), pa.py_buffer(raw.tobytes())]
+            )
+            held.append(
+                (
+                    np.append(names, end_hash()),
+                    np.append(counts, part.rows),
+                    pa.concat_arrays([own, pa.array([END], pa.binary())])
+                )
+            )
             count += len(first)
             if count >= FLUSH // 4:
                 yield flush(held)
@@ -285,7 +301,9 @@ def _chunk_sum(table: pa.Table) -> pa.Table:
     return pa.table({"chunk": table.column("chunk").slice(0, 1), "counts": pa.array([packed], pa.binary())})
 
 
-def _sums(code: Code, pairs: np.ndarray, weights: np.ndarray, texts: Iterable[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _sums(
+    code: Code, pairs: np.ndarray, weights: np.ndarray, texts: Iterable[tuple[np.ndarray, np.ndarray]]
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(gradient, curvature, hits) of some texts, by gate."""
     pull, curve = np.zeros((GATES, WIDTH)), np.zeros((GATES, WIDTH, WIDTH))
     hits = np.zeros(GATES * LEVELS * 2)
@@ -355,7 +373,14 @@ def _learn(counts: np.ndarray, batches: list[list[tuple[bytes, int]]]) -> Mixer:
     pairs, learner, code = _narrow(counts.reshape(-1, 2)), _Learner(), byte_code(np.zeros(256))
     for some in batches:
         texts = [w for w, n in some for _ in range(n)]
-        learner.move(*_sums(code, pairs, learner.weights, [(np.frombuffer(b"".join(texts), np.uint8), np.append(0, np.cumsum([len(w) for w in texts])))]))
+        learner.move(
+            *_sums(
+                code,
+                pairs,
+                learner.weights,
+                [(np.frombuffer(b"".join(texts), np.uint8), np.append(0, np.cumsum([len(w) for w in texts])))]
+            )
+        )
     return learner.mixer(code, pairs)
 
 
@@ -395,7 +420,9 @@ def train(training: DataFrame, words: DataFrame) -> Mixer:
     found = found.groupBy("chunk").applyInArrow(_chunk_sum, "chunk int, counts binary")
     pairs = np.zeros((-(-int(_OFFSETS[-1]) // CHUNK) * CHUNK, 2), np.uint16)
     for r in found.toLocalIterator():  # a part at a time
-        pairs[r.chunk * CHUNK : (r.chunk + 1) * CHUNK] = np.frombuffer(zstandard.ZstdDecompressor().decompress(bytes(r.counts)), "<u2").reshape(-1, 2)
+        pairs[r.chunk * CHUNK : (r.chunk + 1) * CHUNK] = np.frombuffer(
+            zstandard.ZstdDecompressor().decompress(bytes(r.counts)), "<u2"
+        ).reshape(-1, 2)
     shared = training.sparkSession.sparkContext.broadcast(pairs)  # a fixed size
     dealt = training.select("text", F.pmod(F.xxhash64("text"), F.lit(16)).alias("share"))
     learner = _Learner()
@@ -413,14 +440,18 @@ def _summed(texts: DataFrame, code: Code, shared: Broadcast, weights: np.ndarray
         pull, curve, hits = _sums(code, shared.value, weights, _texts(batches))
         rows = np.concatenate([x.reshape(GATES, -1) for x in (pull, curve, hits)], axis=1)
         met = np.flatnonzero(hits.any(axis=(1, 2)))
-        yield pa.RecordBatch.from_pydict({"gate": pa.array(met, pa.int32()), "sums": pa.array([rows[g].tobytes() for g in met], pa.binary())})
+        yield pa.RecordBatch.from_pydict(
+            {"gate": pa.array(met, pa.int32()), "sums": pa.array([rows[g].tobytes() for g in met], pa.binary())}
+        )
 
     def add(table: pa.Table) -> pa.Table:
         rows = np.frombuffer(b"".join(table.column("sums").to_pylist())).reshape(len(table), -1)
         return pa.table({"gate": table.column("gate").slice(0, 1), "sums": pa.array([rows.sum(axis=0).tobytes()], pa.binary())})
 
     total = np.zeros((GATES, WIDTH + WIDTH * WIDTH + LEVELS * 2))
-    for r in texts.mapInArrow(run, "gate int, sums binary").groupBy("gate").applyInArrow(add, "gate int, sums binary").collect():  # a row for each gate
+    for r in texts.mapInArrow(  # a row for each gate
+        run, "gate int, sums binary"
+    ).groupBy("gate").applyInArrow(add, "gate int, sums binary").collect():
         total[r.gate] = np.frombuffer(bytes(r.sums))
     pull, curve, hits = np.split(total, [WIDTH, WIDTH + WIDTH * WIDTH], axis=1)
     return pull, curve.reshape(GATES, WIDTH, WIDTH), hits.reshape(GATES, LEVELS, 2)
@@ -502,12 +533,33 @@ def scores(docs: DataFrame) -> DataFrame:
 
     kind = dict(marked.dtypes)["doc_id"]
     schema = f"doc_id {kind}, k long, held_out boolean, n_tokens long, known long, gain double, bits double, n_bytes long, rest array<long>"
-    scored = stored(marked.withColumn("k", F.xxhash64("text")).select("doc_id", "k", "held_out", "text").mapInArrow(run, schema), "scored")
+    scored = stored(
+        marked.withColumn("k", F.xxhash64("text")).select("doc_id", "k", "held_out", "text").mapInArrow(run, schema), "scored"
+    )
     # words outside the dictionary: each distinct (row, word) once, joined with its count
-    rare = scored.where(F.size("rest") > 0).select("doc_id", "k", F.explode("rest").alias("h")).groupBy("doc_id", "k", "h").agg(F.count(F.lit(1)).alias("times"))
+    rare = scored.where(F.size("rest") > 0).select(
+        "doc_id", "k", F.explode("rest").alias("h")
+    ).groupBy("doc_id", "k", "h").agg(F.count(F.lit(1)).alias("times"))
     copies = scored.groupBy("doc_id", "k").agg(F.count(F.lit(1)).alias("copies"))
-    counted = rare.join(words.where(F.col("n") < least).select("h", "n"), "h").groupBy("doc_id", "k").agg(F.sum(F.col("times") * F.log10(F.col("n") + 1.0)).alias("rare_gain"), F.sum("times").alias("rare_known"))
-    counted = counted.withColumnsRenamed({"doc_id": "d", "k": "kk"}).join(copies.withColumnsRenamed({"doc_id": "dd", "k": "kkk"}), F.col("d").eqNullSafe(F.col("dd")) & (F.col("kk") == F.col("kkk"))).select("d", "kk", (F.col("rare_gain") / F.col("copies")).alias("rare_gain"), (F.col("rare_known") / F.col("copies")).cast("long").alias("rare_known"))
+    counted = rare.join(words.where(F.col("n") < least).select("h", "n"), "h").groupBy("doc_id", "k").agg(
+        F.sum(F.col("times") * F.log10(F.col("n") + 1.0)).alias("rare_gain"), F.sum("times").alias("rare_known")
+    )
+    counted = counted.withColumnsRenamed({"doc_id": "d", "k": "kk"}).join(copies.withColumnsRenamed({"doc_id": "dd", "k": "kkk"}), F.col("d").eqNullSafe(F.col("dd")) & (F.col("kk") == F.col("kkk"))).select(
+        "d",
+        "kk",
+        (F.col("rare_gain") / F.col("copies")).alias("rare_gain"),
+        (F.col("rare_known") / F.col("copies")).cast("long").alias("rare_known")
+    )
     out = scored.drop("rest").join(counted, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("k") == F.col("kk")), "left")
     base = F.col("gain") + F.coalesce("rare_gain", F.lit(0.0)) - F.col("n_tokens") * float(np.log10(n_train + n_words + 1.0))
-    return out.select("doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("rare_known", F.lit(0))).alias("n_known"), F.lit(n_train).cast("long").alias("train_tokens"), base.alias("base_score"), (-F.col("bits") * float(np.log10(2.0))).alias("score"), "n_bytes", (F.col("bits") / F.col("n_bytes")).alias("bits_per_byte"))
+    return out.select(
+        "doc_id",
+        "held_out",
+        "n_tokens",
+        (F.col("known") + F.coalesce("rare_known", F.lit(0))).alias("n_known"),
+        F.lit(n_train).cast("long").alias("train_tokens"),
+        base.alias("base_score"),
+        (-F.col("bits") * float(np.log10(2.0))).alias("score"),
+        "n_bytes",
+        (F.col("bits") / F.col("n_bytes")).alias("bits_per_byte")
+    )

@@ -49,7 +49,17 @@ def cut_pieces(docs: DataFrame, path: str, capacity: int, end: int) -> DataFrame
                     crc.append(zlib.crc32(own))
                     place.append(counts[n])
                     counts[n] += 1
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id").take(pa.array(which, pa.int64())), "piece": pa.array(piece, pa.int32()), "start": pa.array(start, pa.int64()), "length": pa.array(length, pa.int64()), "ids_crc32": pa.array(crc, pa.int64()), "part": pa.array([part] * len(which), pa.int32()), "place": pa.array(place, pa.int64())})
+            yield pa.RecordBatch.from_pydict(
+                {
+                    "doc_id": batch.column("doc_id").take(pa.array(which, pa.int64())),
+                    "piece": pa.array(piece, pa.int32()),
+                    "start": pa.array(start, pa.int64()),
+                    "length": pa.array(length, pa.int64()),
+                    "ids_crc32": pa.array(crc, pa.int64()),
+                    "part": pa.array([part] * len(which), pa.int32()),
+                    "place": pa.array(place, pa.int64())
+                }
+            )
 
     slim = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     kind = dict(slim.dtypes)["doc_id"]
@@ -114,7 +124,9 @@ def _places(patterns: list) -> tuple[np.ndarray, ...]:
             used[length] = rank + n * times
             offset += n * length
     rows.sort()
-    return tuple(np.array(c, np.int64) for c in zip(*rows, strict=True)) if rows else tuple(np.zeros(0, np.int64) for _ in range(5))
+    return tuple(
+        np.array(c, np.int64) for c in zip(*rows, strict=True)
+    ) if rows else tuple(np.zeros(0, np.int64) for _ in range(5))
 
 
 def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, end: int = END) -> DataFrame:
@@ -130,15 +142,24 @@ def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, end
     counts = stored(pieces.groupBy("length", "part").agg(F.count(F.lit(1)).alias("n")), "lengths")
     histogram = {r.length: r.n for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # capacity rows at most
     keys, ranks, firsts, manys, offsets = _places(plan(histogram, capacity))
-    before = counts.withColumn("before", F.sum("n").over(Window.partitionBy("length").orderBy("part")) - F.col("n")).select("length", "part", "before")
+    before = counts.withColumn(
+        "before", F.sum("n").over(Window.partitionBy("length").orderBy("part")) - F.col("n")
+    ).select("length", "part", "before")
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             length, rank = np.asarray(batch.column("length")), np.asarray(batch.column("rank"))
             at = np.searchsorted(keys, (length << 44) | rank, side="right") - 1
             after = rank - ranks[at]
-            yield pa.RecordBatch.from_pydict({c: batch.column(c) for c in ("doc_id", "piece", "start", "length", "ids_crc32")} | {"sequence_id": pa.array(firsts[at] + after // manys[at]), "offset": pa.array(offsets[at] + after % manys[at] * length)})
+            yield pa.RecordBatch.from_pydict(
+                {c: batch.column(c) for c in ("doc_id", "piece", "start", "length", "ids_crc32")} | {
+                    "sequence_id": pa.array(firsts[at] + after // manys[at]),
+                    "offset": pa.array(offsets[at] + after % manys[at] * length)
+                }
+            )
 
     ranked = pieces.join(before, ["length", "part"]).withColumn("rank", F.col("place") + F.col("before"))
     kind = dict(pieces.dtypes)["doc_id"]
-    return ranked.select("doc_id", "piece", "start", "length", "ids_crc32", "rank").mapInArrow(assign, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return ranked.select("doc_id", "piece", "start", "length", "ids_crc32", "rank").mapInArrow(
+        assign, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
+    )

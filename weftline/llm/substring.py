@@ -84,7 +84,11 @@ def _probe_rows(buckets: int, block: int, window: int):
             out["rests"].append(arest[lo:hi].tobytes())
             out["keys"].append(keys[lo:hi].tobytes())
             out["blocks"].append(index[lo:hi].astype("<i4").tobytes())
-        return pa.RecordBatch.from_pydict({"bucket": pa.array(out["bucket"], pa.int32())} | {c: pa.array(v, pa.binary()) for c, v in out.items() if c != "bucket"})
+        return pa.RecordBatch.from_pydict(
+            {"bucket": pa.array(out["bucket"], pa.int32())} | {
+                c: pa.array(v, pa.binary()) for c, v in out.items() if c != "bucket"
+            }
+        )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, count, seen = [], 0, {}
@@ -155,8 +159,19 @@ def _window_rows(buckets: int, block: int, window: int):
         order = np.argsort(hashes, kind="stable")
         hashes, check, keys, starts, twice = hashes[order], check[order], keys[order], starts[order], twice[order]
         _, number, border = bs.split_sorted(hashes, buckets)
-        cut = lambda a, kind: pa.array([a[border[i] : border[i + 1]].astype(kind).tobytes() for i in range(len(number))], pa.binary())
-        return pa.RecordBatch.from_pydict({"bucket": pa.array(number, pa.int32()), "hashes": cut(hashes, "<u8"), "checks": cut(check, "<u2"), "keys": cut(keys, "<i8"), "starts": cut(starts, "<i4"), "twice": cut(twice, "u1")})
+        cut = lambda a, kind: pa.array(
+            [a[border[i] : border[i + 1]].astype(kind).tobytes() for i in range(len(number))], pa.binary()
+        )
+        return pa.RecordBatch.from_pydict(
+            {
+                "bucket": pa.array(number, pa.int32()),
+                "hashes": cut(hashes, "<u8"),
+                "checks": cut(check, "<u2"),
+                "keys": cut(keys, "<i8"),
+                "starts": cut(starts, "<i4"),
+                "twice": cut(twice, "u1")
+            }
+        )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, count, seen = [], 0, {}
@@ -235,7 +250,9 @@ def _pack_places(key: np.ndarray, start: np.ndarray) -> bytes:
     size = np.diff(np.append(edge, len(key))).astype("<i4")
     gaps = np.diff(start, prepend=np.int32(0)).astype("<i4")
     planes = np.ascontiguousarray(np.concatenate((size, gaps)).view(np.uint8).reshape(-1, 4).T).tobytes()
-    return len(edge).to_bytes(4, "little") + zstandard.ZstdCompressor(level=1).compress(key[edge].astype("<i8").tobytes() + planes)
+    return len(edge).to_bytes(4, "little") + zstandard.ZstdCompressor(level=1).compress(
+        key[edge].astype("<i8").tobytes() + planes
+    )
 
 
 def _unpack_places(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -254,7 +271,15 @@ def _gather(table: pa.Table) -> pa.Table:
     order = np.lexsort((start, key))
     key, start = key[order], start[order]
     edge = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-    return pa.table({"k": pa.array(key[edge], pa.int64()), "starts": pa.array([start[a:z].astype("<i4").tobytes() for a, z in zip(edge, np.append(edge, len(key))[1:], strict=True)], pa.binary())})
+    return pa.table(
+        {
+            "k": pa.array(key[edge], pa.int64()),
+            "starts": pa.array(
+                [start[a:z].astype("<i4").tobytes() for a, z in zip(edge, np.append(edge, len(key))[1:], strict=True)],
+                pa.binary()
+            )
+        }
+    )
 
 
 def repeats(keyed: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -266,7 +291,9 @@ def repeats(keyed: DataFrame, window: int = WINDOW) -> DataFrame:
     """
     block = (window + 1) // 2
     buckets = bucket_count(keyed)
-    probes = keyed.select("k", "text").mapInArrow(_probe_rows(buckets, block, window), "bucket int, probes binary, twice binary, rests binary, keys binary, blocks binary")
+    probes = keyed.select("k", "text").mapInArrow(
+        _probe_rows(buckets, block, window), "bucket int, probes binary, twice binary, rests binary, keys binary, blocks binary"
+    )
     anchors = probes.groupBy("bucket").applyInArrow(_met_again, "k long, block int")
     hits = anchors.groupBy("k").agg(F.collect_list("block").alias("blocks"))
     schema = "bucket int, hashes binary, checks binary, keys binary, starts binary, twice binary"

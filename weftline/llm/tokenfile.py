@@ -35,7 +35,9 @@ LEVEL = 3
 
 def train_dictionary(docs: DataFrame, path: str) -> bytes:
     """A dictionary from a bounded sample; empty if there is too little to learn from."""
-    chosen = docs.where("length(text) > 0").select(F.xxhash64("doc_id").alias("h"), "doc_id").orderBy("h", "doc_id").limit(SAMPLE).select("doc_id").distinct()
+    chosen = docs.where("length(text) > 0").select(
+        F.xxhash64("doc_id").alias("h"), "doc_id"
+    ).orderBy("h", "doc_id").limit(SAMPLE).select("doc_id").distinct()
     rows = docs.join(F.broadcast(chosen), "doc_id").select("doc_id", F.substring("text", 1, SAMPLE_CHARS).alias("text"))
     sample = rows.orderBy("doc_id", "text").limit(SAMPLE).collect()  # ids may repeat
     encode = chunk_encoder(path, spaced=True)
@@ -65,15 +67,21 @@ def write(docs: DataFrame, folder: str, path: str | None = None, end: int = END)
     """
     path = path or default_path(VOCABULARY)
     spark = docs.sparkSession
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    slim = docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")
+    )
     dictionary = train_dictionary(slim, path)
     name = hashlib.sha256(dictionary).hexdigest()
-    spark.createDataFrame([(name, bytearray(dictionary))], "sha256 string, dictionary binary").coalesce(1).write.parquet(f"{folder}/dictionary")
+    spark.createDataFrame(
+        [(name, bytearray(dictionary))], "sha256 string, dictionary binary"
+    ).coalesce(1).write.parquet(f"{folder}/dictionary")
     tail = np.array([end], "<u4").tobytes()
 
     def encode_part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = chunk_encoder(path, spaced=True)
-        press = zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(dictionary) if dictionary else None).compress
+        press = zstandard.ZstdCompressor(
+            level=LEVEL, dict_data=zstandard.ZstdCompressionDict(dictionary) if dictionary else None
+        ).compress
         part, block, before = TaskContext.get().partitionId(), 0, 0
         for batch in batches:
             texts = batch.column("text")
@@ -83,12 +91,26 @@ def write(docs: DataFrame, folder: str, path: str | None = None, end: int = END)
                 offsets = np.cumsum([0, *map(len, frames)])
                 counts = [len(x) // 4 for x in some]
                 own = batch.column("doc_id").slice(at, BLOCK)
-                row = {"part": pa.array([part], pa.int32()), "block": pa.array([block], pa.int32()), "before": pa.array([before], pa.int64()), "n_ids": pa.array([sum(counts)], pa.int64()), "first_id": own.slice(0, 1), "last_id": own.slice(len(own) - 1, 1), "dictionary": pa.array([name]), "doc_ids": pa.array([own.to_pylist()], pa.list_(pa.int64())), "counts": pa.array([counts], pa.list_(pa.int32())), "offsets": pa.array([offsets.tolist()], pa.list_(pa.int64())), "payload": pa.array([b"".join(frames)], pa.binary())}
+                row = {
+                    "part": pa.array([part], pa.int32()),
+                    "block": pa.array([block], pa.int32()),
+                    "before": pa.array([before], pa.int64()),
+                    "n_ids": pa.array([sum(counts)], pa.int64()),
+                    "first_id": own.slice(0, 1),
+                    "last_id": own.slice(len(own) - 1, 1),
+                    "dictionary": pa.array([name]),
+                    "doc_ids": pa.array([own.to_pylist()], pa.list_(pa.int64())),
+                    "counts": pa.array([counts], pa.list_(pa.int32())),
+                    "offsets": pa.array([offsets.tolist()], pa.list_(pa.int64())),
+                    "payload": pa.array([b"".join(frames)], pa.binary())
+                }
                 yield pa.RecordBatch.from_pydict(row)
                 block, before = block + 1, before + sum(counts)
 
     schema = "part int, block int, before long, n_ids long, first_id long, last_id long, dictionary string, doc_ids array<long>, counts array<int>, offsets array<long>, payload binary"
-    ordered = slim.repartitionByRange(bucket_count(docs), "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"), "text")
+    ordered = slim.repartitionByRange(
+        bucket_count(docs), "doc_id", F.xxhash64("text")
+    ).sortWithinPartitions("doc_id", F.xxhash64("text"), "text")
     ordered.mapInArrow(encode_part, schema).write.option("compression", "none").parquet(f"{folder}/blocks")
 
 
@@ -115,7 +137,9 @@ def read_digests(spark: SparkSession, folder: str) -> DataFrame:
     before = parts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("part_before"))
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        expand = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(dictionary) if dictionary else None).decompress
+        expand = zstandard.ZstdDecompressor(
+            dict_data=zstandard.ZstdCompressionDict(dictionary) if dictionary else None
+        ).decompress
         for batch in batches:
             doc, start, count, crc = [], [], array("q"), array("q")
             for row in batch.to_pylist():
@@ -128,9 +152,18 @@ def read_digests(spark: SparkSession, folder: str) -> DataFrame:
                     count.append(len(ids) // 4)
                     crc.append(zlib.crc32(ids))
                     at += len(ids) // 4
-            yield pa.RecordBatch.from_pydict({"doc_id": pa.array(doc, pa.int64()), "start": pa.array(start, pa.int64()), "n_tokens": pa.array(count, pa.int64()), "ids_crc32": pa.array(crc, pa.int64())})
-
-    joined = blocks.join(F.broadcast(before), "part").select((F.col("before") + F.col("part_before")).alias("at"), "dictionary", "doc_ids", "counts", "offsets", "payload")
+            yield pa.RecordBatch.from_pydict(
+                {
+                    "doc_id": pa.array(doc, pa.int64()),
+                    "start": pa.array(start, pa.int64()),
+                    "n_tokens": pa.array(count, pa.int64()),
+                    "ids_crc32": pa.array(crc, pa.int64())
+                }
+            )
+
+    joined = blocks.join(F.broadcast(before), "part").select(
+        (F.col("before") + F.col("part_before")).alias("at"), "dictionary", "doc_ids", "counts", "offsets", "payload"
+    )
     return joined.mapInArrow(digest, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
@@ -139,7 +172,9 @@ def read_document(spark: SparkSession, folder: str, doc_id: int) -> list[list[in
     name, dictionary = _dictionary(spark, folder)
     expand = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(dictionary) if dictionary else None).decompress
     found = []
-    for row in spark.read.parquet(f"{folder}/blocks").where((F.col("first_id") <= doc_id) & (F.col("last_id") >= doc_id)).orderBy("part", "block").collect():
+    for row in spark.read.parquet(f"{folder}/blocks").where(
+        (F.col("first_id") <= doc_id) & (F.col("last_id") >= doc_id)
+    ).orderBy("part", "block").collect():
         if row.dictionary != name:
             raise ValueError("a block was written with another dictionary")
         for i, own in enumerate(row.doc_ids):

@@ -21,7 +21,9 @@ _encoders: dict[tuple[str, bool], Callable[[str], bytes]] = {}
 
 #: ASCII white space before a chunk, the chunk, or white space at the end. A word of Latin
 #: letters is a chunk of its own before a full stop or comma, so that it is met more often.
-_CHUNKS = re.compile(r"[ \t\n\r\x0b\x0c]*[A-Za-zÀ-ÖØ-öø-ÿ]+(?=[.,\s])|[ \t\n\r\x0b\x0c]*[^ \t\n\r\x0b\x0c]+|[ \t\n\r\x0b\x0c]+\Z")
+_CHUNKS = re.compile(
+    r"[ \t\n\r\x0b\x0c]*[A-Za-zÀ-ÖØ-öø-ÿ]+(?=[.,\s])|[ \t\n\r\x0b\x0c]*[^ \t\n\r\x0b\x0c]+|[ \t\n\r\x0b\x0c]+\Z"
+)
 #: White space that is not ASCII (or that only some libraries call white space).
 _ODD = re.compile(r"[\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\u2028\u2029\u202f\u205f\u2060\u3000\ufeff]")
 _WORDS = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+(?=[.,\s])|[^ \t\n\r\x0b\x0c]+")
@@ -78,7 +80,13 @@ def chunk_encoder(path: str, spaced: bool) -> Callable[[str], bytes]:
             if len(known) > REMEMBERED:
                 known.clear()
             lacking = list({c for c, f in zip(chunks, found, strict=True) if f is None})
-            fresh = dict(zip(lacking, (array("I", e.ids).tobytes() for e in library.encode_batch_fast(lacking, add_special_tokens=False)), strict=True))
+            fresh = dict(
+                zip(
+                    lacking,
+                    (array("I", e.ids).tobytes() for e in library.encode_batch_fast(lacking, add_special_tokens=False)),
+                    strict=True
+                )
+            )
             known.update((c, v) for c, v in fresh.items() if len(c) <= LONGEST)
             found = [fresh[c] if f is None else f for c, f in zip(chunks, found, strict=True)]
         return b"".join(found)

@@ -120,7 +120,9 @@ def _feature_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             names, place = np.unique(hashes, return_inverse=True)
             bad = np.bincount(place, toxic[part.first + row], minlength=len(names)).astype(np.int64)
             texts = np.bincount(place, minlength=len(names)).astype(np.int64)
-            yield pa.RecordBatch.from_pydict({"h": pa.array(names.view(np.int64)), "texts": pa.array(texts), "bad": pa.array(bad)})
+            yield pa.RecordBatch.from_pydict(
+                {"h": pa.array(names.view(np.int64)), "texts": pa.array(texts), "bad": pa.array(bad)}
+            )
 
 
 def _counts_of(words: np.ndarray):
@@ -239,7 +241,9 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     A document that is labelled several times is toxic if one of its labels says so. Labels of
     one class only, or none, give a model that rejects nothing.
     """
-    known = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max((F.col("toxic") > 0).cast("int")).alias("toxic"))
+    known = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(
+        F.max((F.col("toxic") > 0).cast("int")).alias("toxic")
+    )
     natural = {r.toxic: r.n for r in known.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}  # two rows
     if len(natural) < 2:
         return _no_model()
@@ -249,7 +253,9 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
         return _no_model()
     texts = sum(size.values())
     share = size[1] / texts
-    counted = sample.mapInArrow(_feature_texts, "h long, texts long, bad long").groupBy("h").agg(F.sum("texts").alias("texts"), F.sum("bad").alias("bad"))
+    counted = sample.mapInArrow(_feature_texts, "h long, texts long, bad long").groupBy("h").agg(
+        F.sum("texts").alias("texts"), F.sum("bad").alias("bad")
+    )
     z = F.abs(F.col("bad") - F.col("texts") * share) / F.sqrt(F.col("texts") * share * (1 - share))
     telling = counted.where(F.col("texts") >= MIN_TEXTS).withColumn("z", z).where(F.col("z") >= DISTINCT)
     chosen = telling.orderBy(F.desc("z"), "h").limit(FEATURES).select("h", "texts", "bad").toArrow()
@@ -280,7 +286,9 @@ def _graded(text: pa.Array, model: Model) -> Iterator[tuple[bs.Slice, np.ndarray
         row, hashes, counts = _row_words(part, model.words)
         score = np.zeros(part.rows)
         if len(row):
-            score = np.bincount(row, np.log1p(counts) * model.weights[np.searchsorted(model.words, hashes)], minlength=part.rows)
+            score = np.bincount(
+                row, np.log1p(counts) * model.weights[np.searchsorted(model.words, hashes)], minlength=part.rows
+            )
         above = np.where(np.diff(part.offsets)[:, None] > 0, model.above(score), 0.0)
         # without a word that speaks for it nothing is rejected, whatever the thresholds are
         yield part, above, (above[:, 0] >= REJECT) & (score > 0)
