@@ -90,6 +90,18 @@ def test_events_batch_equals_stream(spark, tmp_path):
         events.parse_lines(spark.read.text(str(folder)), strict=True).collect()
 
 
+def test_streamed_windows_equal_batch(spark, tmp_path):
+    rows = [(f"2024-01-01 0{h}:{m:02d}:00", kind) for h in (1, 2) for m in (1, 9, 31) for kind in ("view", "click")]
+    df = spark.createDataFrame(rows, "t string, event_type string").select(F.to_timestamp("t").alias("ts"), "event_type")
+    df.repartition(2).write.parquet(f"{tmp_path}/events")
+    batch = sorted(map(str, events.tumbling_counts(df).collect()))
+    assert len(batch) == 8
+    stream = events.tumbling_counts(spark.readStream.schema(df.schema).parquet(f"{tmp_path}/events"))
+    query = stream.writeStream.outputMode("complete").format("memory").queryName("windows").trigger(availableNow=True)
+    query.option("checkpointLocation", f"{tmp_path}/ck").start().awaitTermination(60)
+    assert sorted(map(str, spark.table("windows").collect())) == batch
+
+
 def test_parse_and_edits(spark):
     df = spark.createDataFrame([("x = 1\n", "x = 2\n"), ("def f(:\n", None)], "a string, b string")
     rows = df.select(

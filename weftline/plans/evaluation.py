@@ -12,6 +12,7 @@ from ..functions import text as T
 from ..operators import classify as K
 from ..operators import latents as G
 from ..operators import ranking as R
+from ..streaming import events
 from .common import read, split_sql
 
 
@@ -187,6 +188,12 @@ def job_event_summary(s, d):
     )
 
 
+def tumbling_event_counts(s, d):
+    """Events by type and hour: the streamed windows, over the whole table at once."""
+    w = events.tumbling_counts(read(s, d, "events"), 60)
+    return w.select(F.date_format("start", "yyyy-MM-dd HH:mm").alias("start"), "event_type", "n")
+
+
 def latest_per_job(s, d):
     return G.latest(read(s, d, "events"), ["user_id", "event_type"], "event_id", "value")
 
@@ -235,6 +242,7 @@ QUERIES = {
         cosine_mean,
         probe_label_coverage,
         job_event_summary,
+        tumbling_event_counts,
         latest_per_job,
         lexical_jaccard
     )
@@ -393,6 +401,10 @@ ORACLES = {
         "SELECT user_id, count(*) AS events, count(*) FILTER (WHERE event_type = 'error') AS errors, arg_max(event_type, "
         "event_id) AS last_type, arg_max((props::JSON->>'k')::BIGINT, event_id) AS last_k FROM events GROUP BY 1"
     ),
+    "tumbling_event_counts": (
+        "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') AS start, event_type, count(*) AS n "
+        "FROM events GROUP BY ALL"
+    ),
     "latest_per_job": "SELECT user_id, event_type, arg_max(value, event_id) AS latest FROM events GROUP BY ALL",
     "lexical_jaccard": (
         r"WITH t AS (SELECT a.conv_id, a.turn, list_distinct(regexp_extract_all(a.text, '[A-Za-z_][A-Za-z0-9_]*|[0-9]+')) "
