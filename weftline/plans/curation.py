@@ -197,7 +197,7 @@ def padded_tokens(s, d):
 
 
 def _md5_keys(s, d):
-    """doc_id, key: simhash over md5 halves of the distinct words."""
+    """doc_id, key: simhash over md5 halves of the words."""
     docs = read(s, d, "documents")
     h = lambda w: F.conv(F.substring(F.md5(w), 1, 13), 16, 10).cast("long")
     words = docs.select("doc_id", F.explode(F.split("text", " ")).alias("w")).withColumn("h", h(F.col("w")))
@@ -208,7 +208,7 @@ def _md5_keys(s, d):
 
 
 def near_dup_pairs_md5(s, d):
-    """Near pairs of a simhash over md5 halves of the distinct words: a variant that SQL can follow.
+    """Near pairs of a simhash over md5 halves of the words: a variant that SQL can follow.
 
     One document stands for all of an equal key; near_dup_members_md5 names the others.
     """
