@@ -174,7 +174,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, block_words: int = BLOCK
 
         return run
 
-    passes = [slim.mapInArrow(finder(build_index(items)), schema) for items in _blocks(benchmark, block_words)]
+    passes = [slim.mapInArrow(bs.tidy(finder(build_index(items))), schema) for items in _blocks(benchmark, block_words)]
     return reduce(DataFrame.unionByName, passes) if passes else slim.sparkSession.createDataFrame([], schema)
 
 
@@ -196,5 +196,5 @@ def clean(docs: DataFrame, benchmark: DataFrame, block_words: int = BLOCK_WORDS)
         return run
 
     for items in _blocks(benchmark, block_words):
-        docs = docs.mapInArrow(keeper(build_index(items)), docs.schema)
+        docs = docs.mapInArrow(bs.tidy(keeper(build_index(items))), docs.schema)
     return docs

@@ -259,7 +259,7 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 {"a": batch.column("a").filter(pa.array(keep)), "b": batch.column("b").filter(pa.array(keep))}
             )
 
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(link, "a long, b long")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(bs.tidy(link), "a long, b long")
 
 
 def _expanded(left: np.ndarray, right: np.ndarray, own: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -420,14 +420,14 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
     base = base.withColumn("k", F.xxhash64("text")).withColumn("k2", F.xxhash64(F.lit(1), "text"))
     screened = base.where("doc_id is not null").select("k", "text").mapInArrow(
-        _screen_rows(buckets, k), "bucket int, rests binary, rows binary, keys binary"
+        bs.tidy(_screen_rows(buckets, k)), "bucket int, rests binary, rows binary, keys binary"
     )
     shared = screened.groupBy("bucket").applyInArrow(
-        lambda rows: _shared(rows, buckets), "part int, keys binary, counts binary"
+        bs.tidy_group(lambda rows: _shared(rows, buckets)), "part int, keys binary, counts binary"
     )
-    shared = shared.groupBy("part").applyInArrow(_total, "k long, shared long")
+    shared = shared.groupBy("part").applyInArrow(bs.tidy_group(_total), "k long, shared long")
     found = base.join(shared, "k", "left").select("doc_id", "k", "k2", "text", "shared").mapInArrow(
-        _set_rows(k),
+        bs.tidy(_set_rows(k)),
         "doc_id long, k long, k2 long, n_shingles long, set_a long, set_b long, stays boolean, elements array<long>",
     )
     sets = stored(found.withColumn("row", F.monotonically_increasing_id()), "sets")
@@ -496,7 +496,7 @@ def _components(classes: DataFrame, buckets: int) -> DataFrame:
     dealt = stored(dealt, "open")
     large = dealt.where((F.col("size") >= SKETCHED) & (F.col("n") <= SKETCH)).select("cls").distinct()
     sketches = classes.join(large, "cls", "left_semi").select("cls", "elements").mapInArrow(
-        _sketches, "cls long, sketch binary"
+        bs.tidy(_sketches), "cls long, sketch binary"
     )
     dealt = dealt.join(sketches, "cls", "left").withColumn("sketch", F.when(F.col("size") >= SKETCHED, F.col("sketch")))
     member = F.struct("cls", "n", "r", "rest", "place", "component", "sketch")
@@ -507,8 +507,8 @@ def _components(classes: DataFrame, buckets: int) -> DataFrame:
         cut.withColumnsRenamed({"x": "y", "part": "other"}), "element"
     ).where("part < other").select("x", "y", F.lit(False).alias("own"))
     counted = whole.unionByName(across).mapInArrow(
-        _pair_counts(buckets), "bucket int, a binary, b binary, least binary, common binary"
+        bs.tidy(_pair_counts(buckets)), "bucket int, a binary, b binary, least binary, common binary"
     )
-    more = counted.groupBy("bucket").applyInArrow(_enough, "a long, b long")
+    more = counted.groupBy("bucket").applyInArrow(bs.tidy_group(_enough), "a long, b long")
     rest = _verified(more, classes)
     return connected(stored(links.unionByName(rest), "all-links"))

@@ -292,14 +292,14 @@ def repeats(keyed: DataFrame, window: int = WINDOW) -> DataFrame:
     block = (window + 1) // 2
     buckets = bucket_count(keyed)
     probes = keyed.select("k", "text").mapInArrow(
-        _probe_rows(buckets, block, window), "bucket int, probes binary, twice binary, rests binary, keys binary, blocks binary"
+        bs.tidy(_probe_rows(buckets, block, window)), "bucket int, probes binary, twice binary, rests binary, keys binary, blocks binary"
     )
-    anchors = probes.groupBy("bucket").applyInArrow(_met_again, "k long, block int")
+    anchors = probes.groupBy("bucket").applyInArrow(bs.tidy_group(_met_again), "k long, block int")
     hits = anchors.groupBy("k").agg(F.collect_list("block").alias("blocks"))
     schema = "bucket int, hashes binary, checks binary, keys binary, starts binary, twice binary"
-    windows = keyed.join(hits, "k").mapInArrow(_window_rows(buckets, block, window), schema)
-    places = windows.groupBy("bucket").applyInArrow(lambda rows: _repeated(rows, buckets), "part int, places binary")
-    return places.groupBy("part").applyInArrow(_gather, "k long, starts binary")
+    windows = keyed.join(hits, "k").mapInArrow(bs.tidy(_window_rows(buckets, block, window)), schema)
+    places = windows.groupBy("bucket").applyInArrow(bs.tidy_group(lambda rows: _repeated(rows, buckets)), "part int, places binary")
+    return places.groupBy("part").applyInArrow(bs.tidy_group(_gather), "k long, starts binary")
 
 
 def _cover(starts: bytes | None, n: int, window: int) -> tuple[np.ndarray, np.ndarray]:
@@ -355,7 +355,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     kind = dict(docs.dtypes)["doc_id"]
     keyed = _keyed(docs.select("doc_id", "text"))
     schema = f"doc_id {kind}, n_words long, n_removed long, kept_text string, kept_sha256 string, spans array<array<int>>"
-    return keyed.join(repeats(keyed, window), "k", "left").mapInArrow(cut, schema)
+    return keyed.join(repeats(keyed, window), "k", "left").mapInArrow(bs.tidy(cut), schema)
 
 
 def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -376,4 +376,4 @@ def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
             columns = {c: batch.column(o) for c, o in zip(names, own, strict=True)}
             yield pa.RecordBatch.from_pydict(columns | {"text": pc.if_else(pc.is_valid(text), text, columns["text"])})
 
-    return keyed.join(repeats(keyed, window), "k", "left").mapInArrow(cut, docs.schema)
+    return keyed.join(repeats(keyed, window), "k", "left").mapInArrow(bs.tidy(cut), docs.schema)

@@ -229,7 +229,7 @@ def _sample(docs: DataFrame, known: DataFrame) -> DataFrame:
         picked = some if picked is None else picked.unionByName(some)
     text = docs.where("text is not null").select("doc_id", F.col("text").cast("string").alias("text"))
     rows = text.join(F.broadcast(picked), "doc_id").select("text", "toxic")  # sum(SAMPLE) ids
-    named = rows.mapInArrow(_likeness, "alike string, toxic int, text string")
+    named = rows.mapInArrow(bs.tidy(_likeness), "alike string, toxic int, text string")
     # ids may repeat with other texts, so the bound is set once more
     several = named.groupBy("alike", "toxic").agg(F.min("text").alias("text"))
     return stored(several.orderBy(F.xxhash64("alike"), "toxic").limit(sum(SAMPLE)), "sample")
@@ -253,7 +253,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
         return _no_model()
     texts = sum(size.values())
     share = size[1] / texts
-    counted = sample.mapInArrow(_feature_texts, "h long, texts long, bad long").groupBy("h").agg(
+    counted = sample.mapInArrow(bs.tidy(_feature_texts), "h long, texts long, bad long").groupBy("h").agg(
         F.sum("texts").alias("texts"), F.sum("bad").alias("bad")
     )
     z = F.abs(F.col("bad") - F.col("texts") * share) / F.sqrt(F.col("texts") * share * (1 - share))
@@ -266,7 +266,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
         return _no_model()
     occurs, bad = (np.asarray(chosen.column(c).combine_chunks())[order] for c in ("texts", "bad"))
     rate = ((bad + 0.5) / (size[1] + 1)) / ((occurs - bad + 0.5) / (size[0] + 1))
-    rows = sample.mapInArrow(_counts_of(names), "toxic int, places binary, counts binary").collect()  # sum(SAMPLE) rows at most
+    rows = sample.mapInArrow(bs.tidy(_counts_of(names)), "toxic int, places binary, counts binary").collect()  # sum(SAMPLE) rows at most
     rows.sort()  # equal sums whatever the order of tasks
     toxic = np.array([r.toxic for r in rows], np.int64)
     row = np.repeat(np.arange(len(rows)), [len(r.counts) for r in rows])
@@ -316,7 +316,7 @@ def grade(docs: DataFrame, model: Model) -> DataFrame:
 
     slim = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     kind = dict(slim.dtypes)["doc_id"]
-    return slim.mapInArrow(run, f"doc_id {kind}, severity double, p_toxic double, rejected boolean")
+    return slim.mapInArrow(bs.tidy(run), f"doc_id {kind}, severity double, p_toxic double, rejected boolean")
 
 
 def clean(docs: DataFrame, model: Model) -> DataFrame:
@@ -332,7 +332,7 @@ def clean(docs: DataFrame, model: Model) -> DataFrame:
                 keep = np.concatenate([~rejected for _, _, rejected in _graded(batch.column("text"), model)])
                 yield batch.filter(pa.array(keep))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(bs.tidy(run), docs.schema)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
