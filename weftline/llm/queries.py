@@ -1,10 +1,10 @@
-"""The registered queries of this folder: op1 to op10, with production parameters."""
+"""The registered queries of this folder: op1 to op13, with production parameters."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import annsearch, bpecount, decontam, jaccard, langid, mixlm, packing, substring, tokenfile, toxicity
+from . import annsearch, bpecount, decontam, jaccard, langid, mixlm, packing, pagetext, substring, tokenfile, toxicity
 from .storage import table
 
 
@@ -50,6 +50,10 @@ def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return annsearch.search(table(spark, sf_dir, "embeddings"))
 
 
+def op11_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pagetext.main_text(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_substring_dedup": op2_substring_dedup,
@@ -61,6 +65,7 @@ QUERIES = {
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_nearest_neighbours": op10_nearest_neighbours,
+    "op11_main_text": op11_main_text,
 }
 
 #: The word pattern of the contracts.
