@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import annsearch, bpecount, decontam, jaccard, langid, mixlm, packing, pagetext, substring, tokenfile, toxicity
+from . import annsearch, bpecount, decontam, jaccard, langid, mixlm, packing, pagetext, spelling, substring, tokenfile, toxicity
 from .storage import table
 
 
@@ -54,6 +54,10 @@ def op11_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pagetext.main_text(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
 
 
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_substring_dedup": op2_substring_dedup,
@@ -66,6 +70,7 @@ QUERIES = {
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_nearest_neighbours": op10_nearest_neighbours,
     "op11_main_text": op11_main_text,
+    "op12_spelling_variants": op12_spelling_variants,
 }
 
 #: The word pattern of the contracts.
@@ -98,4 +103,28 @@ ORACLES = {
         SELECT doc_id, len(s)::BIGINT AS n_shingles, comp.c AS component_id, same.c AS class_id FROM sets
         JOIN (SELECT x, min(y) AS c FROM reach GROUP BY x) comp ON comp.x = doc_id
         JOIN (SELECT doc_id AS d, CASE WHEN len(s) = 0 THEN doc_id ELSE min(doc_id) OVER (PARTITION BY list_sort(s)) END AS c FROM sets) same ON same.d = doc_id""",
+    "op12_spelling_variants": r"""
+        WITH RECURSIVE crc AS (
+            SELECT list(list_reduce(list_prepend(i::BIGINT, range(8)), lambda c, k: xor(c >> 1, (c & 1) * 3988292384)) ORDER BY i) AS t
+            FROM range(256) r(i)),
+        runs AS (SELECT doc_id, unnest(regexp_extract_all(
+                   translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\x{C0}-\x{FF}]+')) AS run
+                 FROM documents),
+        counted AS (SELECT coalesce(doc_id::VARCHAR, '') || ':' || run AS k, run, count(*) AS n FROM runs WHERE length(run) > 6 GROUP BY ALL),
+        hashed AS (SELECT run, n, xor(list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(k, ''),
+                   lambda c: CASE WHEN ord(c) < 128 THEN [ord(c)::BIGINT] ELSE [(192 + ord(c) // 64)::BIGINT, 128 + ord(c) % 64] END))),
+                   lambda a, b: xor(a >> 8, t[xor(a & 255, b) + 1])), 4294967295) AS h FROM counted, crc),
+        made AS (SELECT CASE WHEN h % 31 = 0 THEN left(run, (h % length(run))::BIGINT) || substr(run, (h % length(run))::BIGINT + 2) ELSE run END AS word, n
+                 FROM hashed),
+        words AS (SELECT word, sum(n)::BIGINT AS n FROM made WHERE length(word) > 6 GROUP BY word HAVING sum(n) > 1),
+        cuts AS (SELECT word, n, i, left(word, i - 1) || substr(word, i + 1) AS rest
+                 FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM words)),
+        pairs AS (SELECT a.word, b.word AS near, b.n AS m FROM cuts a JOIN cuts b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+                  UNION SELECT c.word, w.word, w.n FROM cuts c JOIN words w ON c.rest = w.word
+                  UNION SELECT w.word, c.word, c.n FROM cuts c JOIN words w ON c.rest = w.word),
+        best AS (SELECT word, count(*) AS n_near, max(m) AS m, arg_min(near, (-m, near)) AS near FROM pairs GROUP BY word),
+        forms AS (SELECT words.word, n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= 10 * n THEN near END AS form,
+                  CASE WHEN m >= 10 * n THEN m END AS form_n FROM words LEFT JOIN best ON words.word = best.word),
+        way AS (SELECT word, word AS root FROM forms WHERE form IS NULL UNION ALL SELECT f.word, way.root FROM forms f JOIN way ON f.form = way.word)
+        SELECT forms.word, form, root, n, n_near, form_n FROM forms JOIN way ON forms.word = way.word""",
 }
