@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import annsearch, bpecount, decontam, jaccard, langid, mixlm, packing, pagetext, spelling, substring, tokenfile, toxicity
+from . import annsearch, bpecount, decontam, divergence, jaccard, langid, mixlm, packing, pagetext, spelling, substring, tokenfile, toxicity
 from .storage import table
 
 
@@ -58,6 +58,10 @@ def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(table(spark, sf_dir, "documents"))
 
 
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_substring_dedup": op2_substring_dedup,
@@ -71,6 +75,7 @@ QUERIES = {
     "op10_nearest_neighbours": op10_nearest_neighbours,
     "op11_main_text": op11_main_text,
     "op12_spelling_variants": op12_spelling_variants,
+    "op13_source_divergence": op13_source_divergence,
 }
 
 #: The word pattern of the contracts.
@@ -127,4 +132,26 @@ ORACLES = {
                   CASE WHEN m >= 10 * n THEN m END AS form_n FROM words LEFT JOIN best ON words.word = best.word),
         way AS (SELECT word, word AS root FROM forms WHERE form IS NULL UNION ALL SELECT f.word, way.root FROM forms f JOIN way ON f.form = way.word)
         SELECT forms.word, form, root, n, n_near, form_n FROM forms JOIN way ON forms.word = way.word""",
+    "op13_source_divergence": r"""
+        WITH d AS (SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source, row_number() OVER () AS r, regexp_extract_all(
+                     translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                     '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS ts FROM documents),
+        t AS (SELECT lang, source, r, unnest(ts) AS term FROM d),
+        kept AS (SELECT lang, term, count(*) AS total FROM t GROUP BY ALL HAVING count(DISTINCT r) >= 3),
+        v AS (SELECT lang, count(*) AS v, sum(total) AS n FROM kept GROUP BY lang),
+        c AS (SELECT lang, source, term, count(*) AS c, any_value(total) AS total FROM t JOIN kept USING (lang, term) GROUP BY ALL),
+        g AS (SELECT lang, source, coalesce(sum(c), 0) AS n FROM (SELECT DISTINCT lang, source FROM d) LEFT JOIN c USING (lang, source) GROUP BY ALL),
+        p AS (SELECT g.lang, g.source, kept.term, 1 + 1000000000::HUGEINT * (coalesce(c.c, 0) + 1) // (g.n + v.v)::HUGEINT AS p
+              FROM g JOIN v ON g.lang = v.lang JOIN kept ON kept.lang = g.lang
+              LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = kept.term),
+        sums AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p)::BIGINT AS value
+                 FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+        pair AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value
+                 FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+                 LEFT JOIN sums ON sums.lang = a.lang AND sums.source = a.source AND sums.item = b.source),
+        own AS (SELECT p.lang, p.source, p.term, p.p, 1 + 1000000000::HUGEINT * (c.total + 1) // (v.n + v.v)::HUGEINT AS q
+                FROM c JOIN p ON p.lang = c.lang AND p.source = c.source AND p.term = c.term JOIN v ON v.lang = c.lang),
+        term AS (SELECT lang, source, 'term' AS part, term AS item, ((p - q) * (p - q) // q)::BIGINT AS value FROM own WHERE p > q)
+        SELECT *, (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item))::INTEGER AS rank
+        FROM (FROM pair UNION ALL FROM term) QUALIFY part = 'pair' OR rank <= 200""",
 }
