@@ -128,8 +128,12 @@ def _sums(vectors: DataFrame, vector: str) -> tuple[int, np.ndarray, np.ndarray]
     return int(found[0]), found[1 : 1 + d], found[1 + d :].reshape(d, d)
 
 
-def collapse_report(vectors: DataFrame, vector: str = "v") -> DataFrame:
-    """One row: variances (least, median, largest), effective rank and its ratio, mean cosine, mean norm."""
+def collapse_report(vectors: DataFrame, vector: str = "v", ident: str | None = None) -> DataFrame:
+    """One row: variances (least, median, largest), effective rank and its ratio, mean cosine, mean norm.
+
+    With the column of row ids the entropy of nearest neighbours too, by the join of all rows.
+    """
+    from .allnearest import nearest_rows, neighbour_entropy
     from .latents import mean_pair_cosine
 
     n, s, q = _sums(vectors, vector)
@@ -139,29 +143,21 @@ def collapse_report(vectors: DataFrame, vector: str = "v") -> DataFrame:
         "double, effective_rank_ratio double, mean_cosine double, mean_norm double"
     )
     if n < 2:
-        return spark.createDataFrame([(n, *[None] * 7)], schema)
-    covariance = q / n - np.outer(s / n, s / n)
-    variance = np.clip(np.diag(covariance), 0, None)
-    values = np.clip(np.linalg.eigvalsh(covariance), 0, None)
-    p = values[values > 0] / values.sum() if values.sum() > 0 else np.ones(1)
-    rank = float(np.exp(-(p * np.log(p)).sum()))
-    norm = vectors.agg(F.avg(F.sqrt(F.aggregate(vector, F.lit(0.0), lambda a, x: a + x * x)))).first()[0]
-    cosine = mean_pair_cosine(vectors.select(F.col(vector).alias("v"))).first()[0]
-    return spark.createDataFrame(
-        [
-            (
-                n,
-                float(variance.min()),
-                float(np.median(variance)),
-                float(variance.max()),
-                rank,
-                rank / len(s),
-                float(cosine),
-                float(norm)
-            )
-        ],
-        schema
-    )
+        row = (n, *[None] * 7)
+    else:
+        covariance = q / n - np.outer(s / n, s / n)
+        variance = np.clip(np.diag(covariance), 0, None)
+        values = np.clip(np.linalg.eigvalsh(covariance), 0, None)
+        p = values[values > 0] / values.sum() if values.sum() > 0 else np.ones(1)
+        rank = float(np.exp(-(p * np.log(p)).sum()))
+        norm = vectors.agg(F.avg(F.sqrt(F.aggregate(vector, F.lit(0.0), lambda a, x: a + x * x)))).first()[0]
+        cosine = mean_pair_cosine(vectors.select(F.col(vector).alias("v"))).first()[0]
+        spread = (float(variance.min()), float(np.median(variance)), float(variance.max()))
+        row = (n, *spread, rank, rank / len(s), float(cosine), float(norm))
+    report = spark.createDataFrame([row], schema)
+    if ident is None:
+        return report
+    return report.crossJoin(neighbour_entropy(nearest_rows(vectors, ident, vector)))  # one row each
 
 
 def latent_matrix(vectors: DataFrame, vector: str = "v", top: int = 16) -> DataFrame:

@@ -14,6 +14,7 @@ from ..operators import ranking as R
 from ..operators import reports as P
 from .common import read, split_sql
 from .evaluation import ORACLES as EVALUATION
+from .geometry import ENTROPY
 
 
 MODES = ("AIR", "MAIL", "RAIL", "SHIP", "TRUCK")
@@ -135,16 +136,15 @@ def retrieval_claim_gate(s, d):
 
 
 def collapse_gate(s, d):
+    """The whole report of the given vectors, and of the same vectors shrunk to one direction."""
+    from ..operators.resample import collapse_report
     from .evaluation import vectors
 
-    v = vectors(s, d).select(F.posexplode("v").alias("dim", "x")).groupBy("dim").agg(F.var_pop("x").alias("variance"))
-    one = v.agg(
-        F.round(F.median("variance"), 9).alias("per_dim_variance_median"),
-        F.lit(0.05).alias("nearest_neighbor_entropy"),
-        F.lit(0.5).alias("effective_rank_ratio"),
-        F.lit(float("nan")).alias("mean_norm")
-    )
-    return P.collapse_gate(one)
+    given = vectors(s, d)
+    first = F.abs(F.element_at("v", 1)) + 1
+    shrunk = given.withColumn("v", F.transform("v", lambda x, i: F.when(i == 0, first).otherwise(0.0)))
+    failed = [P.collapse_gate(collapse_report(v, "v", "id")).select(F.lit(name).alias("vectors"), "*") for name, v in (("given", given), ("shrunk", shrunk))]
+    return failed[0].unionByName(failed[1]).withColumn("observed", F.round("observed", 9))
 
 
 def probe_coverage_gate(s, d):
@@ -388,10 +388,11 @@ ORACLES = {
         f"o.auc AS other_auc, round(l.auc - o.auc, 9) AS lift, round(l.auc - o.auc, 9) >= 0.02 AS lift_ok FROM l, o"
     ),
     "collapse_gate": (
-        "WITH x AS (SELECT unnest(embedding::DOUBLE[]) AS x, unnest(range(64)) AS dim FROM embeddings), v AS (SELECT var_pop(x) "
-        "AS v FROM x GROUP BY dim), m AS (SELECT round(median(v), 9) AS m FROM v) SELECT 'nearest_neighbor_entropy' AS metric, "
-        "0.05::DOUBLE AS observed, 'minimum' AS comparison UNION ALL SELECT 'mean_norm', 'nan'::DOUBLE, 'finite' UNION ALL "
-        "SELECT 'per_dim_variance_median', m, 'minimum' FROM m WHERE m < 1e-8"
+        f"WITH n AS (SELECT count(*)::DOUBLE AS n FROM embeddings), e AS ({ENTROPY}) SELECT 'shrunk' AS vectors, "
+        "'per_dim_variance_median' AS metric, 0.0::DOUBLE AS observed, 'minimum' AS comparison UNION ALL SELECT 'shrunk', "
+        "'effective_rank_ratio', 0.015625::DOUBLE, 'minimum' UNION ALL SELECT 'shrunk', 'nearest_neighbor_entropy', "
+        "round(-((n - 1) * ln((n - 1) / n) + ln(1 / n)) / n, 9), 'minimum' FROM n UNION ALL SELECT 'given', "
+        "'nearest_neighbor_entropy', e.nearest_neighbor_entropy, 'minimum' FROM e WHERE e.nearest_neighbor_entropy < 0.1"
     ),
     "probe_coverage_gate": (
         f"WITH e AS (SELECT label::VARCHAR AS label, {split_sql('vec_id::VARCHAR')} AS split FROM embeddings), s AS (SELECT "
