@@ -1,84 +1,12 @@
-"""Cutting lineage with tables in the folder that all executors share."""
+"""Cutting lineage with tables in the folder that all executors share; sizes of tables."""
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
-from collections.abc import Iterator
-from contextlib import contextmanager
-
 from pyspark.sql import DataFrame, SparkSession
 
+from ..sources.shared import forget, new_path, scratch, shared_folder, stored
 
-_own: dict[str, str] = {}
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir.
-
-    Where it is unset, a session on one machine gets a temporary folder; on a cluster that
-    would be a folder that other machines don't see, so it is an error there.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder.rstrip("/")
-    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    app = spark.sparkContext.applicationId
-    if app not in _own:
-        _own[app] = "file://" + tempfile.mkdtemp(prefix="weftline-")
-    return _own[app]
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/weftline/{name}-{uuid.uuid4().hex}"
-
-
-_scratch: list[list[str]] = []
-
-
-@contextmanager
-def scratch(spark: SparkSession) -> Iterator[None]:
-    """Tables that are stored inside go at the end, but for those stored with ``keep``.
-
-    What is lazily read from them must have been stored by then.
-    """
-    _scratch.append([])
-    try:
-        yield
-    finally:
-        for path in _scratch.pop():
-            _delete(spark, path)
-
-
-def stored(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
-    """The rows of df, written to the shared folder and read from there.
-
-    A lost executor then costs a re-read and no recomputation. The table stays until the
-    shared folder is cleared: what is lazily read from it may run at any later time. Tables
-    that a loop replaces go with :func:`forget`, those of one step with :func:`scratch`; keep
-    hands a table on to the step around.
-    """
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
-    depth = len(_scratch) - (2 if keep else 1)
-    if depth >= 0:
-        _scratch[depth].append(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def _delete(spark: SparkSession, folder: str) -> None:
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def forget(df: DataFrame) -> None:
-    """Remove the files of a table that :func:`stored` wrote and that nothing reads any more."""
-    spark = df.sparkSession
-    for folder in {name.rpartition("/")[0] for name in df.inputFiles()}:
-        _delete(spark, folder)
+__all__ = ["bucket_count", "forget", "new_path", "scratch", "shared_folder", "stored", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
