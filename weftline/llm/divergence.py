@@ -46,9 +46,9 @@ HELD_TERMS = 400_000
 _TERMS = re.compile(rb"[a-z\x80-\xff]+")
 
 
-def terms_of(text: str) -> Counter[bytes]:
+def terms_of(text: str) -> list[bytes]:
     """Terms [^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+ of a text, A-Z lower-cased, as UTF-8."""
-    return Counter(_TERMS.findall(text.encode("utf-8", "surrogatepass").lower()))
+    return _TERMS.findall(text.encode("utf-8", "surrogatepass").lower())
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -74,7 +74,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             found = terms_of(text.as_py())
             before = len(counts)
             counts.update(found)
-            documents.update(found.keys())
+            documents.update(set(found))
             held += len(counts) - before
             if held > HELD_TERMS:
                 yield from flushed()
@@ -100,7 +100,7 @@ def cells(docs: DataFrame) -> DataFrame:
     return (
         sums.withColumn("all", F.sum("documents").over(term))
         .withColumn("total", F.sum("n").over(term))
-        .withColumn("first", F.row_number().over(term.orderBy("source")) == 1)
+        .withColumn("first", F.min("source").over(term) == F.col("source"))
         .where(F.col("all") >= LEAST_DOCUMENTS)
         .select("lang", "source", "term", "n", "total", "first")
     )
