@@ -250,24 +250,6 @@ def test_code_states(spark):
     assert small.kind == "small_file" and small.primary == "x = 1\n" and broken.kind is None and none.kind is None
 
 
-def test_budget_drops_in_order(spark):
-    state = F.struct(
-        F.lit("a b c d").alias("primary"),
-        F.array(F.lit("f")).alias("callees"),
-        F.array(F.lit("def g")).alias("siblings"),
-        F.lit("import os").alias("imports")
-    )
-    got = {n: spark.range(1).select(pystate.budgeted(state, n).alias("x")).first().x for n in (9, 8, 6, 4, 2)}
-    assert [got[n].dropped for n in (9, 8, 6, 4, 2)] == [
-        [],
-        ["siblings"],
-        ["siblings", "callees"],
-        ["siblings", "callees", "imports"],
-        ["siblings", "callees", "imports", "primary_tail"]
-    ]
-    assert got[2].primary == "a b" and got[9].siblings == ["def g"]
-
-
 def test_pools_and_errors(spark):
     df = spark.createDataFrame([(1, "a"), (2, "b"), (2, "c")], "id long, v string")
     assert [r.v for r in pools.fixture_pool(df.where("v <> 'c'"), [2, 1]).orderBy("position").collect()] == ["b", "a"]

@@ -15,6 +15,13 @@ from pyspark.sql import types as T
 
 # Sizes of a small file and of a region, and what literals are cut to.
 SMALL_FILE_LINES, REGION_CONTEXT = 40, 8
+# Why a state has no symbol, by kind and by whether lines changed.
+FALLBACKS = {
+    ("small_file", True): "small_file_no_symbol_overlap",
+    ("small_file", False): "small_file_no_changed_lines",
+    ("region", True): "changed_region_no_symbol_overlap",
+    ("region", False): "region_no_changed_lines",
+}
 LONG_STRING, LONG_NUMBER = 96, 12
 STRING_MARK, NUMBER_MARK = "<STR_LITERAL>", "__NUM_LITERAL__"
 WORD = re.compile(r"\w+|[^\w\s]")
@@ -29,6 +36,7 @@ STATE = T.StructType([
     T.StructField("primary", T.StringType()),
     T.StructField("start_line", T.IntegerType()),
     T.StructField("changed", T.ArrayType(T.BooleanType())),
+    T.StructField("fallback", T.StringType()),
 ])
 DEFS = (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)
 
@@ -78,23 +86,27 @@ def _state(text: str, changed: set[int]) -> tuple | None:
         symbol, around, inside = f"{owner}.{node.name}" if method else node.name, [
             x for x in getattr(parent, "body", []) if x is not node
         ], node
+        fallback = None
     else:
         symbol, owner, around, inside, start, end = None, None, tree.body, tree, 1, max(len(lines), 1)
         kind = "small_file" if len(lines) <= SMALL_FILE_LINES else "region"
         if kind == "region":
-            low, high = (min(changed), max(changed)) if changed else (1, 1)
+            low, high = (min(changed), max(changed)) if changed else (1, REGION_CONTEXT)
             start, end = max(1, low - REGION_CONTEXT), min(len(lines), high + REGION_CONTEXT)
+        fallback = FALLBACKS[kind, bool(changed)]
     siblings = [x for x in map(_signature, around) if x]
     callees = sorted({c for n in ast.walk(inside) if isinstance(n, ast.Call) and (c := _called(n.func))})
     primary = "\n".join(lines[start - 1 : end]).rstrip() + "\n" * bool(text)
-    return symbol, kind, owner, imports, siblings, callees, primary, start, [n in changed for n in range(start, end + 1)]
+    mask = [n in changed for n in range(start, end + 1)]
+    return symbol, kind, owner, imports, siblings, callees, primary, start, mask, fallback
 
 
 @F.pandas_udf(STATE)
 def code_state(text: pd.Series, changed: pd.Series) -> pd.DataFrame:
     """The symbol that most changed lines fall into (then the smallest, then the first) and its context.
 
-    Without one: the whole of a small file, or the region around the changed lines.
+    Without one: the whole of a small file, or the region around the changed lines, and in
+    ``fallback`` why.
     """
     empty = (None,) * len(STATE.names)
     rows = [
@@ -113,7 +125,7 @@ class _Normal(ast.NodeTransformer):
         if isinstance(node, (ast.Module, *DEFS)) and body and isinstance(body[0], ast.Expr) and isinstance(
             getattr(body[0].value, "value", None), str
         ):
-            node.body = body[1:] or [ast.Pass()]
+            node.body = body[1:] or [ast.copy_location(ast.Pass(), body[0])]
         if isinstance(node, ast.Constant):
             if isinstance(node.value, str) and len(node.value) > LONG_STRING:
                 return ast.Constant(STRING_MARK)
@@ -135,51 +147,6 @@ def normal_source(text: pd.Series) -> pd.Series:
     return pd.Series([one(x) for x in text], dtype=object)
 
 
-def budgeted(state, limit: int):
-    """struct(primary, callees, siblings, imports, dropped) of at most limit tokens.
-
-    Siblings go first, then callees, then imports; then the primary text is cut. dropped names
-    what went, in that order.
-    """
-    count = lambda text: F.size(F.regexp_extract_all(text, F.lit(r"((?U)\w+|[^\w\s])"), 1))
-    joined = lambda c: F.coalesce(F.array_join(state[c], "\n"), F.lit(""))
-    parts = [
-        ("siblings", count(joined("siblings"))),
-        ("callees", count(joined("callees"))),
-        ("imports", count(F.coalesce(state["imports"], F.lit(""))))
-    ]
-    own = count(F.coalesce(state["primary"], F.lit("")))
-    total, gone = own + parts[0][1] + parts[1][1] + parts[2][1], {}
-    for name, n in parts:
-        gone[name] = total > limit
-        total = F.when(gone[name], total - n).otherwise(total)
-    words = F.regexp_extract_all(state["primary"], F.lit(r"((?U)\w+|[^\w\s])"), 1)
-    primary = F.when(own > limit, F.array_join(F.slice(words, 1, limit), " ")).otherwise(state["primary"])
-    none = F.array().cast("array<string>")
-    dropped = F.filter(
-        F.array(*(F.when(gone[n], n) for n, _ in parts), F.when(own > limit, "primary_tail")), lambda x: x.isNotNull()
-    )
-    keep = lambda c: F.when(gone[c], none).otherwise(state[c])
-    return F.struct(
-        primary.alias("primary"),
-        keep("callees").alias("callees"),
-        keep("siblings").alias("siblings"),
-        F.when(gone["imports"], "").otherwise(state["imports"]).alias("imports"),
-        dropped.alias("dropped")
-    )
-
-
-def segments(state):
-    """array<struct<token, segment>>: imports (1), siblings (2), callees (3), primary (4)."""
-    out = None
-    texts = (state["imports"], F.array_join(state["siblings"], "\n"), F.array_join(state["callees"], "\n"), state["primary"])
-    for i, text in enumerate(texts, 1):
-        words = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"((?U)\w+|[^\w\s])"), 1)
-        own = F.transform(words, lambda w, n=i: F.struct(w.alias("token"), F.lit(n).alias("segment")))
-        out = own if out is None else F.concat(out, own)
-    return out
-
-
 def _nested(node: ast.AST) -> bool:
     return any(isinstance(n, (*DEFS, ast.Lambda)) for n in ast.walk(node) if n is not node)
 

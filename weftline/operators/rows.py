@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import diffs, pyast, pystate
+from ..functions import codepack, diffs, pyast, pystate
 from ..functions import text as T
 
 # Classes of hard negatives by the kind of their mutation.
@@ -37,23 +37,24 @@ def transition_id(df: DataFrame) -> Column:
     return F.concat(F.lit("transition-"), F.substring(T.canonical_json_hash(*wanted), 1, 24))
 
 
-def _token_ids(tokens: Column) -> Column:
-    """Ids of tokens by CRC: stable, inside the JVM, 31 bits, never 0."""
-    return F.transform(tokens, lambda t: F.greatest(F.crc32(t.cast("binary")).bitwiseAND(0x7FFFFFFF), F.lit(1)))
-
-
-def transitions(edits: DataFrame, limit: int = 512) -> DataFrame:
+def transitions(edits: DataFrame, limit: int = codepack.TOKEN_BUDGET, strict: bool = False) -> DataFrame:
     """Edit records with a split as transitions: states, masks, action tokens, keys, flags.
 
     edits: source, repo, commit, path_before, path_after, before, after, message, license, split.
-    Records that don't parse have null states; the caller drops them with a reason.
+    Records that don't parse have null states. A state whose changed lines and shape don't fit the
+    budget has no tokens and says so in state_*_error; strict makes that an error of the job.
     """
     e = edits.withColumn("_shape", diffs.diff_shape("before", "after")).withColumn(
         "_lines", diffs.changed_lines("before", "after")
     )
+    packed = codepack.packed_state(limit)
     for side in ("before", "after"):
         e = e.withColumn(f"_{side}", pystate.code_state(side, F.col(f"_lines.{side}")))
-        e = e.withColumn(f"_{side}_cut", pystate.budgeted(F.col(f"_{side}"), limit))
+        e = e.withColumn(f"_{side}_pack", packed(F.col(f"_{side}"), F.col(f"path_{side}")))
+        if strict:
+            fits = F.col(f"_{side}_pack.error").isNull()
+            why = F.concat(F.lit(f"{side} of "), "path_after", F.lit(": "), F.col(f"_{side}_pack.error"))
+            e = e.withColumn(f"_{side}_pack", F.when(fits, F.col(f"_{side}_pack")).otherwise(F.raise_error(why)))
     size = F.when(F.col("_shape.changed_lines") <= 2, "SMALL").when(
         F.col("_shape.changed_lines") <= 10, "MEDIUM"
     ).otherwise("LARGE")
@@ -63,25 +64,28 @@ def transitions(edits: DataFrame, limit: int = 512) -> DataFrame:
     e = e.withColumn("path", F.col("path_after")).withColumn(
         "action_abs", pyast.abstract_edits("before", "after", size, F.lit(32))
     )
-    words = lambda s: F.transform(pystate.segments(F.col(f"_{s}_cut")), lambda x: x["token"])
-    flags = F.concat(
-        *(
-            F.transform(
-                F.col(f"_{s}_cut.dropped"), lambda x, s=s: F.concat(F.lit(f"{s}_dropped:"), x)
-            ) for s in ("before", "after")
-        )
+    none = F.array().cast("array<string>")
+    flags_of = lambda s: F.transform(
+        F.coalesce(F.col(f"_{s}_pack.dropped"), none), lambda x: F.concat(F.lit(f"{s}_dropped:"), x)
     )
+    flags = F.concat(flags_of("before"), flags_of("after"))
     state = lambda s: [
-        _token_ids(words(s)).alias(f"state_{s}_input_ids"),
-        F.transform(pystate.segments(F.col(f"_{s}_cut")), lambda x: x["segment"]).alias(f"state_{s}_segment_ids"),
+        F.col(f"_{s}_pack.ids").alias(f"state_{s}_input_ids"),
+        F.transform(f"_{s}_pack.ids", lambda _: F.lit(True)).alias(f"state_{s}_attention_mask"),
+        F.col(f"_{s}_pack.segments").alias(f"state_{s}_segment_ids"),
+        F.col(f"_{s}_pack.changed").alias(f"state_{s}_changed_hunk_mask"),
         F.col(f"_{s}.changed").alias(f"state_{s}_changed_lines"),
-        F.size(words(s)).alias(f"token_count_{s}"),
+        F.col(f"_{s}_pack.token_count").alias(f"token_count_{s}"),
+        F.col(f"_{s}_pack.error").alias(f"state_{s}_error"),
         F.col(f"_{s}.kind").alias(f"state_{s}_kind"),
         F.col(f"_{s}.symbol").alias(f"state_{s}_symbol"),
+        F.col(f"_{s}.fallback").alias(f"state_{s}_fallback_reason"),
+        T.module_name(F.col(f"path_{s}")).alias(f"state_{s}_module"),
     ]
+    words = T.tokens(T.normal_action(F.col("message")), T.WORD_TOKEN)
     return e.select(
         transition_id(e).alias("transition_id"), "source", "repo", "commit", "path", "split", *state("before"), *state("after"),
-        _token_ids(T.tokens(T.normal_action(F.col("message")), T.WORD_TOKEN)).alias("action_text_input_ids"), "action_abs",
+        codepack.token_ids(words).alias("action_text_input_ids"), "action_abs",
         F.col("_shape.changed_lines").alias("edit_size"), "license", flags.alias("filter_flags"), F.col("dedup"),
     )
 
@@ -100,9 +104,8 @@ def evaluation_rows(transitions_: DataFrame) -> DataFrame:
         ).alias("state_before_hash"), T.int_sequence_hash(F.col("state_after_input_ids")).alias("state_after_hash"),
         T.action_signature(
             F.col("action_text_input_ids")
-        ).alias("action_cluster"), F.col("dedup.diff_shape").alias("diff_shape"), text("state_after_kind"), text(
-            "state_after_symbol"
-        ),
+        ).alias("action_cluster"), F.col("dedup.diff_shape").alias("diff_shape"), text("state_after_kind"), text("state_after_symbol"),
+        text("state_after_fallback_reason"),
     )
 
 
@@ -154,7 +157,7 @@ def probe_rows(rows: DataFrame) -> DataFrame:
     none = lambda c: F.when(F.col(c) != "", F.col(c))
     suffix = F.regexp_extract("path", r"[^/.][^/]*(\.[^./]+)$", 1)
     bucket = T.edit_size_bucket(F.col("edit_size"))
-    kind = symbol_kind(F.col("state_after_kind"), F.col("state_after_symbol"), F.lit(""))
+    kind = symbol_kind(F.col("state_after_kind"), F.col("state_after_symbol"), F.col("state_after_fallback_reason"))
     return rows.select(
         "transition_id", "split", F.coalesce(
             none("diff_shape"), bucket

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import diffs, pyast, pystate
+from ..functions import codepack, diffs, pyast, pystate
 from ..functions import text as T
 from ..operators import curation as C
 from ..operators import ranking as R
@@ -117,6 +117,29 @@ def code_states(s, d):
     return f.select("suppkey", "state.symbol", "state.kind", F.size("state.changed").alias("lines"))
 
 
+def packed_states(s, d):
+    """A module for every customer with a line for each order, in a budget of 75 tokens.
+
+    One order's line is changed, or every third where the customer's key divides by 5.
+    """
+    line = F.concat(F.lit("    o"), "o_orderkey", F.lit(" = "), F.floor("o_totalprice").cast("long"))
+    own = read(s, d, "orders").groupBy("o_custkey").agg(F.sort_array(F.collect_list(F.struct("o_orderkey", line.alias("line")))).alias("x"))
+    head = F.lit("import math\n\ndef other(x):\n    return x\n\ndef f")
+    text = F.concat(
+        head, "o_custkey", F.lit("(value):\n"), F.array_join(F.transform("x", lambda o: o["line"]), "\n"), F.lit("\n    return len(value)\n")
+    )
+    n = F.size("x")
+    some = F.transform(F.filter(F.sequence(F.lit(1), n), lambda i: i % 3 == 0), lambda i: i + 6)
+    one = F.array((F.col("o_custkey") % n + 7).cast("int"))
+    changed = F.when((F.col("o_custkey") % 5 == 0) & (n > 2), some).otherwise(one)
+    packed = own.withColumn("state", pystate.code_state(text, changed)).withColumn("p", codepack.packed_state(75)("state", F.lit("src/a.py")))
+    return packed.select(
+        "o_custkey", F.array_join("p.dropped", ",").alias("dropped"), "p.token_count", F.md5("p.text").alias("text_md5"),
+        F.size(F.filter("p.changed", lambda x: x)).alias("changed_tokens"), F.array_max("p.segments").alias("last_segment"),
+        F.size("p.ids").alias("n_ids"), F.col("p.error").isNotNull().alias("too_long"),
+    )
+
+
 def synthetic_edits(s, d):
     text = _pick("def f(value):\n    return value\n", "def g(a):\n    x = set([1, 2])\n", "y = 2\n")
     f = files(s, d).select(
@@ -271,7 +294,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         mutant_counts, sampled_mutant_counts, parse_results, edit_cascade, diff_shapes, changed_line_numbers, patch_round_trip, abstract_edits,
-        code_states, synthetic_edits, normal_sources, lexical_cosine, hashed_vector_energy, action_signatures, token_ids, verdicts,
+        code_states, packed_states, synthetic_edits, normal_sources, lexical_cosine, hashed_vector_energy, action_signatures, token_ids, verdicts,
         near_before_report, rotated_score_rows, assert_submissions, check_submissions, array_submissions, candidate_blockers, publish_gate,
         dataset_manifest,
     )
@@ -327,6 +350,27 @@ ORACLES = {
         "SELECT s_suppkey AS suppkey, CASE WHEN s_suppkey % 2 = 0 THEN 'f' || s_suppkey END AS symbol, CASE WHEN s_suppkey "
         "% 2 = 0 THEN 'function' ELSE 'small_file' END AS kind, 3::INT AS lines FROM supplier"
     ),
+    "packed_states": (
+        "WITH o AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS i, count(*) OVER (PARTITION BY "
+        "o_custkey) AS n FROM orders), body AS (SELECT o_custkey, n, 0 AS i, 'def f' || o_custkey || '(value):' AS line FROM o WHERE i = 1 "
+        "UNION ALL SELECT o_custkey, n, i, '    o' || o_orderkey || ' = ' || floor(o_totalprice)::BIGINT FROM o UNION ALL SELECT "
+        "o_custkey, n, n + 1, '    return len(value)' FROM o WHERE i = 1), flag AS (SELECT *, i BETWEEN 1 AND n AND CASE WHEN "
+        "o_custkey % 5 = 0 AND n > 2 THEN i % 3 = 0 ELSE i = o_custkey % n + 1 END AS changed FROM body), need AS (SELECT *, i = 0 "
+        "OR i = n + 1 OR coalesce(max(changed::INT) OVER (PARTITION BY o_custkey ORDER BY i ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING), "
+        "0) = 1 AS stay FROM flag), t AS (SELECT o_custkey, string_agg(line, chr(10) ORDER BY i) AS whole, string_agg(line, chr(10) "
+        "ORDER BY i) FILTER (WHERE stay) AS cut, bool_or(changed AND i = 0) AS z FROM need GROUP BY o_custkey), v AS (SELECT *, unnest([0, "
+        "1, 2, 3, 4]) AS k FROM t), x AS (SELECT o_custkey, k, array_to_string(['<LANG python>', '<PATH src/a.py>', '<MODULE src.a>', "
+        "'<SYMBOL f' || o_custkey || '>', '<KIND function>', '<ENCLOSING_CLASS >', '<IMPORTS>', CASE WHEN k < 3 THEN 'import math' ELSE '' "
+        "END, '<SIBLING_SIGNATURES>', CASE WHEN k < 1 THEN 'def other(x)' ELSE '' END, '<CALLEE_SIGNATURES>', CASE WHEN k < 2 THEN 'len' "
+        "ELSE '' END, '<PRIMARY>', CASE WHEN k < 4 THEN whole ELSE cut END], chr(10)) || chr(10) AS text FROM v), c AS (SELECT *, "
+        r"len(regexp_extract_all(text, '\w+|[^\w\s]'))::INT AS size FROM x), best AS (SELECT o_custkey, min(k) FILTER (WHERE size <= 75) AS "
+        "k FROM c GROUP BY o_custkey), chg AS (SELECT o_custkey, (count(*) FILTER (WHERE changed) * 3)::INT AS changed_tokens FROM flag GROUP "
+        "BY o_custkey) SELECT c.o_custkey, array_to_string((['sibling_signatures', 'callee_signatures', 'imports', 'primary_context'])[1:c.k], "
+        "',') AS dropped, size AS token_count, CASE WHEN best.k IS NOT NULL THEN md5(text) END AS text_md5, CASE WHEN best.k IS NOT NULL THEN "
+        "changed_tokens END AS changed_tokens, CASE WHEN best.k IS NOT NULL THEN 6::INT END AS last_segment, CASE WHEN best.k IS NOT "
+        "NULL THEN size END AS n_ids, best.k IS NULL AS too_long FROM c JOIN best ON best.o_custkey = c.o_custkey AND c.k = "
+        "coalesce(best.k, 4) JOIN chg ON chg.o_custkey = c.o_custkey"
+    ),
     "synthetic_edits": (
         "SELECT 'r' || s_suppkey AS repo, t AS transform_id FROM supplier JOIN (VALUES (0, 'rename-value-arg-to-result'), "
         "(1, 'add-explicit-return-none'), (1, 'modernize-set-literal')) v(k, t) ON s_suppkey % 3 = k"

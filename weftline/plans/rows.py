@@ -237,8 +237,8 @@ from .evaluation import RATIOS, SAMP, MET, SCORES  # noqa: E402
 
 ORACLES = {
     "transition_rows": (
-        f"SELECT s_suppkey::VARCHAR AS commit, {split_sql('s_suppkey::VARCHAR')} AS split, 2::INT AS edit_size, 15::INT AS "
-        f"token_count_before, 16::INT AS token_count_after, 'function' AS state_before_kind, 'f' || s_suppkey AS state_after_symbol, "
+        f"SELECT s_suppkey::VARCHAR AS commit, {split_sql('s_suppkey::VARCHAR')} AS split, 2::INT AS edit_size, (41 + 15)::INT AS "
+        f"token_count_before, (41 + 16)::INT AS token_count_after, 'function' AS state_before_kind, 'f' || s_suppkey AS state_after_symbol, "
         f"6::INT AS n_actions, 0::INT AS n_flags FROM supplier"
     ),
     "evaluation_rows": (
@@ -246,7 +246,7 @@ ORACLES = {
         "|| chr(0)) AS diff_shape, count(*) AS n, 1::BIGINT AS clusters, count(DISTINCT (s_suppkey, s_nationkey)) AS befores "
         "FROM supplier"
     ),
-    "diagnostic_rows": "SELECT 'xs:0-2' AS edit_bucket, 's:5-16' AS token_bucket, count(*) AS n FROM supplier",
+    "diagnostic_rows": "SELECT 'xs:0-2' AS edit_bucket, 'm:17-64' AS token_bucket, count(*) AS n FROM supplier",
     "probe_rows": (
         "SELECT 'function' AS ast_node_kind, 'function:named' AS symbol_kind, 'xs:0-2' AS edit_size_bucket, 'built' AS source_family, "
         "'.py' AS path_suffix, count(*) AS n FROM supplier"
