@@ -91,11 +91,13 @@ def cells(docs: DataFrame) -> DataFrame:
     """lang, source, term, n, total, first: the nonzero counts of the kept terms.
 
     ``total`` is the language's count of the term, ``first`` marks one row of each term. Counts
-    are summed in each task, then by all three keys, so a common term or a large source is a row
-    for each task at most; a term's rows meet only once they are one for each source.
+    are summed in each task before they are dealt by language and term, so a common term is a row
+    for each task and source at most, and a large source is spread as its terms are. One exchange
+    serves the sums by source and those over sources.
     """
     parts = _texts(docs).mapInArrow(bs.tidy(_counted), "lang string, source string, term string, n long, documents long")
-    sums = parts.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("documents").alias("documents"))
+    dealt = parts.repartition("lang", "term")
+    sums = dealt.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("documents").alias("documents"))
     term = Window.partitionBy("lang", "term")
     return (
         sums.withColumn("all", F.sum("documents").over(term))
@@ -186,16 +188,16 @@ class Tree:
         return np.where((quadrant >= 0) & self.bits[level][at], self.ranks[level][at], -1)
 
 
-def compare(tree: Tree, size: np.ndarray, pairs: tuple[np.ndarray, np.ndarray], columns: int) -> np.ndarray:
-    """For pairs of rows (g, h): the sum over all columns of priced(p of g, p of h).
+def compare(tree: Tree, size: np.ndarray, pairs: tuple[np.ndarray, np.ndarray], columns: int) -> tuple[np.ndarray, np.ndarray]:
+    """For pairs of rows (g, h): the sums over all columns of priced(p of g, p of h), and of h, g.
 
     ``size`` is N + V of each row. Pairs start together at the root and go down each for itself,
     a strip of columns at a time so that what is held is bounded.
     """
     own, other = pairs
     nothing = shares(np.zeros(len(size), np.int64), size)
-    at_zero = priced(nothing[own], nothing[other])
-    total = np.zeros(len(own), np.int64)
+    at_zero = priced(nothing[own], nothing[other]), priced(nothing[other], nothing[own])
+    total = np.zeros(len(own), np.int64), np.zeros(len(own), np.int64)
     top = max(0, tree.height - (STRIP - 1).bit_length())
     for strip in range(0, columns, STRIP):
         pair = np.arange(len(own))
@@ -210,19 +212,23 @@ def compare(tree: Tree, size: np.ndarray, pairs: tuple[np.ndarray, np.ndarray],
                 right = np.tile([0, 1], len(pair) // 2)
             column = 2 * column + right
             keep = column << below < columns
-            pair, a, b, column, right = (x[keep] for x in (pair, a, b, column, right))
+            if not keep.all():
+                pair, a, b, column, right = (x[keep] for x in (pair, a, b, column, right))
             a = tree.child(level, a, 2 * (own[pair] >> below & 1) + right)
             b = tree.child(level, b, 2 * (other[pair] >> below & 1) + right)
             zero = (a < 0) & (b < 0)
             if zero.any():  # uniform: as many times the value at zero as there are columns
                 first = np.maximum(column[zero] << below, strip)
                 width = np.minimum(np.minimum((column[zero] + 1) << below, strip + STRIP), columns) - first
-                np.add.at(total, pair[zero], width * at_zero[pair[zero]])
+                free = np.bincount(pair[zero], width, len(own)).astype(np.int64)
+                for x, y in zip(total, at_zero, strict=True):
+                    x += free * y
                 pair, a, b, column = (x[~zero] for x in (pair, a, b, column))
         if len(pair):
             leaf = lambda at: np.where(at >= 0, tree.leaves[np.maximum(at, 0)], 0)
             p, q = shares(leaf(a), size[own[pair]]), shares(leaf(b), size[other[pair]])
-            np.add.at(total, pair, priced(p, q))
+            np.add.at(total[0], pair, priced(p, q))
+            np.add.at(total[1], pair, priced(q, p))
     return total
 
 
@@ -246,14 +252,15 @@ def _tile(table: pa.Table) -> pa.Table:
     height = max(1, (max(len(source), columns) - 1).bit_length())
     tree = Tree.build(row, column, body.column("n").to_numpy(), height)
     own, other = (x.ravel() for x in np.meshgrid(np.arange(len(source)), np.arange(len(source)), indexing="ij"))
-    meet = (own != other) & ((side[own] != side[other]) | (side.max(initial=0) == 0))
-    pairs = own[meet], other[meet]
-    value = compare(tree, np.maximum(size, 1), pairs, columns)
+    meet = (own < other) & ((side[own] != side[other]) | (side.max(initial=0) == 0))
+    own, other = own[meet], other[meet]
+    value = np.concatenate(compare(tree, np.maximum(size, 1), (own, other), columns))
+    own, other = np.concatenate([own, other]), np.concatenate([other, own])
     return pa.table(
         {
             "lang": pa.array([table.column("lang")[0].as_py()] * len(value), pa.string()),
-            "source": pa.array([source[i] for i in pairs[0].tolist()], pa.string()),
-            "item": pa.array([source[i] for i in pairs[1].tolist()], pa.string()),
+            "source": pa.array([source[i] for i in own.tolist()], pa.string()),
+            "item": pa.array([source[i] for i in other.tolist()], pa.string()),
             "value": pa.array(value, pa.int64()),
             "columns": pa.array(np.full(len(value), columns), pa.int64()),
         }
