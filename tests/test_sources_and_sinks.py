@@ -140,22 +140,6 @@ def test_packs_and_indexes(spark, tmp_path):
     assert execution.packed_transitions(spark, f"{tmp_path}/j", "a int, b int").first() == (2, 1)
 
 
-def test_manifests(spark, tmp_path):
-    folder = tmp_path / "out"
-    folder.mkdir()
-    (folder / "a.bin").write_bytes(b"abc")
-    (folder / "b.bin").write_bytes(b"def")
-    m = sinks.artifact_manifest(spark, f"{folder}/*", ["p1", "p2"]).cache()
-    assert [(f.name, f.bytes, f.sha256) for f in m.first().files] == [
-        (n, 3, hashlib.sha256(x).hexdigest()) for n, x in (("a.bin", b"abc"), ("b.bin", b"def"))
-    ]
-    assert sinks.verify_manifest(spark, m, f"{folder}/*", ["p1", "p2"]).count() == 0
-    (folder / "a.bin").write_bytes(b"abd")
-    (folder / "b.bin").rename(folder / "c.bin")
-    got = {tuple(r) for r in sinks.verify_manifest(spark, m, f"{folder}/*", ["p1"]).collect()}
-    assert got == {("a.bin", "changed"), ("b.bin", "missing"), ("c.bin", "unlisted"), ("p2", "unknown_parent")}
-
-
 def test_reports_configs_and_views(spark, tmp_path):
     one = spark.createDataFrame([(1, 0.5)], "n long, auc double")
     sinks.write_report(one, f"{tmp_path}/r", ["n", "auc"])

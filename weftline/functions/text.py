@@ -275,13 +275,9 @@ def ids_text(ids: Column) -> Column:
     return F.array_join(F.transform(F.filter(ids, lambda x: x != 0), lambda x: x.cast("string")), " ")
 
 
-def record_id(*parts: Column) -> Column:
-    return F.concat_ws(":", *parts)
-
-
-def canonical_json_hash(*columns: Column) -> Column:
-    """sha256 of the columns as JSON; name them in sorted order, nulls are left out."""
-    return F.sha2(F.to_json(F.struct(*columns)), 256)
+def record_id(source: Column, repo: Column, commit: Column, path: Column) -> Column:
+    """The id of an edit record."""
+    return F.concat_ws(":", source, repo, commit, path)
 
 
 def safe_patch(patch: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import codepack, diffs, pyast, pystate
+from ..functions import canonical, codepack, diffs, pyast, pystate
 from ..functions import text as T
 
 # Classes of hard negatives by the kind of their mutation.
@@ -32,9 +32,9 @@ def dedup_keys(before: Column, after: Column, action: Column, shape: Column) ->
 
 
 def transition_id(df: DataFrame) -> Column:
-    """24 hex digits over source, repo, commit, path and keys, as JSON in sorted order."""
+    """24 hex digits over source, repo, commit, path and keys, as canonical JSON."""
     wanted = sorted(c for c in ("commit", "dedup", "path", "repo", "source") if c in df.columns)
-    return F.concat(F.lit("transition-"), F.substring(T.canonical_json_hash(*wanted), 1, 24))
+    return F.concat(F.lit("transition-"), F.substring(canonical.canonical_sha256(F.struct(*wanted)), 1, 24))
 
 
 def transitions(edits: DataFrame, limit: int = codepack.TOKEN_BUDGET, strict: bool = False) -> DataFrame:
@@ -129,8 +129,8 @@ def execution_evaluation_rows(records: DataFrame, width: int, vocabulary: int) -
 
 
 def execution_records(rows: DataFrame) -> DataFrame:
-    """Adds record_id of dataset, problem, submission and input."""
-    return rows.withColumn("record_id", F.concat_ws("/", "dataset", "problem_id", "submission_id", "input_id"))
+    """Adds record_id of problem, submission and input."""
+    return rows.withColumn("record_id", F.concat_ws("::", "problem_id", "submission_id", "input_id"))
 
 
 def index_entries(rows: DataFrame) -> DataFrame:

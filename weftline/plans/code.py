@@ -13,7 +13,7 @@ from ..functions import text as T
 from ..operators import curation as C
 from ..operators import ranking as R
 from ..sources import execution as X
-from ..sources import sinks
+from ..sources import packs, shared, sinks
 from .common import LICENSED_SQL, read, records, split_sql
 from .curation import transitions
 
@@ -282,6 +282,25 @@ def publish_gate(s, d):
     return sinks.publish_gate(pack, read(s, d, "documents").count(), urls)
 
 
+def pack_publish_gate(s, d):
+    """Two packs of the documents, written and checked: all of them, and those that may be published."""
+    r = records(s, d).select(
+        F.col("source").alias("source_dataset"), F.col("doc_id").cast("string").alias("source_problem_id"), F.lit("a").alias("source_submission_id"),
+        F.lit("1").alias("input_id"), F.col("decision.license").alias("license"), F.when(F.col("source") != "src3", "https://example.org").alias("license_attribution_url"),
+        F.col("lang").alias("output_type"), F.lit("value").alias("output_kind"), F.lit("ok").alias("execution_status"), (F.col("doc_id") % 10 == 0).alias("held_out_for_eval"),
+    )
+    good = r.where(F.col("license").isin(*T.PERMISSIVE_LICENSES) & (F.col("source_dataset") != "src3"))
+    out = []
+    for name, rows in (("all", r), ("licensed", good)):
+        root = shared.new_path(s, "pack")
+        found = packs.write_execution_pack(rows, root, name)
+        gate = packs.publish_gate(s, root).withColumn("pack", F.lit(name))
+        held = found["held_out_eval_excluded_count"]
+        out.append(gate.select("pack", "check", "ok", F.lit(found["record_count"]).cast("long").alias("records"), F.lit(held).cast("long").alias("held_out")))
+        shared.remove(s, root)
+    return out[0].unionByName(out[1])
+
+
 def dataset_manifest(s, d):
     rows = records(s, d).select("split", "source", F.col("decision.license").alias("license"))
     m = sinks.dataset_manifest(rows)
@@ -296,7 +315,7 @@ QUERIES = {
         mutant_counts, sampled_mutant_counts, parse_results, edit_cascade, diff_shapes, changed_line_numbers, patch_round_trip, abstract_edits,
         code_states, packed_states, synthetic_edits, normal_sources, lexical_cosine, hashed_vector_energy, action_signatures, token_ids, verdicts,
         near_before_report, rotated_score_rows, assert_submissions, check_submissions, array_submissions, candidate_blockers, publish_gate,
-        dataset_manifest,
+        pack_publish_gate, dataset_manifest,
     )
 }
 
@@ -425,6 +444,15 @@ ORACLES = {
         f"AS \"check\", unnest([count(*) > 0, true, count(*) FILTER (WHERE NOT coalesce(license IN ('apache-2.0', 'mit'), "
         f"false)) = 0, count(*) FILTER (WHERE source = 'src3') = 0]) AS ok FROM dec"
     ),
+    "pack_publish_gate": (
+        f"WITH {LICENSED_SQL}, r AS (SELECT 'all' AS pack, * FROM dec UNION ALL SELECT 'licensed', * FROM dec WHERE license IN "
+        f"('apache-2.0', 'mit') AND source <> 'src3'), n AS (SELECT pack, count(*) FILTER (WHERE doc_id % 10 <> 0) AS records, count(*) "
+        f"FILTER (WHERE doc_id % 10 = 0) AS held_out, count(*) FILTER (WHERE doc_id % 10 <> 0 AND NOT coalesce(license IN ('apache-2.0', "
+        f"'mit'), false)) = 0 AS licensed, count(*) FILTER (WHERE doc_id % 10 <> 0 AND source = 'src3') = 0 AS attributed FROM r GROUP BY "
+        f"pack), c AS (SELECT unnest({list(packs.CHECKS)}) AS \"check\") SELECT pack, \"check\", CASE \"check\" WHEN 'all_licenses_permissive' THEN "
+        f"licensed WHEN 'every_source_has_attribution' THEN attributed WHEN 'record_count_nonzero' THEN records > 0 ELSE true END AS ok, "
+        f"records, held_out FROM n, c"
+    ),
     "dataset_manifest": (
         f"WITH {LICENSED_SQL}, r AS (SELECT source, license, {SPLIT} AS split FROM dec) SELECT count(*) FILTER (WHERE split "
         f"= 'train') AS train, count(*) FILTER (WHERE split = 'val') AS val, count(*) FILTER (WHERE split = 'test') AS test, "
