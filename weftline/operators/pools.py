@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from . import decoys
 
 MAX_QUERIES = 100
 MAX_NEGATIVES = 10
@@ -96,11 +97,15 @@ def hard_negatives(
 
 
 def rejected_candidates(queries: DataFrame, entries: DataFrame) -> DataFrame:
-    """query_id, true_target, train_leakage: what hard_negatives leaves out for each query."""
-    q = queries.select(F.col("id").alias("query_id"))
-    both = entries.select("id", "split").join(F.broadcast(q), (F.col("id") == F.col("query_id")) | (F.col("split") == "train"))  # MAX_QUERIES rows
-    target = F.col("id") == F.col("query_id")
-    return both.groupBy("query_id").agg(F.count_if(target).alias("true_target"), F.count_if(~target).alias("train_leakage"))
+    """query_id, true_target, train_leakage: what hard_negatives leaves out for each query.
+
+    Every train row but the query's own is left out for it: one count serves all queries.
+    """
+    train = entries.agg(F.count_if(F.col("split") == "train").alias("train"))  # one row
+    own = entries.groupBy("id").agg(F.count(F.lit(1)).alias("true_target"), F.count_if(F.col("split") == "train").alias("own"))
+    each = queries.select("id").join(own, "id", "left").fillna(0, ["true_target", "own"]).crossJoin(train)
+    each = each.select(F.col("id").alias("query_id"), "true_target", (F.col("train") - F.col("own")).alias("train_leakage"))
+    return each.where("true_target + train_leakage > 0")
 
 
 def hard_pool(queries: DataFrame, negatives: DataFrame) -> DataFrame:
@@ -145,28 +150,25 @@ def decoy_pairs(
     """category, query_id, decoy_id, relation: records whose output differs, in seeded order.
 
     records: record_id, problem_id, submission_id, input_id, output. same_problem_different_
-    submission joins on the problem (and input), same_code_different_input on the submission.
+    submission looks within the problem (and input), same_code_different_input within the
+    submission. Each group has a short summary that its records pick from, so no pairs are made
+    but those of the result.
     """
-    other = records.select(
-        *(F.col(c).alias(f"d_{c}") for c in ("record_id", "problem_id", "submission_id", "input_id", "output"))
-    )
     present = lambda c: F.coalesce(F.col(c), F.lit("")) != ""
     if category == "same_code_different_input":
-        match = (F.col("submission_id") == F.col("d_submission_id")) & (F.col("input_id") != F.col("d_input_id"))
+        keys, unlike = ["submission_id"], "input_id"
         asked = records.where(present("submission_id") & present("input_id"))
     else:
-        match = (F.col("problem_id") == F.col("d_problem_id")) & (F.col("submission_id") != F.col("d_submission_id"))
-        if same_input_only:
-            match = match & (F.col("input_id") == F.col("d_input_id"))
+        keys, unlike = ["problem_id", "input_id"] if same_input_only else ["problem_id"], "submission_id"
         asked = records.where(present("problem_id") & present("input_id"))
-    joined = asked.join(other, match & (F.col("output") != F.col("d_output")))
-    order = Window.partitionBy("record_id").orderBy(T.hash_order(F.col("d_record_id"), seed=seed), "d_record_id")
-    chosen = joined.withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_query)
-    relation = F.when(F.col("input_id") == F.col("d_input_id"), "same_input_id").otherwise("different_input_id")
-    return chosen.select(
+    first = decoys.first_unlike(records, keys, "record_id", unlike, "output", "input_id", T.hash_order(F.col("record_id"), seed=seed), per_query)
+    found = asked.join(first, keys)
+    found = found.withColumn("d", F.explode(decoys.pick(F.col("first"), F.col(unlike), F.col("output"), per_query)))
+    relation = F.when(F.col("input_id") == F.col("d.note"), "same_input_id").otherwise("different_input_id")
+    return found.select(
         F.lit(category).alias("category"),
         F.col("record_id").alias("query_id"),
-        F.col("d_record_id").alias("decoy_id"),
+        F.col("d.id").alias("decoy_id"),
         relation.alias("relation")
     )
 
