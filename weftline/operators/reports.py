@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..sources.ordered import numbered
 
 # The anti-saturation limits.
 LEAST_PROBLEMS, SMALLEST_POOL, LARGEST_POOL = 100, 6, 12
@@ -143,24 +144,11 @@ def availability(candidates: DataFrame, scores: dict[str, str]) -> DataFrame:
 
 
 def next_in_order(tasks: DataFrame, task: str, value: str) -> DataFrame:
-    """task, shifted: the value of the next task in order, the last one's the first: a control.
-
-    Places are counted in ranges of the key, so the order needs no single task.
-    """
-    ranged = tasks.select(task, value).repartitionByRange(F.col(task)).withColumn("part", F.spark_partition_id())
-    inner = Window.partitionBy("part").orderBy(task)
-    placed = ranged.withColumn("next", F.lead(value).over(inner)).withColumn("ends", F.lead(task).over(inner).isNull())
-    heads = ranged.groupBy("part").agg(F.min(F.struct(task, value))[value].alias("head"))  # a row for each range
-    order = Window.orderBy("part")
-    following = heads.select(
-        "part",
-        F.coalesce(
-            F.lead("head").over(order),
-            F.first("head").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-        ).alias("after")
-    )
-    joined = placed.join(following, "part")
-    return joined.select(task, F.when(F.col("ends"), F.col("after")).otherwise(F.col("next")).alias("shifted"))
+    """task, shifted: the value of the next task in order, the last one's the first: a control."""
+    placed = numbered(tasks.select(task, value), task, name="place")
+    n = placed.agg(F.max("place") + 1).first()[0] or 1
+    following = placed.select(F.pmod(F.col("place") - 1, F.lit(n)).alias("place"), F.col(value).alias("shifted"))
+    return placed.join(following, "place").select(task, "shifted")
 
 
 def pool_baselines(candidates: DataFrame, task: str, orders: dict[str, list[Column]]) -> DataFrame:
@@ -211,6 +199,20 @@ def strict_gate(metrics: DataFrame, method: str, baselines: list[str], values: l
     return rows.select(F.col("method").alias("baseline"), *deltas, better.alias("better"))
 
 
+def interval_gate(intervals: DataFrame) -> DataFrame:
+    """baseline, metric, lift, low, blocker: whether a lift is above zero with its whole interval.
+
+    intervals: of :func:`resample.lift_intervals`. A lift that isn't positive blocks a claim, as do
+    an interval that is missing or begins at or below zero.
+    """
+    blocker = (
+        F.when(~F.coalesce(F.col("lift") > 0, F.lit(False)), "lift_not_positive")
+        .when(F.col("low").isNull(), "interval_missing")
+        .when(F.col("low") <= 0, "interval_includes_zero")
+    )
+    return intervals.select("baseline", "metric", "lift", "low", blocker.alias("blocker"))
+
+
 def collapse_gate(report: DataFrame) -> DataFrame:
     """metric, observed, comparison: failures of a one-row collapse report."""
     rows = F.array(

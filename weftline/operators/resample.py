@@ -6,11 +6,16 @@ products, whose eigenvalues are taken on the driver.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.ordered import numbered
+
 
 def bootstrap_ci(df: DataFrame, by: str, value: str, rounds: int = 1000, seed: int = 0, strata: int = 64) -> DataFrame:
     """by, mean, low, high: percentile interval of the mean by a Poisson bootstrap.
@@ -79,32 +84,117 @@ def effective_rank(vectors: DataFrame, vector: str = "v") -> DataFrame:
     return spark.createDataFrame([(n, round(rank, 6), round(rank / d, 6))], "n long, effective_rank double, rank_ratio double")
 
 
-def paired_lift_ci(
-    df: DataFrame, method: str, baselines: list[str], value: str, rounds: int = 1000, seed: int = 0
-) -> DataFrame:
-    """baseline, lift, low, high: interval of a method's mean minus each baseline's, paired by task.
+# The linear congruential generator of the exact streams.
+LCG_FACTOR, LCG_STEP, LCG_MODULUS = 1103515245, 12345, 2**31
+#: Draws that one task makes.
+DRAWS = 1 << 20
+#: Fewer tasks than this have no interval.
+LEAST_TASKS = 20
+
+
+def lcg_start(seed: int) -> int:
+    import hashlib
+
+    return int(hashlib.sha256(str(seed).encode()).hexdigest()[:16], 16) % LCG_MODULUS
 
-    df: task, method, value. Fewer than 20 tasks give nulls.
+
+def lcg_jump(steps: int) -> tuple[int, int]:
+    """(factor, step) of so many steps at once, by doubling: state -> factor * state + step."""
+    factor, step = 1, 0
+    one, add = LCG_FACTOR, LCG_STEP
+    while steps:
+        if steps & 1:
+            factor, step = factor * one % LCG_MODULUS, (step * one + add) % LCG_MODULUS
+        one, add = one * one % LCG_MODULUS, (add * one + add) % LCG_MODULUS
+        steps >>= 1
+    return factor, step
+
+
+def lcg_states(start: int, first: int, count: int) -> np.ndarray:
+    """States number first + 1, first + 2, ... of the stream that starts at a state.
+
+    One jump to the first of them; then what is there is doubled by jumping over its length.
     """
-    own = df.where(F.col("method") == method).select("task", F.col(value).alias("own"))
-    pairs = df.where(F.col("method").isin(*baselines)).join(own, "task").select(
-        F.col("method").alias("baseline"), "task", (F.col("own") - F.col(value)).alias("lift")
-    )
-    found = bootstrap_ci(pairs, "baseline", "lift", rounds, seed)
-    enough = pairs.groupBy("baseline").agg(F.count(F.lit(1)).alias("tasks"))
-    keep = lambda c: F.when(F.col("tasks") >= 20, F.col(c)).alias(c)
-    return found.join(enough, "baseline").select("baseline", F.col("mean").alias("lift"), keep("low"), keep("high"))
+    factor, step = lcg_jump(first + 1)
+    states = np.empty(count, np.uint64)
+    if count:
+        states[0] = (factor * start + step) % LCG_MODULUS
+    have = min(1, count)
+    while have < count:
+        factor, step = lcg_jump(have)
+        some = min(have, count - have)
+        states[have : have + some] = (states[:some] * np.uint64(factor) + np.uint64(step)) % np.uint64(LCG_MODULUS)
+        have += some
+    return states.astype(np.int64)
 
 
 def lcg_choices(seed: int, n: int, count: int) -> list[int]:
     """Rows that a linear congruential generator draws from n, one after the other."""
-    import hashlib
+    return (lcg_states(lcg_start(seed), 0, count) % n).tolist()
+
+
+def drawn_rows(spark: SparkSession, n: int, rounds: int, seed: int) -> DataFrame:
+    """round, row, times: rounds of n draws each from n rows, one exact stream over all rounds.
 
-    state, out = int(hashlib.sha256(str(seed).encode()).hexdigest()[:16], 16), []
-    for _ in range(count):
-        state = (1103515245 * state + 12345) % 2**31
-        out.append(state % n)
-    return out
+    Each task jumps to its own stretch of the stream and counts what is drawn there.
+    """
+    total, start = rounds * n, lcg_start(seed)
+
+    def draw(batches):
+        for batch in batches:
+            for first in batch.column("id").to_pylist():
+                at = np.arange(first, min(first + DRAWS, total))
+                key = at // n * n + lcg_states(start, first, len(at)) % n
+                key, times = np.unique(key, return_counts=True)
+                yield pa.RecordBatch.from_pydict({"round": pa.array(key // n), "row": pa.array(key % n), "times": pa.array(times)})
+
+    tasks = -(-total // DRAWS)
+    return spark.range(0, total, DRAWS, max(1, min(tasks, 10_000))).mapInArrow(draw, "round long, row long, times long")
+
+
+def lift_intervals(
+    df: DataFrame, task: str, method: str, baselines: list[str], values: list[str], rounds: int = 1000, seed: int = 0
+) -> DataFrame:
+    """baseline, metric, tasks, lift, low, high: how far a method's means are above each baseline's.
+
+    df: task, method and values, a row for each task and method; tasks that lack one are left out.
+    Intervals are exact percentiles of resampled means: tasks in the order of their key, rows drawn
+    by the stream of the seed, round after round. Fewer than LEAST_TASKS tasks, or no rounds, give
+    nulls.
+    """
+    wide = df.where(F.col("method").isin(method, *baselines)).groupBy(task).pivot("method", [method, *baselines]).agg(F.first(F.struct(*values)))
+    wide = wide.na.drop()
+    names = [(b, v) for b in baselines for v in values]
+    lifts = F.array(*((F.col(f"`{method}`.`{v}`") - F.col(f"`{b}`.`{v}`")).cast("double") for b, v in names))
+    rows = numbered(wide.select(F.col(task), lifts.alias("x")), task, name="row")
+    n = rows.count()
+    spark = df.sparkSession
+    means = rows.agg(*(F.avg(F.col("x")[i]).alias(f"m{i}") for i in range(len(names))))
+    if n >= LEAST_TASKS and rounds > 0:
+        sums = drawn_rows(spark, n, rounds, seed).join(rows.select("row", "x"), "row").groupBy("round").agg(
+            *(F.sum(F.col("times") * F.col("x")[i]).alias(f"s{i}") for i in range(len(names)))
+        )
+        low, high = int(0.025 * (rounds - 1)), min(rounds - 1, math.ceil(0.975 * (rounds - 1)))
+        ordered = [F.sort_array(F.collect_list(F.col(f"s{i}") / n)) for i in range(len(names))]  # a number for each round
+        ends = sums.agg(*(F.struct(F.get(o, F.lit(low)).alias("low"), F.get(o, F.lit(high)).alias("high")).alias(f"e{i}") for i, o in enumerate(ordered)))
+    else:
+        none = F.lit(None).cast("double")
+        ends = spark.range(1).select(*(F.struct(none.alias("low"), none.alias("high")).alias(f"e{i}") for i in range(len(names))))
+    stack = F.array(
+        *(
+            F.struct(F.lit(b).alias("baseline"), F.lit(v).alias("metric"), F.col(f"m{i}").alias("lift"), F.col(f"e{i}.low").alias("low"), F.col(f"e{i}.high").alias("high"))
+            for i, (b, v) in enumerate(names)
+        )
+    )
+    found = means.crossJoin(ends).select(F.explode(stack).alias("r"))  # one row each
+    return found.select("r.baseline", "r.metric", F.lit(n).cast("long").alias("tasks"), "r.lift", "r.low", "r.high")
+
+
+def paired_lift_ci(
+    df: DataFrame, method: str, baselines: list[str], value: str, rounds: int = 1000, seed: int = 0
+) -> DataFrame:
+    """baseline, lift, low, high of one value, by :func:`lift_intervals`; df: task, method, value."""
+    return lift_intervals(df, "task", method, baselines, [value], rounds, seed).select("baseline", "lift", "low", "high")
 
 
 def _sums(vectors: DataFrame, vector: str) -> tuple[int, np.ndarray, np.ndarray]:

@@ -14,6 +14,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .ordered import first_in_order, input_lines
+from .records import first_of_content
+
 CASE = T.StructType([T.StructField(c, T.StringType()) for c in ("input_repr", "expected", "function_name")])
 
 
@@ -87,7 +90,8 @@ def _submissions(rows: DataFrame, dataset: str, problem, cases, code, held_out:
         code.alias("code"),
         numbered.alias("cases"),
         F.lit("accepted").alias("verdict"),
-        F.lit(held_out).alias("held_out_for_eval")
+        F.lit(held_out).alias("held_out_for_eval"),
+        *(c for c in ("ordinal",) if c in rows.columns),
     )
     return out.where(F.col("code").isNotNull() & F.col("problem_id").isNotNull() & (F.size("cases") > 0))
 
@@ -141,25 +145,32 @@ BUILDERS = {"mbpp": assert_submissions, "mbpp_plus": array_submissions, "humanev
 
 
 def register(kind: str, schema: str, builder) -> None:
-    """A further execution source: its JSON schema and what makes submissions of its rows."""
+    """A further execution source: its JSON schema and what makes submissions of its rows.
+
+    The builder hands on the column ``ordinal`` (the line's place in the input).
+    """
     SCHEMAS[kind], BUILDERS[kind] = schema, builder
 
 
 def load_submissions(
-    spark: SparkSession, kind: str, path: str, limit: int | None = None, deduplicate: bool = True
+    spark: SparkSession, kind: str, path: str | list[str], limit: int | None = None, deduplicate: bool = False
 ) -> DataFrame:
-    """Submissions of a registered source; of equal code and cases the first stays, then the limit.
+    """Submissions of a registered source with their ordinal: the place of their line in the input.
 
-    A line that is no JSON is an error.
+    Input order is that of the files' names and of their lines, over all splits. With deduplicate
+    the first of equal code and cases stays; the limit counts what stays. A line that is no JSON
+    is an error, empty lines are skipped.
     """
     if kind not in BUILDERS:
         raise ValueError(f"unknown execution source {kind!r}; known: {', '.join(sorted(BUILDERS))}")
-    rows = spark.read.schema(SCHEMAS[kind]).option("mode", "FAILFAST").json(path)
-    out = BUILDERS[kind](rows).withColumn("raw_hash", F.sha2(F.to_json(F.struct("code", "cases")), 256))
-    if deduplicate:
-        first = out.groupBy("raw_hash").agg(F.min("problem_id").alias("problem_id"))
-        out = out.join(first, ["raw_hash", "problem_id"], "left_semi").dropDuplicates(["raw_hash"])
-    return out.orderBy("problem_id").limit(limit) if limit is not None else out
+    lines = input_lines(spark, path).where(F.trim("value") != "")
+    parsed = F.from_json("value", SCHEMAS[kind], {"mode": "FAILFAST"})
+    rows = lines.select("ordinal", parsed.alias("x")).select("x.*", "ordinal")
+    out = BUILDERS[kind](rows)
+    if "ordinal" not in out.columns:
+        raise ValueError(f"the builder of {kind!r} doesn't hand on ordinal")
+    out = out.withColumn("raw_hash", F.sha2(F.to_json(F.struct("code", "cases")), 256))
+    return first_of_content(out, "raw_hash", "ordinal", limit) if deduplicate else out if limit is None else first_in_order(out, limit)
 
 
 def packed_transitions(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -207,10 +218,12 @@ def pass_scores(spark: SparkSession, path: str, benchmark: str = "unknown") -> D
     )
 
 
-def prompts(spark: SparkSession, path: str) -> DataFrame:
-    """problem_id, prompt: bad JSON lines are skipped, the last line of a problem wins."""
-    lines = spark.read.text(path).withColumn("ordinal", F.monotonically_increasing_id())
-    parsed = lines.select(
+def prompts(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """problem_id, prompt: bad JSON lines are skipped, the last line of a problem wins.
+
+    Lines are in the order of the files' names and of their places in them.
+    """
+    parsed = input_lines(spark, path).select(
         "ordinal", F.from_json("value", "problem_id string, prompt string").alias("x")
     ).where("x.problem_id is not null and x.prompt is not null")
     return parsed.groupBy("x.problem_id").agg(F.max_by("x.prompt", "ordinal").alias("prompt"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .ordered import first_in_order
 
 RAW = (
     "source string, repo string, commit string, path_before string, path_after string, before string, after string, message "
@@ -106,10 +107,10 @@ READERS = {"fixture": read_fixture, "commits": read_commits, "apps": read_apps,
 
 
 def first_of_content(rows: DataFrame, content: str, ordinal: str, limit: int | None = None) -> DataFrame:
-    """The first row of each content, at most limit of them in order."""
+    """The first row of each content; with a limit the first so many of them by ordinal."""
     firsts = rows.groupBy(content).agg(F.min(ordinal).alias(ordinal))
-    kept = rows.join(firsts, [content, ordinal], "left_semi").orderBy(ordinal)
-    return kept.limit(limit) if limit is not None else kept
+    kept = rows.join(firsts, [content, ordinal], "left_semi")
+    return first_in_order(kept, limit, ordinal) if limit is not None else kept
 
 
 def completion_labels(spark: SparkSession, paths: list[str], benchmark: str, strict: bool = False) -> DataFrame:
