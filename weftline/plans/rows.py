@@ -193,14 +193,29 @@ def correlations(s, d):
     return B.correlations(vectors(s, d)).where("b < 6").select("a", "b", F.round("correlation", 6).alias("correlation"))
 
 
+def supplier_lifts(s, d):
+    """Lines as completions of their supplier's task, in three orders: lifts of the model's over the others'."""
+    c = read(s, d, "lineitem").groupBy("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber").agg(
+        F.max("l_extendedprice").alias("model"), F.max("l_discount").alias("lexical"), F.max("l_returnflag").alias("flag")
+    )
+    ident = F.concat_ws("|", "l_orderkey", "l_partkey", "l_linenumber")
+    c = c.select("l_suppkey", ident.alias("id"), "model", "lexical", (F.col("flag") == "R").alias("passed"))
+    orders = {"model": [F.desc("model"), "id"], "lexical": [F.desc("lexical"), "id"], "no_action": ["id"]}
+    f = R.first_passes(c, "l_suppkey", orders).select(
+        F.col("l_suppkey").alias("task"), "method", F.when(F.col("first_pass") == 1, 1.0).otherwise(0.0).alias("hit"),
+        F.coalesce(1.0 / F.col("first_pass"), F.lit(0.0)).alias("mrr"),
+    )
+    return B.lift_intervals(f, "task", "model", ["lexical", "no_action"], ["hit", "mrr"])
+
+
 def bootstrap_lift(s, d):
-    from .evaluation import completions
+    return supplier_lifts(s, d).select("baseline", "metric", "tasks", *(F.round(c, 9).alias(c) for c in ("lift", "low", "high")))
 
-    orders = {"model": [F.desc("model"), "completion_id"], "lexical": [F.desc("lexical"), "completion_id"]}
-    f = R.first_passes(completions(s, d), "l_orderkey", orders).select(
-        F.col("l_orderkey").alias("task"), "method", F.when(F.col("first_pass") == 1, 1.0).otherwise(0.0).alias("hit")
-    )
-    return B.paired_lift_ci(f, "model", ["lexical"], "hit", rounds=200)
+
+def interval_claim_gate(s, d):
+    from ..operators.reports import interval_gate
+
+    return interval_gate(supplier_lifts(s, d)).select("baseline", "metric", F.round("low", 9).alias("low"), "blocker")
 
 
 def folded_actions(s, d):
@@ -214,10 +229,30 @@ QUERIES = {
     for f in (
         transition_rows, evaluation_rows, diagnostic_rows, probe_rows, symbol_kinds, execution_evaluation_rows, lexical_matrix, hard_negative_candidates,
         benchmark_pack, split_coverage_seed, seed_offsets, energy_scores, retrieval_metric_slices, calibration_slices_all, collapse_report, effective_rank,
-        latent_matrix, correlations, bootstrap_lift, folded_actions,
+        latent_matrix, correlations, bootstrap_lift, interval_claim_gate, folded_actions,
     )
 }
 
+ORDERS = (("model", "model DESC, id"), ("lexical", "lexical DESC, id"), ("no_action", "id"))
+#: The exact stream in SQL: each draw's state by the jumps of its number's bits.
+LIFTS = f"""WITH RECURSIVE j AS (SELECT 0 AS b, {B.LCG_FACTOR}::BIGINT AS f, {B.LCG_STEP}::BIGINT AS c UNION ALL SELECT b + 1, f * f % 2147483648, (c * f + c) % 2147483648
+    FROM j WHERE b < 40), jumps AS (SELECT list(f ORDER BY b) AS f, list(c ORDER BY b) AS c FROM j),
+  e AS (SELECT l_suppkey, l_orderkey || '|' || l_partkey || '|' || l_linenumber AS id, max(l_extendedprice) AS model, max(l_discount) AS lexical, max(l_returnflag) = 'R' AS passed
+    FROM lineitem GROUP BY l_orderkey, l_partkey, l_suppkey, l_linenumber),
+  r AS ({" UNION ALL ".join(f"SELECT l_suppkey, '{m}' AS method, passed, row_number() OVER (PARTITION BY l_suppkey ORDER BY {o}) AS rank FROM e" for m, o in ORDERS)}),
+  fp AS (SELECT l_suppkey, method, min(rank) FILTER (WHERE passed) AS first FROM r GROUP BY ALL),
+  v AS (SELECT l_suppkey, method, unnest(['hit', 'mrr']) AS metric, unnest([CASE WHEN first = 1 THEN 1.0::DOUBLE ELSE 0 END, coalesce(1.0::DOUBLE / first, 0)]) AS x FROM fp),
+  lift AS (SELECT a.l_suppkey, b.method AS baseline, a.metric, a.x - b.x AS x FROM v a JOIN v b ON a.l_suppkey = b.l_suppkey AND a.metric = b.metric
+    WHERE a.method = 'model' AND b.method <> 'model'),
+  task AS (SELECT l_suppkey, row_number() OVER (ORDER BY l_suppkey) - 1 AS i, count(*) OVER () AS n FROM (SELECT DISTINCT l_suppkey FROM e)),
+  d AS (SELECT t, t // n AS round, list_reduce(list_prepend((('0x' || substr(sha256('0'), 1, 16))::UBIGINT % 2147483648)::BIGINT, range(40)),
+      lambda s, b: CASE WHEN ((t + 1) >> b) & 1 = 1 THEN (f[b + 1] * s + c[b + 1]) % 2147483648 ELSE s END) % n AS i
+    FROM (SELECT unnest(range(1000 * n)) AS t, n FROM (SELECT any_value(n) AS n FROM task)), jumps),
+  m AS (SELECT baseline, metric, round, sum(x) / any_value(n) AS m FROM d JOIN task ON task.i = d.i JOIN lift ON lift.l_suppkey = task.l_suppkey GROUP BY ALL),
+  ends AS (SELECT baseline, metric, (list(m ORDER BY m))[25] AS low, (list(m ORDER BY m))[976] AS high FROM m GROUP BY ALL),
+  found AS (SELECT ends.baseline, ends.metric, count(*) AS tasks, avg(x) AS lift, CASE WHEN count(*) >= 20 THEN low END AS low, CASE WHEN count(*) >= 20 THEN high END AS high
+    FROM ends JOIN lift ON lift.baseline = ends.baseline AND lift.metric = ends.metric GROUP BY ends.baseline, ends.metric, low, high)"""
+
 TOK = (
     "t AS (SELECT conv_id || '-' || turn AS row_id, list_transform(regexp_extract_all(text, '[A-Za-z_][A-Za-z0-9_]*|[0-9]+'), "
     "lambda x: length(x)) AS a FROM conversations)"
@@ -310,4 +345,9 @@ ORACLES = {
         "r(a), range(6) q(b) WHERE a < b) SELECT a, b, round(corr(v[a + 1], v[b + 1]), 6) AS correlation FROM e, p GROUP "
         "BY a, b"
     ),
+    "bootstrap_lift": LIFTS + " SELECT baseline, metric, tasks, round(lift, 9) AS lift, round(low, 9) AS low, round(high, 9) AS high FROM found",
+    "interval_claim_gate": LIFTS + (
+        " SELECT baseline, metric, round(low, 9) AS low, CASE WHEN NOT coalesce(lift > 0, false) THEN 'lift_not_positive' WHEN low IS NULL "
+        "THEN 'interval_missing' WHEN low <= 0 THEN 'interval_includes_zero' END AS blocker FROM found"
+    ),
 }
