@@ -55,7 +55,8 @@ def loader_report(rows: DataFrame, widths: dict[str, int], columns: list[str], d
     each = F.array(*(F.struct(F.lit(f"{c}_histogram").alias("report"), _name(c).alias("value"), F.col("n")) for c in columns))
     last = F.col("s") == len(columns)
     rows_ = found.select(F.explode(F.when(last, whole).otherwise(F.array(F.get(each, F.col("s"))))).alias("x")).select("x.*")
-    return _with_zeros(rows_, [(f"{c}_histogram", v) for c, vs in (domains or {}).items() for v in vs], "report string, value string")
+    always = [("record_count", ""), *((f"truncated_{c}", "") for c in widths)]  # an empty table has no grand total
+    return _with_zeros(rows_, always + [(f"{c}_histogram", v) for c, vs in (domains or {}).items() for v in vs], "report string, value string")
 
 
 def cross_tables(rows: DataFrame, tables: dict[str, tuple[str, str]]) -> DataFrame:

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators import accounting as A
 from ..operators import crossed as C
-from .common import read
+from ..operators.curation import keep_first
+from .common import LICENSED_SQL, read, records
 
 ROLES = ["assistant", "system", "tool", "user"]
 KINDS = 8
@@ -49,7 +51,16 @@ def calibration_report(s, d):
     return C.calibration_report(rows, ["length", "other", "none"])
 
 
-QUERIES = {f.__name__: f for f in (loader_histograms, cross_tables, flag_status_pivot, calibration_report)}
+def observed_accounting(s, d):
+    """Documents through the licence gate and exact deduplication: what each job counted while it wrote."""
+    gate = lambda df: df.withColumn("drop_reason", F.when(~F.col("decision.allowed"), F.col("decision.reason")))
+    once = lambda df: keep_first(df, "pair", "doc_id").withColumn("drop_reason", F.when(F.col("first_id") != F.col("doc_id"), "exact_duplicate"))
+    docs = records(s, d)
+    _, accounts = A.run_stages(docs, [("gate", gate), ("once", once)], {"gate": ["missing_license", "license_not_allowed"], "once": ["exact_duplicate"]})
+    return A.equalities(accounts, docs.count())
+
+
+QUERIES = {f.__name__: f for f in (loader_histograms, cross_tables, flag_status_pivot, calibration_report, observed_accounting)}
 
 ORACLES = {
     "loader_histograms": r"""WITH r AS (SELECT len(regexp_extract_all(text, '[A-Za-z_][A-Za-z0-9_]*|[0-9]+')) AS ids, len(string_split(text, ' ')) AS words, role,
@@ -85,4 +96,7 @@ ORACLES = {
           ELSE 'ok' END AS status, row_count, usable, positive, negative, missing, invalid, nonfinite, CASE WHEN positive > 0 AND negative > 0 THEN roc_auc END AS roc_auc,
           CASE WHEN positive > 0 AND negative > 0 THEN average_precision END AS average_precision, brier, tp, fp
         FROM c LEFT JOIN a ON a.baseline = c.baseline AND a.slice = c.slice AND a.value = c.value""",
+    "observed_accounting": f"""WITH {LICENSED_SQL}, kept AS (SELECT * FROM dec WHERE allowed), n AS (SELECT (SELECT count(*) FROM dec) AS loaded, (SELECT count(*) FROM kept) AS gated,
+        (SELECT count(DISTINCT text) FROM kept) AS once) SELECT unnest(['loaded_equals_gate_input', 'gate_output_equals_once_input', 'gate_kept_and_dropped_equal_input',
+        'once_kept_and_dropped_equal_input']) AS equality, unnest([loaded, gated, loaded, gated]) AS "left", unnest([loaded, gated, loaded, gated]) AS "right", true AS holds FROM n""",
 }
