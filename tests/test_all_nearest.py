@@ -56,9 +56,9 @@ def test_clusters_are_pruned(spark):
 
     ids = np.arange(32, dtype=np.int64)
     most, near = allnearest._best(v[:32], ids, v[:32], ids)
-    block = {"cell": 0, "part": 0, "ids": ids.tobytes(), "asks": np.ones(32, np.int8).tobytes(), "most": most.tobytes(), "near": near.tobytes(), "rows": v[:32].tobytes()}
-    visits = [r for b in allnearest._visits(iter([pa.RecordBatch.from_pylist([block])]), pivots, low, high) for r in b.to_pylist()]
-    assert {r["cell"] for r in visits} == {0}
+    block = {"cell": 0, "block": 0, "ids": ids.tobytes(), "asks": np.ones(32, np.int8).tobytes(), "most": most.tobytes(), "near": near.tobytes(), "rows": v[:32].tobytes()}
+    visits = [r for b in allnearest._visits(iter([pa.RecordBatch.from_pylist([block])]), pivots, low, high, np.arange(16), np.arange(16)) for r in b.to_pylist()]
+    assert [(r["group"], r["cells"]) for r in visits] == [(0, [0])]
 
 
 def test_entropy(spark):

@@ -4,8 +4,8 @@ Rows become unit vectors, so the largest cosine is the smallest distance. Each d
 belongs to the cell of its nearest pivot; a cell's rows are packed in blocks. Within its block a
 row finds a first neighbour, and with that distance it visits only cells that can hold a nearer
 one, by two bounds from the triangle inequality: the plane between two pivots, and the ring of
-distances to the pivot that a cell fills. Visits are joined by (cell, block), so a large cell is
-many keys. Copies of a vector never meet as rows: they know their neighbour from their group.
+distances to the pivot that a cell fills. Visits are sent to groups of
+blocks, so a large cell is many keys and a visiting row is sent once for some blocks. Copies of a vector never meet as rows: they know their neighbour from their group.
 
 How much the bounds save depends on the vectors: where they cluster a row visits few cells, where
 they don't (many independent dimensions) most blocks meet, each pair of blocks in a step of its
@@ -27,6 +27,8 @@ from ..sources.shared import stored
 
 #: Rows of a block, and the most pivots (their vectors go to every task).
 BLOCK, PIVOTS = 2048, 256
+#: Blocks that a visit meets at once: the rows of a visit are sent once for all of them.
+GROUP = 16
 #: Distances are compared with this room for rounding; similarities are told apart by 9 digits.
 ROOM = 1e-7
 DIGITS = 9
@@ -104,27 +106,37 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 _BLOCK = "cell int, part int, ids binary, asks binary, most binary, near binary, rows binary"
 
 
-def _visits(batches: Iterator[pa.RecordBatch], pivots: np.ndarray, low: np.ndarray, high: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """The rows of a block that a cell may hold a nearer neighbour for, for each such cell."""
+def _visits(
+    batches: Iterator[pa.RecordBatch], pivots: np.ndarray, low: np.ndarray, high: np.ndarray, first: np.ndarray, last: np.ndarray
+) -> Iterator[pa.RecordBatch]:
+    """The rows of a block that some cell may hold a nearer neighbour for, for each group of blocks.
+
+    Blocks are numbered through all cells; [first, last] are those of a cell, GROUP of them a group.
+    """
     between = np.sqrt(np.maximum(2 - 2 * pivots @ pivots.T, 0))
     for batch in batches:
         for row in batch.to_pylist():
             ids, asks, most = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["asks"], np.int8), np.frombuffer(row["most"])
             rows = _unpack(row["rows"], len(ids))
             least = np.maximum(most, -1) - 2 * 10.0**-DIGITS  # ties after rounding count too
-            reach = np.sqrt(2 - 2 * least) + ROOM
+            reach = np.sqrt(np.maximum(2 - 2 * least, 0)) + ROOM
             gap = np.sqrt(np.maximum(2 - 2 * rows @ pivots.T, 0))
             own = gap[:, row["cell"]]
             with np.errstate(divide="ignore", invalid="ignore"):
                 plane = np.where(between[row["cell"]] > 0, (gap**2 - own[:, None] ** 2) / (2 * between[row["cell"]]), 0)
             open_ = (plane <= reach[:, None]) & (gap - reach[:, None] <= high) & (gap + reach[:, None] >= low) & (asks[:, None] > 0)
-            for cell in np.flatnonzero(open_.any(axis=0)).tolist():
-                some = open_[:, cell]
+            cells = np.flatnonzero(open_.any(axis=0))
+            groups: dict[int, list[int]] = {}
+            for cell in cells.tolist():
+                for group in range(int(first[cell]) // GROUP, int(last[cell]) // GROUP + 1):
+                    groups.setdefault(group, []).append(cell)
+            for group, members in groups.items():
+                some = open_[:, members].any(axis=1)
                 yield pa.RecordBatch.from_pydict(
                     {
-                        "cell": pa.array([cell], pa.int32()),
-                        "own_cell": pa.array([row["cell"]], pa.int32()),
-                        "own_part": pa.array([row["part"]], pa.int32()),
+                        "group": pa.array([group], pa.int64()),
+                        "cells": pa.array([members], pa.list_(pa.int32())),
+                        "own": pa.array([row["block"]], pa.int64()),
                         "ask_ids": pa.array([ids[some].tobytes()], pa.binary()),
                         "ask_most": pa.array([most[some].tobytes()], pa.binary()),
                         "ask_rows": pa.array([rows[some].tobytes()], pa.binary()),
@@ -172,8 +184,8 @@ def nearest_rows(vectors: DataFrame, ident: str, vector: str, pivots: int | None
 
     Similarities are rounded to DIGITS; that of a zero vector with any other is 0. Ids are taken to
     be distinct; rows with a null id or a null or non-finite component take no part, and a single
-    row has no neighbour. pivots: how many cells (by default the root of the distinct vectors, at
-    most PIVOTS).
+    row has no neighbour. pivots: how many cells (by default one for each block of distinct
+    vectors, at most PIVOTS).
     """
     rows = unit_rows(vectors, ident, vector).withColumn("k", F.struct(F.xxhash64("u").alias("a"), F.xxhash64(F.lit(1), "u").alias("b")))
     rows = stored(rows, "unit-rows")
@@ -189,25 +201,30 @@ def nearest_rows(vectors: DataFrame, ident: str, vector: str, pivots: int | None
     count = alone.count()
     found = copies
     if count:
-        pivots = pivots or min(PIVOTS, math.ceil(math.sqrt(count)))
+        pivots = pivots or min(PIVOTS, math.ceil(count / block))
         center = alone.orderBy(F.xxhash64(F.lit(7), "id"), "id").limit(pivots).select("u").collect()  # bounded by PIVOTS
         center = np.array([r.u for r in center])
         placed = stored(alone.mapInArrow(partial(_placed, pivots=center), alone.schema.simpleString()[7:-1].replace(":", " ") + ", cell int, gap double"), "placed-rows")
-        shape = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.min("gap").alias("low"), F.max("gap").alias("high")).collect()
-        low, high, parts = np.full(len(center), np.inf), np.full(len(center), -np.inf), {}
-        for r in shape:
-            low[r.cell], high[r.cell], parts[r.cell] = r.low, r.high, math.ceil(r.n / block)
-        of_cell = F.element_at(F.create_map(*(F.lit(x) for kv in parts.items() for x in kv)), F.col("cell"))
-        dealt = placed.withColumn("part", F.pmod(F.xxhash64("id"), of_cell).cast("int"))
-        blocks = dealt.repartition("cell", "part").sortWithinPartitions("cell", "part").mapInArrow(_packed, _BLOCK)
-        blocks = stored(blocks, "row-blocks")
-        visits = blocks.mapInArrow(
-            partial(_visits, pivots=center, low=low, high=high),
-            "cell int, own_cell int, own_part int, ask_ids binary, ask_most binary, ask_rows binary",
+        shape = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.min("gap").alias("low"), F.max("gap").alias("high")).orderBy("cell").collect()
+        low, high = np.full(len(center), np.inf), np.full(len(center), -np.inf)
+        first, last, number = np.zeros(len(center), np.int64), np.full(len(center), -1), 0
+        for r in shape:  # a row for each pivot
+            low[r.cell], high[r.cell] = r.low, r.high
+            first[r.cell], number = number, number + math.ceil(r.n / block)
+            last[r.cell] = number - 1
+        by_cell = lambda xs: F.element_at(F.array(*(F.lit(int(x)) for x in xs)), F.col("cell") + 1)
+        blocks_of = by_cell(last - first + 1)
+        dealt = placed.withColumn("part", F.pmod(F.xxhash64("id"), blocks_of).cast("int"))
+        packed = dealt.repartition("cell", "part").sortWithinPartitions("cell", "part").mapInArrow(_packed, _BLOCK)
+        numbered = packed.withColumn("block", by_cell(first).cast("long") + F.col("part"))
+        blocks = stored(numbered.withColumn("group", F.expr(f"block div {GROUP}")), "row-blocks")
+        visits = blocks.select("cell", "block", "ids", "asks", "most", "rows").mapInArrow(
+            partial(_visits, pivots=center, low=low, high=high, first=first, last=last),
+            "group long, cells array<int>, own long, ask_ids binary, ask_most binary, ask_rows binary",
         )
-        visits = visits.withColumn("part", F.explode(F.sequence(F.lit(0), of_cell - 1)))
-        visits = visits.where("cell <> own_cell or part <> own_part")  # a block knows itself
-        met = visits.join(blocks.select("cell", "part", "ids", "rows"), ["cell", "part"])
+        # a visit goes to a group once, and meets its blocks there; a block knows itself
+        met = visits.join(blocks.select("group", "block", "cell", "ids", "rows"), "group")
+        met = met.where("block <> own and array_contains(cells, cell)")
         met = met.select("ids", "rows", "ask_ids", "ask_most", "ask_rows").mapInArrow(_met, _FOUND)
         found = found.unionByName(met).unionByName(blocks.select("ids", "near", "most", "asks").mapInArrow(_first, _FOUND))
     best = found.groupBy("id").agg(F.max(F.struct("similarity", (-F.col("nearest")).alias("less"))).alias("best"))
