@@ -158,7 +158,7 @@ def _functions(tree: ast.AST):
 def _renamed(tree: ast.AST) -> bool:
     for f in _functions(tree):
         names = {n.arg for n in ast.walk(f) if isinstance(n, ast.arg)} | {n.id for n in ast.walk(f) if isinstance(n, ast.Name)}
-        if "value" in {a.arg for a in f.args.args} and "result" not in names:
+        if "value" in {a.arg for a in (*f.args.posonlyargs, *f.args.args, *f.args.kwonlyargs)} and "result" not in names:
             for n in ast.walk(f):
                 for field in ("arg", "id"):
                     if isinstance(n, (ast.arg, ast.Name)) and getattr(n, field, None) == "value":
@@ -201,21 +201,46 @@ REWRITES = (
 REWRITTEN = T.ArrayType(T.StructType([T.StructField(c, T.StringType()) for c in ("transform_id", "message", "after")]))
 
 
-@F.pandas_udf(REWRITTEN)
-def rewrites(text: pd.Series) -> pd.Series:
-    """Every rewrite that changes a source: at most one row for each of the three."""
-    out = []
-    for x in text:
-        found = []
-        for name, message, change in REWRITES:
-            try:
-                tree = ast.parse(x or "")
-                if change(tree):
-                    found.append((name, message, ast.unparse(ast.fix_missing_locations(tree)) + "\n"))
-            except (SyntaxError, ValueError, RecursionError):
-                break
-        out.append(found)
-    return pd.Series(out)
+#: Rewrites that callers have added: (name, instruction, change of a tree in place that says if it did any).
+_added: list[tuple[str, str, object]] = []
+
+
+def register_rewrite(name: str, message: str, change) -> None:
+    """A further rewrite, for all functions that are made from now on.
+
+    The change is sent to the workers, so it is local or from a module that they can import.
+    """
+    if any(name == known for known, _, _ in (*REWRITES, *_added)):
+        raise ValueError(f"there is a rewrite {name!r} already")
+    _added.append((name, message, change))
+
+
+def known_rewrites() -> tuple[tuple[str, str, object], ...]:
+    return (*REWRITES, *_added)
+
+
+def rewritten(text: str | None, changes: tuple[tuple[str, str, object], ...] = REWRITES) -> list[tuple[str, str, str]]:
+    """(name, instruction, new text) of every rewrite that changes a source; none if it doesn't parse."""
+    found = []
+    for name, message, change in changes:
+        try:
+            tree = ast.parse(text or "")
+            if change(tree):
+                found.append((name, message, ast.unparse(ast.fix_missing_locations(tree)) + "\n"))
+        except (SyntaxError, ValueError, RecursionError):
+            break
+    return found
+
+
+def rewrites(text):
+    """Every rewrite that changes a source: at most one struct for each known rewrite."""
+    changes = known_rewrites()
+
+    @F.pandas_udf(REWRITTEN)
+    def all_rewrites(texts: pd.Series) -> pd.Series:
+        return pd.Series([rewritten(x, changes) for x in texts])
+
+    return all_rewrites(text)
 
 
 def synthetic_edits(files: DataFrame) -> DataFrame:

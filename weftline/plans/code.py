@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import codepack, diffs, pyast, pystate
+from ..functions import codepack, diffs, pyast, pystate, tables
 from ..functions import text as T
 from ..operators import curation as C
 from ..operators import ranking as R
@@ -151,6 +151,14 @@ def synthetic_edits(s, d):
     return pystate.synthetic_edits(f).select("repo", F.substring_index("commit", ":", -1).alias("transform_id"))
 
 
+def lateral_rewrites(s, d):
+    """The same rewrites by the table function, in SQL."""
+    tables.register(s)
+    text = _pick("def f(value):\n    return value\n", "def g(a):\n    x = set([1, 2])\n", "y = 2\n")
+    rows = files(s, d).select("suppkey", text.alias("text"))
+    return s.sql("SELECT suppkey, r.transform_id, r.message FROM {rows}, LATERAL code_rewrites(text) r", rows=rows)
+
+
 def normal_sources(s, d):
     text = F.concat(
         F.lit('def f():\n    """Doc."""\n    return '),
@@ -313,7 +321,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         mutant_counts, sampled_mutant_counts, parse_results, edit_cascade, diff_shapes, changed_line_numbers, patch_round_trip, abstract_edits,
-        code_states, packed_states, synthetic_edits, normal_sources, lexical_cosine, hashed_vector_energy, action_signatures, token_ids, verdicts,
+        code_states, packed_states, synthetic_edits, lateral_rewrites, normal_sources, lexical_cosine, hashed_vector_energy, action_signatures, token_ids, verdicts,
         near_before_report, rotated_score_rows, assert_submissions, check_submissions, array_submissions, candidate_blockers, publish_gate,
         pack_publish_gate, dataset_manifest,
     )
@@ -394,6 +402,11 @@ ORACLES = {
         "SELECT 'r' || s_suppkey AS repo, t AS transform_id FROM supplier JOIN (VALUES (0, 'rename-value-arg-to-result'), "
         "(1, 'add-explicit-return-none'), (1, 'modernize-set-literal')) v(k, t) ON s_suppkey % 3 = k"
     ),
+    "lateral_rewrites": (
+        "SELECT s_suppkey AS suppkey, t AS transform_id, m AS message FROM supplier JOIN (VALUES (0, 'rename-value-arg-to-result', 'Rename "
+        "the local value parameter to result.'), (1, 'add-explicit-return-none', 'Add an explicit return None to a function with implicit "
+        "None return.'), (1, 'modernize-set-literal', 'Replace set([...]) with a set literal.')) v(k, t, m) ON s_suppkey % 3 = k"
+    ),
     "normal_sources": (
         "SELECT s_suppkey AS suppkey, 'def f():' || chr(10) || '    return ' || CASE WHEN s_suppkey % 2 = 0 THEN '''<STR_LITERAL>''' "
         "ELSE '__NUM_LITERAL__' END AS source FROM supplier"
