@@ -63,12 +63,11 @@ def observed_accounting(s, d):
 
 
 def run_states(s, d):
-    """Each user's events as a run: every fifth has no step, every eleventh step is lost, errors end it."""
+    """Each user's events as a run: every fifth event and every eleventh step has lost its number, errors end it."""
     e = read(s, d, "events").withColumn("step", F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")))
     event = F.when(F.col("event_type") == "error", "failed").otherwise(F.col("event_type"))
-    steps = e.where("step % 11 <> 0 or event_id % 5 = 0").select(
-        F.col("user_id").cast("string").alias("run_id"), event.alias("event"), F.when(F.col("event_id") % 5 != 0, F.col("step")).alias("step"), "ts"
-    )
+    known = (F.col("event_id") % 5 != 0) & (F.col("step") % 11 != 0)
+    steps = e.select(F.col("user_id").cast("string").alias("run_id"), event.alias("event"), F.when(known, F.col("step")).alias("step"), "ts")
     return runs.run_states(steps).select("run_id", "events", "steps", "contiguous", "highest", "missing", "latest_event", "status")
 
 
@@ -112,7 +111,7 @@ ORACLES = {
         (SELECT count(DISTINCT text) FROM kept) AS once) SELECT unnest(['loaded_equals_gate_input', 'gate_output_equals_once_input', 'gate_kept_and_dropped_equal_input',
         'once_kept_and_dropped_equal_input']) AS equality, unnest([loaded, gated, loaded, gated]) AS "left", unnest([loaded, gated, loaded, gated]) AS "right", true AS holds FROM n""",
     "run_states": """WITH r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS s FROM events), e AS (SELECT user_id::VARCHAR AS run_id, CASE WHEN event_type = 'error'
-        THEN 'failed' ELSE event_type END AS event, CASE WHEN event_id % 5 <> 0 THEN s END AS step, ts FROM r WHERE s % 11 <> 0 OR event_id % 5 = 0), o AS (SELECT run_id, event, step,
+        THEN 'failed' ELSE event_type END AS event, CASE WHEN event_id % 5 <> 0 AND s % 11 <> 0 THEN s END AS step, ts FROM r), o AS (SELECT run_id, event, step,
         min(ts) AS ts FROM e GROUP BY ALL), d AS (SELECT DISTINCT run_id, step FROM o WHERE step IS NOT NULL), k AS (SELECT run_id, count(*) AS steps, max(step) AS highest, count(*)
         FILTER (WHERE step = n) AS contiguous FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY step) AS n FROM d) GROUP BY run_id), w AS (SELECT run_id, count(*) AS events,
         arg_max(event, (ts, coalesce(step, -1), event)) AS latest_event, coalesce(max(event) FILTER (WHERE event IN ('failed', 'completed')), 'running') AS status FROM o GROUP BY run_id)

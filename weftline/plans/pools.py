@@ -10,16 +10,16 @@ from .common import read, split_sql
 
 
 def entries(s, d):
-    """documents as pool entries; the state is 52 bits of a hash of the text's beginning."""
+    """documents as pool entries; the state is 52 bits of the text's hash, before goes by its length."""
     docs = read(s, d, "documents")
-    state = F.conv(F.substring(F.md5(F.substring("text", 1, 24)), 1, 13), 16, 10).cast("long")
+    state = F.conv(F.substring(F.md5("text"), 1, 13), 16, 10).cast("long")
     return docs.select(
         F.col("doc_id").alias("id"),
         T.split_name(F.col("doc_id").cast("string")).alias("split"),
         "source",
         F.lit("").alias("repo"),
         F.concat("source", F.lit("/"), "lang").alias("path"),
-        F.substring("text", 1, 6).alias("before"),
+        F.concat_ws("-", "lang", F.col("n_chars") % 50).alias("before"),
         F.md5("text").alias("after"),
         state.alias("state"),
         F.col("n_chars").alias("edit_size"),
@@ -131,8 +131,8 @@ QUERIES = {
     )
 }
 
-ENT = f"""ent AS (SELECT doc_id AS id, {split_sql('doc_id::VARCHAR')} AS split, source, source || '/' || lang AS path, text[1:6] AS before,
-  md5(text) AS after, ('0x' || substr(md5(text[1:24]), 1, 13))::BIGINT AS state, n_chars AS edit_size, lang AS cluster,
+ENT = f"""ent AS (SELECT doc_id AS id, {split_sql('doc_id::VARCHAR')} AS split, source, source || '/' || lang AS path, lang || '-' || n_chars % 50 AS before,
+  md5(text) AS after, ('0x' || substr(md5(text), 1, 13))::BIGINT AS state, n_chars AS edit_size, lang AS cluster,
   n_chars // 1000 AS shape, doc_id % 97 = 3 AS mutated FROM documents)"""
 HELD = "q AS (SELECT * FROM ent WHERE split <> 'train' ORDER BY sha256('0:' || id), id LIMIT 40)"
 HARD = f"""WITH {ENT}, {HELD}, p AS (SELECT q.id AS query_id, e.id, list_filter([

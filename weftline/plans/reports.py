@@ -21,20 +21,11 @@ MODES = ("AIR", "MAIL", "RAIL", "SHIP", "TRUCK")
 
 
 def decoy_scores(s, d):
-    """A query is an embedding divisible by 50; true score: first component, decoys: two others'."""
-    e = read(s, d, "embeddings").select(
-        "vec_id", *(F.round(F.col("embedding")[i].cast("double"), 3).alias(f"x{i}") for i in range(6))
-    )
-    q = e.where("vec_id % 50 = 0")
-    stack = F.array(
-        *(
-            F.struct(F.lit(c).alias("category"), F.col(f"x{i}").alias("decoy_score")) for i,
-            c in ((1, "random"), (2, "random"), (3, "same_file"), (4, "action_cluster"))
-        )
-    )
-    return q.select(
-        F.col("vec_id").alias("query_id"), F.col("x0").alias("true_score"), F.explode(stack).alias("x")
-    ).select("query_id", "true_score", "x.*")
+    """Every embedding is a query; its true score is the first component, decoys are all others."""
+    kinds = F.array(*map(F.lit, ("action_cluster", "random", "random", "same_file")))
+    e = read(s, d, "embeddings").select("vec_id", F.transform("embedding", lambda x: F.round(x.cast("double"), 3)).alias("x"))
+    each = e.select(F.col("vec_id").alias("query_id"), F.col("x")[0].alias("true_score"), F.posexplode("x").alias("i", "decoy_score"))
+    return each.where("i > 0").select("query_id", "true_score", F.element_at(kinds, F.col("i") % 4 + 1).alias("category"), "decoy_score")
 
 
 def surprise_metrics(s, d):
@@ -187,11 +178,10 @@ def loader_diagnostics(s, d):
 
 
 def pass_fail_records(s, d):
-    """Lines as completions of their order's supplier problem, checked on three inputs."""
-    c = candidates(s, d).where("task < 200").select(F.col("task").alias("problem_id"), "candidate_id")
-    expected = s.range(200).select(
-        F.col("id").alias("problem_id"), F.explode(F.array(*(F.lit(i) for i in range(3)))).alias("input_id")
-    ).withColumn("expected_hash", F.md5(F.concat_ws(":", "problem_id", "input_id")))
+    """Lines as completions of their order's problem, checked on three inputs."""
+    c = candidates(s, d).select(F.col("task").alias("problem_id"), "candidate_id")
+    expected = c.select("problem_id").distinct().withColumn("input_id", F.explode(F.array(*(F.lit(i) for i in range(3)))))
+    expected = expected.withColumn("expected_hash", F.md5(F.concat_ws(":", "problem_id", "input_id")))
     results = c.select("candidate_id", F.explode(F.array(F.lit(0), F.lit(1))).alias("input_id"), "problem_id").withColumn(
         "output_hash",
         F.when(
@@ -308,8 +298,9 @@ QUERIES = {
 }
 
 RERANK, AREAS = EVALUATION["rerank_pass_at_k"], EVALUATION["roc_auc"]
-DEC = """e AS (SELECT vec_id, list_transform(embedding[1:6], lambda x: round(x::DOUBLE, 3)) AS x FROM embeddings WHERE vec_id % 50 = 0),
-  s AS (SELECT vec_id AS query_id, x[1] AS true_score, unnest(['random', 'random', 'same_file', 'action_cluster']) AS category, unnest(x[2:5]) AS decoy_score FROM e)"""
+DEC = """e AS (SELECT vec_id, list_transform(embedding, lambda x: round(x::DOUBLE, 3)) AS x FROM embeddings),
+  s AS (SELECT vec_id AS query_id, x[1] AS true_score, unnest(list_transform(range(1, len(x)), lambda i: (['action_cluster', 'random', 'random', 'same_file'])[i % 4 + 1])) AS category,
+    unnest(x[2:]) AS decoy_score FROM e)"""
 WON = "CASE WHEN true_score < decoy_score THEN 1.0::DOUBLE WHEN true_score = decoy_score THEN 0.5 ELSE 0 END"
 SUR = (
     f"WITH {DEC}, m AS (SELECT category, count(*) AS pairs, round(avg({WON}), 9) AS auc FROM s GROUP BY 1 UNION ALL SELECT "
@@ -419,7 +410,7 @@ ORACLES = {
     ),
     "pass_fail_records": (
         f"WITH {CAND} SELECT task AS problem_id, count(*) * 3 AS cases, count(*) FILTER (WHERE substr(md5(candidate_id), 1, "
-        f"1) < '8') * 2 AS passed FROM c WHERE task < 200 GROUP BY 1"
+        f"1) < '8') * 2 AS passed FROM c GROUP BY 1"
     ),
     "candidate_labels": (
         f"WITH {CAND} SELECT task, CASE WHEN bool_and(static_ok AND (check_ok OR failure_class = 'SHIP')) THEN 'pass' ELSE "

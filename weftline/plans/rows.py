@@ -190,7 +190,7 @@ def latent_matrix(s, d):
 
 
 def correlations(s, d):
-    return B.correlations(vectors(s, d)).where("b < 6").select("a", "b", F.round("correlation", 6).alias("correlation"))
+    return B.correlations(vectors(s, d)).select("a", "b", F.round("correlation", 6).alias("correlation"))
 
 
 def supplier_lifts(s, d):
@@ -341,9 +341,8 @@ ORACLES = {
         r"''), '\s+', ' ', 'g')), 'ß', 'ss')) AS action_sha256 FROM conversations"
     ),
     "correlations": (
-        "WITH e AS (SELECT embedding::DOUBLE[] AS v FROM embeddings), p AS (SELECT a::INT AS a, b::INT AS b FROM range(6) "
-        "r(a), range(6) q(b) WHERE a < b) SELECT a, b, round(corr(v[a + 1], v[b + 1]), 6) AS correlation FROM e, p GROUP "
-        "BY a, b"
+        "WITH x2 AS (SELECT vec_id, unnest(embedding::DOUBLE[]) AS x, unnest(range(64))::INT AS dim FROM embeddings) SELECT p.dim AS a, q.dim "
+        f"AS b, round(corr(p.x, q.x), 6) AS correlation FROM x2 p JOIN x2 q ON p.vec_id = q.vec_id AND p.dim < q.dim GROUP BY ALL"
     ),
     "bootstrap_lift": LIFTS + " SELECT baseline, metric, tasks, round(lift, 9) AS lift, round(low, 9) AS low, round(high, 9) AS high FROM found",
     "interval_claim_gate": LIFTS + (
