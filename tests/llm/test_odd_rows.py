@@ -149,7 +149,6 @@ def test_language_on_odd_rows(spark):
         r.lang_pred for r in by[None]
     } and "und" in {r.lang_pred for r in by[7]} & {r.lang_pred for r in by[8]} & {r.lang_pred for r in by[9]}
     assert "fr" in {r.lang_pred for r in by[10]} and len(by[11]) == 3 and all(0 <= r.score <= 1 for r in got)
-    # the machines by hand: one row at a time gives what the map gives
     train = docs.where((F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 != 1) & F.col("doc_id").isNotNull())
     assert langid.identify(train.limit(0)).count() == 0
 

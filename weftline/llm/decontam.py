@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from . import bytescan as bs
 
-# 1 looks at the word, 0 ignores it.
+#: Masks of words in a row: 1 looks at the word, 0 ignores it.
 MASKS = ("11010011", "1110101", "1011000101")
 #: A stretch counts with so many equal words, a whole overlap with this share of an item's words.
 LEAST_WORDS = 12

@@ -29,7 +29,7 @@ PENALTY = 1e-4
 STEPS = 100
 UNKNOWN = "und"
 
-# Families of languages by ISO 639-1 code; another code is a family of its own.
+#: Families of languages by ISO 639-1 code; another code is a family of its own.
 FAMILIES = {
     "germanic": ("af", "da", "de", "en", "is", "nl", "no", "sv"),
     "romance": ("ca", "es", "fr", "gl", "it", "pt", "ro"),
