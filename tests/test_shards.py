@@ -1,11 +1,16 @@
 """Pair pools against listed pairs, readiness, areas of slices."""
 
+import hashlib
 import random
 from itertools import combinations
 
 import pytest
 
-from weftline.operators import shards
+from pyspark.sql import functions as F
+
+from weftline.functions import pystate
+from weftline.functions import text as T
+from weftline.operators import rows, shards
 
 ROW = "row_id int, split string, before_hash string, state long, after_hash string, repo string, path string, commit string, license string, action string, edit_size int, diff_shape string, action_text_tokens int, action_abs_tokens int"
 
@@ -36,14 +41,14 @@ def test_pools_equal_listed_pairs(spark, data):
 
 
 def test_readiness(spark, data):
-    rows = spark.createDataFrame(data, ROW)
-    quality = shards.metadata_quality(rows)
+    table = spark.createDataFrame(data, ROW)
+    quality = shards.metadata_quality(table)
     q = quality.first()
     assert (q.row_count, q.heldout_rows, q.rows_with_commit, q.rows_with_repo) == (80, sum(r[1] == "val" for r in data), sum(r[7] == "c" for r in data), sum(bool(r[5]) for r in data))
     assert q.action_text_nonempty_ratio == pytest.approx(sum(r[12] > 0 for r in data) / 80)
-    got = {r.check: r.failure for r in shards.claim_readiness(quality, shards.pair_pools(rows)).collect()}
+    got = {r.check: r.failure for r in shards.claim_readiness(quality, shards.pair_pools(table)).collect()}
     assert {c for c, why in got.items() if why} == {"action_text_nonempty_ratio", "action_abs_nonempty_ratio"}
-    none = rows.limit(0)
+    none = table.limit(0)
     assert all(r.failure for r in shards.claim_readiness(shards.metadata_quality(none), shards.pair_pools(none)).collect()) and shards.pair_pools(none).count() == 6
 
 
@@ -53,3 +58,50 @@ def test_areas_of_slices(spark):
     got = {(r.slice, r.value, r.method): (r.samples, r.auc) for r in shards.slice_areas(df, {"exception_class": "none", "source": "unknown"}).collect()}
     assert got["source", "a", "m"] == (3, 1.0) and got["source", "b", "m"] == (1, None) and got["exception_class", "E", "m"] == (2, None)
     assert got["exception_class", "none", "m"] == (2, None) and got["source", "a", "n"] == (3, None)
+
+
+def test_crash_scores(spark):
+    rng = random.Random(2)
+    rows = [(f"r{i}", [rng.random() for _ in range(3)], [rng.random() for _ in range(3)], rng.randint(0, 9), rng.choice(["exception", "value", None])) for i in range(20)]
+    df = spark.createDataFrame(rows, "record_id string, before array<double>, predicted array<double>, tokens int, output_kind string")
+    got = {(r.record_id, r.method): r.score for r in shards.crash_scores(df, 7).collect()}
+    norm = lambda v: sum(x * x for x in v) ** 0.5
+    for method, of in (("linear_code", lambda r: norm(r[1])), ("linear_predicted_output", lambda r: norm(r[2])), ("lexical", lambda r: r[3]),
+                       ("linear_code_input", lambda r: norm([a + b for a, b in zip(r[1], r[2], strict=True)]))):
+        low, high = min(map(of, rows)), max(map(of, rows))
+        assert all(got[r[0], method] == pytest.approx((of(r) - low) / (high - low)) for r in rows)
+    digest = hashlib.blake2b(b"7:r3", digest_size=8).digest()
+    assert got["r3", "random"] == int.from_bytes(digest, "big") / float(2**64 - 1) and len(got) == 120
+    assert all(got[r[0], "static"] == (r[4] == "exception") for r in rows)
+    same = {r.method: r.score for r in shards.crash_scores(df.limit(1)).collect()}
+    assert same["linear_code"] == same["lexical"] == 0.5 and shards.crash_scores(df.limit(0)).count() == 0
+
+
+def test_covering_seed_of_targets(spark):
+    data = [(i, i % 2, None if i % 9 else "big", "x" if i % 4 == 1 else None) for i in range(60)]
+    df = spark.createDataFrame(data, "p int, l int, magnitude string, length string")
+    for targets in ((), ("magnitude",), ("magnitude", "length")):
+        seed = rows.covering_seed(df, "p", "l", targets=targets)
+        for s in range(seed + 1):
+            split = {r.p: r.s for r in df.select("p", T.split_name(F.col("p").cast("string"), seed=str(s), train=0.8, val=0.1).alias("s")).collect()}
+            whole = all(
+                len({r[1] for r in data if split[r[0]] == name}) == 2 and all(any(r[{"magnitude": 2, "length": 3}[t]] for r in data if split[r[0]] == name) for t in targets)
+                for name in ("val", "test")
+            )
+            assert whole == (s == seed)
+    with pytest.raises(ValueError, match="no seed"):
+        rows.covering_seed(df.withColumn("none", F.lit(None).cast("string")), "p", "l", 70, targets=("none",))
+
+
+def test_text_decoys(spark):
+    df = spark.createDataFrame([("t1", "value = other + value"), ("t2", "1 + 2"), ("t3", ""), ("t4", None)], "id string, text string")
+    got = {r.id: [tuple(d) for d in r.d] for r in df.select("id", pystate.text_decoys(3, 5)("id", "text").alias("d")).collect()}
+    draw = random.Random(int.from_bytes(hashlib.sha256(b"5|t1|mutation").digest()[:8], "big"))
+    want = []
+    for i in range(3):
+        found = draw.choice([(0, 5), (8, 13), (16, 21)])
+        other = draw.choice(pystate.SUBSTITUTES)
+        while other == "value = other + value"[slice(*found)]:
+            other = draw.choice(pystate.SUBSTITUTES)
+        want.append((i, "value = other + value"[: found[0]] + other + "value = other + value"[found[1] :]))
+    assert got["t1"] == want and got["t2"][0] == (0, "1 + 2 # mutation") and got["t3"][2] == (2, " # mutation") and got["t4"] == []

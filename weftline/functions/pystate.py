@@ -6,6 +6,8 @@ Sources are parsed, never run. What doesn't parse gives null or no rows.
 from __future__ import annotations
 
 import ast
+import hashlib
+import random
 import re
 
 import pandas as pd
@@ -253,3 +255,38 @@ def synthetic_edits(files: DataFrame) -> DataFrame:
         ).alias("commit"),
         F.col("path").alias("path_before"), F.col("path").alias("path_after"), F.col("text").alias("before"), F.col("x.after").alias("after"), F.col("x.message").alias("message"), "license",
     )
+
+
+# What takes an identifier's place in a text decoy, and what marks a text without one.
+IDENTIFIER = re.compile(r"[A-Za-z_][A-Za-z_0-9]*")
+SUBSTITUTES = ("value", "result", "tmp", "delta", "counter", "result_v2")
+NO_IDENTIFIER = " # mutation"
+
+
+def _substituted(text: str, draw: random.Random) -> str:
+    found = list(IDENTIFIER.finditer(text))
+    if not found:
+        return text + NO_IDENTIFIER
+    one = draw.choice(found)
+    other = draw.choice(SUBSTITUTES)
+    while other == one.group():
+        other = draw.choice(SUBSTITUTES)
+    return f"{text[:one.start()]}{other}{text[one.end():]}"
+
+
+def text_decoys(count: int = 1, seed: int = 0):
+    """Column function of (id, text): up to count texts with one identifier in another's place.
+
+    Draws are those of a generator seeded by seed, id and category, one after the other.
+    """
+
+    @F.pandas_udf(T.ArrayType(T.StructType([T.StructField("position", T.IntegerType()), T.StructField("text", T.StringType())])))
+    def decoys(ident: pd.Series, text: pd.Series) -> pd.Series:
+        out = []
+        for i, t in zip(ident, text, strict=True):
+            draw = random.Random(int.from_bytes(hashlib.sha256(f"{seed}|{i}|mutation".encode()).digest()[:8], "big"))
+            made = [] if t is None else [(k, _substituted(t, draw)) for k in range(count)]
+            out.append([(k, m) for k, m in made if m != t])
+        return pd.Series(out, dtype=object)
+
+    return decoys

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -231,23 +234,33 @@ def benchmark_pack(tasks: DataFrame, candidates: DataFrame, generated: DataFrame
     return ranked.withColumn("candidate_id", checked)
 
 
-def covering_seed(rows: DataFrame, problem: str, label: str, attempts: int = 256, train: float = 0.8, val: float = 0.1) -> int:
-    """The first seed whose split gives val and test both labels, of at most so many.
+def covering_seed(
+    rows: DataFrame, problem: str, label: str, attempts: int = 256, train: float = 0.8, val: float = 0.1, targets: tuple[str, ...] = ()
+) -> int:
+    """The first seed whose split gives val and test two labels and a value of every target column.
 
-    All seeds are tried in one aggregation over the problems, in steps of 32.
+    Seeds are tried 64 at a time: each label and target has a bit for each of them and split, in
+    one pass over the problems.
     """
-    known = rows.where(F.col(label).isNotNull()).select(problem, F.col(label).alias("l")).distinct()
-    for at in range(0, attempts, 32):
-        some = range(at, min(at + 32, attempts))
-        counts = []
-        for seed in some:
-            split = T.split_name(F.col(problem).cast("string"), seed=str(seed), train=train, val=val)
-            counts += [F.count_distinct(F.when(split == s, F.col("l"))).alias(f"{s}_{seed}") for s in ("val", "test")]
-        found = known.agg(*counts).first()
-        for seed in some:
-            if found[f"val_{seed}"] >= 2 and found[f"test_{seed}"] >= 2:
+    kinds = F.array(
+        F.struct(F.lit("label").alias("kind"), F.col(label).cast("string").alias("value")),
+        *(F.struct(F.lit(f"target {t}").alias("kind"), F.when(F.col(t).isNotNull(), "").alias("value")) for t in targets),
+    )
+    known = rows.select(F.col(problem).cast("string").alias("p"), F.explode(kinds).alias("k")).select("p", "k.*").where("value is not null").distinct()
+    for at in range(0, attempts, 64):
+        some = range(at, min(at + 64, attempts))
+        split = {seed: T.split_name(F.col("p"), seed=str(seed), train=train, val=val) for seed in some}
+        bits = lambda s: F.bit_or(_either([F.when(split[x] == s, F.lit(1 << i if i < 63 else -(1 << 63))).otherwise(F.lit(0).cast("long")) for i, x in enumerate(some)]))
+        found = known.groupBy("kind", "value").agg(bits("val").alias("val"), bits("test").alias("test")).collect()  # a row for each label and target
+        for i, seed in enumerate(some):
+            has = {s: Counter(r.kind for r in found if r[s] >> i & 1) for s in ("val", "test")}
+            if all(has[s]["label"] >= 2 and all(has[s][f"target {t}"] for t in targets) for s in has):
                 return seed
-    raise ValueError("no seed gives val and test both labels")
+    raise ValueError("no seed gives val and test both labels and all targets")
+
+
+def _either(columns: list[Column]) -> Column:
+    return reduce(lambda a, b: a.bitwiseOR(b), columns)
 
 
 def seed_offset(text: Column) -> Column:

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as types_
 
 from ..functions import text as T
 from . import classify
@@ -104,3 +108,28 @@ def slice_areas(rows: DataFrame, slices: dict[str, str]) -> DataFrame:
     areas = classify.roc_auc(named.where("score is not null").select("group", "score", "label"), "group")
     keys = named.select("group", "slice", "value", "method").distinct()
     return keys.join(areas, "group", "left").join(sizes, ["slice", "value"]).select("slice", "value", "method", "samples", "auc")
+
+
+def crash_scores(rows: DataFrame, seed: int = 0) -> DataFrame:
+    """record_id, method, score: what may foretell that a record raises, each within 0 and 1.
+
+    rows: record_id, before and predicted (vectors), tokens (count of active tokens), output_kind.
+    Lengths of both vectors and of their sum and the token count are scaled by their extremes over
+    all rows (0.5 where all are equal); random is a hash, static whether the output is an exception.
+    """
+    length = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
+    both = F.zip_with("before", "predicted", lambda x, y: x + y)
+    raw = {"linear_code": length("before"), "linear_code_input": length(both), "linear_predicted_output": length("predicted"), "lexical": F.col("tokens").cast("double")}
+    each = rows.select("record_id", "output_kind", *(c.alias(n) for n, c in raw.items()))
+    ends = each.agg(*(F.struct(F.min(n).alias("low"), F.max(n).alias("high")).alias(f"e_{n}") for n in raw))  # one row
+    scaled = [F.when(F.col(f"e_{n}.high") == F.col(f"e_{n}.low"), 0.5).otherwise((F.col(n) - F.col(f"e_{n}.low")) / (F.col(f"e_{n}.high") - F.col(f"e_{n}.low"))).alias(n) for n in raw]
+    static = F.when(F.coalesce(F.col("output_kind"), F.lit("")) == "exception", 1.0).otherwise(0.0)
+    found = each.crossJoin(ends).select("record_id", *scaled, static.alias("static"), unit_hash(F.concat(F.lit(f"{seed}:"), "record_id")).alias("random"))
+    methods = (*raw, "static", "random")
+    return found.select("record_id", F.explode(F.array(*(F.struct(F.lit(m).alias("method"), F.col(m).alias("score")) for m in methods))).alias("x")).select("record_id", "x.*")
+
+
+@F.pandas_udf(types_.DoubleType())
+def unit_hash(text: pd.Series) -> pd.Series:
+    """A number from 0 to 1: eight bytes of a text's blake2b."""
+    return pd.Series([int.from_bytes(hashlib.blake2b(x.encode(), digest_size=8).digest(), "big") / float(2**64 - 1) for x in text.fillna("")], dtype="float64")

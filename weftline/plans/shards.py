@@ -44,7 +44,18 @@ def crash_slice_areas(s, d):
     return S.slice_areas(each, {"exception_class": "none", "source_dataset": "unknown"})
 
 
-QUERIES = {f.__name__: f for f in (shard_pair_pools, shard_readiness, crash_slice_areas)}
+def crash_scores(s, d):
+    """Embeddings as records: the prediction is the vector backwards; the hashed score has no SQL."""
+    e = read(s, d, "embeddings")
+    v = F.transform("embedding", lambda x: x.cast("double"))
+    records = e.select(
+        F.col("vec_id").cast("string").alias("record_id"), v.alias("before"), F.reverse(v).alias("predicted"), F.col("label").alias("tokens"),
+        F.when(F.col("label") == 3, "exception").alias("output_kind"),
+    )
+    return S.crash_scores(records).where("method <> 'random'").select("record_id", "method", F.round("score", 6).alias("score"))
+
+
+QUERIES = {f.__name__: f for f in (shard_pair_pools, shard_readiness, crash_slice_areas, crash_scores)}
 
 ROWS = f"""r AS (SELECT doc_id, {split_sql("doc_id::VARCHAR")} AS split, lang || '-' || n_chars % 40 AS before, ('0x' || substr(md5(lang || '-' || n_chars % 40), 1, 3))::BIGINT AS state,
   md5(text) AS after, source || chr(0) || lang AS file, lang || ':' || n_chars % 9 AS action, CASE WHEN n_chars <= 2 THEN 'xs' WHEN n_chars <= 10 THEN 's' WHEN n_chars <= 50 THEN 'm'
@@ -71,4 +82,9 @@ ORACLES = {
         (PARTITION BY slice, value, method, score) - 1) / 2.0 AS ar FROM z WINDOW w AS (PARTITION BY slice, value, method ORDER BY score)) SELECT slice, value, method, count(DISTINCT row_id) AS samples,
         CASE WHEN count(*) FILTER (WHERE label) > 0 AND count(*) FILTER (WHERE NOT label) > 0 THEN round((sum(ar) FILTER (WHERE label) - count(*) FILTER (WHERE label) * (count(*) FILTER (WHERE label)
         + 1) / 2.0) / (count(*) FILTER (WHERE label) * count(*) FILTER (WHERE NOT label))::DOUBLE, 9) END AS auc FROM k GROUP BY ALL""",
+    "crash_scores": """WITH e AS (SELECT vec_id::VARCHAR AS record_id, label, embedding::DOUBLE[] AS v, list_reverse(embedding::DOUBLE[]) AS w FROM embeddings), r AS (SELECT record_id, label,
+        unnest(['linear_code', 'linear_predicted_output', 'linear_code_input', 'lexical']) AS method, unnest([sqrt(list_dot_product(v, v)), sqrt(list_dot_product(w, w)),
+        sqrt(list_sum(list_transform(list_zip(v, w), lambda z: (z[1] + z[2]) ** 2))), label::DOUBLE]) AS x FROM e), m AS (SELECT method, min(x) AS low, max(x) AS high FROM r GROUP BY method)
+        SELECT record_id, r.method, round(CASE WHEN high = low THEN 0.5 ELSE (x - low) / (high - low) END, 6) AS score FROM r JOIN m ON m.method = r.method UNION ALL
+        SELECT record_id, 'static', CASE WHEN label = 3 THEN 1.0 ELSE 0.0 END FROM e""",
 }
