@@ -80,6 +80,7 @@ OTHER = "Smaller streams only move sand, and what they leave is gone by the next
         # names that only look like furniture
         (f'<body class="has-sidebar"><div class="no-ads shadow"><p>{PROSE}</div></body>', PROSE),
         ("<nav><a href=/>Home</a></nav><footer>End</footer>", ""),
+        (f'<article><div class="SIDEBAR">{OTHER}</div><div id="topAdBox">Buy</div><div class="hasAds download">{PROSE}</div></article>', PROSE),
         (f'<header><p>{OTHER}</header><article><header><h1>Rivers</h1></header><p>{PROSE}</p><footer>Tags</footer></article>', f"Rivers {PROSE}"),
         (f'<article><p>{PROSE}</article><article class="comment"><p>{OTHER} {OTHER}</article>', PROSE),
         (f'<body><p>{PROSE}<div role="complementary">{OTHER}</div><div hidden>{OTHER}</div><div style="display: none">{OTHER}</div>', PROSE),

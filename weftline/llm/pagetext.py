@@ -85,7 +85,7 @@ _TOKEN = re.compile(
     re.S,
 )
 _ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(\"[^\"]*\"?|'[^']*'?|[^\s>]+))?")
-_CLASS_WORDS = re.compile(r"[a-z]+|[A-Z][a-z]*")
+_CLASS_WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
 
 
 def _hints(value: str) -> set[str]:
