@@ -123,7 +123,7 @@ def test_odd_rows(spark):
     rows = [(1, "u", f"<article>{PROSE}</article>", "a", 5), (1, "u", f"<article>{PROSE}</article>", "a", 5), (None, None, None, None, None)]
     rows += [(2, "u", "", "", 0), (3, "v", long, "b", 1), (4, "w", deep, "c", 1), (5, "x", unclosed, "d", 1), (6, "y", "<<<>&#xZ;</", "e", 1)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, text string, n_chars int").repartition(3)
-    got = pagetext.main_text(pages)
+    got = pagetext.main_text(pages).cache()
     assert got.columns[:4] == ["page_id", "url", "text", "n_chars"] and got.count() == len(rows)
     by = {r.page_id: r for r in got.where("page_id is not null").collect()}
     assert got.where("page_id = 1 and n_chars = length(text)").count() == 2 and by[1].text == PROSE
