@@ -50,7 +50,8 @@ def calibration_report(s, d):
     rows = read(s, d, "documents").select(
         F.col("doc_id").alias("row_id"), (F.col("doc_id") % 3 == 0).alias("passed"), long.alias("scores"), F.col("lang").alias("benchmark"), F.col("source").alias("split")
     )
-    return C.calibration_report(rows, ["length", "other", "none"])
+    report = C.calibration_report(rows, ["length", "other", "none"])
+    return report.withColumns({c: F.round(c, 6) for c in ("average_precision", "brier")})
 
 
 def observed_accounting(s, d):
@@ -96,13 +97,13 @@ ORACLES = {
         z AS (SELECT *, 'overall' AS slice, '' AS value FROM p UNION ALL SELECT *, 'benchmark', lang FROM p UNION ALL SELECT *, 'split', source FROM p),
         c AS (SELECT baseline, slice, value, count(*) AS row_count, count(*) FILTER (WHERE kind = 'usable') AS usable, count(*) FILTER (WHERE kind = 'usable' AND passed) AS positive,
           count(*) FILTER (WHERE kind = 'usable' AND NOT passed) AS negative, count(*) FILTER (WHERE kind = 'missing') AS missing, count(*) FILTER (WHERE kind = 'invalid') AS invalid,
-          count(*) FILTER (WHERE kind = 'nonfinite') AS nonfinite, round(avg((p - passed::INT) ** 2), 9) AS brier, count(*) FILTER (WHERE p >= 0.5 AND passed) AS tp,
+          count(*) FILTER (WHERE kind = 'nonfinite') AS nonfinite, round(avg((p - passed::INT) ** 2), 6) AS brier, count(*) FILTER (WHERE p >= 0.5 AND passed) AS tp,
           count(*) FILTER (WHERE p >= 0.5 AND NOT passed) AS fp FROM z GROUP BY ALL),
         k AS (SELECT baseline, slice, value, passed, rank() OVER (PARTITION BY baseline, slice, value ORDER BY score) + (count(*) OVER (PARTITION BY baseline, slice, value, score) - 1) / 2.0 AS ar,
           row_number() OVER (PARTITION BY baseline, slice, value ORDER BY score DESC, doc_id) AS place, sum(passed::INT) OVER (PARTITION BY baseline, slice, value ORDER BY score DESC, doc_id
           ROWS UNBOUNDED PRECEDING) AS hits FROM z WHERE kind = 'usable'),
         a AS (SELECT baseline, slice, value, round((sum(ar) FILTER (WHERE passed) - count(*) FILTER (WHERE passed) * (count(*) FILTER (WHERE passed) + 1) / 2.0) / (count(*) FILTER (WHERE passed)
-          * count(*) FILTER (WHERE NOT passed))::DOUBLE, 9) AS roc_auc, round(avg(hits / place::DOUBLE) FILTER (WHERE passed), 9) AS average_precision FROM k GROUP BY ALL)
+          * count(*) FILTER (WHERE NOT passed))::DOUBLE, 9) AS roc_auc, round(avg(hits / place::DOUBLE) FILTER (WHERE passed), 6) AS average_precision FROM k GROUP BY ALL)
         SELECT c.baseline, c.slice, c.value, CASE WHEN usable = 0 AND missing = row_count THEN 'missing' WHEN usable = 0 THEN 'no_finite_scores' WHEN positive = 0 OR negative = 0 THEN 'single_class'
           ELSE 'ok' END AS status, row_count, usable, positive, negative, missing, invalid, nonfinite, CASE WHEN positive > 0 AND negative > 0 THEN roc_auc END AS roc_auc,
           CASE WHEN positive > 0 AND negative > 0 THEN average_precision END AS average_precision, brier, tp, fp
