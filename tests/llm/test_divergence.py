@@ -2,6 +2,8 @@
 
 import random
 import re
+import subprocess
+import sys
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -103,3 +105,8 @@ def test_odd_rows(spark):
     got = {tuple(r) for r in divergence.audit(docs).collect()}
     assert got == plain(rows) and any(r[4] > 0 for r in got)
     assert divergence.audit(docs.limit(0)).count() == 0
+
+
+def test_a_fresh_worker_finds_what_tiles_compute_with():
+    script = "import sys; from weftline.llm import divergence; assert 'pyarrow.compute' in sys.modules"
+    assert subprocess.run([sys.executable, "-c", script], check=False).returncode == 0  # conftest has it on PYTHONPATH

@@ -24,6 +24,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -238,9 +239,9 @@ def _tile(table: pa.Table) -> pa.Table:
     Rows without a term name the groups; ``side`` is 0 and 1 for the blocks, 0 alone for a block
     with itself.
     """
-    named = pa.compute.is_null(table.column("term"))
+    named = pc.is_null(table.column("term"))
     heads = table.filter(named)
-    body = table.filter(pa.compute.invert(named))
+    body = table.filter(pc.invert(named))
     source = heads.column("source").to_pylist()
     side = heads.column("side").to_numpy()
     size = heads.column("size").to_numpy() + heads.column("terms").to_numpy()
