@@ -118,6 +118,14 @@ def test_intervals_equal_a_plain_loop(spark, monkeypatch):
     assert few.tasks == 19 and few.low is None and few.high is None and few.lift is not None
 
 
+def test_draws_are_not_broadcast(spark):
+    rows = [(f"t{i}", m, float(i)) for i in range(30) for m in ("own", "a")]
+    found = resample.lift_intervals(spark.createDataFrame(rows, "task string, method string, x double"), "task", "own", ["a"], ["x"], rounds=50)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join [row" in line]
+    assert joins and all("ShuffledHashJoin" in line for line in joins)
+
+
 def test_interval_gate(spark):
     rows = [("a", "mrr", 0.1, 0.05), ("a", "hit", 0.1, 0.0), ("b", "mrr", 0.1, None), ("b", "hit", -0.1, 0.2), ("c", "hit", None, None)]
     got = {(r.baseline, r.metric): r.blocker for r in reports.interval_gate(spark.createDataFrame(rows, "baseline string, metric string, lift double, low double")).collect()}

@@ -171,7 +171,8 @@ def lift_intervals(
     spark = df.sparkSession
     means = rows.agg(*(F.avg(F.col("x")[i]).alias(f"m{i}") for i in range(len(names))))
     if n >= LEAST_TASKS and rounds > 0:
-        sums = drawn_rows(spark, n, rounds, seed).join(rows.select("row", "x"), "row").groupBy("round").agg(
+        # the planner takes the draws for as few as the tasks that make them: without the hint it would broadcast them
+        sums = drawn_rows(spark, n, rounds, seed).join(rows.select("row", "x").hint("shuffle_hash"), "row").groupBy("round").agg(
             *(F.sum(F.col("times") * F.col("x")[i]).alias(f"s{i}") for i in range(len(names)))
         )
         low, high = int(0.025 * (rounds - 1)), min(rounds - 1, math.ceil(0.975 * (rounds - 1)))
