@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from weftline.operators import decoys, pools
+from weftline.operators import decoys, pools, reports
 
 
 def firsts(rows, u, v, k):
@@ -73,3 +73,38 @@ def test_rejections_by_one_count(spark):
     entries = spark.createDataFrame([("a", "train"), ("b", "train"), ("c", "val"), ("d", None)], "id string, split string")
     got = {tuple(r) for r in pools.rejected_candidates(spark.createDataFrame([("a",), ("c",), ("x",)], "id string"), entries).collect()}
     assert got == {("a", 1, 1), ("c", 1, 2), ("x", 0, 2)}
+
+
+def _plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_only_one_of_rows_that_are_alike_reaches_python(spark, records):
+    first = lambda k: decoys.first_unlike(records, ["problem_id"], "record_id", "submission_id", "output", "input_id", F.sha2("record_id", 256), k)
+    assert "min(struct(o" in _plan(first(1)) and "min(struct(o" not in _plan(first(2))
+
+
+def test_skips_are_counted_without_joins(spark, records):
+    for category in ("same_problem_different_submission", "same_code_different_input"):
+        found = pools.decoy_skips(records, category)
+        assert "Join" not in _plan(found)
+        pairs = pools.decoy_pairs(records, category).count()
+        got = {r.reason: r.n for r in found.collect()}
+        assert got["paired"] == pairs and got["missing_ids"] == (2 if category == "same_code_different_input" else 3)
+
+
+def test_coverage_counts_pairs_by_decoy_first(spark):
+    pairs = spark.createDataFrame([("c", "a", "x"), ("c", "b", "x"), ("c", "y", "x"), ("c", "a", "y"), ("d", "y", "y")], "category string, query_id string, decoy_id string")
+    found = pools.scorable_coverage(pairs, spark.createDataFrame([("a",), ("b",), ("x",), ("x",)], "record_id string"))
+    assert _plan(found).count("Aggregate") == 4  # the records twice, pairs by decoy, the counts
+    assert sorted(map(tuple, found.collect())) == [("c", 4, 2, 2), ("d", 1, 0, 1)]
+
+
+def test_baselines_sort_no_pool(spark):
+    rows = [(t, i, i % 3 == 0, float(i % 4), f"f{i % 2}") for t in range(5) for i in range(t, 20)]
+    c = spark.createDataFrame(rows, "task int, id int, passed boolean, x double, failure_class string")
+    found = reports.pool_baselines(c, "task", {"up": [F.col("x"), F.col("id")], "down": [-F.col("x"), F.col("id")]})
+    assert "Window" not in _plan(found)
+    want = [sum(min((r for r in rows if r[0] == t), key=lambda r: (sign * r[3], r[1]))[2] for t in range(5)) / 5 for sign in (1, -1)]
+    got = found.first()
+    assert [got.up, got.down] == want and (got.problems, got.pool_min, got.pool_max) == (5, 16, 20)

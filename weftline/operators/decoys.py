@@ -75,6 +75,9 @@ def first_unlike(rows: DataFrame, keys: list[str], ident: str, u: str, v: str, n
     """
     slim = rows.select(*keys, order.alias("o"), F.col(ident).alias("id"), F.col(u).alias("u"), F.col(v).alias("v"), F.col(note).alias("note"))
     slim = slim.select(*(F.col(c).cast("string").alias(c) for c in slim.columns)).na.drop(subset=[*keys, "u", "v"])
+    if k == 1:  # of rows alike in both columns only the first can be anybody's
+        alike = slim.groupBy(*keys, "u", "v").agg(F.min(F.struct("o", "id", "note")).alias("m"))
+        slim = alike.select(*keys, "m.o", "m.id", "u", "v", "m.note")
     schema = ", ".join(f"{c} string" for c in slim.columns)
     step = partial(_summaries, keys=keys, k=k)
     parts = slim.mapInArrow(step, schema)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import pools as P
-from .common import read, split_sql
+from .common import lines, read, split_sql
 
 
 def entries(s, d):
@@ -56,7 +56,7 @@ def surprise_decoys(s, d):
 
 def executions(s, d):
     """Lines as executions: problem = order mod 500, submission = supplier mod 20, input = line number."""
-    li = read(s, d, "lineitem").groupBy(
+    li = lines(s, d).groupBy(
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"
     ).agg(F.max("l_returnflag").alias("output"))
     return li.select(
