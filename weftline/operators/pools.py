@@ -182,21 +182,18 @@ def decoy_skips(records: DataFrame, category: str, same_input_only: bool = True)
     for c in {key[0], "input_id"}:
         absent = absent | (F.coalesce(F.col(c), F.lit("")) == "")
     known = records.where(~absent)
-    # rows of the group, of the own side, and those with the same output
-    whole = known.groupBy(*key).agg(F.count(F.lit(1)).alias("group_n"))
-    side = known.groupBy(*key, unlike).agg(F.count(F.lit(1)).alias("side_n"))
-    alike = known.groupBy(*key, "output").agg(F.count(F.lit(1)).alias("alike_n"))
-    both = known.groupBy(*key, unlike, "output").agg(F.count(F.lit(1)).alias("both_n"))
-    counts = known.join(whole, key).join(side, [*key, unlike]).join(alike, [*key, "output"]).join(
-        both, [*key, unlike, "output"]
-    )
+    # rows are counted first; of the counts: rows of the group, of the own side, and those with the same output
+    over = lambda *c: F.sum("both_n").over(Window.partitionBy(*key, *c))
+    counts = known.groupBy(*key, unlike, "output").agg(F.count(F.lit(1)).alias("both_n"))
+    counts = counts.withColumn("group_n", over()).withColumn("side_n", over(unlike)).withColumn("alike_n", over("output"))
+    counts = counts.na.drop(subset=[unlike, "output"])
     others = F.col("group_n") - F.col("side_n")
     differing = others - (F.col("alike_n") - F.col("both_n"))
     none = "no_other_input" if code else "no_other_submission"
     reason = F.when(others == 0, none).when(differing == 0, "outputs_identical").otherwise("paired")
-    return counts.select(reason.alias("reason")).unionByName(
-        records.where(absent).select(F.lit("missing_ids").alias("reason"))
-    ).groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
+    return counts.select(reason.alias("reason"), "both_n").unionByName(
+        records.where(absent).select(F.lit("missing_ids").alias("reason"), F.lit(1).cast("long").alias("both_n"))
+    ).groupBy("reason").agg(F.sum("both_n").alias("n"))
 
 
 def semantic_decoys(records: DataFrame, per_query: int = 1, seed: str = "0") -> DataFrame:
@@ -245,11 +242,12 @@ def scorable_coverage(pairs: DataFrame, rows: DataFrame) -> DataFrame:
     """category, pairs, scorable, skipped: pairs whose two records are both among the rows."""
     have = rows.select(F.col("record_id").alias("r")).distinct().withColumn("there", F.lit(True))
     joined = pairs.join(have.withColumnRenamed("there", "q_there"), F.col("query_id") == F.col("r"), "left").drop("r")
-    joined = joined.join(have.withColumnRenamed("there", "d_there"), F.col("decoy_id") == F.col("r"), "left")
+    # a few records are the decoy of many, so pairs are counted by theirs before it is looked up
+    counted = joined.groupBy("category", "decoy_id", "q_there").agg(F.count(F.lit(1)).alias("n"))
+    counted = counted.join(have.withColumnRenamed("there", "d_there"), F.col("decoy_id") == F.col("r"), "left")
     both = F.col("q_there").isNotNull() & F.col("d_there").isNotNull()
-    return joined.groupBy("category").agg(
-        F.count(F.lit(1)).alias("pairs"), F.count_if(both).alias("scorable"), F.count_if(~both).alias("skipped")
-    )
+    among = lambda rule: F.sum(F.when(rule, F.col("n")).otherwise(0))
+    return counted.groupBy("category").agg(F.sum("n").alias("pairs"), among(both).alias("scorable"), among(~both).alias("skipped"))
 
 
 def surprise_decoys(queries: DataFrame, entries: DataFrame, per_category: int = 3, seed: str = "0") -> DataFrame:
