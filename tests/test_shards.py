@@ -105,3 +105,12 @@ def test_text_decoys(spark):
             other = draw.choice(pystate.SUBSTITUTES)
         want.append((i, "value = other + value"[: found[0]] + other + "value = other + value"[found[1] :]))
     assert got["t1"] == want and got["t2"][0] == (0, "1 + 2 # mutation") and got["t3"][2] == (2, " # mutation") and got["t4"] == []
+
+
+def test_slices_rank_counts_and_not_rows(spark, monkeypatch):
+    seen = []
+    counted = shards.classify.counted_auc
+    monkeypatch.setattr(shards.classify, "counted_auc", lambda rows, by: seen.append(rows.count()) or counted(rows, by), raising=True)
+    table = [(f"r{i}", "m", float(i % 2), i % 3 % 2, "k") for i in range(300)]
+    found = shards.slice_areas(spark.createDataFrame(table, "row_id string, method string, score double, label int, kind string"), {"kind": "none"}).first()
+    assert seen == [2] and found.samples == 300 and found.auc == pytest.approx(0.5)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import stored
+
 BINS = 10
 
 
@@ -42,8 +44,14 @@ def roc_auc(rows: DataFrame, by: str = "method") -> DataFrame:
     the sums of the ranges below, so no group is one task.
     """
     label = F.col("label").cast("long")
-    ranged = rows.withColumn("range", _ranges(rows, by))
-    counts = ranged.groupBy(by, "range", "score").agg(F.sum(label).alias("pos"), F.sum(1 - label).alias("neg"))
+    return counted_auc(rows.groupBy(by, "score").agg(F.sum(label).alias("pos"), F.sum(1 - label).alias("neg")), by)
+
+
+def counted_auc(rows: DataFrame, by: str) -> DataFrame:
+    """:func:`roc_auc` of counts: by, score, pos, neg; a score may come in several rows."""
+    sums = rows.groupBy(by, "score").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    counts = stored(sums, "scores")  # once for the ranges, once for the sums
+    counts = counts.withColumn("range", _ranges(counts, by))
     before = _before(counts.groupBy(by, "range").agg(F.sum("neg").alias("neg")), by, ["neg"])
     inside = F.coalesce(
         F.sum("neg").over(Window.partitionBy(by, "range").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)

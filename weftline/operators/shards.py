@@ -102,10 +102,14 @@ def slice_areas(rows: DataFrame, slices: dict[str, str]) -> DataFrame:
     A value whose samples have one label has no area. Slices are counted over distinct row_ids.
     """
     stack = F.array(*(F.struct(F.lit(c).alias("slice"), F.when(F.coalesce(F.col(c), F.lit("")) == "", F.lit(other)).otherwise(F.col(c)).alias("value")) for c, other in slices.items()))
-    each = rows.select("row_id", "method", "score", "label", F.explode(stack).alias("x")).select("row_id", "method", "score", "label", "x.slice", "x.value")
-    sizes = each.groupBy("slice", "value").agg(F.count_distinct("row_id").alias("samples"))
-    named = each.withColumn("group", F.concat_ws("\0", "slice", "value", "method"))
-    areas = classify.roc_auc(named.where("score is not null").select("group", "score", "label"), "group")
+    # rows come once for each method: what is counted over rows is counted over distinct ones
+    told = rows.select("row_id", *slices).distinct().select("row_id", F.explode(stack).alias("x"))
+    sizes = told.groupBy("x.slice", "x.value").agg(F.count_distinct("row_id").alias("samples"))
+    label = F.col("label").cast("long")
+    named = rows.groupBy("method", "score", *slices).agg(F.sum(label).alias("pos"), F.sum(1 - label).alias("neg"))
+    named = named.select("method", "score", "pos", "neg", F.explode(stack).alias("x")).select("method", "score", "pos", "neg", "x.slice", "x.value")
+    named = named.withColumn("group", F.concat_ws("\0", "slice", "value", "method"))
+    areas = classify.counted_auc(named.where("score is not null").select("group", "score", "pos", "neg"), "group")
     keys = named.select("group", "slice", "value", "method").distinct()
     return keys.join(areas, "group", "left").join(sizes, ["slice", "value"]).select("slice", "value", "method", "samples", "auc")
 
