@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import pyast
 from ..functions import text as T
 from ..operators import curation as C
+from ..sources import shared
 from .common import LICENSED_SQL, read, records, split_sql
 
 KEY = "(source || '/' || doc_id::VARCHAR)"
@@ -62,9 +63,12 @@ def split_dedup_report(s, d):
 
 
 def split_dedup_near(s, d):
-    """split_dedup with the near step: a simhash within 3 bits of a train row's leaks too."""
-    r = records(s, d).withColumn("state", pyast.simhash("text"))
-    return C.split_dedup(r, "transition", "pair", "doc_id", "state").select(
+    """split_dedup with the near step: a simhash within 3 bits of a train row's leaks too.
+
+    Keys are made of the texts once and written; three sides of the joins read them.
+    """
+    r = records(s, d).select("doc_id", "split", "pair", "transition", pyast.simhash("text").alias("state"))
+    return C.split_dedup(shared.stored(r, "keys"), "transition", "pair", "doc_id", "state").select(
         "doc_id", "split", "drop_reason", "match_type", "matched_id"
     )
 
