@@ -35,3 +35,22 @@ def test_simhash_equals_a_plain_version(spark):
 def test_near_split_makes_its_keys_once(spark):
     df = catalogue.QUERIES["split_dedup_near"](spark, FOLDER)
     assert "ArrowEvalPython" not in plan(df) and "documents.parquet" not in plan(df)
+
+
+def test_block_distances_go_by_steps(monkeypatch):
+    import pyarrow as pa
+    from weftline.operators import ranking
+
+    rng = np.random.default_rng(1)
+    q, v = rng.normal(size=(7, 3)), rng.normal(size=(5, 3))
+    packed = {
+        "id": np.arange(5), "own": np.arange(5) % 2, "v": v, "query_id": np.arange(7) + 100, "label": np.arange(7) % 2, "q": q
+    }
+    batch = pa.RecordBatch.from_pydict({c: pa.array([x.tobytes()] * 2, pa.binary()) for c, x in packed.items()})
+    monkeypatch.setattr(ranking, "QUERY_STEP", 3)
+    steps = list(ranking._steps([batch]))
+    assert [len(x["query_id"]) for x in steps] == [3, 3, 1] * 2
+    assert np.array_equal(np.concatenate([x["q"] for x in steps[:3]]), q) and all(np.array_equal(x["v"], v) for x in steps)
+    for c in ("query_id", "label"):
+        assert np.array_equal(np.concatenate([x[c] for x in steps[:3]]), packed[c])
+    assert all(np.array_equal(x["own"], packed["own"]) and not x["v"].flags.owndata for x in steps)

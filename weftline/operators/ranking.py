@@ -26,8 +26,10 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(norm == 0, 0.0).otherwise(dot(a, b) / norm)
 
 
-#: Queries and rows that are compared in one step.
-QUERY_BLOCK, ROW_BLOCK = 512, 8192
+#: Queries and rows of a block, and queries whose distances to a block of rows are held at once.
+QUERY_BLOCK, ROW_BLOCK, QUERY_STEP = 512, 8192, 64
+#: Further columns that belong to the queries of a pair of blocks.
+QUERY_COLUMNS = ("label", "limit", "target")
 
 
 def _packed(size: int, columns: tuple[str, ...]):
@@ -62,6 +64,24 @@ def _block_pairs(queries: DataFrame, rows: DataFrame, extra: tuple[tuple[str, st
     return r.crossJoin(q)
 
 
+def _steps(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]]:
+    """The columns of ``QUERY_STEP`` queries and a block of rows at a time.
+
+    Columns are views of the batch: q has a row for each query, v one for each row; what the
+    queries bring (``QUERY_COLUMNS``) is cut with them.
+    """
+    for batch in batches:
+        for i in range(batch.num_rows):
+            one = {c: batch.column(c)[i].as_buffer() for c in batch.schema.names}
+            ask, ids = np.frombuffer(one["query_id"], np.int64), np.frombuffer(one["id"], np.int64)
+            q, v = np.frombuffer(one["q"]).reshape(len(ask), -1), np.frombuffer(one["v"]).reshape(len(ids), -1)
+            whole = {c: np.frombuffer(one[c], np.int64) for c in one.keys() - {"query_id", "id", "q", "v"}}
+            for at in range(0, len(ask), QUERY_STEP):
+                part = slice(at, at + QUERY_STEP)
+                own = {c: x[part] for c, x in whole.items() if c in QUERY_COLUMNS}
+                yield {**whole, **own, "query_id": ask[part], "id": ids, "q": q[part], "v": v}
+
+
 def _distances(x: np.ndarray, y: np.ndarray, distance: str) -> np.ndarray:
     """Distances of all rows of x and y by a matrix product; near ones are computed anew later."""
     if distance == "l2":
@@ -78,20 +98,18 @@ def nearest(queries: DataFrame, rows: DataFrame, k: int, distance: str = "l2") -
     """
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                ask, ids = np.frombuffer(row["query_id"], np.int64), np.frombuffer(row["id"], np.int64)
-                q, v = np.frombuffer(row["q"]).reshape(len(ask), -1), np.frombuffer(row["v"]).reshape(len(ids), -1)
-                d = _distances(q, v, distance)
-                d[ask[:, None] == ids[None]] = np.inf
-                keep = min(k, len(ids))
-                limit = np.partition(d, keep - 1, axis=1)[:, keep - 1]
-                i, j = np.nonzero(d <= (limit + 2e-6)[:, None])  # ties after rounding stay
-                i, j = i[np.isfinite(d[i, j])], j[np.isfinite(d[i, j])]
-                exact = ((q[i] - v[j]) ** 2).sum(axis=1) if distance == "l2" else d[i, j]
-                yield pa.RecordBatch.from_pydict(
-                    {"query_id": pa.array(ask[i]), "id": pa.array(ids[j]), "distance": pa.array(exact)}
-                )
+        for row in _steps(batches):
+            ask, ids, q, v = row["query_id"], row["id"], row["q"], row["v"]
+            d = _distances(q, v, distance)
+            d[ask[:, None] == ids[None]] = np.inf
+            keep = min(k, len(ids))
+            limit = np.partition(d, keep - 1, axis=1)[:, keep - 1]
+            i, j = np.nonzero(d <= (limit + 2e-6)[:, None])  # ties after rounding stay
+            i, j = i[np.isfinite(d[i, j])], j[np.isfinite(d[i, j])]
+            exact = ((q[i] - v[j]) ** 2).sum(axis=1) if distance == "l2" else d[i, j]
+            yield pa.RecordBatch.from_pydict(
+                {"query_id": pa.array(ask[i]), "id": pa.array(ids[j]), "distance": pa.array(exact)}
+            )
 
     found = _block_pairs(
         queries.select("query_id", F.col("q").alias("v")), rows
@@ -121,41 +139,33 @@ def nearest_target_ranks(queries: DataFrame, rows: DataFrame) -> DataFrame:
     digits, ties by id. Targets come first; then every step only counts what beats them.
     """
 
-    def unpack(row: dict) -> tuple[np.ndarray, ...]:
-        ask, ids = np.frombuffer(row["query_id"], np.int64), np.frombuffer(row["id"], np.int64)
-        q, v = np.frombuffer(row["q"]).reshape(len(ask), -1), np.frombuffer(row["v"]).reshape(len(ids), -1)
-        d = np.round(_distances(q, v, "l2"), 6)
-        d[ask[:, None] == ids[None]] = np.inf
-        return ask, ids, d
+    def ranked(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict[str, np.ndarray], np.ndarray]]:
+        for row in _steps(batches):
+            d = np.round(_distances(row["q"], row["v"], "l2"), 6)
+            d[row["query_id"][:, None] == row["id"][None]] = np.inf
+            yield row, d
 
     def targets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                ask, ids, d = unpack(row)
-                same = np.frombuffer(row["label"], np.int64)[:, None] == np.frombuffer(row["own"], np.int64)[None]
-                d = np.where(same, d, np.inf)
-                least = d.min(axis=1)
-                at = np.where(d == least[:, None], ids[None], np.iinfo(np.int64).max).min(axis=1)
-                good = np.isfinite(least)
-                yield pa.RecordBatch.from_pydict(
-                    {"query_id": pa.array(ask[good]), "d": pa.array(least[good]), "target": pa.array(at[good])}
-                )
+        for row, d in ranked(batches):
+            d[row["label"][:, None] != row["own"][None]] = np.inf
+            least = d.min(axis=1)
+            at = np.where(d == least[:, None], row["id"][None], np.iinfo(np.int64).max).min(axis=1)
+            good = np.isfinite(least)
+            yield pa.RecordBatch.from_pydict(
+                {"query_id": pa.array(row["query_id"][good]), "d": pa.array(least[good]), "target": pa.array(at[good])}
+            )
 
     def better(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                ask, ids, d = unpack(row)
-                limit, target = np.frombuffer(row["limit"], np.int64).view(np.float64)[:, None], np.frombuffer(
-                    row["target"], np.int64
-                )[:, None]
-                wins = ((d < limit) | ((d == limit) & (ids[None] < target))).sum(axis=1)
-                yield pa.RecordBatch.from_pydict(
-                    {
-                        "query_id": pa.array(ask),
-                        "wins": pa.array(wins.astype(np.int64)),
-                        "others": pa.array(np.isfinite(d).sum(axis=1).astype(np.int64))
-                    }
-                )
+        for row, d in ranked(batches):
+            limit, target = row["limit"].view(np.float64)[:, None], row["target"][:, None]
+            wins = ((d < limit) | ((d == limit) & (row["id"][None] < target))).sum(axis=1)
+            yield pa.RecordBatch.from_pydict(
+                {
+                    "query_id": pa.array(row["query_id"]),
+                    "wins": pa.array(wins.astype(np.int64)),
+                    "others": pa.array(np.isfinite(d).sum(axis=1).astype(np.int64))
+                }
+            )
 
     asked = queries.select("query_id", F.col("q").alias("v"), "label")
     found = _block_pairs(
