@@ -54,3 +54,19 @@ def test_block_distances_go_by_steps(monkeypatch):
     for c in ("query_id", "label"):
         assert np.array_equal(np.concatenate([x[c] for x in steps[:3]]), packed[c])
     assert all(np.array_equal(x["own"], packed["own"]) and not x["v"].flags.owndata for x in steps)
+
+
+def test_a_normal_source_is_parsed_once(monkeypatch):
+    import ast
+
+    from weftline.functions import codepack, pystate
+
+    plain, marked = "def f(a):\n    x = g(a) + 1\n    return x", "def f(a):\n    'doc'\n    return 1234567890123456"
+    for text in (plain, marked, "x = '%s'" % ("a" * 97), "class A:\n    y = 'a'", "'doc'"):
+        tree = ast.parse(text)
+        assert pystate.is_normal(tree) == (ast.dump(tree) == ast.dump(pystate._Normal().visit(ast.parse(text))))
+    parses = []
+    monkeypatch.setattr(codepack.ast, "parse", lambda text, f=ast.parse: parses.append(text) or f(text))
+    assert codepack.normal_primary(plain, [False, True, False]) == (plain.splitlines(), [False, True, False])
+    assert parses == [plain]
+    assert codepack.normal_primary(marked, [False, False, True])[1] == [False, True]
