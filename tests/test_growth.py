@@ -70,3 +70,20 @@ def test_a_normal_source_is_parsed_once(monkeypatch):
     assert codepack.normal_primary(plain, [False, True, False]) == (plain.splitlines(), [False, True, False])
     assert parses == [plain]
     assert codepack.normal_primary(marked, [False, False, True])[1] == [False, True]
+
+
+def test_counted_cases_equal_records(spark):
+    from pyspark.sql import functions as F
+    from weftline.operators import reports
+
+    c = spark.createDataFrame([("p", "a"), ("p", "b"), ("q", "c"), ("r", "d"), ("q", "e")], "problem_id string, completion_id string")
+    e = spark.createDataFrame(
+        [("p", 0, "x"), ("p", 1, "y"), ("p", 2, None), ("q", 0, "x"), ("s", 0, "x")], "problem_id string, input_id int, expected_hash string"
+    )
+    r = spark.createDataFrame(
+        [("a", 0, "x"), ("a", 1, "z"), ("b", 0, "x"), ("b", 1, "y"), ("b", 2, None), ("c", 1, "x"), ("d", 0, "x"), ("f", 0, "x")],
+        "completion_id string, input_id int, output_hash string"
+    )
+    want = reports.pass_fail_records(c, e, r).groupBy("problem_id").agg(F.count(F.lit(1)).alias("n"), F.count_if("passed").alias("p"))
+    got = {tuple(x) for x in reports.pass_fail_counts(c, e, r).collect()}
+    assert got == {tuple(x) for x in want.collect()} == {("p", 6, 3), ("q", 2, 0)}
