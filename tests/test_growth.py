@@ -87,3 +87,11 @@ def test_counted_cases_equal_records(spark):
     want = reports.pass_fail_records(c, e, r).groupBy("problem_id").agg(F.count(F.lit(1)).alias("n"), F.count_if("passed").alias("p"))
     got = {tuple(x) for x in reports.pass_fail_counts(c, e, r).collect()}
     assert got == {tuple(x) for x in want.collect()} == {("p", 6, 3), ("q", 2, 0)}
+
+
+def test_sources_of_a_small_file_are_spread(spark):
+    from weftline.plans import code
+
+    f = code.files(spark, FOLDER)
+    assert f.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions")) > 1
+    assert f.count() == spark.read.parquet(f"{FOLDER}/supplier.parquet").count()

@@ -14,13 +14,13 @@ from ..operators import curation as C
 from ..operators import ranking as R
 from ..sources import execution as X
 from ..sources import packs, shared, sinks
-from .common import LICENSED_SQL, read, records, split_sql
+from .common import LICENSED_SQL, read, records, split_sql, spread
 from .curation import transitions
 
 
 def files(s, d):
     """suppkey, n (nation), text: a function of one parameter for every supplier."""
-    p = read(s, d, "supplier").select(F.col("s_suppkey").alias("suppkey"), F.col("s_nationkey").alias("n"))
+    p = spread(read(s, d, "supplier").select(F.col("s_suppkey").alias("suppkey"), F.col("s_nationkey").alias("n")), "suppkey")
     text = F.concat(
         F.lit("def f"), F.col("suppkey"), F.lit("(value):\n    x = value + "), F.col("n"), F.lit("\n    return x < 3\n")
     )
