@@ -95,3 +95,13 @@ def test_sources_of_a_small_file_are_spread(spark):
     f = code.files(spark, FOLDER)
     assert f.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions")) > 1
     assert f.count() == spark.read.parquet(f"{FOLDER}/supplier.parquet").count()
+
+
+def test_calibrator_writes_each_row_once(spark, monkeypatch):
+    from weftline.operators import calibrator
+
+    rows = spark.range(40).selectExpr("id", "cast(id % 5 as int) AS fold", "cast(id as double) AS a", "cast(id % 3 = 0 as int) AS y")
+    written = []
+    monkeypatch.setattr(calibrator, "stored", lambda df, name, f=calibrator.stored: written.append(f(df, name)) or written[-1])
+    assert calibrator.out_of_fold(rows, ["a"], "y").count() == 40
+    assert [x.count() for x in written] == [40]

@@ -69,9 +69,10 @@ def out_of_fold(
     folds; the weights are those that minimise the regularised loss. A descent of some hundred
     steps of a fixed length ends near them, so its probabilities differ by what it still lacks.
 
-    The rows with their standardised features are written once and read for each step.
+    The rows are written once, each of them one time, and read for each step, which makes the
+    standardised features of all folds from them.
     """
-    z = stored(standardised(rows, features, folds), "folds")
+    z = standardised(stored(rows, "folds"), features, folds)
     d = len(features) + 1
     inputs = [F.col("z")[i] for i in range(d - 1)] + [F.lit(1.0)]
     weights = np.zeros((folds, d))
