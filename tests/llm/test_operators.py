@@ -239,6 +239,32 @@ def test_mixer_costs_equal_a_bit_by_bit_coder():
     assert mixer.cost(data, borders) == pytest.approx(want, rel=1e-4)
 
 
+def test_equal_contexts_are_looked_up_once():
+    texts = [b"the cat sat on the mat \n", b"\n", b"a dog on a mat \n", b"cat the mat \n"] * 50
+    data, borders = np.frombuffer(b"".join(texts), np.uint8), np.append(0, np.cumsum([len(x) for x in texts]))
+    code = mixlm.byte_code(np.bincount(data, minlength=256))
+    hashes, place = mixlm.contexts(data, borders)
+    kinds, met = 0, Counter()
+    for order, parts in mixlm._blocks(code, data, borders):
+        assert sorted(order.tolist()) == list(range(len(data)))
+        for bits in parts:
+            kinds += len(bits.gate)
+            rows = [np.repeat(x, bits.times) for x in bits.slots]
+            rows.insert(mixlm.PAIR, bits.pair)
+            met.update((bits.one, *x) for x in zip(*(x.tolist() for x in rows), strict=True))
+    want = Counter()
+    for at, byte in enumerate(data.tolist()):  # every bit of every byte by itself
+        for step in range(int(code.starts[byte]), int(code.starts[byte] + code.lengths[byte])):
+            node = int(code.nodes[step])
+            key = node * 0x9E3779B97F4A7C15 % 2**64
+            want[
+                int(code.bits[step]),
+                int(hashes[0][at]) << 8 | node,
+                *((int(h[at]) ^ key) * 0xD6E8FEB86659FD93 % 2**64 >> 64 - n for h, n in zip(hashes[1:], mixlm.TABLES[1:], strict=True))
+            ] += 1
+    assert met == want and kinds < sum(want.values()) / 40
+
+
 def test_byte_code_is_complete_and_follows_counts():
     code = mixlm.byte_code(np.array([1000 if i == 32 else 10 if i < 128 else 0 for i in range(256)]))
     assert sum(2.0 ** -int(x) for x in code.lengths) == 1 and code.lengths[32] == 1 < code.lengths[65] < code.lengths[200]

@@ -9,6 +9,10 @@ of a fixed size. Their stretched probabilities are added with weights that a gat
 in the word, place in the code, how often the word so far was seen), squashed, and refined by an
 adaptive map of (gate, probability) to what really followed. The total code length is the score.
 
+Equal bytes of a block that follow the same word so far and the same four bytes are of one kind:
+all tables but that of the previous word say the same of them, so these are looked up, counted
+and added up once for each kind, with the same results as byte by byte.
+
 Word counts, the byte code, the predictors' counts, the weights and the adaptive map cover all
 training documents. The weights are learned in ``STEPS``: each step sums gradient, curvature and
 hits over its share of the documents, task by task, with each bit's own occurrence taken out of
@@ -36,25 +40,36 @@ from .storage import stored
 #: log2 of the slots of each context's table: last 1, 2, 3, 4 bytes, previous word and word so
 #: far, word so far. The first is exact, the others are hashed.
 TABLES = (16, 20, 21, 22, 22, 22)
+#: The table of the previous word and the word so far; what the others say is told by fewer bytes.
+PAIR = 4
+_ALONE = tuple(k for k in range(len(TABLES)) if k != PAIR)
+#: Last bytes of the longest context of bytes.
+_NEAR = 4
 #: Commonest words held in memory for the base; the others are joined.
 DICTIONARY = 1 << 20
 #: Shares of the training documents (parts of 16, by hash of the text) of the learning steps, and
 #: what older steps' curvature still counts.
 STEPS, MEMORY = ((0, 1), (1, 2), (2, 4), (4, 8), (8, 16)), 0.5
 #: Bytes of text whose contexts are held at once, and bytes coded in one go.
-TEXT_BYTES, BLOCK = 256 << 10, 1 << 14
+TEXT_BYTES, BLOCK = 1_000_000, 1 << 20
+#: Kinds of bits after which a step's sums by gate are taken.
+KINDS = 1 << 18
 FLUSH = 4_000_000
 CHUNK = 1 << 16
 END = b"\n"
 GATES, LEVELS = 512, 33
 WIDTH = len(TABLES) + 1
+#: Predictions, the constant among them, that are the same for all bits of a kind.
+_OWN = [*_ALONE, WIDTH - 1]
 #: Sightings of the word so far at which the next gate begins.
 SURE = (1, 3, 8, 32, 128, 512, 4096)
 _SURE = np.searchsorted(SURE, np.arange(SURE[-1] + 1), side="right")
 #: Share of the adaptive map in the final probability.
 REFINED = 0.15
 _U = np.uint64
-_ODD = _U(0x9E3779B97F4A7C15)
+_MULTIPLIER = _U(0xD6E8FEB86659FD93)
+#: What a node of the byte code adds to a context hash.
+_NODES = np.arange(256, dtype=_U) * _U(0x9E3779B97F4A7C15)
 _OFFSETS = np.append(0, np.cumsum([1 << size for size in TABLES]))
 #: log(count + 0.4), for stretched probabilities.
 _LOG = np.log(np.arange(1 << 16) + 0.4).astype(np.float32)
@@ -111,67 +126,155 @@ def byte_code(counts: np.ndarray) -> Code:
     return Code(np.cumsum(lengths) - lengths, lengths, flat[:, 0], flat[:, 1])
 
 
-def contexts(data: np.ndarray, borders: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
-    """(context hash of each table for each byte, place in the word); borders are texts'."""
-    at = np.arange(len(data))
-    text = np.repeat(borders[:-1], np.diff(borders))
-    first = at == text
-    first[1:] |= data[:-1] == 32
-    starts = np.maximum.accumulate(np.where(first, at, 0))
-    earlier = np.maximum(starts[np.maximum(starts - 1, 0)], text)
-    place, inside = at - starts, at - text
-    last, history = [], np.zeros(len(data), _U)
-    for back in range(1, 5):
-        byte = np.zeros(len(data), _U)
-        byte[back:] = data[:-back]
-        history = history | np.where(inside >= back, byte + _U(1), _U(0)) << _U(9 * (back - 1))
-        last.append(history)
-    values = data.astype(_U) + _U(1)
-    whole = bs.spans_hash(values, starts, at)
-    pair = bs.mix(bs.spans_hash(values, earlier, starts), 9) ^ whole
-    # no byte of a text is 0, so the first table's contexts are the last byte, or 0 at a start
-    return [np.maximum(last[0], _U(1)) - _U(1), *(bs.mix(x, 10 + i) for i, x in enumerate((*last[1:], pair, whole)))], place
-
+class Text:
+    """Running text with borders of its rows: context hashes of any of its bytes."""
+
+    def __init__(self, data: np.ndarray, borders: np.ndarray) -> None:
+        self.data, self.borders = data, borders
+        first = np.zeros(len(data) + 1, bool)
+        first[1:] = np.append(data[:-1] == 32, False)[: len(data)]
+        first[borders] = True
+        self.words = np.flatnonzero(first[:-1])
+        opening = np.zeros(len(data) + 1, bool)
+        opening[borders] = True
+        lengths = np.diff(np.append(self.words, len(data)))
+        up, down = bs.powers(bs._BASE, len(data))
+        total = np.zeros(len(data) + 1, _U)
+        with np.errstate(over="ignore"):
+            values = data.astype(_U)
+            values += _U(1)
+            values *= up[: len(data)]
+            np.cumsum(values, out=total[1:])
+            begun = total[self.words]
+            before = np.zeros(len(self.words), _U)
+            before[1:] = (begun[1:] - begun[:-1]) * down[self.words[:-1]]
+            before[opening[self.words]] = 0  # a row's first word has none before it
+            del values
+            #: hash of the word so far, and of that and the word before it
+            self.whole = total[:-1]
+            self.whole -= np.repeat(begun, lengths)
+            self.whole *= np.repeat(down[self.words], lengths)
+        self.pair = np.repeat(bs.mix(before, 9), lengths)
+        self.pair ^= self.whole
+        self.place = np.arange(len(data), dtype=np.int32)
+        self.place -= np.repeat(self.words.astype(np.int32), lengths)
+
+    def history(self, at: np.ndarray) -> np.ndarray:
+        """The last four bytes of the row before each of some bytes, 9 bits each, 0 for none."""
+        inside = at - self.borders[np.searchsorted(self.borders, at, side="right") - 1]
+        out = np.zeros(len(at), _U)
+        for back in range(1, 5):
+            byte = self.data[np.maximum(at - back, 0)].astype(_U) + _U(1)
+            out |= np.where(inside >= back, byte, _U(0)) << _U(9 * (back - 1))
+        return out
+
+    def hashes(self, at: np.ndarray) -> list[np.ndarray]:
+        """The context hashes of some bytes for each table but that of the pair, in their order."""
+        history = self.history(at)
+        # no byte of a text is 0, so the first table's contexts are the last byte, or 0 at a start
+        short = np.maximum(history & _U(0x1FF), _U(1)) - _U(1)
+        return [
+            short,
+            *(bs.mix(history & _U((1 << 9 * k) - 1), 8 + k) for k in (2, 3, 4)),
+            bs.mix(self.whole[at], 14)
+        ]
 
-@dataclass
-class Bits:
-    """The bits of a block: each one's byte, depth in the code, value, and slot in each table."""
 
-    byte: np.ndarray
-    depth: np.ndarray
-    one: np.ndarray
-    slots: list[np.ndarray]
+def contexts(data: np.ndarray, borders: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """(context hash of each table for each byte, place in the word); borders are texts'."""
+    text = Text(data, borders)
+    found = text.hashes(np.arange(len(data)))
+    found.insert(PAIR, bs.mix(text.pair, 13))
+    return found, text.place
 
 
-def _bits(code: Code, hashes: list[np.ndarray], data: np.ndarray) -> Bits:
-    length = code.lengths[data]
-    ends = np.cumsum(length)
-    byte = np.repeat(np.arange(len(data)), length)
-    depth = np.arange(len(byte)) - np.repeat(ends - length, length)
-    at = np.repeat(code.starts[data], length) + depth
-    node = code.nodes[at]
-    found = [(hashes[0].astype(np.int64)[byte] << 8) | node]
-    key = node.astype(_U) * _ODD
-    with np.errstate(over="ignore"):
-        for h, size in zip(hashes[1:], TABLES[1:], strict=True):
-            slot = h[byte]
-            slot ^= key
-            slot *= _U(0xD6E8FEB86659FD93)
-            slot >>= _U(64 - size)
-            found.append(slot.view(np.int64))
-    return Bits(byte, depth, code.bits[at], found)
+def _slots(context: np.ndarray, node: int, size: int) -> np.ndarray:
+    """Slots of context hashes at a node of the code in a hashed table of 2^size."""
+    slot = context ^ _NODES[node]
+    slot *= _MULTIPLIER
+    slot >>= _U(64 - size)
+    return slot.view(np.int64)
 
 
-def _blocks(code: Code, data: np.ndarray, borders: np.ndarray, block: int = BLOCK) -> Iterator[tuple[int, np.ndarray, Bits]]:
-    """(first byte, place in the word of each bit, bits) of blocks of some texts."""
-    hashes, place = contexts(data, borders)
-    for at in range(0, len(data), block):
-        bits = _bits(code, [h[at : at + block] for h in hashes], data[at : at + block])
-        yield at, place[at : at + block][bits.byte], bits
+@dataclass
+class Bits:
+    """One bit of the code of all equal bytes of a block, kind by kind.
 
+    Bytes are of one kind if they also follow the same word so far and the same four bytes, so
+    all tables but the pair's say the same of them. ``firsts`` and ``times`` are the first and
+    the number of each kind. A kind has its gate (without the sightings) and its slot in each
+    table of ``_ALONE``; each byte has its own slot in the pair's table.
+    """
 
-def _gate(place: np.ndarray, bits: Bits, sure: np.ndarray) -> np.ndarray:
-    return (np.minimum(place, 7) * 8 + np.minimum(bits.depth, 7)) * 8 + sure
+    run: slice
+    firsts: np.ndarray
+    times: np.ndarray
+    one: int
+    gate: np.ndarray
+    slots: list[np.ndarray]
+    pair: np.ndarray
+
+
+def _blocks(code: Code, data: np.ndarray, borders: np.ndarray) -> Iterator[tuple[np.ndarray, Iterator[Bits]]]:
+    """(places in the texts, their bits) of the blocks of some texts."""
+    if len(data):
+        text = Text(data, borders)
+        recent = np.ndarray(len(data), "<u4", np.append(np.zeros(_NEAR, np.uint8), data), strides=(1,))
+        for at in range(0, len(data), BLOCK):
+            order, kind = _by_kind(text, at, min(at + BLOCK, len(data)), recent)
+            yield order, _bits(code, text, order, kind)
+
+
+def _by_kind(text: Text, at: int, to: int, recent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(places sorted by byte and kind, their kinds' hashes) of a block."""
+    # a word's first bytes are among the last four, or the last four are in the word so far
+    kind = np.where(text.place[at:to] < _NEAR, recent[at:to], text.whole[at:to])
+    low, high = np.searchsorted(text.borders, (at - _NEAR, to))
+    opening = np.unique(text.borders[low:high, None] + np.arange(_NEAR))
+    opening = opening[(opening >= at) & (opening < to)]
+    kind[opening - at] = np.where(text.place[opening] < _NEAR, text.history(opening) | _U(1 << 40), kind[opening - at])
+    kind *= _MULTIPLIER
+    index = _U((to - at - 1).bit_length())
+    keys = kind >> _U(8)
+    keys >>= index
+    keys <<= index
+    keys |= np.arange(to - at, dtype=_U)
+    keys |= text.data[at:to].astype(_U) << _U(56)
+    keys.sort()
+    keys &= (_U(1) << index) - _U(1)
+    order = keys.view(np.int64)
+    kind = kind[order]
+    order += at
+    return order, kind
+
+
+def _bits(code: Code, text: Text, order: np.ndarray, kind: np.ndarray) -> Iterator[Bits]:
+    data = text.data[order]
+    borders = np.flatnonzero(np.append(True, data[1:] != data[:-1]))
+    new = np.append(True, kind[1:] != kind[:-1])
+    new[borders] = True
+    firsts = np.flatnonzero(new)
+    chosen = order[firsts]
+    hashes, place = text.hashes(chosen), np.minimum(text.place[chosen], 7) * 64
+    hashes[0] = hashes[0].astype(np.int64) << 8
+    times = np.diff(np.append(firsts, len(order)))
+    kinds = np.append(np.searchsorted(firsts, borders), len(firsts))
+    for byte, start, end, a, z in zip(data[borders].tolist(), borders.tolist(), [*borders[1:].tolist(), len(order)], kinds[:-1].tolist(), kinds[1:].tolist(), strict=True):
+        pair = bs.mix(text.pair.take(order[start:end]), 13)
+        for depth in range(int(code.lengths[byte])):
+            step = int(code.starts[byte]) + depth
+            node = int(code.nodes[step])
+            slots = [hashes[0][a:z] | node]
+            slots += [_slots(h[a:z], node, TABLES[k]) for k, h in zip(_ALONE[1:], hashes[1:], strict=True)]
+            yield Bits(
+                slice(start, end),
+                firsts[a:z] - start,
+                times[a:z],
+                int(code.bits[step]),
+                place[a:z] + min(depth, 7) * 8,
+                slots,
+                _slots(pair, node, TABLES[PAIR])
+            )
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -192,28 +295,59 @@ class Mixer:
 
     def cost(self, data: np.ndarray, borders: np.ndarray) -> np.ndarray:
         """Bits of each text."""
-        total = np.zeros(len(data), np.float64)
+        total = np.zeros(len(data), np.float32)
         columns = np.ascontiguousarray(self.weights.T)
-        for at, place, bits in _blocks(self.code, data, borders):
-            gate = _gate(place, bits, self.sure[bits.slots[-1]])
-            mixed = columns[-1][gate]
-            for k, slot in enumerate(bits.slots):
-                mixed += columns[k][gate] * self.tables[k][slot]
-            p = final(mixed, gate, self.refined)
-            spent = -np.log2(np.where(bits.one, p, 1 - p))
-            own = total[at : at + int(bits.byte[-1]) + 1]
-            own += np.bincount(bits.byte, spent, minlength=len(own))
+        for order, parts in _blocks(self.code, data, borders):
+            spent = np.zeros(len(order), np.float32)
+            for bits in parts:
+                gate = bits.gate + self.sure.take(bits.slots[-1])
+                mixed = columns[-1].take(gate)
+                for k, slot in zip(_ALONE, bits.slots, strict=True):
+                    mixed += columns[k].take(gate) * self.tables[k].take(slot)
+                x = np.repeat(columns[PAIR].take(gate), bits.times)
+                x *= self.tables[PAIR].take(bits.pair)
+                x += np.repeat(mixed, bits.times)
+                p = final(x, np.repeat(_starts(gate), bits.times), self.refined)
+                spent[bits.run] -= np.log(p if bits.one else 1 - p)
+            total[order] = spent
+        total = total.astype(np.float64) / np.log(2)
         return np.add.reduceat(total, borders[:-1]) if len(borders) > 1 else np.zeros(0)
 
 
-def _level(mixed: np.ndarray) -> np.ndarray:
-    return np.rint(np.clip(mixed, -8, 8) * 2).astype(np.int64) + LEVELS // 2
+def _starts(gate: np.ndarray) -> np.ndarray:
+    """Where in the adaptive map gates have their middle levels; small enough to be exact."""
+    return (gate * LEVELS + LEVELS // 2).astype(np.float32)
 
 
-def final(mixed: np.ndarray, gate: np.ndarray, refined: np.ndarray) -> np.ndarray:
-    """Probability of a 1, from the mixer and the adaptive map; never 0 or 1."""
-    p = 1 / (1 + np.exp(-np.clip(mixed, -16, 16)))
-    return np.clip((1 - REFINED) * p + REFINED * refined[gate, _level(mixed)], 1e-6, 1 - 1e-6)
+def _place(mixed: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Place in the adaptive map of stretched probabilities."""
+    level = np.clip(mixed, -8, 8)
+    level *= 2
+    np.rint(level, out=level)
+    level += start
+    return level.astype(np.int64)
+
+
+def final(mixed: np.ndarray, start: np.ndarray, refined: np.ndarray) -> np.ndarray:
+    """Probability of a 1, from the mixer and the adaptive map; never 0 or 1.
+
+    ``start`` tells where in the map each bit's gate begins.
+    """
+    place = _place(mixed, start)
+    p = _squashed(mixed)
+    p *= 1 - REFINED
+    map_p = refined.ravel().take(place)
+    map_p *= REFINED
+    p += map_p
+    return np.clip(p, 1e-6, 1 - 1e-6, out=p)
+
+
+def _squashed(mixed: np.ndarray) -> np.ndarray:
+    p = np.clip(mixed, -16, 16)
+    np.negative(p, out=p)
+    np.exp(p, out=p)
+    p += 1
+    return np.reciprocal(p, out=p)
 
 
 def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -268,11 +402,14 @@ def _slot_rows(code: Code):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(2 * -(-int(_OFFSETS[-1]) // CHUNK) * CHUNK, np.uint32)
-        once = np.uint32(1)
+        views = [total[2 * a : 2 * z].reshape(-1, 2) for a, z in zip(_OFFSETS[:-1], _OFFSETS[1:], strict=True)]
         for data, borders in _texts(batches):
-            for _, _, bits in _blocks(code, data, borders):
-                for k, slot in enumerate(bits.slots):
-                    np.add.at(total, ((slot + _OFFSETS[k]) << 1) | bits.one, once)
+            for _, parts in _blocks(code, data, borders):
+                for bits in parts:
+                    times = bits.times.astype(np.uint32)
+                    for k, slot in zip(_ALONE, bits.slots, strict=True):
+                        np.add.at(views[k][:, bits.one], slot, times)
+                    np.add.at(views[PAIR][:, bits.one], bits.pair, np.uint32(1))
         pack = zstandard.ZstdCompressor(level=1).compress
         for number, own in enumerate(total.reshape(-1, 2 * CHUNK)):
             met = np.flatnonzero(own)
@@ -306,38 +443,81 @@ def _sums(
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(gradient, curvature, hits) of some texts, by gate."""
     pull, curve = np.zeros((GATES, WIDTH)), np.zeros((GATES, WIDTH, WIDTH))
-    hits = np.zeros(GATES * LEVELS * 2)
-    both, low, high = np.ascontiguousarray(pairs).view("<u4").ravel(), np.uint32(0xFFFF), np.uint32(16)
+    hits = np.zeros((GATES * LEVELS, 2))
+    both = np.ascontiguousarray(pairs).view("<u4").ravel()
+    tables = [both[a:z] for a, z in zip(_OFFSETS[:-1], _OFFSETS[1:], strict=True)]
+    columns = np.ascontiguousarray(weights.T)
+    found, held = [], 0
     for data, borders in texts:
-        for _, place, bits in _blocks(code, data, borders, 4 * BLOCK):
-            one = bits.one
-            zero = one == 0
-            x = np.ones((len(one), WIDTH), np.float32)
-            for k, slot in enumerate(bits.slots):
-                pair = both[slot + _OFFSETS[k]]
-                zeros, ones = pair & low, pair >> high
-                zeros -= zero & (zeros > 0)
-                ones -= ~zero & (ones > 0)
-                x[:, k] = _LOG[ones]
-                x[:, k] -= _LOG[zeros]
-            gate = _gate(place, bits, _SURE[np.minimum(zeros + ones, SURE[-1])])
-            order = np.argsort(gate.astype(np.uint16), kind="stable")
-            gate, one, x = gate[order], one[order], x[order]
-            met, first = np.unique(gate, return_index=True)
-            ends = [*first[1:].tolist(), len(gate)]
-            mixed = np.empty(len(gate), np.float32)
-            for g, a, z in zip(met.tolist(), first.tolist(), ends, strict=True):
-                mixed[a:z] = x[a:z] @ weights[g]
-            np.clip(mixed, -16, 16, out=mixed)
-            p = 1 / (1 + np.exp(-mixed))
-            hits += np.bincount((gate * LEVELS + _level(mixed)) * 2 + one, minlength=len(hits))
-            error, steep = (one - p).astype(np.float32), p * (1 - p)
-            for g, a, z in zip(met.tolist(), first.tolist(), ends, strict=True):
-                pull[g] += error[a:z] @ x[a:z]
-                curve[g] += (x[a:z] * steep[a:z, None]).T @ x[a:z]
+        for _, parts in _blocks(code, data, borders):
+            for bits in parts:
+                x = np.ones((len(_OWN), len(bits.gate)), np.float32)
+                for k, (number, slot) in enumerate(zip(_ALONE, bits.slots, strict=True)):
+                    zeros, ones = _without_own(tables[number].take(slot), bits.one)
+                    np.subtract(_LOG.take(ones), _LOG.take(zeros), out=x[k])
+                seen = zeros + ones  # of the last table, the word so far
+                gate = bits.gate + _SURE.take(np.minimum(seen, SURE[-1]))
+                alone = columns[-1].take(gate)
+                for k, number in enumerate(_ALONE):
+                    alone += columns[number].take(gate) * x[k]
+                zeros, ones = _without_own(tables[PAIR].take(bits.pair), bits.one)
+                y = _LOG.take(ones)
+                y -= _LOG.take(zeros)
+                mixed = np.repeat(columns[PAIR].take(gate), bits.times)
+                mixed *= y
+                mixed += np.repeat(alone, bits.times)
+                np.clip(mixed, -16, 16, out=mixed)
+                met = np.bincount(_place(mixed, np.repeat(_starts(gate), bits.times)))
+                hits[: len(met), bits.one] += met
+                p = _squashed(mixed)
+                error = bits.one - p
+                steep = p
+                steep *= 1 - p
+                sums = np.empty((5, len(gate)), np.float32)
+                for k, some in enumerate((error, steep)):
+                    np.add.reduceat(some, bits.firsts, out=sums[k])
+                    some *= y
+                    np.add.reduceat(some, bits.firsts, out=sums[k + 2])
+                steep *= y
+                np.add.reduceat(steep, bits.firsts, out=sums[4])
+                found.append((gate, x, sums))
+                held += len(gate)
+                if held >= KINDS:
+                    _add_kinds(found, pull, curve)
+                    found, held = [], 0
+    if found:
+        _add_kinds(found, pull, curve)
     return pull, curve, hits.reshape(GATES, LEVELS, 2)
 
 
+def _add_kinds(found: list[tuple[np.ndarray, np.ndarray, np.ndarray]], pull: np.ndarray, curve: np.ndarray) -> None:
+    """Adds kinds of bits to the sums of their gates: gates, their own predictions, and the sums
+    over each kind of error, steepness, both times the pair's prediction, the last times it again."""
+    gate, x, sums = (np.concatenate(some, axis=-1) for some in zip(*found, strict=True))
+    order = np.argsort(gate.astype(np.uint16), kind="stable")
+    gate, x, sums = gate[order], x.take(order, axis=1), sums.take(order, axis=1)
+    error, steep, error_y, steep_y, steep_yy = sums
+    right = np.concatenate([x * steep, error[None], steep_y[None]])
+    met, first = np.unique(gate, return_index=True)
+    ends = [*first[1:].tolist(), len(gate)]
+    both = np.stack([x[:, a:z] @ right[:, a:z].T for a, z in zip(first.tolist(), ends, strict=True)])
+    pull[met[:, None], _OWN] += both[:, :, -2]
+    pull[met, PAIR] += np.add.reduceat(error_y, first)
+    curve[np.ix_(met, _OWN, _OWN)] += both[:, :, :-2]
+    curve[met[:, None], PAIR, _OWN] += both[:, :, -1]
+    curve[met[:, None], _OWN, PAIR] += both[:, :, -1]
+    curve[met, PAIR, PAIR] += np.add.reduceat(steep_yy, first)
+
+
+def _without_own(pair: np.ndarray, one: int) -> tuple[np.ndarray, np.ndarray]:
+    """Counts of 0 and of 1, from packed ones, without one occurrence of a bit."""
+    zeros, ones = pair & np.uint32(0xFFFF), pair >> np.uint32(16)
+    own = ones if one else zeros
+    np.maximum(own, np.uint32(1), out=own)
+    own -= np.uint32(1)
+    return zeros, ones
+
+
 class _Learner:
     """Weights and adaptive map, moved by the sums of one step after the other."""
 
@@ -391,7 +571,7 @@ def _held_out(docs: DataFrame) -> DataFrame:
 
 def vocabulary(training: DataFrame) -> DataFrame:
     """h, word, n: all tokens of all training texts, the end mark among them; stored."""
-    counted = training.select("text").mapInArrow(_tokens, "h long, word binary, n long")
+    counted = training.select("text").mapInArrow(bs.tidy(_tokens), "h long, word binary, n long")
     return stored(counted.groupBy("h").agg(F.first("word").alias("word"), F.sum("n").alias("n")), "vocabulary")
 
 
@@ -416,7 +596,7 @@ def _byte_counts(words: DataFrame) -> np.ndarray:
 def train(training: DataFrame, words: DataFrame) -> Mixer:
     """Byte code, predictors, weights and adaptive map from all training documents."""
     code = byte_code(_byte_counts(words))
-    found = training.select("text").mapInArrow(_slot_rows(code), "chunk int, places binary, counts binary")
+    found = training.select("text").mapInArrow(bs.tidy(_slot_rows(code)), "chunk int, places binary, counts binary")
     found = found.groupBy("chunk").applyInArrow(_chunk_sum, "chunk int, counts binary")
     pairs = np.zeros((-(-int(_OFFSETS[-1]) // CHUNK) * CHUNK, 2), np.uint16)
     for r in found.toLocalIterator():  # a part at a time
@@ -450,7 +630,7 @@ def _summed(texts: DataFrame, code: Code, shared: Broadcast, weights: np.ndarray
 
     total = np.zeros((GATES, WIDTH + WIDTH * WIDTH + LEVELS * 2))
     for r in texts.mapInArrow(  # a row for each gate
-        run, "gate int, sums binary"
+        bs.tidy(run), "gate int, sums binary"
     ).groupBy("gate").applyInArrow(add, "gate int, sums binary").collect():
         total[r.gate] = np.frombuffer(bytes(r.sums))
     pull, curve, hits = np.split(total, [WIDTH, WIDTH + WIDTH * WIDTH], axis=1)
@@ -534,7 +714,7 @@ def scores(docs: DataFrame) -> DataFrame:
     kind = dict(marked.dtypes)["doc_id"]
     schema = f"doc_id {kind}, k long, held_out boolean, n_tokens long, known long, gain double, bits double, n_bytes long, rest array<long>"
     scored = stored(
-        marked.withColumn("k", F.xxhash64("text")).select("doc_id", "k", "held_out", "text").mapInArrow(run, schema), "scored"
+        marked.withColumn("k", F.xxhash64("text")).select("doc_id", "k", "held_out", "text").mapInArrow(bs.tidy(run), schema), "scored"
     )
     # words outside the dictionary: each distinct (row, word) once, joined with its count
     rare = scored.where(F.size("rest") > 0).select(
