@@ -28,58 +28,47 @@ def cosine(a: Column, b: Column) -> Column:
 
 #: Queries and rows of a block, and queries whose distances to a block of rows are held at once.
 QUERY_BLOCK, ROW_BLOCK, QUERY_STEP = 512, 8192, 64
-#: Further columns that belong to the queries of a pair of blocks.
-QUERY_COLUMNS = ("label", "limit", "target")
 
 
-def _packed(size: int, columns: tuple[str, ...]):
-    """Mapper: blocks of rows, each column of numbers packed; the vectors come last, as v."""
+def _packed(size: int, ident: str):
+    """Mapper: blocks of rows, ids and vectors packed; the vectors come last, as v."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, size):
                 some = batch.slice(at, size)
-                out = {c: pa.array([np.asarray(some.column(c)).tobytes()], pa.binary()) for c in columns}
+                ids = np.asarray(some.column(ident)).tobytes()
                 flat = np.asarray(some.column("v").flatten(), np.float64)
-                yield pa.RecordBatch.from_pydict(out | {"v": pa.array([flat.tobytes()], pa.binary())})
+                yield pa.RecordBatch.from_pydict({ident: pa.array([ids], pa.binary()), "v": pa.array([flat.tobytes()], pa.binary())})
 
     return run
 
 
-def _block_pairs(queries: DataFrame, rows: DataFrame, extra: tuple[tuple[str, str], ...] = ()) -> DataFrame:
+def _block_pairs(queries: DataFrame, rows: DataFrame) -> DataFrame:
     """A row for each block of queries (query_id, v) and block of rows (id, v), packed.
 
-    extra: further long columns of the queries and of the rows. Each pair of blocks is one step
-    of some task, so neither side is ever gathered.
+    Each pair of blocks is one step of some task, so neither side is ever gathered.
     """
-    own = ("query_id", *(q for q, _ in extra))
-    other = ("id", *(r for _, r in extra))
-    kind = lambda names, v: ", ".join(f"{n} binary" for n in (*names, v))
-    q = queries.select(
-        *(F.col(c).cast("long").alias(c) for c in own), "v"
-    ).mapInArrow(_packed(QUERY_BLOCK, own), kind(own, "v")).withColumnRenamed("v", "q")
-    r = rows.select(
-        *(F.col(c).cast("long").alias(c) for c in other), "v"
-    ).mapInArrow(_packed(ROW_BLOCK, other), kind(other, "v"))
+    q = queries.select(F.col("query_id").cast("long").alias("query_id"), "v").mapInArrow(
+        _packed(QUERY_BLOCK, "query_id"), "query_id binary, v binary"
+    ).withColumnRenamed("v", "q")
+    r = rows.select(F.col("id").cast("long").alias("id"), "v").mapInArrow(_packed(ROW_BLOCK, "id"), "id binary, v binary")
     return r.crossJoin(q)
 
 
 def _steps(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]]:
     """The columns of ``QUERY_STEP`` queries and a block of rows at a time.
 
-    Columns are views of the batch: q has a row for each query, v one for each row; what the
-    queries bring (``QUERY_COLUMNS``) is cut with them.
+    Columns are views of the batch: q has a row for each query, v one for each row.
     """
     for batch in batches:
         for i in range(batch.num_rows):
             one = {c: batch.column(c)[i].as_buffer() for c in batch.schema.names}
             ask, ids = np.frombuffer(one["query_id"], np.int64), np.frombuffer(one["id"], np.int64)
             q, v = np.frombuffer(one["q"]).reshape(len(ask), -1), np.frombuffer(one["v"]).reshape(len(ids), -1)
-            whole = {c: np.frombuffer(one[c], np.int64) for c in one.keys() - {"query_id", "id", "q", "v"}}
             for at in range(0, len(ask), QUERY_STEP):
                 part = slice(at, at + QUERY_STEP)
-                own = {c: x[part] for c, x in whole.items() if c in QUERY_COLUMNS}
-                yield {**whole, **own, "query_id": ask[part], "id": ids, "q": q[part], "v": v}
+                yield {"query_id": ask[part], "id": ids, "q": q[part], "v": v}
 
 
 def _distances(x: np.ndarray, y: np.ndarray, distance: str) -> np.ndarray:
@@ -119,70 +108,6 @@ def nearest(queries: DataFrame, rows: DataFrame, k: int, distance: str = "l2") -
     return ranked.where(F.col("rank") <= k).select("query_id", "rank", "id", "distance")
 
 
-def _with_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        bits = np.asarray(batch.column("d"), np.float64).view(np.int64)
-        yield pa.RecordBatch.from_pydict(
-            {
-                "query_id": batch.column("query_id"),
-                "limit": pa.array(bits),
-                "target": batch.column("target"),
-                "v": batch.column("v")
-            }
-        )
-
-
-def nearest_target_ranks(queries: DataFrame, rows: DataFrame) -> DataFrame:
-    """query_id, rank, candidates: the place of the nearest row of the query's label among all rows.
-
-    queries: query_id, q, label; rows: id, v, label (numbers). By squared distance to six
-    digits, ties by id. Targets come first; then every step only counts what beats them.
-    """
-
-    def ranked(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict[str, np.ndarray], np.ndarray]]:
-        for row in _steps(batches):
-            d = np.round(_distances(row["q"], row["v"], "l2"), 6)
-            d[row["query_id"][:, None] == row["id"][None]] = np.inf
-            yield row, d
-
-    def targets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for row, d in ranked(batches):
-            d[row["label"][:, None] != row["own"][None]] = np.inf
-            least = d.min(axis=1)
-            at = np.where(d == least[:, None], row["id"][None], np.iinfo(np.int64).max).min(axis=1)
-            good = np.isfinite(least)
-            yield pa.RecordBatch.from_pydict(
-                {"query_id": pa.array(row["query_id"][good]), "d": pa.array(least[good]), "target": pa.array(at[good])}
-            )
-
-    def better(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for row, d in ranked(batches):
-            limit, target = row["limit"].view(np.float64)[:, None], row["target"][:, None]
-            wins = ((d < limit) | ((d == limit) & (row["id"][None] < target))).sum(axis=1)
-            yield pa.RecordBatch.from_pydict(
-                {
-                    "query_id": pa.array(row["query_id"]),
-                    "wins": pa.array(wins.astype(np.int64)),
-                    "others": pa.array(np.isfinite(d).sum(axis=1).astype(np.int64))
-                }
-            )
-
-    asked = queries.select("query_id", F.col("q").alias("v"), "label")
-    found = _block_pairs(
-        asked, rows.withColumnRenamed("label", "own"), (("label", "own"),)
-    ).mapInArrow(targets, "query_id long, d double, target long")
-    best = found.groupBy("query_id").agg(F.min(F.struct("d", "target")).alias("t"))
-    # a distance travels as its bits: blocks hold columns of longs and one of vectors
-    known = asked.join(best.select("query_id", "t.d", "t.target"), "query_id").mapInArrow(
-        _with_bits, "query_id long, limit long, target long, v array<double>"
-    )
-    zero = rows.withColumn("a", F.lit(0)).withColumn("b", F.lit(0))
-    counted = _block_pairs(known, zero, (("limit", "a"), ("target", "b"))).mapInArrow(
-        better, "query_id long, wins long, others long"
-    )
-    return counted.groupBy("query_id").agg((F.sum("wins") + 1).cast("int").alias("rank"), F.sum("others").alias("candidates"))
-
-
 def target_ranks(scores: DataFrame) -> DataFrame:
     """query_id, rank, candidates: place of the target by falling score, ties by position."""
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "position")

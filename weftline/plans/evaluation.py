@@ -12,6 +12,7 @@ from ..functions import text as T
 from ..operators import classify as K
 from ..operators import latents as G
 from ..operators import ranking as R
+from ..operators import targets as N
 from ..streaming import events
 from .common import read, split_sql
 
@@ -42,14 +43,18 @@ def retrieval_prior(s, d):
 
 
 def rank_targets(s, d):
-    """Each query against all other rows; the target is the nearest row of the query's label."""
-    v = vectors(s, d)
-    q = v.where("id % 50 = 0").select(F.col("id").alias("query_id"), F.col("v").alias("q"), "label")
-    return R.nearest_target_ranks(q, v)
+    """A stated set of queries against all other rows; the target is the nearest row of the query's label."""
+    return target_ranks(s, d, "id % 50 = 0")
+
+
+def target_ranks(s, d, asked="true"):
+    v = read(s, d, "embeddings").select(F.col("vec_id").alias("id"), "label", F.col("embedding").alias("v"))
+    return N.nearest_target_ranks(v.where(asked).select(F.col("id").alias("query_id"), F.col("v").alias("q"), "label"), v)
 
 
 def retrieval_metrics(s, d):
-    return R.retrieval_metrics(rank_targets(s, d))
+    """Every row is a query."""
+    return R.retrieval_metrics(target_ranks(s, d))
 
 
 def completions(s, d):
@@ -256,14 +261,20 @@ KNN = (
     "% 50 = 0), k AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY distance, id)::INT AS rank, "
     "id, distance FROM p QUALIFY rank <= 5)"
 )
-SCORES = (
-    f"WITH {VEC}, p AS (SELECT q.id AS query_id, r.id AS position, {L2} AS dist, q.label = r.label AS same FROM vec q "
-    f"JOIN vec r ON q.id <> r.id WHERE q.id % 50 = 0), t AS (SELECT query_id, position AS target_id FROM p WHERE same "
-    f"QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY dist, position) = 1), k AS (SELECT query_id, position, "
-    f"row_number() OVER (PARTITION BY query_id ORDER BY dist, position)::INT AS rank, count(*) OVER (PARTITION BY query_id) "
-    f"AS candidates FROM p), ranks AS (SELECT query_id, rank, candidates FROM k JOIN t USING (query_id) WHERE position "
-    f"= target_id)"
-)
+
+
+def _scores_sql(asked: str = "") -> str:
+    return (
+        f"WITH {VEC}, p AS (SELECT q.id AS query_id, r.id AS position, {L2} AS dist, q.label = r.label AS same FROM vec q "
+        f"JOIN vec r ON q.id <> r.id{asked}), t AS (SELECT query_id, position AS target_id FROM p WHERE same "
+        f"QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY dist, position) = 1), k AS (SELECT query_id, position, "
+        f"row_number() OVER (PARTITION BY query_id ORDER BY dist, position)::INT AS rank, count(*) OVER (PARTITION BY query_id) "
+        f"AS candidates FROM p), ranks AS (SELECT query_id, rank, candidates FROM k JOIN t USING (query_id) WHERE position "
+        f"= target_id)"
+    )
+
+
+SCORES = _scores_sql(" WHERE q.id % 50 = 0")
 COMP = (
     "c AS (SELECT l_orderkey, sha256(concat_ws('|', l_partkey, l_suppkey, l_linenumber)) AS completion_id, max(l_extendedprice) "
     "AS model, max(l_discount) AS lexical, max(l_returnflag) = 'R' AS passed FROM lineitem GROUP BY l_orderkey, l_partkey, "
@@ -319,7 +330,7 @@ ORACLES = {
     "knn_cosine": KNN.format(vec=VEC, d=COS) + " SELECT * FROM k",
     "retrieval_prior": KNN.format(vec=VEC, d=L2) + " SELECT query_id, round(avg(distance), 6) AS prior FROM k GROUP BY 1",
     "rank_targets": SCORES + " SELECT * FROM ranks",
-    "retrieval_metrics": SCORES + " SELECT count(*) AS n, " + ", ".join(
+    "retrieval_metrics": _scores_sql() + " SELECT count(*) AS n, " + ", ".join(
         f"round(avg(CASE WHEN rank <= {k} THEN 1.0::DOUBLE ELSE 0 END), 9) AS r{k}" for k in (1, 5, 10)
     ) + (
         ", round(avg(1.0::DOUBLE / rank), 9) AS mrr, median(rank) AS median_rank, min(candidates) AS min_candidates, max(candidates) "
